@@ -63,3 +63,68 @@ def _mart_query(name):
 
 for _m in marts.MARTS:
     register(_m)(_mart_query(_m))
+
+
+# --- change capture and staging ------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from .operators import staging as stg  # noqa: E402
+from .sources import cdc  # noqa: E402
+
+
+@register("cdc_unwrap")
+def q_cdc_unwrap(spark, sf_dir):
+    """Flatten before/after change envelopes into row images + metadata."""
+    return cdc.unwrap(td.change_envelopes(spark, sf_dir))
+
+
+@register("cdc_decode")
+def q_cdc_decode(spark, sf_dir):
+    """Decode JSON-with-schema change values, then flatten them."""
+    row = T._parse_datatype_string(td.EVENT_ROW)
+    return cdc.unwrap(cdc.decode(td.change_wire(spark, sf_dir), row))
+
+
+@register("cdc_route")
+def q_cdc_route(spark, sf_dir):
+    """Route change topics to table names; other topics are dropped."""
+    return cdc.route(cdc.unwrap(td.change_envelopes(spark, sf_dir)))
+
+
+@register("staging_upsert")
+def q_staging_upsert(spark, sf_dir):
+    """Latest row per key of the whole change log (soft deletes kept)."""
+    return stg.latest_per_key(td.change_log(spark, sf_dir))
+
+
+_FIRST_BATCH_OPS = ("c", "d")  # creates and deletes arrive first, updates later
+
+
+def _two_batches(spark, sf_dir):
+    log = td.change_log(spark, sf_dir)
+    first_batch = F.col("__op").isin(*_FIRST_BATCH_OPS)
+    return log.filter(first_batch), log.filter(~first_batch)
+
+
+@register("staging_merge")
+def q_staging_merge(spark, sf_dir):
+    """Upsert a second change batch into the table built from the first."""
+    first, later = _two_batches(spark, sf_dir)
+    return stg.merge_latest(stg.latest_per_key(first), later)
+
+
+@register("schema_evolve")
+def q_schema_evolve(spark, sf_dir):
+    """Upsert a batch that brings a new column (props) into a table without it."""
+    first, later = _two_batches(spark, sf_dir)
+    return stg.merge_latest(stg.latest_per_key(first.drop("props")), later)
+
+
+@register("cdc_snapshot_then_stream")
+def q_snapshot_then_stream(spark, sf_dir):
+    """Initial copy of customers (op r) followed by the change stream, upserted."""
+    snap = td.staging_customers(spark, sf_dir).select(
+        "id", "email", "__ts_ms", "__source_ts_ms")
+    changes = td.change_log(spark, sf_dir)
+    return stg.latest_per_key(stg.bootstrap(snap, changes))

@@ -158,6 +158,8 @@ def staging(spark, sf_dir) -> dict[str, DataFrame]:
 
 # --- change log ------------------------------------------------------------
 
+EVENT_ROW = "struct<id:bigint,value:double,props:string>"
+
 def change_log(spark, sf_dir) -> DataFrame:
     """Flat change rows from ``events``: key = user_id, offset = event_id."""
     e = read(spark, sf_dir, "events")
@@ -178,8 +180,7 @@ def change_envelopes(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events")
     op = _case(F.col("event_type"), CHANGE_OP_BY_EVENT)
     image = F.struct(F.col("user_id").alias("id"), F.col("value"), F.col("props"))
-    null_image = F.lit(None).cast(
-        "struct<id:bigint,value:double,props:string>")
+    null_image = F.lit(None).cast(EVENT_ROW)
     topic = F.when(F.col("event_type") == "error", F.lit("schema-changes.ecommerce")).otherwise(
         F.concat(F.lit("ecommerce.ecommerce."), F.col("event_type")))
     envelope = F.struct(
@@ -245,3 +246,10 @@ def customer_candidates(spark, sf_dir) -> DataFrame:
         F.concat(F.lower(name), F.lit("@example.com")).alias("email"),
         F.concat(F.lit("  "), F.lit("New"), F.lit(" ")).alias("first_name"),
         name.alias("last_name"), F.lit(" ").alias("phone"), F.lit(None).cast("string").alias("address"))
+
+
+def change_wire(spark, sf_dir) -> DataFrame:
+    """Change events as they travel: JSON value with schema envelope."""
+    env = change_envelopes(spark, sf_dir)
+    wire = F.to_json(F.struct(F.lit("envelope").alias("schema"), F.col("value").alias("payload")))
+    return env.select("topic", "key", wire.alias("value"), "offset")

@@ -195,3 +195,41 @@ SELECT i.invoice_id, i.invoice_number, i.order_id, o.customer_id, c.first_name,
        i.total_ht, i.total_tva, i.total_ttc, i.issued_at, i.due_date,
        CASE WHEN i.due_date < DATE '{AS_OF}' THEN 'overdue' ELSE 'on_time' END AS due_status
 FROM dwh_invoices i JOIN dwh_orders o ON o.order_id = i.order_id JOIN dwh_customers c ON c.customer_id = o.customer_id""")
+
+# --- change capture and staging ------------------------------------------------
+_OP = ("CASE event_type WHEN 'signup' THEN 'c' WHEN 'click' THEN 'u' WHEN 'view' THEN 'u' "
+       "WHEN 'purchase' THEN 'u' WHEN 'error' THEN 'd' END")
+cte("stg_change_log", (), f"""
+SELECT user_id AS id, value, props, {_OP} AS __op, {MS.format(c="ts")} AS __ts_ms,
+       {MS.format(c="ts")} AS __source_ts_ms,
+       CASE WHEN {_OP} = 'd' THEN 'true' ELSE 'false' END AS __deleted, event_id AS "offset", event_type
+FROM events""")
+cte("unwrapped", ("stg_change_log",), """
+SELECT CASE WHEN event_type = 'error' THEN 'schema-changes.ecommerce' ELSE 'ecommerce.ecommerce.' || event_type END
+         AS topic, CAST(id AS VARCHAR) AS "key", "offset", id, value, props, __op, __ts_ms, __source_ts_ms, __deleted
+FROM stg_change_log""")
+_LATEST = """
+SELECT id, value, props, __op, __ts_ms, __source_ts_ms, __deleted, "offset" FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
+  FROM stg_change_log) WHERE rn = 1"""
+oracle("cdc_unwrap", ("unwrapped",), "SELECT * FROM unwrapped")
+oracle("cdc_decode", ("unwrapped",), "SELECT * FROM unwrapped")
+oracle("cdc_route", ("unwrapped",), r"""
+SELECT *, regexp_extract(topic, '^ecommerce\.ecommerce\.(.*)$', 1) AS "table" FROM unwrapped
+WHERE regexp_matches(topic, '^ecommerce\.ecommerce\.(.*)$')""")
+oracle("staging_upsert", ("stg_change_log",), _LATEST)
+oracle("staging_merge", ("stg_change_log",), _LATEST)
+oracle("schema_evolve", ("stg_change_log",), """
+SELECT id, value, CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE props END AS props,
+       __op, __ts_ms, __source_ts_ms, __deleted, "offset" FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
+  FROM stg_change_log) WHERE rn = 1""")
+oracle("cdc_snapshot_then_stream", ("stg_customers", "stg_change_log"), """
+SELECT id, email, __ts_ms, __source_ts_ms, value, props, __op, __deleted, "offset" FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
+  FROM (SELECT id, email, __source_ts_ms AS __ts_ms, __source_ts_ms, CAST(NULL AS DOUBLE) AS value,
+               CAST(NULL AS VARCHAR) AS props, 'r' AS __op, 'false' AS __deleted, CAST(-1 AS BIGINT) AS "offset"
+        FROM stg_customers
+        UNION ALL
+        SELECT id, NULL, __ts_ms, __source_ts_ms, value, props, __op, __deleted, "offset" FROM stg_change_log))
+WHERE rn = 1""")
