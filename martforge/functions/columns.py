@@ -90,8 +90,9 @@ def short_title(title, limit: int = 40, keep: int = 37) -> Column:
 
 
 def eur(amount) -> Column:
-    """'%.2f EUR' formatting."""
-    return F.format_string("%.2f EUR", c(amount).cast("double"))
+    """'%.2f EUR' formatting; NULL stays NULL."""
+    a = c(amount)
+    return F.when(a.isNotNull(), F.format_string("%.2f EUR", a.cast("double")))
 
 
 def dmy(ts, missing: str = "-") -> Column:

@@ -128,3 +128,197 @@ def q_snapshot_then_stream(spark, sf_dir):
         "id", "email", "__ts_ms", "__source_ts_ms")
     changes = td.change_log(spark, sf_dir)
     return stg.latest_per_key(stg.bootstrap(snap, changes))
+
+
+# --- shop reads, orders, carts, customers, checks --------------------------------
+from .operators import carts as cartops  # noqa: E402
+from .operators import customers as custops  # noqa: E402
+from .operators import orders as orderops  # noqa: E402
+from .operators import quality, shop  # noqa: E402
+
+ISSUED_AT = "2024-06-30 10:00:00"  # fixed issue time for compared runs
+CART_AS_OF = "2024-02-05 00:00:00"  # fixed as-of time for compared runs
+
+
+def _dwh(spark, sf_dir, *names):
+    return [dwh_table(spark, sf_dir, n) for n in names]
+
+
+def _all_dwh(spark, sf_dir):
+    return {t: dwh_table(spark, sf_dir, t) for t in dwh.LOADS}
+
+
+@register("catalog_in_stock")
+def q_catalog_in_stock(spark, sf_dir):
+    """Items with stock > 0, newest id first."""
+    return shop.catalog_in_stock(*_dwh(spark, sf_dir, "items"))
+
+
+@register("items_by_newest")
+def q_items_by_newest(spark, sf_dir):
+    """All items, newest id first."""
+    return shop.items_by_newest(*_dwh(spark, sf_dir, "items"))
+
+
+@register("reorder_suggestions")
+def q_reorder_suggestions(spark, sf_dir):
+    """Top 8 in-stock items (id desc) each customer bought in confirmed orders."""
+    return shop.reorder_suggestions(*_dwh(spark, sf_dir, "order_items", "orders", "items"))
+
+
+@register("purchased_in_stock")
+def q_purchased_in_stock(spark, sf_dir):
+    """In-stock items bought at least once in a confirmed order."""
+    return shop.purchased_in_stock(*_dwh(spark, sf_dir, "items", "order_items", "orders"))
+
+
+@register("order_history")
+def q_order_history(spark, sf_dir):
+    """Orders with their lines and item titles, newest first per customer."""
+    return shop.order_history(*_dwh(spark, sf_dir, "orders", "order_items", "items"))
+
+
+@register("customer_payments")
+def q_customer_payments(spark, sf_dir):
+    """Payments with the owning customer, newest first."""
+    return shop.customer_payments(*_dwh(spark, sf_dir, "payments", "orders"))
+
+
+@register("customer_invoices")
+def q_customer_invoices(spark, sf_dir):
+    """Invoices with the owning customer, newest first."""
+    return shop.customer_invoices(*_dwh(spark, sf_dir, "invoices", "orders"))
+
+
+@register("invoice_lines")
+def q_invoice_lines(spark, sf_dir):
+    """Printable document rows of every invoice."""
+    return shop.invoice_lines(*_dwh(spark, sf_dir, "invoices", "orders", "order_items", "items"))
+
+
+@register("order_confirmation")
+def q_order_confirmation(spark, sf_dir):
+    """Confirmation pages for owner-checked (order, customer) requests."""
+    orders, lines, items = _dwh(spark, sf_dir, "orders", "order_items", "items")
+    return shop.order_confirmation(td.confirmation_requests(spark, sf_dir), orders, lines, items)
+
+
+@register("item_pricing")
+def q_item_pricing(spark, sf_dir):
+    """Price incl. VAT recomputed from HT and VAT rate for every staged item."""
+    return shop.item_pricing(td.staging_items(spark, sf_dir))
+
+
+@register("cart_parse")
+def q_cart_parse(spark, sf_dir):
+    """JSON cart cookies -> (cart, item, quantity) entries."""
+    return shop.cart_parse(td.carts(spark, sf_dir))
+
+
+@register("cart_count")
+def q_cart_count(spark, sf_dir):
+    """Item count per cart (0 when malformed)."""
+    return shop.cart_count(td.carts(spark, sf_dir))
+
+
+@register("cart_pricing")
+def q_cart_pricing(spark, sf_dir):
+    """Cart lines priced against live items; TTC total per cart."""
+    return shop.cart_pricing(td.carts(spark, sf_dir), *_dwh(spark, sf_dir, "items"))
+
+
+@register("checkout_summary")
+def q_checkout_summary(spark, sf_dir):
+    """HT and TTC totals per cart at checkout."""
+    return shop.checkout_summary(td.carts(spark, sf_dir), *_dwh(spark, sf_dir, "items"))
+
+
+def _allocation(spark, sf_dir):
+    reqs = td.order_requests(spark, sf_dir)
+    items = dwh_table(spark, sf_dir, "items")
+    return reqs, items, orderops.allocate_orders(reqs, items)
+
+
+@register("allocate_orders")
+def q_allocate_orders(spark, sf_dir):
+    """Stock allocation of order requests in arrival order."""
+    return _allocation(spark, sf_dir)[2]
+
+
+@register("order_totals")
+def q_order_totals(spark, sf_dir):
+    """Order totals from allocated lines (zero when nothing valid)."""
+    reqs, _, lines = _allocation(spark, sf_dir)
+    return orderops.order_totals(reqs, lines)
+
+
+@register("stock_after_orders")
+def q_stock_after_orders(spark, sf_dir):
+    """Remaining stock per item after allocation."""
+    _, items, lines = _allocation(spark, sf_dir)
+    return orderops.stock_after_orders(items, lines)
+
+
+@register("derive_payments")
+def q_derive_payments(spark, sf_dir):
+    """One completed payment per allocated order."""
+    reqs, _, lines = _allocation(spark, sf_dir)
+    return orderops.derive_payments(orderops.order_totals(reqs, lines))
+
+
+@register("derive_invoices")
+def q_derive_invoices(spark, sf_dir):
+    """One invoice per allocated order, issued at a fixed time."""
+    reqs, _, lines = _allocation(spark, sf_dir)
+    return orderops.derive_invoices(orderops.order_totals(reqs, lines), issued_at=ISSUED_AT)
+
+
+@register("cart_state_batch")
+def q_cart_state_batch(spark, sf_dir):
+    """Cart contents folded from cart actions, as of a fixed time."""
+    return cartops.cart_state(td.cart_events(spark, sf_dir), dwh_table(spark, sf_dir, "items"), as_of=CART_AS_OF)
+
+
+@register("profile_normalise")
+def q_profile_normalise(spark, sf_dir):
+    """Trim profile fields; blank phone/address -> NULL."""
+    return custops.profile_normalise(td.profile_edits(spark, sf_dir))
+
+
+@register("register_new_customers")
+def q_register_new_customers(spark, sf_dir):
+    """Sign-ups accepted: e-mail not taken, first arrival per e-mail."""
+    return custops.register_new_customers(dwh_table(spark, sf_dir, "customers"),
+                                          td.customer_candidates(spark, sf_dir))
+
+
+@register("item_changes")
+def q_item_changes(spark, sf_dir):
+    """Admin item actions -> change rows, upserted into staging items."""
+    current = td.staging_items(spark, sf_dir)
+    changes = custops.item_changes(td.item_actions(spark, sf_dir), current)
+    return stg.merge_latest(current.withColumn("offset", F.lit(-1).cast("long")), changes)
+
+
+@register("payment_labels")
+def q_payment_labels(spark, sf_dir):
+    """Customer-facing payment method / status / transaction labels."""
+    return quality.payment_labels(dwh_table(spark, sf_dir, "payments"))
+
+
+@register("order_status_label")
+def q_order_status_label(spark, sf_dir):
+    """Capitalised order status."""
+    return quality.order_status_labels(dwh_table(spark, sf_dir, "orders"))
+
+
+@register("stock_level")
+def q_stock_level(spark, sf_dir):
+    """Stock badge per item (out / low / ok) and VAT shown as an integer."""
+    return quality.stock_levels(dwh_table(spark, sf_dir, "items"))
+
+
+for _name, _fn in (("dq_unique", quality.dq_unique), ("dq_foreign_keys", quality.dq_foreign_keys),
+                   ("dq_not_null", quality.dq_not_null), ("dq_domains", quality.dq_domains),
+                   ("dq_reconcile", quality.dq_reconcile)):
+    register(_name)((lambda fn: (lambda spark, sf_dir: fn(_all_dwh(spark, sf_dir))))(_fn))

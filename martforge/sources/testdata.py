@@ -253,3 +253,36 @@ def change_wire(spark, sf_dir) -> DataFrame:
     env = change_envelopes(spark, sf_dir)
     wire = F.to_json(F.struct(F.lit("envelope").alias("schema"), F.col("value").alias("payload")))
     return env.select("topic", "key", wire.alias("value"), "offset")
+
+
+def confirmation_requests(spark, sf_dir) -> DataFrame:
+    """(order_id, customer_id) page requests: every order asked for by its
+    owner and by the next customer id (which the owner check must refuse)."""
+    o = _orders_base(spark, sf_dir)
+    owner = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    other = o.select(F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") + 1).alias("customer_id"))
+    return owner.unionByName(other)
+
+
+ITEM_ACTION_BY_EVENT = {"signup": "c", "click": "u", "view": "u", "purchase": "u", "error": "d"}
+
+
+def item_actions(spark, sf_dir) -> DataFrame:
+    """Admin item actions from events: item = (k*20) % parts (signup creates
+    a new id past the catalogue), new HT price = value, VAT by k % 4."""
+    e = read(spark, sf_dir, "events")
+    n_parts = read(spark, sf_dir, "part").select(F.count(F.lit(1))).scalar()
+    k = F.get_json_object(F.col("props"), "$.k").cast("long")
+    action = _case(F.col("event_type"), ITEM_ACTION_BY_EVENT)
+    vat = _case(k % 4, {i: F.lit(float(v)) for i, v in enumerate(VAT_BY_SIZE_MOD4)})
+    item = F.when(action == "c", F.lit(n_parts) + F.col("event_id")).otherwise((k * 20) % n_parts)
+    return e.select(
+        action.alias("action"), item.alias("id"), F.concat(F.lit("item "), k.cast("string")).alias("title"),
+        F.when(k % 10 == 0, F.lit("")).otherwise(F.col("event_type")).alias("description"),
+        F.col("value").alias("price_ht"), vat.alias("tva_rate"), (k % 7).cast("int").alias("quantity"),
+        ms_of("ts").alias("ts_ms"), F.col("event_id").alias("offset"))
+
+
+def profile_edits(spark, sf_dir) -> DataFrame:
+    """Profile form submissions: sign-up candidates' raw fields."""
+    return customer_candidates(spark, sf_dir).select("arrival", "first_name", "last_name", "phone", "address")

@@ -34,7 +34,8 @@ FROM {_src}""")
 cte("stg_items", (), f"""
 SELECT id, title, description, image_url, price_ht, CAST(vat AS DOUBLE) AS tva_rate,
        CAST(round(CAST(price_ht AS DECIMAL(12,2)) * (1 + vat * CAST(0.01 AS DECIMAL(3,2))), 2) AS DOUBLE) AS price_ttc,
-       quantity, __source_ts_ms, __deleted
+       quantity, __source_ts_ms AS created_at, __source_ts_ms AS updated_at, 'r' AS __op,
+       __source_ts_ms AS __ts_ms, __source_ts_ms, __deleted
 FROM (SELECT p_partkey AS id, p_name AS title, p_type AS description, CAST(NULL AS VARCHAR) AS image_url,
              p_retailprice AS price_ht,
              CAST(CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 5.5 WHEN 2 THEN 10 WHEN 3 THEN 20 END AS DECIMAL(5,2)) AS vat,
@@ -131,7 +132,10 @@ def _closure(names) -> list[str]:
 def with_ctes(uses: tuple[str, ...], body: str) -> str:
     """Prefix ``body`` with the CTEs it uses (and theirs), in dependency order."""
     parts = [f"{n} AS ({CTES[n][1].strip()})" for n in _closure(uses)]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body.upper().startswith("WITH "):  # merge the body's own CTEs
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 ORACLES: dict[str, str] = {}
@@ -233,3 +237,283 @@ SELECT id, email, __ts_ms, __source_ts_ms, value, props, __op, __deleted, "offse
         UNION ALL
         SELECT id, NULL, __ts_ms, __source_ts_ms, value, props, __op, __deleted, "offset" FROM stg_change_log))
 WHERE rn = 1""")
+
+# --- shop reads ------------------------------------------------------------------
+CONFIRMED_LINES = """SELECT oi.*, o.customer_id, o.source_updated_at AS order_time FROM dwh_order_items oi
+  JOIN dwh_orders o ON o.order_id = oi.order_id WHERE o.status = 'confirmed'"""
+oracle("catalog_in_stock", ("dwh_items",), "SELECT * FROM dwh_items WHERE quantity > 0")
+oracle("items_by_newest", ("dwh_items",), "SELECT * FROM dwh_items")
+oracle("reorder_suggestions", ("dwh_items", "dwh_order_items", "dwh_orders"), f"""
+SELECT * FROM (
+  SELECT p.item_id, p.customer_id, i.title, i.price_ttc, i.quantity,
+         CAST(row_number() OVER (PARTITION BY p.customer_id ORDER BY p.item_id DESC) AS INTEGER) AS rank
+  FROM (SELECT DISTINCT customer_id, item_id FROM ({CONFIRMED_LINES})) p
+  JOIN dwh_items i ON i.item_id = p.item_id WHERE i.quantity > 0)
+WHERE rank <= 8""")
+oracle("purchased_in_stock", ("dwh_items", "dwh_order_items", "dwh_orders"), f"""
+SELECT * FROM dwh_items WHERE quantity > 0 AND item_id IN (SELECT item_id FROM ({CONFIRMED_LINES}))""")
+INITCAP = "upper(substr({c}, 1, 1)) || lower(substr({c}, 2))"
+oracle("order_history", ("dwh_orders", "dwh_order_items", "dwh_items"), f"""
+SELECT o.customer_id, o.order_id, {INITCAP.format(c="o.status")} AS status_label, o.total_ttc,
+       o.source_updated_at AS ordered_at, oi.order_item_id, oi.item_id,
+       CASE WHEN oi.order_item_id IS NOT NULL THEN coalesce(i.title, 'Article supprimé') END AS title,
+       oi.quantity, oi.unit_price_ttc, CAST(oi.unit_price_ttc * oi.quantity AS DECIMAL(20,2)) AS line_total_ttc
+FROM dwh_orders o LEFT JOIN dwh_order_items oi ON oi.order_id = o.order_id
+LEFT JOIN dwh_items i ON i.item_id = oi.item_id""")
+oracle("customer_payments", ("dwh_payments", "dwh_orders"), """
+SELECT p.*, o.customer_id FROM dwh_payments p JOIN dwh_orders o ON o.order_id = p.order_id""")
+oracle("customer_invoices", ("dwh_invoices", "dwh_orders"), """
+SELECT v.*, o.customer_id FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id""")
+EUR = "CASE WHEN {c} IS NOT NULL THEN printf('%.2f EUR', CAST({c} AS DOUBLE)) END"
+DMY = "coalesce(strftime({c}, '%d/%m/%Y'), '-')"
+oracle("invoice_lines", ("dwh_invoices", "dwh_orders", "dwh_order_items", "dwh_items"), f"""
+SELECT v.invoice_id, v.invoice_number, o.customer_id, {DMY.format(c="v.issued_at")} AS issued_on,
+       {DMY.format(c="v.due_date")} AS due_on, {EUR.format(c="v.total_ht")} AS total_ht_text,
+       {EUR.format(c="v.total_tva")} AS total_tva_text, {EUR.format(c="v.total_ttc")} AS total_ttc_text,
+       oi.order_item_id,
+       CASE WHEN oi.order_item_id IS NOT NULL THEN
+         CASE WHEN length(coalesce(i.title, 'Article supprime')) > 40
+              THEN substr(coalesce(i.title, 'Article supprime'), 1, 37) || '...'
+              ELSE coalesce(i.title, 'Article supprime') END END AS title,
+       oi.quantity, {EUR.format(c="oi.unit_price_ht")} AS unit_ht_text, {EUR.format(c="oi.unit_price_ttc")} AS unit_ttc_text,
+       CAST(round(oi.unit_price_ttc * oi.quantity, 2) AS DECIMAL(20,2)) AS line_ttc,
+       {EUR.format(c="round(oi.unit_price_ttc * oi.quantity, 2)")} AS line_ttc_text
+FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id
+LEFT JOIN dwh_order_items oi ON oi.order_id = v.order_id LEFT JOIN dwh_items i ON i.item_id = oi.item_id""")
+cte("conf_requests", (), """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id FROM orders
+UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders""")
+oracle("order_confirmation", ("conf_requests", "dwh_orders", "dwh_order_items", "dwh_items"), """
+SELECT o.order_id, o.customer_id, o.status, o.total_ht, o.total_ttc, oi.order_item_id, oi.item_id, i.title,
+       oi.quantity, CAST(round(oi.unit_price_ttc * oi.quantity, 2) AS DECIMAL(20,2)) AS subtotal_ttc
+FROM conf_requests r JOIN dwh_orders o ON o.order_id = r.order_id AND o.customer_id = r.customer_id
+LEFT JOIN dwh_order_items oi ON oi.order_id = o.order_id LEFT JOIN dwh_items i ON i.item_id = oi.item_id""")
+PRICE_EXACT = "round(CAST({ht} AS DECIMAL(12,2)) * (1 + CAST({vat} AS DECIMAL(5,2)) * CAST(0.01 AS DECIMAL(3,2))), 2)"
+oracle("item_pricing", ("stg_items",), f"""
+SELECT id, price_ht, tva_rate, CAST({PRICE_EXACT.format(ht="price_ht", vat="tva_rate")} AS DECIMAL(10,2)) AS price_ttc
+FROM stg_items""")
+
+# --- carts -----------------------------------------------------------------------
+N_PARTS = "(SELECT count(*) FROM part)"
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+cte("cart_lines", (), f"""
+SELECT user_id AS cart_id, ({K} * 20) % {N_PARTS} AS item_id, CAST(1 + event_id % 5 AS INTEGER) AS quantity,
+       event_id AS arrival
+FROM events WHERE event_type = 'purchase'""")
+cte("cart_items", ("cart_lines",), """
+SELECT cart_id, item_id, CAST(SUM(quantity) AS BIGINT) AS q FROM cart_lines GROUP BY cart_id, item_id""")
+cte("cart_ids", ("cart_lines",), "SELECT DISTINCT cart_id FROM cart_lines")
+oracle("cart_parse", ("cart_items",), """
+SELECT cart_id, CAST(item_id AS VARCHAR) AS item_key, item_id, q AS quantity FROM cart_items""")
+oracle("cart_count", ("cart_items",), """
+SELECT cart_id, CAST(SUM(q) AS BIGINT) AS cart_count FROM cart_items GROUP BY cart_id""")
+cte("priced_cart_lines", ("cart_items", "dwh_items"), """
+SELECT c.cart_id, c.item_id, c.q AS quantity, round(i.price_ht * c.q, 2) AS subtotal_ht,
+       round(i.price_ttc * c.q, 2) AS subtotal_ttc
+FROM cart_items c JOIN dwh_items i ON i.item_id = c.item_id WHERE c.q > 0""")
+oracle("cart_pricing", ("cart_ids", "priced_cart_lines"), """
+SELECT k.cart_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_lines, CAST(round(coalesce(t.s, 0), 2) AS DECIMAL(20,2)) AS total_ttc
+FROM cart_ids k LEFT JOIN (SELECT cart_id, count(*) AS n, sum(subtotal_ttc) AS s FROM priced_cart_lines GROUP BY 1) t
+ON t.cart_id = k.cart_id""")
+oracle("checkout_summary", ("cart_ids", "priced_cart_lines"), """
+SELECT k.cart_id, CAST(round(coalesce(t.h, 0), 2) AS DECIMAL(20,2)) AS total_ht,
+       CAST(round(coalesce(t.s, 0), 2) AS DECIMAL(20,2)) AS total_ttc
+FROM cart_ids k LEFT JOIN (SELECT cart_id, sum(subtotal_ht) AS h, sum(subtotal_ttc) AS s FROM priced_cart_lines GROUP BY 1) t
+ON t.cart_id = k.cart_id""")
+
+# --- orders ----------------------------------------------------------------------
+cte("order_requests", ("cart_lines",), """
+SELECT arrival AS request_id, cart_id AS customer_id, item_id, quantity, arrival, 0 AS line_no FROM cart_lines""")
+cte("alloc", ("order_requests", "dwh_items"), """
+SELECT request_id, customer_id, item_id, line_no, requested, allotted AS quantity, price_ht AS unit_price_ht,
+       price_ttc AS unit_price_ttc, round(price_ht * allotted, 2) AS subtotal_ht,
+       round(price_ttc * allotted, 2) AS subtotal_ttc
+FROM (SELECT *, CAST(greatest(0, least(requested, stock - prior)) AS INTEGER) AS allotted FROM (
+  SELECT r.request_id, r.customer_id, r.item_id, r.line_no, r.quantity AS requested, i.quantity AS stock,
+         i.price_ht, i.price_ttc,
+         coalesce(SUM(r.quantity) OVER (PARTITION BY r.item_id ORDER BY r.arrival, r.request_id, r.line_no
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+  FROM order_requests r JOIN dwh_items i ON i.item_id = r.item_id WHERE r.quantity > 0))""")
+oracle("allocate_orders", ("alloc",), """
+SELECT request_id, customer_id, item_id, line_no, requested, quantity, unit_price_ht, unit_price_ttc,
+       CAST(subtotal_ht AS DECIMAL(20,2)) AS subtotal_ht, CAST(subtotal_ttc AS DECIMAL(20,2)) AS subtotal_ttc
+FROM alloc""")
+cte("order_totals", ("order_requests", "alloc"), """
+SELECT h.request_id AS order_id, h.customer_id, round(coalesce(t.h, 0), 2) AS total_ht,
+       round(coalesce(t.s, 0), 2) AS total_ttc
+FROM (SELECT request_id, min(customer_id) AS customer_id FROM order_requests GROUP BY 1) h
+LEFT JOIN (SELECT request_id, sum(subtotal_ht) AS h, sum(subtotal_ttc) AS s FROM alloc GROUP BY 1) t
+ON t.request_id = h.request_id""")
+oracle("order_totals", ("order_totals",), """
+SELECT order_id, customer_id, CAST(total_ht AS DECIMAL(20,2)) AS total_ht, CAST(total_ttc AS DECIMAL(20,2)) AS total_ttc
+FROM order_totals""")
+oracle("stock_after_orders", ("dwh_items", "alloc"), """
+SELECT i.item_id, i.quantity AS stock_before, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken,
+       CAST(i.quantity - coalesce(t.taken, 0) AS BIGINT) AS stock_after
+FROM dwh_items i LEFT JOIN (SELECT item_id, sum(quantity) AS taken FROM alloc GROUP BY 1) t ON t.item_id = i.item_id""")
+HEX = "upper(sha256(CAST(order_id AS VARCHAR)))"
+oracle("derive_payments", ("order_totals",), f"""
+SELECT order_id, CAST(total_ttc AS DECIMAL(20,2)) AS amount, 'COMPLETED' AS status,
+       CASE CAST(('0x' || substr({HEX}, 13, 8)) AS BIGINT) % 3 WHEN 0 THEN 'CARD' WHEN 1 THEN 'BANK_TRANSFER'
+            ELSE 'PAYPAL' END AS payment_method,
+       'TXN-' || substr({HEX}, 1, 12) AS transaction_id
+FROM order_totals""")
+ISSUED = "TIMESTAMP '2024-06-30 10:00:00'"
+oracle("derive_invoices", ("order_totals",), f"""
+SELECT order_id, 'INV-' || strftime({ISSUED}, '%Y%m%d') || '-' || substr({HEX}, 1, 6) AS invoice_number,
+       {ISSUED} AS issued_at, {ISSUED} + INTERVAL 30 DAY AS due_date,
+       CAST(total_ht AS DECIMAL(20,2)) AS total_ht, CAST(round(total_ttc - total_ht, 2) AS DECIMAL(20,2)) AS total_tva,
+       CAST(total_ttc AS DECIMAL(20,2)) AS total_ttc
+FROM order_totals""")
+
+# --- cart state ------------------------------------------------------------------
+cte("cart_events", (), f"""
+SELECT user_id AS cart_id, ({K} * 20) % {N_PARTS} AS item_id,
+       CASE event_type WHEN 'purchase' THEN 'add' WHEN 'click' THEN 'add' WHEN 'view' THEN 'update'
+            WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'clear' END AS action,
+       CAST(floor(value) - 5 AS INTEGER) AS quantity, ts, event_id AS arrival
+FROM events""")
+SEC = "(epoch_us({c}) // 1000000)"
+oracle("cart_state_batch", ("cart_events", "dwh_items"), f"""
+WITH a AS (SELECT e.*, i.quantity AS stock FROM cart_events e LEFT JOIN dwh_items i ON i.item_id = e.item_id),
+eff AS (SELECT * FROM a WHERE (action = 'add' AND stock > 0) OR action IN ('update', 'remove', 'clear')),
+g AS (SELECT *, lag(ts) OVER (PARTITION BY cart_id ORDER BY arrival) AS prev_ts FROM eff),
+pc AS (SELECT cart_id,
+              max(CASE WHEN action = 'clear' THEN arrival * 2 + 1
+                       WHEN {SEC.format(c="ts")} - {SEC.format(c="prev_ts")} > 604800 THEN arrival * 2 - 1 END) AS reset_point,
+              max(arrival) AS last_arrival FROM g GROUP BY cart_id),
+lastev AS (SELECT g.cart_id, g.ts AS last_ts, g.action = 'clear' AS cleared FROM g JOIN pc
+           ON pc.cart_id = g.cart_id AND pc.last_arrival = g.arrival),
+ev AS (SELECT e.* FROM eff e JOIN pc ON pc.cart_id = e.cart_id
+       WHERE e.action <> 'clear' AND (pc.reset_point IS NULL OR e.arrival * 2 > pc.reset_point)),
+sets AS (SELECT *, row_number() OVER (PARTITION BY cart_id, item_id ORDER BY arrival DESC) AS rn FROM ev
+         WHERE action = 'remove' OR (action = 'update' AND (quantity <= 0 OR stock IS NOT NULL))),
+bases AS (SELECT cart_id, item_id, arrival AS base_arrival,
+                 CASE WHEN action = 'update' AND quantity > 0 THEN least(quantity, stock) END AS base
+          FROM sets WHERE rn = 1),
+adds AS (SELECT e.cart_id, e.item_id, sum(greatest(1, e.quantity)) AS added, min(e.stock) AS stock
+         FROM ev e LEFT JOIN bases b ON b.cart_id = e.cart_id AND b.item_id = e.item_id
+         WHERE e.action = 'add' AND (b.base_arrival IS NULL OR e.arrival > b.base_arrival)
+         GROUP BY e.cart_id, e.item_id),
+st AS (SELECT coalesce(b.cart_id, d.cart_id) AS cart_id, coalesce(b.item_id, d.item_id) AS item_id,
+              CAST(CASE WHEN d.added IS NOT NULL THEN least(coalesce(b.base, 0) + d.added, d.stock) ELSE b.base END
+                   AS BIGINT) AS quantity
+       FROM bases b FULL OUTER JOIN adds d ON d.cart_id = b.cart_id AND d.item_id = b.item_id)
+SELECT st.* FROM st JOIN lastev l ON l.cart_id = st.cart_id
+WHERE st.quantity IS NOT NULL AND NOT l.cleared
+  AND {SEC.format(c="TIMESTAMP '2024-02-05 00:00:00'")} - {SEC.format(c="l.last_ts")} <= 604800""")
+
+# --- customers -------------------------------------------------------------------
+cte("candidates", (), """
+SELECT event_id AS arrival, lower('Customer#' || lpad(CAST(user_id * 13 AS VARCHAR), 9, '0')) || '@example.com' AS email,
+       '  New ' AS first_name, 'Customer#' || lpad(CAST(user_id * 13 AS VARCHAR), 9, '0') AS last_name,
+       ' ' AS phone, CAST(NULL AS VARCHAR) AS address
+FROM events WHERE event_type = 'signup'""")
+oracle("profile_normalise", ("candidates",), """
+SELECT arrival, trim(first_name, ' ') AS first_name, trim(last_name, ' ') AS last_name,
+       nullif(trim(phone, ' '), '') AS phone, nullif(trim(address, ' '), '') AS address FROM candidates""")
+oracle("register_new_customers", ("candidates", "dwh_customers"), """
+SELECT email, first_name, last_name, nullif(phone, '') AS phone, nullif(address, '') AS address, arrival FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY email ORDER BY arrival) AS rn FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM dwh_customers d WHERE d.email = c.email)) WHERE rn = 1""")
+_IOP = ("CASE event_type WHEN 'signup' THEN 'c' WHEN 'click' THEN 'u' WHEN 'view' THEN 'u' "
+        "WHEN 'purchase' THEN 'u' WHEN 'error' THEN 'd' END")
+cte("item_actions", (), f"""
+SELECT action, CASE WHEN action = 'c' THEN {N_PARTS} + event_id ELSE (k * 20) % {N_PARTS} END AS id,
+       'item ' || CAST(k AS VARCHAR) AS title, CASE WHEN k % 10 = 0 THEN '' ELSE event_type END AS description,
+       value AS price_ht, CASE k % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 5.5 WHEN 2 THEN 10.0 WHEN 3 THEN 20.0 END AS tva_rate,
+       CAST(k % 7 AS INTEGER) AS quantity, {MS.format(c="ts")} AS ts_ms, event_id AS "offset"
+FROM (SELECT *, {K} AS k, {_IOP} AS action FROM events)""")
+oracle("item_changes", ("item_actions", "stg_items"), f"""
+WITH cur AS (SELECT * FROM stg_items WHERE coalesce(__deleted, 'false') = 'false'),
+chg AS (
+  SELECT a.id,
+         CASE WHEN a.action = 'd' THEN c.title ELSE a.title END AS title,
+         CASE WHEN a.action = 'd' THEN c.description ELSE nullif(a.description, '') END AS description,
+         c.image_url AS image_url,
+         CASE WHEN a.action = 'd' THEN c.price_ht ELSE a.price_ht END AS price_ht,
+         CASE WHEN a.action = 'd' THEN c.tva_rate ELSE a.tva_rate END AS tva_rate,
+         CASE WHEN a.action = 'd' THEN c.price_ttc
+              ELSE CAST({PRICE_EXACT.format(ht="a.price_ht", vat="a.tva_rate")} AS DOUBLE) END AS price_ttc,
+         CASE WHEN a.action = 'd' THEN c.quantity ELSE a.quantity END AS quantity,
+         CASE WHEN a.action = 'c' THEN a.ts_ms ELSE c.created_at END AS created_at, a.ts_ms AS updated_at,
+         a.action AS __op, a.ts_ms AS __ts_ms, a.ts_ms AS __source_ts_ms,
+         CASE WHEN a.action = 'd' THEN 'true' ELSE 'false' END AS __deleted, a."offset"
+  FROM item_actions a LEFT JOIN cur c ON c.id = a.id WHERE a.action = 'c' OR c.id IS NOT NULL),
+u AS (SELECT id, title, description, image_url, price_ht, tva_rate, price_ttc, quantity, created_at, updated_at,
+             __op, __ts_ms, __source_ts_ms, __deleted, CAST(-1 AS BIGINT) AS "offset" FROM stg_items
+      UNION ALL SELECT * FROM chg)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn FROM u)
+WHERE rn = 1""")
+
+# --- labels ----------------------------------------------------------------------
+oracle("payment_labels", ("dwh_payments",), """
+SELECT payment_id,
+       CASE WHEN payment_method IS NULL THEN '—' WHEN lower(payment_method) = 'card' THEN 'Carte'
+            WHEN lower(payment_method) = 'paypal' THEN 'PayPal' ELSE 'Virement' END AS method_label,
+       CASE WHEN lower(payment_status) = 'completed' THEN 'Payé' WHEN lower(payment_status) = 'pending' THEN 'En attente'
+            WHEN lower(payment_status) = 'failed' THEN 'Échoué' ELSE 'Remboursé' END AS status_label,
+       coalesce(transaction_id, '—') AS transaction_label
+FROM dwh_payments""")
+oracle("order_status_label", ("dwh_orders",), f"""
+SELECT order_id, status, {INITCAP.format(c="status")} AS status_label FROM dwh_orders""")
+oracle("stock_level", ("dwh_items",), """
+SELECT item_id, quantity,
+       CASE WHEN quantity <= 0 THEN 'out' WHEN quantity < 5 THEN 'low' WHEN quantity IS NOT NULL THEN 'ok' END AS stock_level,
+       CAST(trunc(tva_rate) AS INTEGER) AS tva_rate_shown
+FROM dwh_items""")
+
+# --- data-quality checks ---------------------------------------------------------
+_ALL_DWH = tuple(f"dwh_{t}" for t in ("admins", "customers", "items", "orders", "order_items", "payments", "invoices"))
+_UNIQUE = (("customers.email", "dwh_customers", "email"), ("admins.email", "dwh_admins", "email"),
+           ("invoices.invoice_number", "dwh_invoices", "invoice_number"),
+           ("payments.order_id", "dwh_payments", "order_id"), ("invoices.order_id", "dwh_invoices", "order_id"),
+           ("order_items.order_item_id", "dwh_order_items", "order_item_id"))
+oracle("dq_unique", _ALL_DWH, "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS \"check\", CAST({c} AS VARCHAR) AS \"key\", count(*) AS n FROM {t} GROUP BY {c} HAVING count(*) > 1"
+    for n, t, c in _UNIQUE))
+_FK = (("orders.customer_id", "dwh_orders", "order_id", "customer_id", "dwh_customers", "customer_id"),
+       ("order_items.order_id", "dwh_order_items", "order_item_id", "order_id", "dwh_orders", "order_id"),
+       ("order_items.item_id", "dwh_order_items", "order_item_id", "item_id", "dwh_items", "item_id"),
+       ("payments.order_id", "dwh_payments", "payment_id", "order_id", "dwh_orders", "order_id"),
+       ("invoices.order_id", "dwh_invoices", "invoice_id", "order_id", "dwh_orders", "order_id"))
+oracle("dq_foreign_keys", _ALL_DWH, "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS \"check\", c.{cid} AS id, c.{fk} AS parent_id FROM {ct} c "
+    f"WHERE NOT EXISTS (SELECT 1 FROM {pt} p WHERE p.{pk} = c.{fk})"
+    for n, ct, cid, fk, pt, pk in _FK))
+_REQUIRED = {
+    "items": ("item_id", "title", "price_ht", "tva_rate", "price_ttc"),
+    "orders": ("order_id", "customer_id", "status", "total_ht", "total_ttc"),
+    "order_items": ("order_item_id", "order_id", "item_id", "quantity", "unit_price_ht", "unit_price_ttc"),
+    "customers": ("customer_id", "email", "first_name", "last_name"),
+    "payments": ("payment_id", "order_id", "amount"),
+    "invoices": ("invoice_id", "order_id", "invoice_number", "total_ht", "total_tva", "total_ttc"),
+}
+oracle("dq_not_null", _ALL_DWH, "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM dwh_{t}"
+    for t, cols in _REQUIRED.items() for c in cols))
+oracle("dq_domains", _ALL_DWH, r"""
+SELECT 'orders.status' AS "check", order_id AS id, CAST(status AS VARCHAR) AS value FROM dwh_orders
+ WHERE lower(status) NOT IN ('pending', 'confirmed', 'shipped', 'delivered', 'cancelled')
+UNION ALL SELECT 'payments.payment_status', payment_id, payment_status FROM dwh_payments
+ WHERE lower(payment_status) NOT IN ('pending', 'completed', 'failed', 'refunded')
+UNION ALL SELECT 'payments.payment_method', payment_id, payment_method FROM dwh_payments
+ WHERE lower(payment_method) NOT IN ('card', 'bank_transfer', 'paypal')
+UNION ALL SELECT 'items.tva_rate', item_id, CAST(tva_rate AS VARCHAR) FROM dwh_items
+ WHERE tva_rate NOT IN (0, 5.5, 10, 20)
+UNION ALL SELECT 'customers.email', customer_id, email FROM dwh_customers
+ WHERE NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')""")
+oracle("dq_reconcile", _ALL_DWH, """
+SELECT "check", order_id, CAST(expected AS DECIMAL(22,2)) AS expected, CAST(actual AS DECIMAL(22,2)) AS actual FROM (
+  SELECT 'payment.amount' AS "check", p.order_id, o.total_ttc AS expected, p.amount AS actual
+  FROM dwh_payments p JOIN dwh_orders o ON o.order_id = p.order_id WHERE p.amount IS DISTINCT FROM o.total_ttc
+  UNION ALL SELECT 'invoice.total_ht', v.order_id, o.total_ht, v.total_ht
+  FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id WHERE v.total_ht IS DISTINCT FROM o.total_ht
+  UNION ALL SELECT 'invoice.total_ttc', v.order_id, o.total_ttc, v.total_ttc
+  FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id WHERE v.total_ttc IS DISTINCT FROM o.total_ttc
+  UNION ALL SELECT 'invoice.total_tva', v.order_id, v.total_ttc - v.total_ht, v.total_tva
+  FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id WHERE v.total_tva IS DISTINCT FROM v.total_ttc - v.total_ht
+  UNION ALL SELECT 'order.lines_ttc', o.order_id, l.s, o.total_ttc
+  FROM dwh_orders o JOIN (SELECT order_id, sum(line_total_ttc) AS s, count(*) AS n FROM dwh_order_items GROUP BY 1) l
+    ON l.order_id = o.order_id WHERE abs(l.s - o.total_ttc) > l.n * CAST(0.01 AS DECIMAL(3,2)))""")
