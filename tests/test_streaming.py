@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martforge.operators import carts as cartops
 from martforge.operators import dwh
-from martforge.schemas import row_schema
+from martforge.plans import catalog
 from martforge.sources import cdc
 from martforge.sources import testdata as td
 from martforge.streaming.cart_state import cart_state_stream
@@ -40,6 +40,8 @@ def _write(path, name, records):
 
 def test_cdc_stream_upserts_and_survives_restart(spark, tmpdir_):
     src, ckpt, root = (os.path.join(tmpdir_, d) for d in ("in", "ckpt", "wh"))
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")  # the session catalog is shared between tests
     first = [
         _wire("items", "r", None, _item(1, "a", 10.0, 5, 1000), 1000, 0),
         _wire("items", "c", None, _item(2, "b", 20.0, 3, 2000), 2000, 1),
