@@ -44,18 +44,33 @@ def _current_slot(spark: SparkSession, name: str) -> int | None:
 
 
 def publish(spark: SparkSession, df: DataFrame, name: str, root: str | None = None,
-            partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as the new version of table ``ns.table`` and swap it in."""
+            partition_by: list[str] | None = None, bucket_by: tuple[str, int] | None = None,
+            slots: int = 2) -> str:
+    """Write ``df`` as the new version of table ``ns.table`` and swap it in.
+
+    ``bucket_by=(key, n)`` stores the version as a bucketed catalog table
+    (``<table>__slot<k>``): a later join or aggregation on ``key`` with ``n``
+    partitions reads it without a shuffle -- used for staging, which every
+    micro-batch merges into. ``slots`` versions rotate; a reader still
+    scanning a version is safe for ``slots - 1`` further rebuilds."""
     ns, table = name.split(".")
     current = _current_slot(spark, name)
-    slot = 0 if current in (None, 1) else 1
+    slot = 0 if current is None else (current + 1) % slots
     path = os.path.join(warehouse_root(spark, root), ns, table, f"slot={slot}")
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    if bucket_by:
+        key, n = bucket_by
+        physical = f"{ns}.{table}__slot{slot}"
+        spark.sql(f"DROP TABLE IF EXISTS {physical}")
+        writer.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(physical)
+        source = physical
+    else:
+        writer.save(path)
+        source = f"parquet.`{path}`"
     spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{SLOT_PROPERTY}'='{slot}') "
-              f"AS SELECT * FROM parquet.`{path}`")
+              f"AS SELECT * FROM {source}")
     return path
 
 

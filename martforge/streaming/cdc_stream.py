@@ -32,10 +32,19 @@ from ..sources.cdc import decode, route, unwrap
 REFRESH_PERIOD = "2 minutes"  # fixed value: cadence of the source system's refresh
 
 
+def staging_buckets(spark: SparkSession) -> int:
+    """Bucket count of staging tables: the session's shuffle partition count,
+    so the merge join on ``id`` finds the current version already laid out."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                  tables=STAGING_TABLES, schemas: dict | None = None) -> list[str]:
     """Merge one batch of raw change records (topic, key, value, offset) into
-    staging.<table>. Returns the tables touched."""
+    staging.<table>. Returns the tables touched.
+
+    Staging versions are bucketed by ``id``: the full outer join of the
+    merge shuffles only the batch, never the (large) current table."""
     ensure_namespaces(spark)
     routed = route(batch).filter(F.col("table").isin(*tables)).persist()
     try:
@@ -48,7 +57,7 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
             target = f"staging.{t}"
             merged = merge_latest(spark.table(target), changes) if table_exists(spark, target) \
                 else latest_per_key(changes)
-            publish(spark, merged, target, root)
+            publish(spark, merged, target, root, bucket_by=("id", staging_buckets(spark)))
         return present
     finally:
         routed.unpersist()
