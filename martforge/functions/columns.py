@@ -90,9 +90,9 @@ def short_title(title, limit: int = 40, keep: int = 37) -> Column:
 
 
 def eur(amount) -> Column:
-    """'%.2f EUR' formatting; NULL stays NULL."""
-    a = c(amount)
-    return F.when(a.isNotNull(), F.format_string("%.2f EUR", a.cast("double")))
+    """'%.2f EUR' formatting (half-up to cents); NULL stays NULL. A decimal
+    with scale 2 prints exactly two places, so no per-row String.format."""
+    return F.concat(c(amount).cast("decimal(38,2)").cast("string"), F.lit(" EUR"))
 
 
 def dmy(ts, missing: str = "-") -> Column:

@@ -9,6 +9,11 @@ last value -- goes through a per-key window to carry across chunks.
 
 The first ordering column must be a numeric arrival sequence (offset,
 event id); ``width`` is in its units.
+
+Cost: the input is read twice -- once shuffled by (key, chunk) for the
+windows, once reduced map-side to one partial total (or last value) per
+(key, chunk) before a small shuffle. Reading the per-chunk values off the
+windowed rows instead would shuffle every row twice.
 """
 
 from __future__ import annotations

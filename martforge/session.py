@@ -34,6 +34,10 @@ RUNTIME_PERF_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_LIMIT_BYTES),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_LIMIT_BYTES),
+    # Parquet is compressed; without this the static size check compares the
+    # *compressed* bytes to the broadcast limit and lets through tables
+    # several times larger in memory.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 STATIC_CONF = {
