@@ -79,12 +79,12 @@ def drop(spark: SparkSession, name: str) -> None:
 
 
 def rebuild_table(spark: SparkSession, target: str, sources: list[str], fn, root: str | None = None,
-                  **kwargs) -> bool:
+                  bucket_by: tuple[str, int] | None = None, **kwargs) -> bool:
     """Rebuild ``target`` from ``fn(*source tables)`` only if every source
     exists; otherwise the target is dropped and stays absent (no error)."""
     if not all(table_exists(spark, s) for s in sources):
         drop(spark, target)
         return False
     df = fn(*[spark.table(s) for s in sources], **kwargs)
-    publish(spark, df, target, root)
+    publish(spark, df, target, root, bucket_by=bucket_by)
     return True
