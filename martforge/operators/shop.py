@@ -24,6 +24,17 @@ def _confirmed(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == "confirmed")
 
 
+def with_lines(head: DataFrame, lines: DataFrame, key: str = "order_id") -> DataFrame:
+    """``head LEFT JOIN lines`` written skew-safe: an inner join with the
+    lines streamed (AQE can split a hot order's lines across tasks, which it
+    cannot do on the non-preserved side of an outer join) plus the heads
+    without any line (anti join against the distinct keys, which collapse
+    map-side)."""
+    matched = lines.join(head, key)
+    bare = head.join(lines.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
+
+
 def catalog_in_stock(items: DataFrame) -> DataFrame:
     """Items with stock > 0, newest id first."""
     return items.filter(F.col("quantity") > 0).orderBy(F.desc("item_id"))
@@ -68,8 +79,8 @@ def order_history(orders: DataFrame, order_items: DataFrame, items: DataFrame) -
     Flat rather than nested: one order's lines are never gathered into one
     value, so an order with millions of lines cannot overflow a row."""
     lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ttc")
-    return (orders.select("order_id", "customer_id", "status", "total_ttc", "source_updated_at")
-            .join(lines, "order_id", "left")
+    head = orders.select("order_id", "customer_id", "status", "total_ttc", "source_updated_at")
+    return (with_lines(head, lines)
             .join(items.select("item_id", "title"), "item_id", "left")
             .select("customer_id", "order_id", order_status_label("status").alias("status_label"),
                     "total_ttc", F.col("source_updated_at").alias("ordered_at"), "order_item_id", "item_id",
@@ -77,7 +88,7 @@ def order_history(orders: DataFrame, order_items: DataFrame, items: DataFrame) -
                            F.coalesce("title", F.lit(DELETED_ITEM_LABEL))).alias("title"),
                     "quantity", "unit_price_ttc",
                     (F.col("unit_price_ttc") * F.col("quantity")).cast(TOTAL).alias("line_total_ttc"))
-            .orderBy("customer_id", F.desc("ordered_at"), F.desc("order_id")))
+            .orderBy("customer_id", F.desc("ordered_at"), F.desc("order_id"), "order_item_id"))
 
 
 def customer_payments(payments: DataFrame, orders: DataFrame) -> DataFrame:
@@ -104,7 +115,7 @@ def invoice_lines(invoices: DataFrame, orders: DataFrame, order_items: DataFrame
     lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ht",
                                "unit_price_ttc")
     line_ttc = F.round(F.col("unit_price_ttc") * F.col("quantity"), 2).cast(TOTAL)
-    return (head.join(lines, "order_id", "left").join(items.select("item_id", "title"), "item_id", "left")
+    return (with_lines(head, lines).join(items.select("item_id", "title"), "item_id", "left")
             .select("invoice_id", "invoice_number", "customer_id", "issued_on", "due_on", "total_ht_text",
                     "total_tva_text", "total_ttc_text", "order_item_id",
                     F.when(F.col("order_item_id").isNotNull(), short_title("title")).alias("title"),
@@ -120,9 +131,8 @@ def order_confirmation(requests: DataFrame, orders: DataFrame, order_items: Data
     owned = requests.select("order_id", "customer_id").join(
         orders.select("order_id", "customer_id", "status", "total_ht", "total_ttc"),
         ["order_id", "customer_id"])
-    return (owned.join(order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ttc"),
-                       "order_id", "left")
-            .join(items.select("item_id", "title"), "item_id", "left")
+    lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ttc")
+    return (with_lines(owned, lines).join(items.select("item_id", "title"), "item_id", "left")
             .select("order_id", "customer_id", "status", "total_ht", "total_ttc", "order_item_id", "item_id",
                     "title", "quantity",
                     F.round(F.col("unit_price_ttc") * F.col("quantity"), 2).cast(TOTAL).alias("subtotal_ttc")))
