@@ -103,3 +103,41 @@ def test_cart_state_stream_matches_batch_fold(spark, tmpdir_):
     last_ts = actions.agg(F.max("ts")).collect()[0][0]
     batch = cartops.cart_state(actions, items, as_of=str(last_ts)).collect()
     assert streamed == {(r["cart_id"], r["item_id"]): r["quantity"] for r in batch}
+
+
+def _order(i, cust, status, ttc, ts):
+    return {"id": i, "customer_id": cust, "status": status, "total_ht": round(ttc / 1.2, 2), "total_ttc": ttc,
+            "created_at": ts, "updated_at": ts}
+
+
+def _line(i, order_id, item, qty, ttc):
+    return {"id": i, "order_id": order_id, "item_id": item, "quantity": qty, "unit_price_ht": round(ttc / 1.2, 2),
+            "unit_price_ttc": ttc}
+
+
+def test_stream_with_refresh_builds_only_complete_marts(spark, tmpdir_):
+    from martforge.operators import marts
+    src, ckpt, root = (os.path.join(tmpdir_, d) for d in ("in", "ckpt", "wh"))
+    catalog.ensure_namespaces(spark)
+    for t in ("admins", "customers", "items", "orders", "order_items", "payments", "invoices"):
+        catalog.drop(spark, f"staging.{t}")
+        catalog.drop(spark, f"dwh.{t}")
+    for m in marts.MARTS:
+        catalog.drop(spark, f"dmart.{m}")
+    day = 1_717_200_000_000
+    _write(src, "b0.json", [
+        _wire("items", "c", None, _item(1, "a", 10.0, 5, day), day, 0),
+        _wire("orders", "c", None, _order(10, 7, "CONFIRMED", 24.0, day), day, 1),
+        _wire("order_items", "c", None, _line(100, 10, 1, 2, 12.0), day, 2),
+    ])
+    q = start_cdc_stream(spark, cdc.cdc_source(spark, fmt="json", path=src), root=root, checkpoint=ckpt,
+                         available_now=True, refresh_after=True, as_of="2024-06-01")
+    q.awaitTermination()
+    exists = spark.catalog.tableExists
+    assert exists("dwh.items") and exists("dwh.orders") and exists("dwh.order_items")
+    assert not exists("dwh.customers") and not exists("dwh.payments")
+    assert exists("dmart.mart_sales_daily") and exists("dmart.mart_revenue_by_item")
+    assert exists("dmart.mart_customer_reorders")
+    assert not exists("dmart.mart_customer_lifetime") and not exists("dmart.mart_invoices")
+    row = spark.table("dmart.mart_sales_daily").collect()[0]
+    assert (row["nb_orders"], row["units_sold"], float(row["revenue_ttc"])) == (1, 2, 24.0)
