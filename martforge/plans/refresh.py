@@ -16,6 +16,10 @@ from pyspark.sql import SparkSession
 from ..operators import dwh, marts
 from .catalog import ensure_namespaces, publish, rebuild_table
 
+# Fixed values of the source system's scheduler: one retry, two minutes later.
+RETRIES = 1
+RETRY_DELAY_S = 120.0
+
 
 def _with_retry(fn, retries: int, delay_s: float):
     for attempt in range(retries + 1):
@@ -70,7 +74,7 @@ def mart_jobs(spark: SparkSession, root: str | None, as_of=None):
 
 
 def refresh(spark: SparkSession, layers=("dwh", "dmart"), root: str | None = None, as_of=None,
-            retries: int = 1, retry_delay_s: float = 0.0, workers: int = 7) -> dict:
+            retries: int = RETRIES, retry_delay_s: float = RETRY_DELAY_S, workers: int = 7) -> dict:
     """Rebuild the cleaned layer, then (only if every load succeeded) the marts.
 
     Returns {table: built?}; a table whose sources are absent is reported
