@@ -7,6 +7,10 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import (DATE_FORMAT, DELETED_FALSE, DELETED_ITEM_LABEL, DELETED_ITEM_LABEL_PLAIN,  # noqa: F401
+                     MONEY_SUFFIX, NO_DATE, NO_TRANSACTION_LABEL, PAYMENT_METHOD_LABELS, PAYMENT_STATUS_LABELS,
+                     STOCK_LOW_BELOW, TITLE_ELLIPSIS, TITLE_KEEP, TITLE_LIMIT)
+
 MONEY = "decimal(10,2)"
 RATE = "decimal(5,2)"
 
@@ -17,7 +21,7 @@ def c(name_or_col) -> Column:
 
 def live_row() -> Column:
     """Soft-delete filter: a NULL ``__deleted`` counts as live."""
-    return F.coalesce(F.col("__deleted"), F.lit("false")) == F.lit("false")
+    return F.coalesce(F.col("__deleted"), F.lit(DELETED_FALSE)) == F.lit(DELETED_FALSE)
 
 
 def epoch_ms_to_ts(col) -> Column:
@@ -53,7 +57,7 @@ def ttc_from_ht_exact(price_ht, vat_rate) -> Column:
 def stock_level(qty) -> Column:
     """Stock badge: <= 0 out, < 5 low, else ok."""
     q = c(qty)
-    return F.when(q <= 0, "out").when(q < 5, "low").when(q.isNotNull(), "ok")
+    return F.when(q <= 0, "out").when(q < STOCK_LOW_BELOW, "low").when(q.isNotNull(), "ok")
 
 
 def order_status_label(status) -> Column:
@@ -61,14 +65,6 @@ def order_status_label(status) -> Column:
     return F.initcap(c(status))
 
 
-# Payment labels shown to the customer.
-PAYMENT_METHOD_LABELS = {"card": "Carte", "paypal": "PayPal", "other": "Virement", "missing": "—"}
-PAYMENT_STATUS_LABELS = {"completed": "Payé", "pending": "En attente", "failed": "Échoué", "other": "Remboursé"}
-NO_TRANSACTION_LABEL = "—"
-DELETED_ITEM_LABEL = "Article supprimé"
-DELETED_ITEM_LABEL_PLAIN = "Article supprime"
-
-
 def payment_method_label(method) -> Column:
     m = F.lower(c(method))
     lab = PAYMENT_METHOD_LABELS
@@ -83,21 +79,21 @@ def payment_status_label(status) -> Column:
             .when(s == "failed", lab["failed"]).otherwise(lab["other"]))
 
 
-def short_title(title, limit: int = 40, keep: int = 37) -> Column:
+def short_title(title, limit: int = TITLE_LIMIT, keep: int = TITLE_KEEP) -> Column:
     """Document title: missing item labelled, long titles cut to ``keep`` chars + '...'."""
     t = F.coalesce(c(title), F.lit(DELETED_ITEM_LABEL_PLAIN))
-    return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, keep), F.lit("..."))).otherwise(t)
+    return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, keep), F.lit(TITLE_ELLIPSIS))).otherwise(t)
 
 
 def eur(amount) -> Column:
     """'%.2f EUR' formatting (half-up to cents); NULL stays NULL. A decimal
     with scale 2 prints exactly two places, so no per-row String.format."""
-    return F.concat(c(amount).cast("decimal(38,2)").cast("string"), F.lit(" EUR"))
+    return F.concat(c(amount).cast("decimal(38,2)").cast("string"), F.lit(MONEY_SUFFIX))
 
 
-def dmy(ts, missing: str = "-") -> Column:
+def dmy(ts, missing: str = NO_DATE) -> Column:
     """dd/MM/yyyy date text, ``missing`` for NULL."""
-    return F.coalesce(F.date_format(c(ts), "dd/MM/yyyy"), F.lit(missing))
+    return F.coalesce(F.date_format(c(ts), DATE_FORMAT), F.lit(missing))
 
 
 def blank_to_null(col) -> Column:

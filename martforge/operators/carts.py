@@ -21,20 +21,17 @@ chunked ``previous_value``, so a hot cart is not one task.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import CART_TTL_SECONDS
 from . import sequences
 
-CART_TTL_SECONDS = 7 * 24 * 3600  # fixed value: cookie lifetime
-
 
 def cart_state(actions: DataFrame, items: DataFrame, as_of=None, ttl_seconds: int = CART_TTL_SECONDS,
                width: int = sequences.DEFAULT_WIDTH) -> DataFrame:
     """Final (cart_id, item_id, quantity) of every live cart at ``as_of``
-    (default: now; None-safe)."""
+    (a timestamp or its text; default: now)."""
     stock = items.select("item_id", F.col("quantity").alias("stock"))
     a = actions.join(stock, "item_id", "left")
     act, q, s = F.col("action"), F.col("quantity"), F.col("stock")
@@ -69,11 +66,6 @@ def cart_state(actions: DataFrame, items: DataFrame, as_of=None, ttl_seconds: in
                F.least(F.coalesce("base", F.lit(0)) + F.col("added"), F.col("stock")))
         .otherwise(F.col("base")).cast("bigint").alias("quantity"))
 
-    now = F.current_timestamp() if as_of is None else F.lit(str(as_of) if not isinstance(as_of, str) else as_of
-                                                             ).cast("timestamp")
+    now = F.current_timestamp() if as_of is None else F.lit(str(as_of)).cast("timestamp")
     live = per_cart.filter(~F.col("last.cleared") & (F.unix_seconds(now) - F.unix_seconds("last.ts") <= ttl_seconds))
     return state.filter(F.col("quantity").isNotNull()).join(live.select("cart_id"), "cart_id", "left_semi")
-
-
-def as_of_after(ts: _dt.datetime, days: int = 0) -> str:
-    return (ts + _dt.timedelta(days=days)).isoformat(sep=" ")

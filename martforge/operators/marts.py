@@ -21,7 +21,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CONFIRMED = "confirmed"
+from ..fixed import CONFIRMED, DUE_ON_TIME, DUE_OVERDUE, SEGMENTS
 
 
 def _confirmed(orders: DataFrame) -> DataFrame:
@@ -64,9 +64,15 @@ def revenue_by_item(items: DataFrame, order_items: DataFrame, orders: DataFrame)
 
 
 def customer_segment(n_orders) -> F.Column:
+    """Segment by confirmed-order count (ranges in ``fixed.SEGMENTS``)."""
     n = F.col(n_orders) if isinstance(n_orders, str) else n_orders
-    return (F.when(n == 0, "no_order").when(n == 1, "one_time")
-            .when(n.between(2, 4), "recurring").otherwise("loyal"))
+    out = None
+    for name, lo, hi in SEGMENTS:
+        if hi is None:
+            return out.otherwise(name)
+        cond = n.between(lo, hi)
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return out
 
 
 def customer_lifetime(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def payments(payments_df: DataFrame, orders: DataFrame, customers: DataFrame) ->
 
 def due_status(due_date, as_of) -> F.Column:
     """'overdue' when the due date is before midnight of ``as_of``; NULL -> on_time."""
-    return F.when(F.col(due_date) < as_of, "overdue").otherwise("on_time")
+    return F.when(F.col(due_date) < as_of, DUE_OVERDUE).otherwise(DUE_ON_TIME)
 
 
 def invoices(invoices_df: DataFrame, orders: DataFrame, customers: DataFrame,

@@ -17,14 +17,10 @@ from pyspark.sql import functions as F
 
 from . import sequences
 
-TOTAL = "decimal(20,2)"  # order-level money (sums of lines)
+from ..fixed import (INVOICE_DATE_FORMAT, INVOICE_DUE_DAYS, INVOICE_PREFIX, INVOICE_SUFFIX_HEX,
+                     PAYMENT_COMPLETED_STORED, PAYMENT_METHODS_STORED, TXN_HEX, TXN_PREFIX)
 
-# Fixed values of the shop.
-PAYMENT_METHODS_STORED = ("CARD", "BANK_TRANSFER", "PAYPAL")
-COMPLETED = "COMPLETED"
-INVOICE_DUE_DAYS = 30
-INVOICE_SUFFIX_HEX = 6
-TXN_HEX = 12
+TOTAL = "decimal(20,2)"  # order-level money (sums of lines)
 
 
 def allocate_orders(requests: DataFrame, items: DataFrame, width: int = sequences.DEFAULT_WIDTH) -> DataFrame:
@@ -81,9 +77,9 @@ def derive_payments(orders: DataFrame) -> DataFrame:
     pick = F.conv(F.substring(h, TXN_HEX + 1, 8), 16, 10).cast("bigint") % 3
     method = F.element_at(F.array(*[F.lit(m) for m in PAYMENT_METHODS_STORED]), (pick + 1).cast("int"))
     return orders.select(
-        "order_id", F.col("total_ttc").alias("amount"), F.lit(COMPLETED).alias("status"),
+        "order_id", F.col("total_ttc").alias("amount"), F.lit(PAYMENT_COMPLETED_STORED).alias("status"),
         method.alias("payment_method"),
-        F.concat(F.lit("TXN-"), F.substring(h, 1, TXN_HEX)).alias("transaction_id"))
+        F.concat(F.lit(TXN_PREFIX), F.substring(h, 1, TXN_HEX)).alias("transaction_id"))
 
 
 def derive_invoices(orders: DataFrame, issued_at=None, suffix_hex: int = INVOICE_SUFFIX_HEX) -> DataFrame:
@@ -96,7 +92,7 @@ def derive_invoices(orders: DataFrame, issued_at=None, suffix_hex: int = INVOICE
     issued = F.current_timestamp() if issued_at is None else F.lit(str(issued_at)).cast("timestamp")
     return orders.select(
         "order_id",
-        F.concat(F.lit("INV-"), F.date_format(issued, "yyyyMMdd"), F.lit("-"),
+        F.concat(F.lit(INVOICE_PREFIX), F.date_format(issued, INVOICE_DATE_FORMAT), F.lit("-"),
                  F.substring(_hex_of(F.col("order_id")), 1, suffix_hex)).alias("invoice_number"),
         issued.alias("issued_at"),
         (issued + F.expr(f"INTERVAL {INVOICE_DUE_DAYS} DAYS")).alias("due_date"),

@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES, VAT_RATES
 from ..functions import columns as col
-from ..schemas import ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES, VAT_RATES
 
-# Fixed value: simple e-mail shape (local@domain.tld, no blanks).
+# Our own simple e-mail shape check (local@domain.tld, no blanks).
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 

@@ -12,16 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import CONFIRMED, DELETED_ITEM_LABEL, REORDER_TOP_K
 from ..functions import cart as cartf
-from ..functions.columns import (DELETED_ITEM_LABEL, dmy, eur, order_status_label, short_title,
-                                 ttc_from_ht_exact)
+from ..functions.columns import dmy, eur, order_status_label, short_title, ttc_from_ht_exact
 
-REORDER_TOP_K = 8  # fixed value: suggestions shown per customer
 TOTAL = "decimal(20,2)"  # money of a line or a cart
 
 
 def _confirmed(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("status") == "confirmed")
+    return orders.filter(F.col("status") == CONFIRMED)
 
 
 def with_lines(head: DataFrame, lines: DataFrame, key: str = "order_id") -> DataFrame:

@@ -14,12 +14,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import SparkSession
 
 from ..operators import dwh, marts
+from ..fixed import RETRIES, RETRY_DELAY_S
 from .catalog import ensure_namespaces, publish, rebuild_table
 
-# Fixed values of the source system's scheduler: one retry, two minutes later.
-RETRIES = 1
-RETRY_DELAY_S = 120.0
-
 
 def _with_retry(fn, retries: int, delay_s: float):
     for attempt in range(retries + 1):

@@ -9,15 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Fixed values of the shop (must equal the source system's).
-ORDER_STATUSES = ("pending", "confirmed", "shipped", "delivered", "cancelled")
-PAYMENT_STATUSES = ("pending", "completed", "failed", "refunded")
-PAYMENT_METHODS = ("card", "bank_transfer", "paypal")
-VAT_RATES = (0.0, 5.5, 10.0, 20.0)
-STAGING_TABLES = ("admins", "customers", "items", "orders", "order_items", "payments", "invoices")
-NAMESPACES = ("staging", "dwh", "dmart")
-TOPIC_PREFIX = "ecommerce"
-SOURCE_DATABASE = "ecommerce"
+from .fixed import (NAMESPACES, ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES,  # noqa: F401
+                    SOURCE_DATABASE, STAGING_TABLES, TOPIC_PREFIX, VAT_RATES)
 
 META_FIELDS = [
     T.StructField("__op", T.StringType()),

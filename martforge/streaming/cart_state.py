@@ -13,13 +13,14 @@ size (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``) bounds that list.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.carts import CART_TTL_SECONDS
+from ..fixed import CART_TTL_SECONDS
 
 OUTPUT_SCHEMA = "cart_id long, item_id long, quantity long, ts timestamp"
 
@@ -28,16 +29,24 @@ class CartFold(StatefulProcessor):
     """Folds cart actions; emits changed (cart, item, quantity|NULL) rows."""
 
     def __init__(self, ttl_seconds: int = CART_TTL_SECONDS):
-        self.ttl_ms = ttl_seconds * 1000
+        self.ttl_s = ttl_seconds
+
+    def _expired(self, now_ms: int, last_ms: int) -> bool:
+        # whole seconds, like the batch fold
+        return now_ms // 1000 - last_ms // 1000 > self.ttl_s
+
+    @staticmethod
+    def _ts(ms: int) -> dt.datetime:
+        return dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc).replace(tzinfo=None)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entries = handle.getMapState("entries", "item_id long", "quantity long")
         self.last = handle.getValueState("last_write", "ts_ms long")
 
-    def _clear(self, changed: dict) -> None:
+    def _clear(self, changed: dict, ts_ms: int) -> None:
         for (item,) in list(self.entries.keys()):
-            changed[item] = None
+            changed[item] = (None, ts_ms)
         self.entries.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -49,44 +58,45 @@ class CartFold(StatefulProcessor):
             addable = stock is not None and stock > 0
             if act == "add" and not addable:
                 continue  # no cookie write
-            if last is not None and ts - last > self.ttl_ms:
-                self._clear(changed)  # cookie expired before this action
+            if last is not None and self._expired(ts, last):
+                self._clear(changed, ts)  # cookie expired before this action
             if act == "add":
                 cur = self.entries.getValue((item,))[0] if self.entries.containsKey((item,)) else 0
                 new = min(cur + max(1, q), stock)
                 self.entries.updateValue((item,), (new,))
-                changed[item] = new
+                changed[item] = (new, ts)
             elif act == "update":
                 if q <= 0:
                     if self.entries.containsKey((item,)):
                         self.entries.removeKey((item,))
-                    changed[item] = None
+                    changed[item] = (None, ts)
                 elif stock is not None:
                     new = min(q, stock)
                     self.entries.updateValue((item,), (new,))
-                    changed[item] = new
+                    changed[item] = (new, ts)
             elif act == "remove":
                 if self.entries.containsKey((item,)):
                     self.entries.removeKey((item,))
-                changed[item] = None
+                changed[item] = (None, ts)
             elif act == "clear":
-                self._clear(changed)
+                self._clear(changed, ts)
             last = ts
         if last is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.last.update((last,))
-            self.handle.registerTimer(last + self.ttl_ms + 1)
-        for item, qty in changed.items():
-            yield Row(cart_id=cart, item_id=item, quantity=qty, ts=None)
+            self.handle.registerTimer((last // 1000 + self.ttl_s + 1) * 1000)
+        for item, (qty, ts) in changed.items():
+            yield Row(cart_id=cart, item_id=item, quantity=qty, ts=self._ts(ts))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         (cart,) = key
         changed: dict = {}
-        self._clear(changed)
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
+        self._clear(changed, expiry)
         self.last.clear()
         for item in changed:
-            yield Row(cart_id=cart, item_id=item, quantity=None, ts=None)
+            yield Row(cart_id=cart, item_id=item, quantity=None, ts=self._ts(expiry))
 
     def close(self) -> None:
         pass
@@ -94,8 +104,8 @@ class CartFold(StatefulProcessor):
 
 def cart_state_stream(actions: DataFrame, items: DataFrame, watermark: str = "0 seconds",
                       ttl_seconds: int = CART_TTL_SECONDS) -> DataFrame:
-    """Streaming (cart_id, item_id, quantity|NULL, ts) changes from a stream of
-    cart actions (cart_id, item_id, action, quantity, ts, arrival)."""
+    """Streaming (cart_id, item_id, quantity|NULL, ts of the change) from a
+    stream of cart actions (cart_id, item_id, action, quantity, ts, arrival)."""
     stock = items.select("item_id", F.col("quantity").alias("stock"))
     enriched = (actions.withWatermark("ts", watermark).join(stock, "item_id", "left")
                 .withColumn("ts_ms", F.unix_millis("ts")))

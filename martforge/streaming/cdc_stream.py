@@ -25,12 +25,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.staging import latest_per_key, merge_latest
 from ..plans.catalog import ensure_namespaces, publish, table_exists
 from ..plans.refresh import refresh
+from ..fixed import REFRESH_PERIOD
 from ..schemas import STAGING_TABLES, row_schema
 from ..session import checkpoint_dir
 from ..sources.cdc import decode, route, unwrap
 
-REFRESH_PERIOD = "2 minutes"  # fixed value: cadence of the source system's refresh
-
 
 def staging_buckets(spark: SparkSession) -> int:
     """Bucket count of staging tables: the session's shuffle partition count,
