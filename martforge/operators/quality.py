@@ -23,16 +23,32 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _checks(df: DataFrame, id_col: str | None, checks: list[tuple[str, object]]) -> DataFrame:
+    """One pass over ``df``: every row emits one (check, id, value) entry per
+    check, so a table is scanned once however many checks it has."""
+    entries = F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).cast("string").alias("value"),
+                                 (F.coalesce(bad, F.lit(False)) if bad is not None else F.lit(True)).alias("bad"))
+                        for name, (c, bad) in checks])
+    ident = [F.col(id_col).alias("id")] if id_col else []
+    keep = ["id"] if id_col else []
+    return df.select(*ident, F.explode(entries).alias("e")).select(*keep, "e.check", "e.value", "e.bad")
+
+
+UNIQUE = {  # table -> [(check name, column)]
+    "customers": [("customers.email", "email")],
+    "admins": [("admins.email", "email")],
+    "invoices": [("invoices.invoice_number", "invoice_number"), ("invoices.order_id", "order_id")],
+    "payments": [("payments.order_id", "order_id")],
+    "order_items": [("order_items.order_item_id", "order_item_id")],
+}
+
+
 def dq_unique(tables: dict[str, DataFrame]) -> DataFrame:
-    """Values that must be unique but repeat: (check, key, n)."""
-    specs = [("customers.email", "customers", "email"), ("admins.email", "admins", "email"),
-             ("invoices.invoice_number", "invoices", "invoice_number"),
-             ("payments.order_id", "payments", "order_id"), ("invoices.order_id", "invoices", "order_id"),
-             ("order_items.order_item_id", "order_items", "order_item_id")]
-    return _union([
-        tables[t].groupBy(F.col(c).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1).select(F.lit(name).alias("check"), "key", "n")
-        for name, t, c in specs])
+    """Values that must be unique but repeat: (check, key, n). One scan per
+    table, one aggregation (combined map-side) for all checks."""
+    keys = _union([_checks(tables[t], None, [(n, (c, None)) for n, c in specs]) for t, specs in UNIQUE.items()])
+    return (keys.groupBy("check", F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > 1))
 
 
 def dq_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
@@ -73,22 +89,17 @@ def dq_not_null(tables: dict[str, DataFrame]) -> DataFrame:
 
 def dq_domains(tables: dict[str, DataFrame]) -> DataFrame:
     """Non-NULL values outside their domain: (check, id, value). (NULLs are
-    reported by ``dq_not_null``.)"""
-    t = tables
+    reported by ``dq_not_null``.) One scan per table."""
     vat = [F.lit(v).cast("decimal(5,2)") for v in VAT_RATES]
-    specs = [
-        ("orders.status", t["orders"], "order_id", "status", ~F.lower("status").isin(*ORDER_STATUSES)),
-        ("payments.payment_status", t["payments"], "payment_id", "payment_status",
-         ~F.lower("payment_status").isin(*PAYMENT_STATUSES)),
-        ("payments.payment_method", t["payments"], "payment_id", "payment_method",
-         ~F.lower("payment_method").isin(*PAYMENT_METHODS)),
-        ("items.tva_rate", t["items"], "item_id", "tva_rate", ~F.col("tva_rate").isin(*vat)),
-        ("customers.email", t["customers"], "customer_id", "email", ~F.col("email").rlike(EMAIL_SHAPE)),
-    ]
-    return _union([
-        df.filter(F.coalesce(bad, F.lit(False)))
-        .select(F.lit(name).alias("check"), F.col(key).alias("id"), F.col(v).cast("string").alias("value"))
-        for name, df, key, v, bad in specs])
+    specs = {
+        "orders": ("order_id", [("orders.status", ("status", ~F.lower("status").isin(*ORDER_STATUSES)))]),
+        "payments": ("payment_id", [
+            ("payments.payment_status", ("payment_status", ~F.lower("payment_status").isin(*PAYMENT_STATUSES))),
+            ("payments.payment_method", ("payment_method", ~F.lower("payment_method").isin(*PAYMENT_METHODS)))]),
+        "items": ("item_id", [("items.tva_rate", ("tva_rate", ~F.col("tva_rate").isin(*vat)))]),
+        "customers": ("customer_id", [("customers.email", ("email", ~F.col("email").rlike(EMAIL_SHAPE)))]),
+    }
+    return _union([_checks(tables[t], key, checks) for t, (key, checks) in specs.items()]).filter("bad").drop("bad")
 
 
 def dq_reconcile(tables: dict[str, DataFrame]) -> DataFrame:
@@ -96,29 +107,30 @@ def dq_reconcile(tables: dict[str, DataFrame]) -> DataFrame:
 
     payment amount vs order TTC; invoice HT/TTC vs order; invoice VAT vs
     TTC - HT; order TTC vs sum of line totals, within 0.01 per line (lines
-    are cast after multiplying, order totals sum rounded lines)."""
+    are cast after multiplying, order totals sum rounded lines). One join of
+    each child table with the orders."""
+    money = "decimal(22,2)"
     t = tables
-    o = t["orders"].select("order_id", "total_ht", "total_ttc")
-    pay = t["payments"].join(o, "order_id").select(
-        F.lit("payment.amount").alias("check"), "order_id", F.col("total_ttc").alias("expected"),
-        F.col("amount").alias("actual"))
-    inv = t["invoices"].join(o.withColumnRenamed("total_ht", "o_ht").withColumnRenamed("total_ttc", "o_ttc"),
-                             "order_id")
-    inv_ht = inv.select(F.lit("invoice.total_ht").alias("check"), "order_id", F.col("o_ht").alias("expected"),
-                        F.col("total_ht").alias("actual"))
-    inv_ttc = inv.select(F.lit("invoice.total_ttc").alias("check"), "order_id", F.col("o_ttc").alias("expected"),
-                         F.col("total_ttc").alias("actual"))
-    inv_tva = inv.select(F.lit("invoice.total_tva").alias("check"), "order_id",
-                         (F.col("total_ttc") - F.col("total_ht")).alias("expected"), F.col("total_tva").alias("actual"))
+    o = t["orders"].select("order_id", F.col("total_ht").alias("o_ht"), F.col("total_ttc").alias("o_ttc"))
+
+    def pairs(df, checks):
+        arr = F.array(*[F.struct(F.lit(n).alias("check"), e.cast(money).alias("expected"), a.cast(money).alias("actual"))
+                        for n, e, a in checks])
+        return (df.select("order_id", F.explode(arr).alias("p")).select("p.check", "order_id", "p.expected", "p.actual")
+                .filter(~F.col("expected").eqNullSafe(F.col("actual"))))
+
+    pay = pairs(t["payments"].join(o, "order_id"), [("payment.amount", F.col("o_ttc"), F.col("amount"))])
+    inv = pairs(t["invoices"].join(o, "order_id"), [
+        ("invoice.total_ht", F.col("o_ht"), F.col("total_ht")),
+        ("invoice.total_ttc", F.col("o_ttc"), F.col("total_ttc")),
+        ("invoice.total_tva", F.col("total_ttc") - F.col("total_ht"), F.col("total_tva"))])
     lines = t["order_items"].groupBy("order_id").agg(F.sum("line_total_ttc").alias("s"),
                                                      F.count(F.lit(1)).alias("n"))
-    ln = o.join(lines, "order_id").filter(F.abs(F.col("s") - F.col("total_ttc")) > F.col("n").cast("decimal(20,0)") * F.lit(Decimal("0.01"))).select(
-        F.lit("order.lines_ttc").alias("check"), "order_id", F.col("s").alias("expected"),
-        F.col("total_ttc").alias("actual"))
-    exact = [d.filter(~F.col("expected").eqNullSafe(F.col("actual"))) for d in (pay, inv_ht, inv_ttc, inv_tva)]
-    money = "decimal(22,2)"
-    return _union([d.select("check", "order_id", F.col("expected").cast(money).alias("expected"),
-                            F.col("actual").cast(money).alias("actual")) for d in exact + [ln]])
+    tol = F.col("n").cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    ln = o.join(lines, "order_id").filter(F.abs(F.col("s") - F.col("o_ttc")) > tol).select(
+        F.lit("order.lines_ttc").alias("check"), "order_id", F.col("s").cast(money).alias("expected"),
+        F.col("o_ttc").cast(money).alias("actual"))
+    return _union([pay, inv, ln])
 
 
 # --- labels -------------------------------------------------------------------

@@ -322,3 +322,53 @@ for _name, _fn in (("dq_unique", quality.dq_unique), ("dq_foreign_keys", quality
                    ("dq_not_null", quality.dq_not_null), ("dq_domains", quality.dq_domains),
                    ("dq_reconcile", quality.dq_reconcile)):
     register(_name)((lambda fn: (lambda spark, sf_dir: fn(_all_dwh(spark, sf_dir))))(_fn))
+
+
+# --- whole pipeline runs (write tables under the session's shared folder) --------
+import os  # noqa: E402
+import uuid  # noqa: E402
+from functools import reduce  # noqa: E402
+
+from .plans import catalog as cat  # noqa: E402
+from .plans import refresh as refr  # noqa: E402
+from .session import checkpoint_dir  # noqa: E402
+
+
+def _run_folder(spark, name: str) -> str:
+    return os.path.join(checkpoint_dir(spark), "runs", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("refresh_pipeline")
+def q_refresh_pipeline(spark, sf_dir):
+    """Publish the staging snapshot, run the full refresh (7 loads -> barrier
+    -> 6 marts) into a fresh folder, and report each published table's rows."""
+    root = _run_folder(spark, "refresh")
+    refr.publish_staging(spark, td.staging(spark, sf_dir), root=root)
+    built = refr.refresh(spark, root=root, as_of=AS_OF, retries=0)
+    counts = [spark.table(t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+              for t, ok in sorted(built.items()) if ok]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+STREAM_TABLES = ("click", "view", "purchase", "signup")
+
+
+@register("cdc_stream_ingest")
+def q_cdc_stream_ingest(spark, sf_dir):
+    """Change events written as JSON files, ingested by the streaming job
+    (route -> decode -> unwrap -> foreachBatch upsert into versioned staging);
+    returns the staging tables the stream built."""
+    base = _run_folder(spark, "stream")
+    td.change_wire(spark, sf_dir).write.mode("overwrite").json(os.path.join(base, "in"))
+    row = T._parse_datatype_string(td.EVENT_ROW)
+    cat.ensure_namespaces(spark)
+    for t in STREAM_TABLES:
+        cat.drop(spark, f"staging.{t}")
+    from .streaming.cdc_stream import start_cdc_stream
+    q = start_cdc_stream(spark, cdc.cdc_source(spark, fmt="json", path=os.path.join(base, "in"), tables=STREAM_TABLES),
+                         root=os.path.join(base, "wh"), checkpoint=os.path.join(base, "ckpt"), available_now=True,
+                         tables=STREAM_TABLES, schemas={t: row for t in STREAM_TABLES},
+                         query_name=f"ingest_{uuid.uuid4().hex[:8]}")
+    q.awaitTermination()
+    return reduce(lambda a, b: a.unionByName(b),
+                  [spark.table(f"staging.{t}").withColumn("table", F.lit(t)) for t in STREAM_TABLES])

@@ -31,7 +31,8 @@ def topic_regex(prefix: str = TOPIC_PREFIX, database: str = SOURCE_DATABASE) ->
 
 def table_topics(tables=STAGING_TABLES, prefix: str = TOPIC_PREFIX, database: str = SOURCE_DATABASE) -> str:
     """Subscribe pattern for the whitelisted tables only."""
-    return "^" + "|".join(f"{re.escape(prefix)}\\.{re.escape(database)}\\.{re.escape(t)}" for t in tables) + "$"
+    alternatives = "|".join(f"{re.escape(prefix)}\\.{re.escape(database)}\\.{re.escape(t)}" for t in tables)
+    return f"^(?:{alternatives})$"
 
 
 def cdc_source(spark: SparkSession, fmt: str = "kafka", path: str | None = None,

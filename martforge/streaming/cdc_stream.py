@@ -65,13 +65,14 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
 def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None = None,
                      checkpoint: str | None = None, trigger: str | None = REFRESH_PERIOD,
                      available_now: bool = False, refresh_after: bool = False, as_of=None,
-                     tables=STAGING_TABLES, query_name: str = "cdc_to_staging") -> StreamingQuery:
+                     tables=STAGING_TABLES, schemas: dict | None = None,
+                     query_name: str = "cdc_to_staging") -> StreamingQuery:
     """Start the ingest stream. ``checkpoint`` defaults to a folder under the
     session's shared ``spark.checkpoint.dir``."""
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = ingest_batch(spark, batch, root, tables)
+        touched = ingest_batch(spark, batch, root, tables, schemas)
         if refresh_after and touched:
             refresh(spark, root=root, as_of=as_of)
 

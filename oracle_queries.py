@@ -517,3 +517,14 @@ SELECT "check", order_id, CAST(expected AS DECIMAL(22,2)) AS expected, CAST(actu
   UNION ALL SELECT 'order.lines_ttc', o.order_id, l.s, o.total_ttc
   FROM dwh_orders o JOIN (SELECT order_id, sum(line_total_ttc) AS s, count(*) AS n FROM dwh_order_items GROUP BY 1) l
     ON l.order_id = o.order_id WHERE abs(l.s - o.total_ttc) > l.n * CAST(0.01 AS DECIMAL(3,2)))""")
+
+# --- whole pipeline runs -----------------------------------------------------------
+_MART_BODIES = {k: v for k, v in ORACLES.items() if k.startswith("mart_")}
+oracle("refresh_pipeline", _ALL_DWH, "\nUNION ALL\n".join(
+    [f"SELECT 'dwh.{t[4:]}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL_DWH]
+    + [f"SELECT 'dmart.{m}' AS table_name, count(*) AS n_rows FROM ({body.replace(chr(10), ' ')})"
+       for m, body in sorted(_MART_BODIES.items())]))
+oracle("cdc_stream_ingest", ("stg_change_log",), """
+SELECT id, value, props, __op, __ts_ms, __source_ts_ms, __deleted, "offset", event_type AS "table" FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type, id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
+  FROM stg_change_log WHERE event_type <> 'error') WHERE rn = 1""")
