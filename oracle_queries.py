@@ -150,55 +150,65 @@ for _t in ("admins", "customers", "items", "orders", "order_items", "payments",
 
 AS_OF = "1997-01-01"  # fixed as-of date for the invoice due status in compared runs
 
-oracle("mart_sales_daily", ("dwh_orders", "dwh_order_items"), """
-SELECT order_date, nb_orders, units_sold, revenue_ht, revenue_ttc,
-       CAST(SUM(revenue_ttc) OVER (ORDER BY order_date ASC NULLS LAST) AS DECIMAL(30,2)) AS cumulative_revenue_ttc
-FROM (SELECT CAST(date_trunc('day', o.source_updated_at) AS DATE) AS order_date,
-             COUNT(DISTINCT o.order_id) AS nb_orders, CAST(SUM(oi.quantity) AS BIGINT) AS units_sold,
-             CAST(SUM(oi.line_total_ht) AS DECIMAL(20,2)) AS revenue_ht,
-             CAST(SUM(oi.line_total_ttc) AS DECIMAL(20,2)) AS revenue_ttc
-      FROM dwh_orders o JOIN dwh_order_items oi ON oi.order_id = o.order_id
-      WHERE o.status = 'confirmed' GROUP BY 1) daily""")
-
-oracle("mart_revenue_by_item", ("dwh_items", "dwh_order_items", "dwh_orders"), """
-SELECT i.item_id, i.title, i.price_ht, i.price_ttc, i.tva_rate, i.quantity AS current_stock,
-       COALESCE(s.nb_orders, 0) AS nb_orders, CAST(COALESCE(s.total_units_sold, 0) AS BIGINT) AS total_units_sold,
-       CAST(COALESCE(s.total_revenue_ht, 0) AS DECIMAL(20,2)) AS total_revenue_ht,
-       CAST(COALESCE(s.total_revenue_ttc, 0) AS DECIMAL(20,2)) AS total_revenue_ttc
-FROM dwh_items i LEFT JOIN (
-    SELECT oi.item_id, COUNT(DISTINCT oi.order_id) AS nb_orders, SUM(oi.quantity) AS total_units_sold,
-           SUM(oi.line_total_ht) AS total_revenue_ht, SUM(oi.line_total_ttc) AS total_revenue_ttc
-    FROM dwh_order_items oi JOIN dwh_orders o ON o.order_id = oi.order_id
-    WHERE o.status = 'confirmed' GROUP BY oi.item_id) s ON s.item_id = i.item_id""")
-
-oracle("mart_customer_lifetime", ("dwh_customers", "dwh_orders"), """
-SELECT c.customer_id, c.first_name, c.last_name, c.email, COUNT(o.order_id) AS nb_orders,
-       CAST(COALESCE(SUM(o.total_ttc), 0) AS DECIMAL(20,2)) AS lifetime_value_ttc,
-       CAST(COALESCE(AVG(o.total_ttc), 0) AS DECIMAL(16,6)) AS avg_basket_ttc,
-       MIN(o.source_updated_at) AS first_order_at, MAX(o.source_updated_at) AS last_order_at,
-       CASE WHEN COUNT(o.order_id) = 0 THEN 'no_order' WHEN COUNT(o.order_id) = 1 THEN 'one_time'
-            WHEN COUNT(o.order_id) BETWEEN 2 AND 4 THEN 'recurring' ELSE 'loyal' END AS customer_segment
-FROM dwh_customers c LEFT JOIN dwh_orders o ON o.customer_id = c.customer_id AND o.status = 'confirmed'
-GROUP BY c.customer_id, c.first_name, c.last_name, c.email""")
-
-oracle("mart_customer_reorders", ("dwh_order_items", "dwh_orders", "dwh_items"), """
-SELECT o.customer_id, oi.item_id, i.title, i.price_ttc, CAST(SUM(oi.quantity) AS BIGINT) AS total_qty_purchased,
-       COUNT(DISTINCT oi.order_id) AS nb_orders_with_item, MAX(o.source_updated_at) AS last_purchased_at,
-       i.quantity AS current_stock
-FROM dwh_order_items oi JOIN dwh_orders o ON o.order_id = oi.order_id JOIN dwh_items i ON i.item_id = oi.item_id
-WHERE o.status = 'confirmed'
-GROUP BY o.customer_id, oi.item_id, i.title, i.price_ttc, i.quantity""")
+CONF = "SELECT * FROM dwh_orders WHERE status = 'confirmed'"
+
+oracle("mart_sales_daily", ("dwh_orders", "dwh_order_items"), f"""
+WITH per_day AS (
+  SELECT CAST(k.source_updated_at AS DATE) AS order_date, count(DISTINCT k.order_id) AS nb_orders,
+         CAST(sum(l.quantity) AS BIGINT) AS units_sold, CAST(sum(l.line_total_ht) AS DECIMAL(20,2)) AS revenue_ht,
+         CAST(sum(l.line_total_ttc) AS DECIMAL(20,2)) AS revenue_ttc
+  FROM ({CONF}) k JOIN dwh_order_items l USING (order_id)
+  GROUP BY CAST(k.source_updated_at AS DATE))
+SELECT *, CAST(sum(revenue_ttc) OVER (ORDER BY order_date ASC NULLS LAST) AS DECIMAL(30,2)) AS cumulative_revenue_ttc
+FROM per_day""")
+
+oracle("mart_revenue_by_item", ("dwh_items", "dwh_order_items", "dwh_orders"), f"""
+WITH sold AS (
+  SELECT l.item_id, count(DISTINCT l.order_id) AS n, sum(l.quantity) AS u, sum(l.line_total_ht) AS ht,
+         sum(l.line_total_ttc) AS ttc
+  FROM dwh_order_items l JOIN ({CONF}) k USING (order_id) GROUP BY l.item_id)
+SELECT item_id, title, price_ht, price_ttc, tva_rate, quantity AS current_stock, coalesce(n, 0) AS nb_orders,
+       CAST(coalesce(u, 0) AS BIGINT) AS total_units_sold, CAST(coalesce(ht, 0) AS DECIMAL(20,2)) AS total_revenue_ht,
+       CAST(coalesce(ttc, 0) AS DECIMAL(20,2)) AS total_revenue_ttc
+FROM dwh_items LEFT JOIN sold USING (item_id)""")
+
+oracle("mart_customer_lifetime", ("dwh_customers", "dwh_orders"), f"""
+WITH per_customer AS (
+  SELECT customer_id, count(order_id) AS n, sum(total_ttc) AS total, avg(total_ttc) AS mean,
+         min(source_updated_at) AS first_at, max(source_updated_at) AS last_at
+  FROM ({CONF}) GROUP BY customer_id),
+joined AS (
+  SELECT customer_id, first_name, last_name, email, coalesce(n, 0) AS nb_orders,
+         CAST(coalesce(total, 0) AS DECIMAL(20,2)) AS lifetime_value_ttc,
+         CAST(coalesce(mean, 0) AS DECIMAL(16,6)) AS avg_basket_ttc, first_at AS first_order_at, last_at AS last_order_at
+  FROM dwh_customers LEFT JOIN per_customer USING (customer_id))
+SELECT *, CASE WHEN nb_orders >= 5 THEN 'loyal' WHEN nb_orders >= 2 THEN 'recurring'
+               WHEN nb_orders = 1 THEN 'one_time' ELSE 'no_order' END AS customer_segment
+FROM joined""")
+
+oracle("mart_customer_reorders", ("dwh_order_items", "dwh_orders", "dwh_items"), f"""
+WITH bought AS (
+  SELECT k.customer_id, l.item_id, CAST(sum(l.quantity) AS BIGINT) AS total_qty_purchased,
+         count(DISTINCT l.order_id) AS nb_orders_with_item, max(k.source_updated_at) AS last_purchased_at
+  FROM dwh_order_items l JOIN ({CONF}) k USING (order_id) GROUP BY k.customer_id, l.item_id)
+SELECT b.customer_id, b.item_id, it.title, it.price_ttc, b.total_qty_purchased, b.nb_orders_with_item,
+       b.last_purchased_at, it.quantity AS current_stock
+FROM bought b JOIN dwh_items it USING (item_id)""")
 
 oracle("mart_payments", ("dwh_payments", "dwh_orders", "dwh_customers"), """
-SELECT p.payment_id, p.order_id, o.customer_id, c.first_name, c.last_name, c.email, p.amount,
-       p.payment_status, p.payment_method, p.transaction_id, p.source_updated_at AS paid_at
-FROM dwh_payments p JOIN dwh_orders o ON o.order_id = p.order_id JOIN dwh_customers c ON c.customer_id = o.customer_id""")
+WITH owners AS (SELECT order_id, customer_id FROM dwh_orders),
+people AS (SELECT customer_id, first_name, last_name, email FROM dwh_customers)
+SELECT payment_id, order_id, customer_id, first_name, last_name, email, amount, payment_status, payment_method,
+       transaction_id, source_updated_at AS paid_at
+FROM dwh_payments JOIN owners USING (order_id) JOIN people USING (customer_id)""")
 
 oracle("mart_invoices", ("dwh_invoices", "dwh_orders", "dwh_customers"), f"""
-SELECT i.invoice_id, i.invoice_number, i.order_id, o.customer_id, c.first_name, c.last_name, c.email,
-       i.total_ht, i.total_tva, i.total_ttc, i.issued_at, i.due_date,
-       CASE WHEN i.due_date < DATE '{AS_OF}' THEN 'overdue' ELSE 'on_time' END AS due_status
-FROM dwh_invoices i JOIN dwh_orders o ON o.order_id = i.order_id JOIN dwh_customers c ON c.customer_id = o.customer_id""")
+WITH owners AS (SELECT order_id, customer_id FROM dwh_orders),
+people AS (SELECT customer_id, first_name, last_name, email FROM dwh_customers)
+SELECT invoice_id, invoice_number, order_id, customer_id, first_name, last_name, email, total_ht, total_tva, total_ttc,
+       issued_at, due_date,
+       CASE WHEN due_date IS NOT NULL AND due_date < DATE '{AS_OF}' THEN 'overdue' ELSE 'on_time' END AS due_status
+FROM dwh_invoices JOIN owners USING (order_id) JOIN people USING (customer_id)""")
 
 # --- change capture and staging ------------------------------------------------
 _OP = ("CASE event_type WHEN 'signup' THEN 'c' WHEN 'click' THEN 'u' WHEN 'view' THEN 'u' "
