@@ -7,13 +7,25 @@ tables.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-
-from .operators import dwh, marts
-from .session import configure
+from pyspark.sql import functions as F
+
+from .operators import carts as cartops
+from .operators import customers as custops
+from .operators import dwh, marts, quality, shop
+from .operators import orders as orderops
+from .operators import staging as stg
+from .plans import catalog as cat
+from .plans import refresh as refr
+from .session import checkpoint_dir, configure
+from .sources import cdc
 from .sources import testdata as td
+from .streaming.cdc_stream import start_cdc_stream
 
 AS_OF = "1997-01-01"  # fixed as-of date for compared runs (oracle uses the same)
 
@@ -66,12 +78,6 @@ for _m in marts.MARTS:
 
 
 # --- change capture and staging ------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
-from .operators import staging as stg  # noqa: E402
-from .sources import cdc  # noqa: E402
-
 
 @register("cdc_unwrap")
 def q_cdc_unwrap(spark, sf_dir):
@@ -82,8 +88,7 @@ def q_cdc_unwrap(spark, sf_dir):
 @register("cdc_decode")
 def q_cdc_decode(spark, sf_dir):
     """Decode JSON-with-schema change values, then flatten them."""
-    row = T._parse_datatype_string(td.EVENT_ROW)
-    return cdc.unwrap(cdc.decode(td.change_wire(spark, sf_dir), row))
+    return cdc.unwrap(cdc.decode(td.change_wire(spark, sf_dir), td.EVENT_ROW))
 
 
 @register("cdc_route")
@@ -131,11 +136,6 @@ def q_snapshot_then_stream(spark, sf_dir):
 
 
 # --- shop reads, orders, carts, customers, checks --------------------------------
-from .operators import carts as cartops  # noqa: E402
-from .operators import customers as custops  # noqa: E402
-from .operators import orders as orderops  # noqa: E402
-from .operators import quality, shop  # noqa: E402
-
 ISSUED_AT = "2024-06-30 10:00:00"  # fixed issue time for compared runs
 CART_AS_OF = "2024-02-05 00:00:00"  # fixed as-of time for compared runs
 
@@ -318,21 +318,19 @@ def q_stock_level(spark, sf_dir):
     return quality.stock_levels(dwh_table(spark, sf_dir, "items"))
 
 
-for _name, _fn in (("dq_unique", quality.dq_unique), ("dq_foreign_keys", quality.dq_foreign_keys),
-                   ("dq_not_null", quality.dq_not_null), ("dq_domains", quality.dq_domains),
-                   ("dq_reconcile", quality.dq_reconcile)):
-    register(_name)((lambda fn: (lambda spark, sf_dir: fn(_all_dwh(spark, sf_dir))))(_fn))
+def _check_query(check):
+    def q(spark, sf_dir):
+        return check(_all_dwh(spark, sf_dir))
+    q.__doc__ = check.__doc__
+    return q
 
 
-# --- whole pipeline runs (write tables under the session's shared folder) --------
-import os  # noqa: E402
-import uuid  # noqa: E402
-from functools import reduce  # noqa: E402
+for _check in (quality.dq_unique, quality.dq_foreign_keys, quality.dq_not_null, quality.dq_domains,
+               quality.dq_reconcile):
+    register(_check.__name__)(_check_query(_check))
 
-from .plans import catalog as cat  # noqa: E402
-from .plans import refresh as refr  # noqa: E402
-from .session import checkpoint_dir  # noqa: E402
 
+# --- whole pipeline runs (write tables under the session's shared folder) --------
 
 def _run_folder(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "runs", f"{name}-{uuid.uuid4().hex}")
@@ -360,11 +358,10 @@ def q_cdc_stream_ingest(spark, sf_dir):
     returns the staging tables the stream built."""
     base = _run_folder(spark, "stream")
     td.change_wire(spark, sf_dir).write.mode("overwrite").json(os.path.join(base, "in"))
-    row = T._parse_datatype_string(td.EVENT_ROW)
+    row = td.EVENT_ROW
     cat.ensure_namespaces(spark)
     for t in STREAM_TABLES:
         cat.drop(spark, f"staging.{t}")
-    from .streaming.cdc_stream import start_cdc_stream
     q = start_cdc_stream(spark, cdc.cdc_source(spark, fmt="json", path=os.path.join(base, "in"), tables=STREAM_TABLES),
                          root=os.path.join(base, "wh"), checkpoint=os.path.join(base, "ckpt"), available_now=True,
                          tables=STREAM_TABLES, schemas={t: row for t in STREAM_TABLES},

@@ -12,6 +12,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed test-data conventions.
 BASE_SOURCE_MS = 1704067200000  # 2024-01-01T00:00:00Z, source time of dimension rows
@@ -158,7 +159,8 @@ def staging(spark, sf_dir) -> dict[str, DataFrame]:
 
 # --- change log ------------------------------------------------------------
 
-EVENT_ROW = "struct<id:bigint,value:double,props:string>"
+EVENT_ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.DoubleType()),
+                          T.StructField("props", T.StringType())])
 
 def change_log(spark, sf_dir) -> DataFrame:
     """Flat change rows from ``events``: key = user_id, offset = event_id."""

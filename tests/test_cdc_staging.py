@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martforge.operators import staging as stg
 from martforge.schemas import envelope_schema
 from martforge.sources import cdc
 
-ROW = "struct<id:bigint,name:string>"
-
-
 def envelopes(spark, rows):
     schema = f"topic string, key string, value {envelope_schema_ddl()}, offset long"
     return spark.createDataFrame(rows, schema)
@@ -45,8 +43,7 @@ def test_decode_round_trip(spark):
     env = envelopes(spark, rows)
     wire = env.select("topic", "key", F.to_json(F.struct(F.lit("s").alias("schema"), F.col("value").alias("payload")))
                       .alias("value"), "offset")
-    from pyspark.sql import types as T
-    row = T._parse_datatype_string(ROW)
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
     out = cdc.unwrap(cdc.decode(wire, row)).collect()[0]
     assert (out["id"], out["name"], out["__op"]) == (1, "b", "u")
 
