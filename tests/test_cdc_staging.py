@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martforge.operators import staging as stg
-from martforge.schemas import envelope_schema
+from martforge.schemas import envelope_schema, row_schema
 from martforge.sources import cdc
 
+
 def envelopes(spark, rows):
     schema = f"topic string, key string, value {envelope_schema_ddl()}, offset long"
     return spark.createDataFrame(rows, schema)
@@ -84,5 +85,5 @@ def test_schema_evolution_adds_column(spark):
 
 
 def test_envelope_schema_shape():
-    s = envelope_schema(__import__("martforge.schemas", fromlist=["row_schema"]).row_schema("items"))
+    s = envelope_schema(row_schema("items"))
     assert [f.name for f in s.fields] == ["before", "after", "op", "ts_ms", "source"]
