@@ -79,3 +79,21 @@ def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None =
     writer = source.writeStream.queryName(query_name).foreachBatch(each).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
+
+
+def snapshot_then_stream(spark: SparkSession, snapshot: dict, source: DataFrame, root: str | None = None,
+                         checkpoint: str | None = None, **stream_options) -> StreamingQuery:
+    """Initial copy first, then increments: publish each snapshot table
+    (row images) as op ``r`` staging rows ordered before every change, then
+    start the change stream, which merges into them. Start the source at the
+    offsets recorded when the snapshot was taken (kafka ``startingOffsets``)."""
+    ensure_namespaces(spark)
+    n = staging_buckets(spark)
+    for table, rows in snapshot.items():
+        snap = (rows.withColumn("__op", F.lit("r")).withColumn("__deleted", F.lit("false"))
+                .withColumn("offset", F.lit(-1).cast("long")))
+        for c in ("__ts_ms", "__source_ts_ms"):
+            if c not in snap.columns:
+                snap = snap.withColumn(c, F.lit(None).cast("long"))
+        publish(spark, snap, f"staging.{table}", root, bucket_by=("id", n))
+    return start_cdc_stream(spark, source, root=root, checkpoint=checkpoint, **stream_options)

@@ -141,3 +141,21 @@ def test_stream_with_refresh_builds_only_complete_marts(spark, tmpdir_):
     assert not exists("dmart.mart_customer_lifetime") and not exists("dmart.mart_invoices")
     row = spark.table("dmart.mart_sales_daily").collect()[0]
     assert (row["nb_orders"], row["units_sold"], float(row["revenue_ttc"])) == (1, 2, 24.0)
+
+
+def test_snapshot_then_stream(spark, tmpdir_):
+    from martforge.streaming.cdc_stream import snapshot_then_stream
+    src, ckpt, root = (os.path.join(tmpdir_, d) for d in ("in", "ckpt", "wh"))
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")
+    snap = spark.createDataFrame([_item(1, "snap-a", 10.0, 5, 100), _item(3, "snap-c", 3.0, 1, 100)],
+                                 "id long, title string, description string, image_url string, price_ht double, "
+                                 "tva_rate double, price_ttc double, quantity int, created_at long, updated_at long")
+    _write(src, "b0.json", [_wire("items", "u", _item(1, "snap-a", 10.0, 5, 100), _item(1, "live-a", 11.0, 4, 200),
+                                  200, 0),
+                            _wire("items", "d", _item(3, "snap-c", 3.0, 1, 100), None, 300, 1)])
+    q = snapshot_then_stream(spark, {"items": snap}, cdc.cdc_source(spark, fmt="json", path=src), root=root,
+                             checkpoint=ckpt, available_now=True)
+    q.awaitTermination()
+    got = {r["id"]: (r["title"], r["__deleted"], r["__op"]) for r in spark.table("staging.items").collect()}
+    assert got == {1: ("live-a", "false", "u"), 3: ("snap-c", "true", "d")}
