@@ -51,3 +51,20 @@ def cart_entries(raw: Column) -> Column:
 def cart_count(raw: Column) -> Column:
     """Sum of the parsed quantities; 0 for an empty or malformed cart."""
     return F.aggregate(cart_entries(raw), F.lit(0).cast("bigint"), lambda acc, e: acc + e["quantity"])
+
+
+def cart_count_raw(raw: Column) -> Column:
+    """The catalogue/account badge: sum of the *raw* JSON values (integers,
+    floats and booleans add up as numbers; a value of any other type, or text
+    that is not a JSON object, makes the count 0). Double, since floats stay
+    fractional."""
+    m = F.try_variant_get(F.try_parse_json(F.coalesce(raw, F.lit("{}"))), "$", "map<string,variant>")
+
+    def num(v):
+        t = F.schema_of_variant(v)
+        return (F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+                .when(t.isin(*INTEGER_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
+                      F.try_variant_get(v, "$", "double")))
+    values = F.transform(F.map_values(m), num)
+    ok = m.isNotNull() & F.forall(values, lambda x: x.isNotNull())
+    return F.when(ok, F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)).otherwise(F.lit(0.0))

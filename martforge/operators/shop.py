@@ -156,6 +156,11 @@ def cart_count(carts: DataFrame, raw: str = "raw") -> DataFrame:
     return carts.select("cart_id", cartf.cart_count(F.col(raw)).alias("cart_count"))
 
 
+def cart_count_raw(carts: DataFrame, raw: str = "raw") -> DataFrame:
+    """(cart_id, cart_count): the catalogue badge, summing raw JSON values."""
+    return carts.select("cart_id", cartf.cart_count_raw(F.col(raw)).alias("cart_count"))
+
+
 def priced_cart_lines(carts: DataFrame, items: DataFrame, raw: str = "raw") -> DataFrame:
     """Entries with a known item and quantity > 0, with HT/TTC subtotals."""
     return (cart_parse(carts, raw).filter(F.col("quantity") > 0)

@@ -221,6 +221,12 @@ def q_cart_count(spark, sf_dir):
     return shop.cart_count(td.carts(spark, sf_dir))
 
 
+@register("cart_count_raw")
+def q_cart_count_raw(spark, sf_dir):
+    """Catalogue badge per cart: sum of the raw JSON values (0 when malformed)."""
+    return shop.cart_count_raw(td.carts(spark, sf_dir))
+
+
 @register("cart_pricing")
 def q_cart_pricing(spark, sf_dir):
     """Cart lines priced against live items; TTC total per cart."""

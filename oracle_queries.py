@@ -538,3 +538,5 @@ oracle("cdc_stream_ingest", ("stg_change_log",), """
 SELECT id, value, props, __op, __ts_ms, __source_ts_ms, __deleted, "offset", event_type AS "table" FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type, id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
   FROM stg_change_log WHERE event_type <> 'error') WHERE rn = 1""")
+oracle("cart_count_raw", ("cart_items",), """
+SELECT cart_id, CAST(SUM(q) AS DOUBLE) AS cart_count FROM cart_items GROUP BY cart_id""")
