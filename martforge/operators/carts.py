@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import CART_TTL_SECONDS
 from . import sequences
+from .skew import join_dim
 
 
 def cart_state(actions: DataFrame, items: DataFrame, as_of=None, ttl_seconds: int = CART_TTL_SECONDS,
@@ -33,7 +34,7 @@ def cart_state(actions: DataFrame, items: DataFrame, as_of=None, ttl_seconds: in
     """Final (cart_id, item_id, quantity) of every live cart at ``as_of``
     (a timestamp or its text; default: now)."""
     stock = items.select("item_id", F.col("quantity").alias("stock"))
-    a = actions.join(stock, "item_id", "left")
+    a = join_dim(actions, stock, "item_id", "left")
     act, q, s = F.col("action"), F.col("quantity"), F.col("stock")
     addable = s.isNotNull() & (s > 0)
     writes = (((act == "add") & addable) | act.isin("update", "remove", "clear"))

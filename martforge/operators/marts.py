@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import CONFIRMED, DUE_ON_TIME, DUE_OVERDUE, SEGMENTS
+from .skew import join_dim
 
 
 def _confirmed(orders: DataFrame) -> DataFrame:
@@ -47,13 +48,14 @@ def sales_daily(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 
 def revenue_by_item(items: DataFrame, order_items: DataFrame, orders: DataFrame) -> DataFrame:
     """Every item with its confirmed sales; unsold items get zeros."""
-    sales = (order_items.select("order_id", "item_id", "quantity", "line_total_ht", "line_total_ttc")
-             .join(_confirmed(orders).select("order_id"), "order_id")
+    per_pair = order_items.groupBy("order_id", "item_id").agg(
+        F.sum("quantity").alias("q"), F.sum("line_total_ht").alias("ht"), F.sum("line_total_ttc").alias("ttc"))
+    sales = (per_pair.join(_confirmed(orders).select("order_id"), "order_id")
              .groupBy("item_id").agg(
                  F.count_distinct("order_id").alias("nb_orders"),
-                 F.sum("quantity").alias("total_units_sold"),
-                 F.sum("line_total_ht").alias("total_revenue_ht"),
-                 F.sum("line_total_ttc").alias("total_revenue_ttc")))
+                 F.sum("q").alias("total_units_sold"),
+                 F.sum("ht").cast("decimal(20,2)").alias("total_revenue_ht"),
+                 F.sum("ttc").cast("decimal(20,2)").alias("total_revenue_ttc")))
     zero = F.lit(0)
     return items.join(sales, "item_id", "left").select(
         "item_id", "title", "price_ht", "price_ttc", "tva_rate", F.col("quantity").alias("current_stock"),
@@ -102,21 +104,21 @@ def customer_lifetime(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def customer_reorders(order_items: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Per customer x item bought in confirmed orders: quantity, orders, last
     purchase, current stock and price. Lines of deleted items drop out."""
-    bought = (order_items.select("order_id", "item_id", "quantity")
-              .join(_confirmed(orders).select("order_id", "customer_id", "source_updated_at"), "order_id")
+    per_pair = order_items.groupBy("order_id", "item_id").agg(F.sum("quantity").alias("q"))
+    bought = (per_pair.join(_confirmed(orders).select("order_id", "customer_id", "source_updated_at"), "order_id")
               .groupBy("customer_id", "item_id").agg(
-                  F.sum("quantity").alias("total_qty_purchased"),
+                  F.sum("q").alias("total_qty_purchased"),
                   F.count_distinct("order_id").alias("nb_orders_with_item"),
                   F.max("source_updated_at").alias("last_purchased_at")))
-    return bought.join(items.select("item_id", "title", "price_ttc", "quantity"), "item_id").select(
+    return join_dim(bought, items.select("item_id", "title", "price_ttc", "quantity"), "item_id").select(
         "customer_id", "item_id", "title", "price_ttc", "total_qty_purchased", "nb_orders_with_item",
         "last_purchased_at", F.col("quantity").alias("current_stock"))
 
 
 def payments(payments_df: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Payments with the paying customer; ``paid_at`` is the payment's last change."""
-    return (payments_df.join(orders.select("order_id", "customer_id"), "order_id")
-            .join(customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
+    paid = payments_df.join(orders.select("order_id", "customer_id"), "order_id")
+    return (join_dim(paid, customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
             .select("payment_id", "order_id", "customer_id", "first_name", "last_name", "email", "amount",
                     "payment_status", "payment_method", "transaction_id",
                     F.col("source_updated_at").alias("paid_at")))
@@ -131,8 +133,8 @@ def invoices(invoices_df: DataFrame, orders: DataFrame, customers: DataFrame,
              as_of: str | _dt.date | None = None) -> DataFrame:
     """Invoices with the customer and a due status as of a date (default today)."""
     as_of_col = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
-    return (invoices_df.join(orders.select("order_id", "customer_id"), "order_id")
-            .join(customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
+    billed = invoices_df.join(orders.select("order_id", "customer_id"), "order_id")
+    return (join_dim(billed, customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
             .select("invoice_id", "invoice_number", "order_id", "customer_id", "first_name", "last_name",
                     "email", "total_ht", "total_tva", "total_ttc", "issued_at", "due_date",
                     due_status("due_date", as_of_col).alias("due_status")))

@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 DEFAULT_WIDTH = 1 << 20
 
 
-def _chunk(df: DataFrame, first_order: str, width: int) -> DataFrame:
-    return df.withColumn("__chunk", F.floor(F.col(first_order) / F.lit(width)).cast("bigint"))
+def _chunk(df: DataFrame, by: list[str], first_order: str, width: int) -> DataFrame:
+    """Adds ``__chunk`` and hash-partitions by (key, chunk) explicitly: if the
+    input already happens to be partitioned by the key alone (after a join
+    on it), Spark would otherwise accept that layout for the window and keep
+    a hot key in one task."""
+    d = df.withColumn("__chunk", F.floor(F.col(first_order) / F.lit(width)).cast("bigint"))
+    return d.repartition(*by, "__chunk")
 
 
 def prior_sum(df: DataFrame, by: list[str], order: list[str], value: str | Column, out: str = "prior",
@@ -33,7 +38,7 @@ def prior_sum(df: DataFrame, by: list[str], order: list[str], value: str | Colum
     """Adds ``out`` = sum of ``value`` over earlier rows of the same key
     (rows unbounded preceding .. 1 preceding, by ``order``); 0 for the first."""
     val = F.col(value) if isinstance(value, str) else value
-    d = _chunk(df.withColumn("__v", val), order[0], width)
+    d = _chunk(df.withColumn("__v", val), by, order[0], width)
     local = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__local", F.coalesce(F.sum("__v").over(local), F.lit(0)))
     totals = d.groupBy(*by, "__chunk").agg(F.sum("__v").alias("__t"))
@@ -47,7 +52,7 @@ def prior_sum(df: DataFrame, by: list[str], order: list[str], value: str | Colum
 def previous_value(df: DataFrame, by: list[str], order: list[str], value: str, out: str = "prev",
                    width: int = DEFAULT_WIDTH) -> DataFrame:
     """Adds ``out`` = ``value`` of the previous row of the same key (NULL for the first)."""
-    d = _chunk(df, order[0], width)
+    d = _chunk(df, by, order[0], width)
     local = Window.partitionBy(*by, "__chunk").orderBy(*order)
     d = d.withColumn("__lag", F.lag(value).over(local)).withColumn("__first", F.row_number().over(local) == 1)
     last = d.groupBy(*by, "__chunk").agg(

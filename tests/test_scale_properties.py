@@ -4,6 +4,7 @@ third of the rows) checked against brute force."""
 from __future__ import annotations
 
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -99,3 +100,28 @@ def test_hot_item_allocation_has_no_unkeyed_window(spark):
     assert "SinglePartition" not in plan_of(lines)
     got = {r["item_id"]: r["s"] for r in lines.groupBy("item_id").agg(F.sum("quantity").alias("s")).collect()}
     assert got[0] == 500   # 1000 requests for the hot item, stock 500
+
+
+def test_join_dim_equals_plain_join_with_hot_keys(spark):
+    from martforge.operators.skew import join_dim
+    fact = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"),
+                                    F.col("id").alias("v"))
+    dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("d"))  # keys 40..49 missing
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(tuple(r) for r in fact.join(dim, "k", how).collect())
+        got = sorted(tuple(r) for r in join_dim(fact, dim, "k", how, min_rows=100).select(
+            *fact.join(dim, "k", how).columns).collect())
+        assert got == want, how
+    p = plan_of(join_dim(fact, dim, "k", "inner", min_rows=100))
+    assert "BroadcastHashJoin" in p   # the hot key's rows meet a broadcast copy of its dimension row
+
+
+def test_prefix_sum_window_is_keyed_by_chunk(spark):
+    reqs = spark.range(1000).select(F.col("id").alias("request_id"), F.lit(1).cast("long").alias("customer_id"),
+                                    (F.col("id") % 3).alias("item_id"), F.lit(1).alias("quantity"),
+                                    F.col("id").alias("arrival"))
+    items = spark.range(3).select(F.col("id").alias("item_id"), F.lit(10).alias("quantity"),
+                                  F.lit(1).cast("decimal(10,2)").alias("price_ht"),
+                                  F.lit(1).cast("decimal(10,2)").alias("price_ttc"))
+    p = plan_of(orderops.allocate_orders(reqs, items, width=64))
+    assert re.search(r"Exchange hashpartitioning\(item_id#\d+L?, __chunk#\d+L?", p)
