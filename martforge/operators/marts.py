@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import CONFIRMED, DUE_ON_TIME, DUE_OVERDUE, SEGMENTS
-from .skew import join_dim
 
 
 def _confirmed(orders: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def customer_reorders(order_items: DataFrame, orders: DataFrame, items: DataFram
                   F.sum("q").alias("total_qty_purchased"),
                   F.count_distinct("order_id").alias("nb_orders_with_item"),
                   F.max("source_updated_at").alias("last_purchased_at")))
-    return join_dim(bought, items.select("item_id", "title", "price_ttc", "quantity"), "item_id").select(
+    return bought.join(items.select("item_id", "title", "price_ttc", "quantity"), "item_id").select(
         "customer_id", "item_id", "title", "price_ttc", "total_qty_purchased", "nb_orders_with_item",
         "last_purchased_at", F.col("quantity").alias("current_stock"))
 
@@ -118,7 +117,7 @@ def customer_reorders(order_items: DataFrame, orders: DataFrame, items: DataFram
 def payments(payments_df: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Payments with the paying customer; ``paid_at`` is the payment's last change."""
     paid = payments_df.join(orders.select("order_id", "customer_id"), "order_id")
-    return (join_dim(paid, customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
+    return (paid.join(customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
             .select("payment_id", "order_id", "customer_id", "first_name", "last_name", "email", "amount",
                     "payment_status", "payment_method", "transaction_id",
                     F.col("source_updated_at").alias("paid_at")))
@@ -134,7 +133,7 @@ def invoices(invoices_df: DataFrame, orders: DataFrame, customers: DataFrame,
     """Invoices with the customer and a due status as of a date (default today)."""
     as_of_col = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
     billed = invoices_df.join(orders.select("order_id", "customer_id"), "order_id")
-    return (join_dim(billed, customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
+    return (billed.join(customers.select("customer_id", "first_name", "last_name", "email"), "customer_id")
             .select("invoice_id", "invoice_number", "order_id", "customer_id", "first_name", "last_name",
                     "email", "total_ht", "total_tva", "total_ttc", "issued_at", "due_date",
                     due_status("due_date", as_of_col).alias("due_status")))

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sequences
-from .skew import join_dim
 
 from ..fixed import (INVOICE_DATE_FORMAT, INVOICE_DUE_DAYS, INVOICE_PREFIX, INVOICE_SUFFIX_HEX,
                      PAYMENT_COMPLETED_STORED, PAYMENT_METHODS_STORED, TXN_HEX, TXN_PREFIX)
@@ -37,8 +36,8 @@ def allocate_orders(requests: DataFrame, items: DataFrame, width: int = sequence
     # count towards their own (unknown) item, so the join can come after
     demand = sequences.prior_sum(requests.filter(F.col("quantity") > 0), ["item_id"],
                                  ["arrival", "request_id", "line_no"], "quantity", out="prior", width=width)
-    with_prior = join_dim(demand, items.select("item_id", F.col("quantity").alias("stock"), "price_ht", "price_ttc"),
-                          "item_id")
+    with_prior = demand.join(items.select("item_id", F.col("quantity").alias("stock"), "price_ht", "price_ttc"),
+                             "item_id")
     allotted = F.greatest(F.lit(0), F.least(F.col("quantity"), F.col("stock") - F.col("prior"))).cast("int")
     return with_prior.select(
         "request_id", "customer_id", "item_id", "line_no", F.col("quantity").alias("requested"),

@@ -26,10 +26,11 @@ def _confirmed(orders: DataFrame) -> DataFrame:
 
 def with_lines(head: DataFrame, lines: DataFrame, key: str = "order_id") -> DataFrame:
     """``head LEFT JOIN lines`` written skew-safe: the lines join their head
-    (a skew-safe fact-to-dimension join: a hot order's lines meet a broadcast
-    copy of its head row) plus the heads without any line (anti join against
-    the distinct keys, which collapse map-side). A plain left outer join
-    would buffer a hot order's lines on its non-splittable side."""
+    with ``join_dim`` (the head side may be the bucketed orders table, where
+    AQE cannot split a hot order: its lines meet a broadcast copy of its head
+    row instead) plus the heads without any line (anti join against the
+    distinct keys, which collapse map-side). A plain left outer join would
+    buffer a hot order's lines on its non-splittable side."""
     matched = join_dim(lines, head, key)
     bare = head.join(lines.select(key).distinct(), key, "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)
@@ -82,7 +83,7 @@ def order_history(orders: DataFrame, order_items: DataFrame, items: DataFrame) -
     value, so an order with millions of lines cannot overflow a row."""
     lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ttc")
     head = orders.select("order_id", "customer_id", "status", "total_ttc", "source_updated_at")
-    return (join_dim(with_lines(head, lines), items.select("item_id", "title"), "item_id", "left")
+    return (with_lines(head, lines).join(items.select("item_id", "title"), "item_id", "left")
             .select("customer_id", "order_id", order_status_label("status").alias("status_label"),
                     "total_ttc", F.col("source_updated_at").alias("ordered_at"), "order_item_id", "item_id",
                     F.when(F.col("order_item_id").isNotNull(),
@@ -116,7 +117,7 @@ def invoice_lines(invoices: DataFrame, orders: DataFrame, order_items: DataFrame
     lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ht",
                                "unit_price_ttc")
     line_ttc = F.round(F.col("unit_price_ttc") * F.col("quantity"), 2).cast(TOTAL)
-    return (join_dim(with_lines(head, lines), items.select("item_id", "title"), "item_id", "left")
+    return (with_lines(head, lines).join(items.select("item_id", "title"), "item_id", "left")
             .select("invoice_id", "invoice_number", "customer_id", "issued_on", "due_on", "total_ht_text",
                     "total_tva_text", "total_ttc_text", "order_item_id",
                     F.when(F.col("order_item_id").isNotNull(), short_title("title")).alias("title"),
@@ -133,7 +134,7 @@ def order_confirmation(requests: DataFrame, orders: DataFrame, order_items: Data
         orders.select("order_id", "customer_id", "status", "total_ht", "total_ttc"),
         ["order_id", "customer_id"])
     lines = order_items.select("order_id", "order_item_id", "item_id", "quantity", "unit_price_ttc")
-    return (join_dim(with_lines(owned, lines), items.select("item_id", "title"), "item_id", "left")
+    return (with_lines(owned, lines).join(items.select("item_id", "title"), "item_id", "left")
             .select("order_id", "customer_id", "status", "total_ht", "total_ttc", "order_item_id", "item_id",
                     "title", "quantity",
                     F.round(F.col("unit_price_ttc") * F.col("quantity"), 2).cast(TOTAL).alias("subtotal_ttc")))
@@ -165,8 +166,8 @@ def cart_count_raw(carts: DataFrame, raw: str = "raw") -> DataFrame:
 
 def priced_cart_lines(carts: DataFrame, items: DataFrame, raw: str = "raw") -> DataFrame:
     """Entries with a known item and quantity > 0, with HT/TTC subtotals."""
-    return (join_dim(cart_parse(carts, raw).filter(F.col("quantity") > 0),
-                     items.select("item_id", "price_ht", "price_ttc"), "item_id")
+    return (cart_parse(carts, raw).filter(F.col("quantity") > 0)
+            .join(items.select("item_id", "price_ht", "price_ttc"), "item_id")
             .select("cart_id", "item_id", "quantity",
                     F.round(F.col("price_ht") * F.col("quantity"), 2).cast(TOTAL).alias("subtotal_ht"),
                     F.round(F.col("price_ttc") * F.col("quantity"), 2).cast(TOTAL).alias("subtotal_ttc")))

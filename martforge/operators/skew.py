@@ -1,8 +1,8 @@
 """Skew-safe fact-to-dimension joins.
 
 AQE splits a skewed sort-merge join partition only when both sides are
-shuffle stages; with a bucketed dimension side (the cleaned layer is stored
-bucketed) or a non-preserved skewed side it cannot. ``join_dim`` handles a
+shuffle stages; when the dimension side is a bucketed table (the cleaned
+orders are stored bucketed by order_id) it cannot. ``join_dim`` handles a
 hot key explicitly: a map-side count finds the keys with at least
 ``min_rows`` fact rows -- at most rows(fact) / min_rows of them, the proven
 bound on what is broadcast -- and their fact rows are joined map-side
