@@ -38,18 +38,10 @@ def money(col) -> Column:
     return c(col).cast(MONEY)
 
 
-def round2(col) -> Column:
-    """Half-up rounding to cents (Python's binary rounding differs on ties; see README)."""
-    return F.round(c(col), 2)
-
-
-def ttc_from_ht(price_ht, vat_rate) -> Column:
-    """Price incl. VAT = round(HT * (1 + VAT/100), 2), in double like the shop."""
-    return F.round(c(price_ht) * (F.lit(1.0) + c(vat_rate) / F.lit(100.0)), 2)
-
-
 def ttc_from_ht_exact(price_ht, vat_rate) -> Column:
-    """Same in exact decimal arithmetic (HT and VAT carry at most two decimals)."""
+    """Price incl. VAT = round(HT * (1 + VAT/100), 2) in exact decimal
+    arithmetic, half-up (HT and VAT carry at most two decimals; the shop's
+    binary-float rounding can differ by a cent on ties)."""
     factor = F.lit(Decimal("1")) + c(vat_rate).cast(RATE) * F.lit(Decimal("0.01"))
     return F.round(c(price_ht).cast("decimal(12,2)") * factor, 2)
 

@@ -11,8 +11,6 @@ table is bucketed by the key, only the (small) batch side is shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,4 +78,4 @@ def bootstrap(snapshot: DataFrame, changes: DataFrame, offset_col: str = "offset
     changes ordered before every streamed change of the same source time."""
     snap = (snapshot.withColumn("__op", F.lit("r")).withColumn("__deleted", F.lit("false"))
             .withColumn(offset_col, F.lit(-1).cast("long")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [snap, changes])
+    return evolve(snap, changes)

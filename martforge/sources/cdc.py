@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import SOURCE_DATABASE, STAGING_TABLES, TOPIC_PREFIX, envelope_schema, wire_schema
+from ..schemas import SOURCE_DATABASE, STAGING_TABLES, TOPIC_PREFIX, wire_schema
 
 # Columns every change source yields (the kafka source's own column names).
 WIRE_COLUMNS = T.StructType([
@@ -90,7 +90,3 @@ def route(df: DataFrame, regex: str | None = None, topic_col: str = "topic") ->
     rx = regex or topic_regex()
     return (df.filter(F.col(topic_col).rlike(rx))
             .withColumn("table", F.regexp_extract(F.col(topic_col), rx, 1)))
-
-
-def envelope_of(row: T.StructType) -> T.StructType:
-    return envelope_schema(row)
