@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +89,23 @@ def test_schema_evolution_adds_column(spark):
 def test_envelope_schema_shape():
     s = envelope_schema(row_schema("items"))
     assert [f.name for f in s.fields] == ["before", "after", "op", "ts_ms", "source"]
+
+
+changes_st = st.lists(st.tuples(st.integers(0, 5), st.one_of(st.none(), st.integers(0, 6)),
+                                st.sampled_from(["false", "true"])), min_size=1, max_size=25)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(changes=changes_st, cuts=st.lists(st.integers(0, 25), max_size=3), replay=st.booleans())
+def test_batchwise_merge_equals_one_upsert(spark, changes, cuts, replay):
+    rows = [(k, f"v{i}", ts, d, i) for i, (k, ts, d) in enumerate(changes)]
+    bounds = sorted({0, len(rows), *[min(c, len(rows)) for c in cuts]})
+    batches = [rows[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
+    if replay:
+        batches.append(batches[0])                      # a replayed (old) batch arrives again
+    state = stg.latest_per_key(_changes(spark, batches[0]))
+    for b in batches[1:]:
+        state = stg.merge_latest(state, _changes(spark, b))
+    want = stg.latest_per_key(_changes(spark, rows))
+    key = lambda df: sorted(tuple(r) for r in df.select("id", "name", "__source_ts_ms", "__deleted", "offset").collect())
+    assert key(state) == key(want)
