@@ -25,11 +25,13 @@ def hot_keys(fact: DataFrame, keys: list[str], min_rows: int = HOT_KEY_ROWS) ->
             .filter(F.col("__n") >= min_rows).select(*keys))
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner", min_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner", min_rows: int = HOT_KEY_ROWS,
+             hot: DataFrame | None = None) -> DataFrame:
     """``fact.join(dim, on, how)`` for ``how`` in inner / left / left_semi /
-    left_anti, where ``dim`` has at most one row per key."""
+    left_anti, where ``dim`` has at most one row per key. ``hot`` may pass
+    precomputed hot keys (from a per-key count the caller needs anyway)."""
     keys = [on] if isinstance(on, str) else list(on)
-    hot = F.broadcast(hot_keys(fact, keys, min_rows))
+    hot = F.broadcast(hot if hot is not None else hot_keys(fact, keys, min_rows))
     cold = fact.join(hot, keys, "left_anti").join(dim, keys, how)
     hot_dim = F.broadcast(dim.join(hot, keys, "left_semi"))
     split = fact.join(hot, keys, "left_semi").join(hot_dim, keys, how)
