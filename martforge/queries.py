@@ -128,7 +128,8 @@ def q_schema_evolve(spark, sf_dir):
 
 @register("cdc_snapshot_then_stream")
 def q_snapshot_then_stream(spark, sf_dir):
-    """Initial copy of customers (op r) followed by the change stream, upserted."""
+    """Initial copy of customers (op r rows) followed by the change log, both
+    upserted in one batch (the streaming form is ``snapshot_then_stream``)."""
     snap = td.staging_customers(spark, sf_dir).select(
         "id", "email", "__ts_ms", "__source_ts_ms")
     changes = td.change_log(spark, sf_dir)
