@@ -56,3 +56,14 @@ def test_barrier_stops_marts_when_a_load_fails(spark, tmpdir_):
         raised = True
     assert raised
     assert not any(spark.catalog.tableExists(f"dmart.{m}") for m in marts.MARTS)
+
+
+def test_publish_rotates_slots_and_swaps_atomically(spark, tmpdir_):
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "dmart.rotation")
+    seen = []
+    for i in range(4):
+        catalog.publish(spark, spark.range(i + 1), "dmart.rotation", tmpdir_, slots=3)
+        seen.append(catalog._current_slot(spark, "dmart.rotation"))
+        assert spark.table("dmart.rotation").count() == i + 1   # the view always shows a complete version
+    assert seen == [0, 1, 2, 0]
