@@ -189,3 +189,37 @@ def test_chunked_sequences_with_hot_key(spark):
         assert ps[t] == acc.get(k, 0) and pv[t] == last.get(k)
         acc[k] = acc.get(k, 0) + v
         last[k] = v
+
+
+json_values = st.one_of(
+    st.integers(-50, 50), st.floats(-20, 20, allow_nan=False).map(lambda x: round(x, 2)), st.booleans(), st.none(),
+    st.integers(-50, 50).map(lambda n: f" {n} "), st.integers(0, 99).map(lambda n: f"{n}_0"),
+    st.sampled_from(["x", "2.5", "", "+7", "-0", "1__0"]), st.just([1]), st.just({"a": 1}))
+carts_st = st.lists(st.one_of(
+    st.dictionaries(st.sampled_from(["1", "2", "3", " 4", "a"]), json_values, max_size=4).map(json.dumps),
+    st.sampled_from(["{bad", "[1]", "null", "7", ""])), min_size=1, max_size=12)
+
+
+@SETTINGS
+@given(raws=carts_st)
+def test_cart_parse_random_json_matches_python(spark, raws):
+    carts = spark.createDataFrame(list(enumerate(raws)), "cart_id long, raw string")
+    got = {}
+    for r in shop.cart_parse(carts).collect():
+        got.setdefault(r["cart_id"], {})[r["item_key"]] = r["quantity"]
+    assert {i: got.get(i, {}) for i in range(len(raws))} == {i: py_parse(raw) for i, raw in enumerate(raws)}
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=60),
+       width=st.integers(1, 20))
+def test_running_values_match_loop(spark, rows, width):
+    data = [(k, t, v) for t, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, t long, v long")
+    ps = {r["t"]: r["prior"] for r in sequences.prior_sum(df, ["k"], ["t"], "v", width=width).collect()}
+    pv = {r["t"]: r["prev"] for r in sequences.previous_value(df, ["k"], ["t"], "v", width=width).collect()}
+    acc, last = {}, {}
+    for k, t, v in data:
+        assert (ps[t], pv[t]) == (acc.get(k, 0), last.get(k))
+        acc[k] = acc.get(k, 0) + v
+        last[k] = v
