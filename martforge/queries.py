@@ -25,6 +25,7 @@ from .plans import refresh as refr
 from .session import checkpoint_dir, configure
 from .sources import cdc
 from .sources import testdata as td
+from .streaming.cart_state import cart_state_stream
 from .streaming.cdc_stream import start_cdc_stream
 
 AS_OF = "1997-01-01"  # fixed as-of date for compared runs (oracle uses the same)
@@ -376,3 +377,27 @@ def q_cdc_stream_ingest(spark, sf_dir):
     q.awaitTermination()
     return reduce(lambda a, b: a.unionByName(b),
                   [spark.table(f"staging.{t}").withColumn("table", F.lit(t)) for t in STREAM_TABLES])
+
+
+@register("cart_state_stream")
+def q_cart_state_stream(spark, sf_dir):
+    """Cart actions written as files, folded by the streaming
+    ``transformWithState`` job (7-day event-time timers, watermark at the
+    latest action); its change log is reduced to the final cart contents."""
+    base = _run_folder(spark, "carts")
+    actions = td.cart_events(spark, sf_dir)
+    actions.write.mode("overwrite").parquet(os.path.join(base, "in"))
+    out = os.path.join(base, "out")
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    stream = spark.readStream.schema(actions.schema).parquet(os.path.join(base, "in"))
+    q = (cart_state_stream(stream, dwh_table(spark, sf_dir, "items")).writeStream.outputMode("update")
+         .foreachBatch(sink).option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True)
+         .start())
+    q.awaitTermination()
+    changes = spark.read.parquet(out)
+    last = changes.groupBy("cart_id", "item_id").agg(
+        F.max_by(F.col("quantity"), F.struct("batch_id", "ts")).alias("quantity"))
+    return last.filter(F.col("quantity").isNotNull())

@@ -40,14 +40,15 @@ RUNTIME_PERF_CONF = {
     "spark.sql.sources.fileCompressionFactor": "4.0",
     # published versions are rewritten every cycle: smaller files, less I/O
     "spark.sql.parquet.compression.codec": "zstd",
+    # transformWithState (cart state stream) needs the RocksDB state store
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.scheduler.mode": "FAIR",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -384,7 +384,8 @@ SELECT user_id AS cart_id, ({K} * 20) % {N_PARTS} AS item_id,
        CAST(floor(value) - 5 AS INTEGER) AS quantity, ts, event_id AS arrival
 FROM events""")
 SEC = "(epoch_us({c}) // 1000000)"
-oracle("cart_state_batch", ("cart_events", "dwh_items"), f"""
+def _cart_state_sql(as_of_sql: str) -> str:
+    return f"""
 WITH a AS (SELECT e.*, i.quantity AS stock FROM cart_events e LEFT JOIN dwh_items i ON i.item_id = e.item_id),
 eff AS (SELECT * FROM a WHERE (action = 'add' AND stock > 0) OR action IN ('update', 'remove', 'clear')),
 g AS (SELECT *, lag(ts) OVER (PARTITION BY cart_id ORDER BY arrival) AS prev_ts FROM eff),
@@ -411,7 +412,11 @@ st AS (SELECT coalesce(b.cart_id, d.cart_id) AS cart_id, coalesce(b.item_id, d.i
        FROM bases b FULL OUTER JOIN adds d ON d.cart_id = b.cart_id AND d.item_id = b.item_id)
 SELECT st.* FROM st JOIN lastev l ON l.cart_id = st.cart_id
 WHERE st.quantity IS NOT NULL AND NOT l.cleared
-  AND {SEC.format(c="TIMESTAMP '2024-02-05 00:00:00'")} - {SEC.format(c="l.last_ts")} <= 604800""")
+  AND {SEC.format(c=as_of_sql)} - {SEC.format(c="l.last_ts")} <= 604800"""
+
+
+oracle("cart_state_batch", ("cart_events", "dwh_items"), _cart_state_sql("TIMESTAMP '2024-02-05 00:00:00'"))
+oracle("cart_state_stream", ("cart_events", "dwh_items"), _cart_state_sql("(SELECT max(ts) FROM events)"))
 
 # --- customers -------------------------------------------------------------------
 cte("candidates", (), """
