@@ -44,43 +44,46 @@ class CartFold(StatefulProcessor):
         self.entries = handle.getMapState("entries", "item_id long", "quantity long")
         self.last = handle.getValueState("last_write", "ts_ms long")
 
-    def _clear(self, changed: dict, ts_ms: int) -> None:
-        for (item,) in list(self.entries.keys()):
-            changed[item] = (None, ts_ms)
-        self.entries.clear()
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Fold this batch's actions of one cart on a local copy of its map
+        (one state read), then write back only the entries that changed."""
         (cart,) = key
-        changed: dict = {}
+        cur = {k[0]: v[0] for k, v in self.entries.iterator()}
+        changed: dict = {}  # item -> (quantity or None, ts_ms)
+
+        def clear(ts):
+            for item in cur:
+                changed[item] = (None, ts)
+            cur.clear()
+
         last = self.last.get()[0] if self.last.exists() else None
         for r in sorted(rows, key=lambda r: r["arrival"]):
             ts, act, item, q, stock = r["ts_ms"], r["action"], r["item_id"], r["quantity"], r["stock"]
-            addable = stock is not None and stock > 0
-            if act == "add" and not addable:
+            if act == "add" and not (stock is not None and stock > 0):
                 continue  # no cookie write
             if last is not None and self._expired(ts, last):
-                self._clear(changed, ts)  # cookie expired before this action
+                clear(ts)  # cookie expired before this action
             if act == "add":
-                cur = self.entries.getValue((item,))[0] if self.entries.containsKey((item,)) else 0
-                new = min(cur + max(1, q), stock)
-                self.entries.updateValue((item,), (new,))
-                changed[item] = (new, ts)
+                cur[item] = min(cur.get(item, 0) + max(1, q), stock)
+                changed[item] = (cur[item], ts)
             elif act == "update":
                 if q <= 0:
-                    if self.entries.containsKey((item,)):
-                        self.entries.removeKey((item,))
+                    cur.pop(item, None)
                     changed[item] = (None, ts)
                 elif stock is not None:
-                    new = min(q, stock)
-                    self.entries.updateValue((item,), (new,))
-                    changed[item] = (new, ts)
+                    cur[item] = min(q, stock)
+                    changed[item] = (cur[item], ts)
             elif act == "remove":
-                if self.entries.containsKey((item,)):
-                    self.entries.removeKey((item,))
+                cur.pop(item, None)
                 changed[item] = (None, ts)
             elif act == "clear":
-                self._clear(changed, ts)
+                clear(ts)
             last = ts
+        for item, (qty, _) in changed.items():
+            if qty is None:
+                self.entries.removeKey((item,))
+            else:
+                self.entries.updateValue((item,), (qty,))
         if last is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
@@ -91,11 +94,11 @@ class CartFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         (cart,) = key
-        changed: dict = {}
         expiry = expiredTimerInfo.getExpiryTimeInMs()
-        self._clear(changed, expiry)
+        items = [k[0] for k in self.entries.keys()]
+        self.entries.clear()
         self.last.clear()
-        for item in changed:
+        for item in items:
             yield Row(cart_id=cart, item_id=item, quantity=None, ts=self._ts(expiry))
 
     def close(self) -> None:
