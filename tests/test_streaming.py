@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from martforge.operators import carts as cartops
@@ -16,6 +18,7 @@ from martforge.streaming.cart_state import cart_state_stream
 from martforge.streaming.cdc_stream import start_cdc_stream
 
 from .conftest import SF_SMALL
+from .test_orders_carts import simulate_carts
 
 
 def _wire(table, op, before, after, ts, offset, topic=None):
@@ -159,3 +162,42 @@ def test_snapshot_then_stream(spark, tmpdir_):
     q.awaitTermination()
     got = {r["id"]: (r["title"], r["__deleted"], r["__op"]) for r in spark.table("staging.items").collect()}
     assert got == {1: ("live-a", "false", "u"), 3: ("snap-c", "true", "d")}
+
+
+stream_events = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3),
+                                   st.sampled_from(["add", "update", "remove", "clear"]),
+                                   st.integers(-2, 5), st.integers(0, 4)), min_size=4, max_size=24)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(evs=stream_events, stock=st.lists(st.integers(-1, 6), min_size=3, max_size=3))
+def test_cart_stream_matches_sequential_cookie(spark, tmpdir_, evs, stock):
+    import datetime as dt
+    import uuid
+    base = os.path.join(tmpdir_, uuid.uuid4().hex)
+    stock_d = {i: s for i, s in enumerate(stock)}          # item 3 unknown
+    rows, t = [], 1_700_000_000
+    for n, (cart, item, act, q, gap) in enumerate(evs):
+        t += [60, 3600, 3 * 86400, 8 * 86400, 0][gap]
+        rows.append((cart, item, act, q, t, n))
+    schema = "cart_id long, item_id long, action string, quantity int, ts timestamp, arrival long"
+    for i in range(0, len(rows), 8):                      # several micro-batches, in arrival order
+        part = [(c, it, a, q, dt.datetime.fromtimestamp(ts, dt.timezone.utc).replace(tzinfo=None), n)
+                for c, it, a, q, ts, n in rows[i:i + 8]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(os.path.join(base, "in"))
+    items = spark.createDataFrame([(i, s) for i, s in stock_d.items()], "item_id long, quantity int")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "in"))
+    out = os.path.join(base, "out")
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    q = (cart_state_stream(stream, items).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    final = {}
+    if os.path.exists(out):
+        for r in sorted(spark.read.parquet(out).collect(), key=lambda r: (r["batch_id"], r["ts"])):
+            final[(r["cart_id"], r["item_id"])] = r["quantity"]
+    got = {k: v for k, v in final.items() if v is not None}
+    assert got == simulate_carts(rows, stock_d, t)          # as of the last action (the watermark)
