@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +55,9 @@ STATIC_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the semantic (and runtime performance) settings to a session."""
-    for key, value in {**SEMANTIC_CONF, **RUNTIME_PERF_CONF}.items():
+    """Apply the settings that results depend on to a session; its own
+    performance settings stay as they are."""
+    for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     return spark
 
@@ -98,6 +101,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     global _LOCAL_FALLBACK
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
+    if not current and not sc.master.startswith("local[") and sc.master != "local" and not fallback:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not current:
         if _LOCAL_FALLBACK is None:
             _LOCAL_FALLBACK = (os.path.join(fallback, "checkpoints") if fallback
@@ -109,3 +114,42 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
 
 _LOCAL_FALLBACK: str | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the
+    driver was started from: zipped once per application, sent with
+    ``addPyFile``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_martforge_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="mf-ship-"), "martforge_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("martforge", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._martforge_shipped = True
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, removed when the
+    application's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/martforge-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(target)
+    return path
+
+
+def materialise(df, name: str):
+    """Write ``df`` as Parquet into the shared scratch folder and read it
+    back: cuts lineage in a way that survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
