@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, ship_package
-from . import chat_format, quality_gam, token_count, token_files
+from . import chat_format, decontaminate, quality_gam, token_count, token_files, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -91,3 +91,42 @@ FROM coded GROUP BY conv_id"""
 
 
 ORACLES["op8_chat_format"] = _chat_sql()
+
+
+@register("op4_decontaminate")
+def op4(spark, sf_dir):
+    """Benchmark passages in every document, by winnowing."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op4_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS} AS w FROM benchmark),
+lengths AS (SELECT DISTINCT least(10, len(w)) AS t FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, t, array_to_string(w[p:p + t - 1], ' ') AS run
+       FROM (SELECT item_id, w, least(10, len(w)) AS t, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, t, p, array_to_string(w[p:p + t - 1], ' ') AS run
+       FROM (SELECT r, w, t, unnest(range(1, len(w) - t + 2)) AS p FROM d, lengths WHERE len(w) >= t)),
+hits AS (SELECT r, p, dw.t, item_id FROM dw JOIN iw ON dw.run = iw.run AND dw.t = iw.t),
+hit_words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + t)) AS q FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)"""
+
+
+@register("op9_topk_search")
+def op9(spark, sf_dir):
+    """Five best other vectors of each query vector, exactly."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_topk_search"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
