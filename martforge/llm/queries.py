@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, ship_package
-from . import chat_format, decontaminate, quality_gam, token_count, token_files, topk_search
+from . import chat_format, decontaminate, jaccard_join, quality_gam, token_count, token_files, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -130,3 +130,9 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e::D
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@register("op10_jaccard_join")
+def op10(spark, sf_dir):
+    """Components of documents with nearly equal 3-word shingle sets."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
