@@ -47,8 +47,8 @@ def fingerprints(words: DataFrame, t: int, keep: list[str]) -> DataFrame:
     k = min(GRAM, t)
     out = words.select(*keep, W.hashes(F.col("words")).alias("word_hashes"))
     out = out.select(*keep, W.grams(F.col("word_hashes"), k).alias("gram_hashes"))
-    out = out.select(*keep, F.array_distinct(W.sliding_min(F.col("gram_hashes"), t - k + 1)).alias("chosen"))
-    return out.select(*keep, F.explode_outer("chosen").alias("fp"))
+    out = W.with_sliding_min(out, "gram_hashes", "minima", t - k + 1)
+    return out.select(*keep, F.explode_outer(F.array_distinct("minima")).alias("fp"))
 
 
 def runs(words: DataFrame, t: int, keep: list[str]) -> DataFrame:

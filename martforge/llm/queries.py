@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, ship_package
-from . import chat_format, decontaminate, jaccard_join, quality_gam, token_count, token_files, topk_search
+from . import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_gam, token_count, token_files, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -136,3 +136,41 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def op10(spark, sf_dir):
     """Components of documents with nearly equal 3-word shingle sets."""
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@register("op6_mixing")
+def op6(spark, sf_dir):
+    """Every document's probability under the raked mix, and its draw."""
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def _mix_sql(mix: mixing.Mix) -> str:
+    topics = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
+    parts = [rf"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topics} ELSE 'prose' END AS topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
+             "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS raked FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"]
+    for m in mixing.MARGINS:
+        parts.append(f"n_{m} AS (SELECT {m}, sum(tokens) AS n FROM c0 GROUP BY {m})")
+        parts.append(f"t_{m} AS MATERIALIZED (SELECT {m}, sum(n) OVER () * pow(n, {mix.power[m]}) / sum(pow(n, {mix.power[m]})) OVER () AS target FROM n_{m})")
+    n = 0
+    for _ in range(mix.sweeps):
+        for m in mixing.MARGINS:
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, raked * target / sum(raked) OVER (PARTITION BY {m}) AS raked FROM c{n} JOIN t_{m} USING ({m}))")
+            n += 1
+    parts.append(f"r0 AS MATERIALIZED (SELECT {mix.keep}::DOUBLE AS rate)")
+    for i in range(mix.steps):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT any_value(rate) * {mix.keep} * sum(tokens) / sum(least(1.0, raked / tokens * rate) * tokens) AS rate FROM c{n}, r{i})")
+    parts.append(f"p AS (SELECT source, lang, topic, round(least(1.0, raked / tokens * rate), 6) AS p FROM c{n}, r{mix.steps})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, coalesce(p, 1.0)::DOUBLE AS p,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mix.seed}'), 1, 12))::UBIGINT / {16 ** 12}::DOUBLE < coalesce(p, 1.0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)"""
+
+
+ORACLES["op6_mixing"] = _mix_sql(mixing.Mix())
+
+
+@register("op3_license_scan")
+def op3(spark, sf_dir):
+    """Licenses declared in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ the word split again for each element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,18 +37,21 @@ def grams(hashed: Column, k: int) -> Column:
         lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(k)]))).otherwise(empty)
 
 
-def sliding_min(values: Column, width: int) -> Column:
-    """Minimum of each ``width`` consecutive entries, by doubling; the last
-    ``width - 1`` entries cover what is left of the array."""
-    def shifted_min(a: Column, b: Column, by: int) -> Column:
-        return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.least(x, y))
+def with_sliding_min(df: DataFrame, values: str, out: str, width: int) -> DataFrame:
+    """Adds ``out``: the minimum of each ``width`` consecutive entries of the
+    array ``values``, by doubling (a projection per step, so that no step is
+    evaluated twice); the last ``width - 1`` entries cover what is left."""
+    def shifted_min(a: str, b: str, by: int) -> Column:
+        return F.zip_with(F.col(a), F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.least(x, y))
 
-    spans = {1: values}
+    spans, keep = {1: values}, df.columns
     while max(spans) * 2 <= width:
         n = max(spans)
-        spans[n * 2] = shifted_min(spans[n], spans[n], n)
-    out, done = spans[max(spans)], max(spans)
+        df = df.withColumn(f"__span{2 * n}", shifted_min(spans[n], spans[n], n))
+        spans[2 * n] = f"__span{2 * n}"
+    name, done = spans[max(spans)], max(spans)
     while done < width:
         n = max(s for s in spans if s <= width - done)
-        out, done = shifted_min(out, spans[n], done), done + n
-    return out
+        df = df.withColumn(f"__upto{done + n}", shifted_min(name, spans[n], done))
+        name, done = f"__upto{done + n}", done + n
+    return df.select(*keep, F.col(name).alias(out))
