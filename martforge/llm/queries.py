@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, ship_package
-from . import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_gam, token_count, token_files, topk_search
+from . import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_gam, substring_dedup, token_count, token_files, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -174,3 +174,9 @@ ORACLES["op6_mixing"] = _mix_sql(mixing.Mix())
 def op3(spark, sf_dir):
     """Licenses declared in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op5_substring_dedup")
+def op5(spark, sf_dir):
+    """Documents with passages that other documents hold too."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
