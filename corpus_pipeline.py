@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martforge.llm import quality_gam
-from martforge.llm import token_files
+from martforge.llm import decontaminate, jaccard_join, mixing, quality_gam, token_files
 from martforge.llm.queries import END_ID, VOCABULARY
 from martforge.session import configure, materialise, scratch_path, ship_package
 
@@ -17,6 +16,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_gam.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of nearly equal five-word shingle sets."""
+    ship_package(spark)
+    return jaccard_join.keep_first(docs, share=80, n=5)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn for the target mix."""
+    return mixing.mixed(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, as read back."""
     ship_package(spark)
@@ -25,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.digest(spark, folder)
 
 
-STAGES = [("quality", quality), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("mix", mix), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
