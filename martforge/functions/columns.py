@@ -88,6 +88,16 @@ def dmy(ts, missing: str = NO_DATE) -> Column:
     return F.coalesce(F.date_format(c(ts), DATE_FORMAT), F.lit(missing))
 
 
+# White space as the shop's own stripping knows it: ASCII blanks and
+# separators, NEL, NBSP and the Unicode space characters.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(col) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(F.regexp_replace(c(col), rf"\A{_BLANK}+", ""), rf"(?<!{_BLANK}){_BLANK}+\z", "")
+
+
 def blank_to_null(col) -> Column:
-    """Trim; empty text becomes NULL."""
-    return F.nullif(F.trim(c(col)), F.lit(""))
+    """Strip; empty text becomes NULL."""
+    return F.nullif(strip(col), F.lit(""))

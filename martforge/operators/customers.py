@@ -6,14 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import blank_to_null, live_row, ttc_from_ht_exact
+from ..functions.columns import blank_to_null, live_row, strip, ttc_from_ht_exact
 
 
 def profile_normalise(profiles: DataFrame) -> DataFrame:
-    """Profile edit: names trimmed; phone and address trimmed, empty -> NULL."""
+    """Profile edit: names stripped of white space; phone and address too,
+    empty -> NULL."""
     out = profiles
     for c in ("first_name", "last_name"):
-        out = out.withColumn(c, F.trim(F.col(c)))
+        out = out.withColumn(c, strip(c))
     for c in ("phone", "address"):
         out = out.withColumn(c, blank_to_null(c))
     return out

@@ -84,18 +84,20 @@ def derive_payments(orders: DataFrame) -> DataFrame:
         F.concat(F.lit(TXN_PREFIX), F.substring(h, 1, TXN_HEX)).alias("transaction_id"))
 
 
-def derive_invoices(orders: DataFrame, issued_at=None, suffix_hex: int = INVOICE_SUFFIX_HEX) -> DataFrame:
+def derive_invoices(orders: DataFrame, issued_at=None) -> DataFrame:
     """One invoice per order: number INV-yyyyMMdd-<hex>, issued now (or
     ``issued_at``), due 30 days later, VAT = round(TTC - HT, 2).
 
-    ``suffix_hex`` hex digits of a hash of the order id; 6 is the shop's
-    format but collides beyond a few thousand invoices a day -- raise it for
-    volume and let ``dq_unique`` watch the column."""
+    The suffix is the order id itself in hex, at least INVOICE_SUFFIX_HEX
+    digits (the shop's format draws that many at random): different orders
+    never share a number."""
     issued = F.current_timestamp() if issued_at is None else F.lit(str(issued_at)).cast("timestamp")
+    digits = F.hex(F.col("order_id").cast("long"))
+    suffix = F.when(F.length(digits) < INVOICE_SUFFIX_HEX, F.lpad(digits, INVOICE_SUFFIX_HEX, "0")).otherwise(digits)
     return orders.select(
         "order_id",
         F.concat(F.lit(INVOICE_PREFIX), F.date_format(issued, INVOICE_DATE_FORMAT), F.lit("-"),
-                 F.substring(_hex_of(F.col("order_id")), 1, suffix_hex)).alias("invoice_number"),
+                 suffix).alias("invoice_number"),
         issued.alias("issued_at"),
         (issued + F.expr(f"INTERVAL {INVOICE_DUE_DAYS} DAYS")).alias("due_date"),
         "total_ht", F.round(F.col("total_ttc") - F.col("total_ht"), 2).cast(TOTAL).alias("total_tva"), "total_ttc")

@@ -44,11 +44,13 @@ UNIQUE = {  # table -> [(check name, column)]
 
 
 def dq_unique(tables: dict[str, DataFrame]) -> DataFrame:
-    """Values that must be unique but repeat: (check, key, n). One scan per
-    table, one aggregation (combined map-side) for all checks."""
-    keys = _union([_checks(tables[t], None, [(n, (c, None)) for n, c in specs]) for t, specs in UNIQUE.items()])
-    return (keys.groupBy("check", F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1))
+    """Values that must be unique but repeat: (check, key, n). A unique column
+    may hold several NULLs, so those aren't reported. One aggregation per
+    column on its own type, combined map-side; only repeats become text."""
+    return _union([
+        tables[t].filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        .select(F.lit(name).alias("check"), F.col(c).cast("string").alias("key"), "n")
+        for t, specs in UNIQUE.items() for name, c in specs])
 
 
 def dq_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
@@ -67,6 +69,7 @@ def dq_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 REQUIRED = {
+    "admins": ("admin_id", "email", "first_name", "last_name"),
     "items": ("item_id", "title", "price_ht", "tva_rate", "price_ttc"),
     "orders": ("order_id", "customer_id", "status", "total_ht", "total_ttc"),
     "order_items": ("order_item_id", "order_id", "item_id", "quantity", "unit_price_ht", "unit_price_ttc"),
@@ -98,6 +101,7 @@ def dq_domains(tables: dict[str, DataFrame]) -> DataFrame:
             ("payments.payment_method", ("payment_method", ~F.lower("payment_method").isin(*PAYMENT_METHODS)))]),
         "items": ("item_id", [("items.tva_rate", ("tva_rate", ~F.col("tva_rate").isin(*vat)))]),
         "customers": ("customer_id", [("customers.email", ("email", ~F.col("email").rlike(EMAIL_SHAPE)))]),
+        "admins": ("admin_id", [("admins.email", ("email", ~F.col("email").rlike(EMAIL_SHAPE)))]),
     }
     return _union([_checks(tables[t], key, checks) for t, (key, checks) in specs.items()]).filter("bad").drop("bad")
 
@@ -107,8 +111,9 @@ def dq_reconcile(tables: dict[str, DataFrame]) -> DataFrame:
 
     payment amount vs order TTC; invoice HT/TTC vs order; invoice VAT vs
     TTC - HT; order TTC vs sum of line totals, within 0.01 per line (lines
-    are cast after multiplying, order totals sum rounded lines). One join of
-    each child table with the orders."""
+    are cast after multiplying, order totals sum rounded lines; an order
+    without lines should total 0). One join of each child table with the
+    orders."""
     money = "decimal(22,2)"
     t = tables
     o = t["orders"].select("order_id", F.col("total_ht").alias("o_ht"), F.col("total_ttc").alias("o_ttc"))
@@ -126,9 +131,10 @@ def dq_reconcile(tables: dict[str, DataFrame]) -> DataFrame:
         ("invoice.total_tva", F.col("total_ttc") - F.col("total_ht"), F.col("total_tva"))])
     lines = t["order_items"].groupBy("order_id").agg(F.sum("line_total_ttc").alias("s"),
                                                      F.count(F.lit(1)).alias("n"))
-    tol = F.col("n").cast("decimal(20,0)") * F.lit(Decimal("0.01"))
-    ln = o.join(lines, "order_id").filter(F.abs(F.col("s") - F.col("o_ttc")) > tol).select(
-        F.lit("order.lines_ttc").alias("check"), "order_id", F.col("s").cast(money).alias("expected"),
+    s, n = F.coalesce("s", F.lit(Decimal("0.00"))), F.coalesce("n", F.lit(0))
+    tol = n.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    ln = o.join(lines, "order_id", "left").filter(F.abs(s - F.col("o_ttc")) > tol).select(
+        F.lit("order.lines_ttc").alias("check"), "order_id", s.cast(money).alias("expected"),
         F.col("o_ttc").cast(money).alias("actual"))
     return _union([pay, inv, ln])
 

@@ -29,8 +29,14 @@ def _chunk(df: DataFrame, by: list[str], first_order: str, width: int) -> DataFr
     input already happens to be partitioned by the key alone (after a join
     on it), Spark would otherwise accept that layout for the window and keep
     a hot key in one task."""
-    d = df.withColumn("__chunk", F.floor(F.col(first_order) / F.lit(width)).cast("bigint"))
-    return d.repartition(*by, "__chunk")
+    return _with_chunk(df, first_order, width).repartition(*by, "__chunk")
+
+
+def _with_chunk(df: DataFrame, first_order: str, width: int) -> DataFrame:
+    """Rows whose first ordering column is NULL come first: their own chunk
+    before all others."""
+    chunk = F.floor(F.col(first_order) / F.lit(width)).cast("bigint")
+    return df.withColumn("__chunk", F.coalesce(chunk, F.lit(-(1 << 63)).cast("bigint")))
 
 
 def prior_sum(df: DataFrame, by: list[str], order: list[str], value: str | Column, out: str = "prior",
@@ -38,10 +44,13 @@ def prior_sum(df: DataFrame, by: list[str], order: list[str], value: str | Colum
     """Adds ``out`` = sum of ``value`` over earlier rows of the same key
     (rows unbounded preceding .. 1 preceding, by ``order``); 0 for the first."""
     val = F.col(value) if isinstance(value, str) else value
-    d = _chunk(df.withColumn("__v", val), by, order[0], width)
+    rows = df.withColumn("__v", val)
+    d = _chunk(rows, by, order[0], width)
     local = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__local", F.coalesce(F.sum("__v").over(local), F.lit(0)))
-    totals = d.groupBy(*by, "__chunk").agg(F.sum("__v").alias("__t"))
+    # from the rows as they come, not as dealt out above: totals are combined
+    # map-side and only they are shuffled
+    totals = _with_chunk(rows, order[0], width).groupBy(*by, "__chunk").agg(F.sum("__v").alias("__t"))
     carry = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__chunk", F.coalesce(F.sum("__t").over(carry), F.lit(0)).alias("__off"))
     return (d.join(offsets, [*by, "__chunk"])
@@ -55,7 +64,7 @@ def previous_value(df: DataFrame, by: list[str], order: list[str], value: str, o
     d = _chunk(df, by, order[0], width)
     local = Window.partitionBy(*by, "__chunk").orderBy(*order)
     d = d.withColumn("__lag", F.lag(value).over(local)).withColumn("__first", F.row_number().over(local) == 1)
-    last = d.groupBy(*by, "__chunk").agg(
+    last = _with_chunk(df, order[0], width).groupBy(*by, "__chunk").agg(
         F.max_by(F.col(value), F.struct(*[F.col(o) for o in order])).alias("__last"))
     carry = Window.partitionBy(*by).orderBy("__chunk")
     before = last.select(*by, "__chunk", F.lag("__last").over(carry).alias("__carry"))

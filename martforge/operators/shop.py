@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..fixed import CONFIRMED, DELETED_ITEM_LABEL, REORDER_TOP_K
 from ..functions import cart as cartf
 from ..functions.columns import dmy, eur, order_status_label, short_title, ttc_from_ht_exact
-from .skew import join_dim
 
 TOTAL = "decimal(20,2)"  # money of a line or a cart
 
@@ -25,15 +24,12 @@ def _confirmed(orders: DataFrame) -> DataFrame:
 
 
 def with_lines(head: DataFrame, lines: DataFrame, key: str = "order_id") -> DataFrame:
-    """``head LEFT JOIN lines`` written skew-safe: the lines join their head
-    with ``join_dim`` (the head side may be the bucketed orders table, where
-    AQE cannot split a hot order: its lines meet a broadcast copy of its head
-    row instead) plus the heads without any line (anti join against the
-    distinct keys, which collapse map-side). A plain left outer join would
-    buffer a hot order's lines on its non-splittable side."""
-    matched = join_dim(lines, head, key)
+    """``head LEFT JOIN lines``, as the inner join plus the heads without any
+    line: AQE splits a hot order's lines in an inner join of two shuffles (an
+    outer join can't be split on its outer side's partner), and the anti
+    join's distinct keys collapse map-side."""
     bare = head.join(lines.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(bare, allowMissingColumns=True)
+    return lines.join(head, key).unionByName(bare, allowMissingColumns=True)
 
 
 def catalog_in_stock(items: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def publish(spark: SparkSession, df: DataFrame, name: str, root: str | None = No
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
         key, n = bucket_by
+        # one task per bucket, by the hash the buckets use: at most n files
+        writer = df.repartition(n, key).write.mode("overwrite").format("parquet")
         physical = f"{ns}.{table}__slot{slot}"
         spark.sql(f"DROP TABLE IF EXISTS {physical}")
         writer.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(physical)

@@ -41,25 +41,10 @@ def _run_all(spark: SparkSession, jobs: dict, retries: int, delay_s: float, work
         return {name: f.result() for name, f in futures.items()}  # re-raises the first failure
 
 
-# Only the one-row-per-order family is stored bucketed (by order_id):
-# payments and invoices meet orders without any exchange, and the marts'
-# per-order line totals are shuffled once to meet the bucketed orders. These
-# are key-to-key joins, so no bucket can hold a hot key. Dimensions that
-# skewed facts join *into* (customers, items) and the lines stay unbucketed:
-# both sides of those joins are shuffles, which is what lets AQE split a hot
-# customer's or item's partition.
-DWH_BUCKET_KEYS = {"orders": "order_id", "payments": "order_id", "invoices": "order_id"}
-
-
-def dwh_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def load_jobs(spark: SparkSession, root: str | None):
-    n = dwh_buckets(spark)
-    def bucket(t):
-        return (DWH_BUCKET_KEYS[t], n) if t in DWH_BUCKET_KEYS else None
-    return {t: (lambda t=t, fn=fn: rebuild_table(spark, f"dwh.{t}", [f"staging.{t}"], fn, root, bucket_by=bucket(t)))
+    """Cleaned tables are stored unbucketed: both sides of every join into
+    them are then shuffles, which lets AQE split a hot order or customer."""
+    return {t: (lambda t=t, fn=fn: rebuild_table(spark, f"dwh.{t}", [f"staging.{t}"], fn, root))
             for t, fn in dwh.LOADS.items()}
 
 

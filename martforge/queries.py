@@ -22,12 +22,14 @@ from .operators import orders as orderops
 from .operators import staging as stg
 from .plans import catalog as cat
 from .plans import refresh as refr
-from .session import checkpoint_dir, configure
+from .session import RUNTIME_PERF_CONF, checkpoint_dir, configure, ship_package
 from .sources import cdc
 from .sources import testdata as td
 from .streaming.cart_state import cart_state_stream
 from .streaming.cdc_stream import start_cdc_stream
 
+# Arrivals per chunk of running values: many chunks per key on every input.
+RUN_WIDTH = 4096
 AS_OF = "1997-01-01"  # fixed as-of date for compared runs (oracle uses the same)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +129,18 @@ def q_schema_evolve(spark, sf_dir):
     return stg.merge_latest(stg.latest_per_key(first.drop("props")), later)
 
 
+@register("cdc_bad_records")
+def q_cdc_bad_records(spark, sf_dir):
+    """Change records of which some are cut off and some hold text where a
+    number belongs: those that can't be decoded, with their offsets, beside
+    the decoded and unwrapped ones."""
+    wire = td.spoiled_wire(spark, sf_dir)
+    decoded = cdc.decode(wire, td.EVENT_ROW, bad="mark")
+    good = cdc.unwrap(decoded.filter(F.col(cdc.BAD).isNull()).drop(cdc.BAD))
+    return (decoded.filter(F.col(cdc.BAD).isNotNull()).select("offset", F.lit("rejected").alias("outcome"))
+            .unionByName(good.select("offset", F.lit("decoded").alias("outcome"))))
+
+
 @register("cdc_snapshot_then_stream")
 def q_snapshot_then_stream(spark, sf_dir):
     """Initial copy of customers (op r rows) followed by the change log, both
@@ -244,7 +258,7 @@ def q_checkout_summary(spark, sf_dir):
 def _allocation(spark, sf_dir):
     reqs = td.order_requests(spark, sf_dir)
     items = dwh_table(spark, sf_dir, "items")
-    return reqs, items, orderops.allocate_orders(reqs, items)
+    return reqs, items, orderops.allocate_orders(reqs, items, width=RUN_WIDTH)
 
 
 @register("allocate_orders")
@@ -392,6 +406,9 @@ def q_cart_state_stream(spark, sf_dir):
     def sink(df, batch_id):
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
 
+    # the state store that transformWithState needs
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", RUNTIME_PERF_CONF["spark.sql.streaming.stateStore.providerClass"])
+    ship_package(spark)
     stream = spark.readStream.schema(actions.schema).parquet(os.path.join(base, "in"))
     q = (cart_state_stream(stream, dwh_table(spark, sf_dir, "items")).writeStream.outputMode("update")
          .foreachBatch(sink).option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True)

@@ -150,6 +150,7 @@ def materialise(df, name: str):
     """Write ``df`` as Parquet into the shared scratch folder and read it
     back: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ source with the same columns: topic, key, value, offset).
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +56,53 @@ def cdc_source(spark: SparkSession, fmt: str = "kafka", path: str | None = None,
     return df
 
 
-def decode(df: DataFrame, row: T.StructType, value_col: str = "value") -> DataFrame:
+BAD = "__bad"
+_CORRUPT = "__corrupt"
+
+
+def decode(df: DataFrame, row: T.StructType, value_col: str = "value", bad: str = "fail") -> DataFrame:
     """JSON value with schema envelope -> ``value`` struct(before, after, op, ts_ms, source).
 
     A NULL value (tombstone) stays NULL; the key (JSON without schema) is kept
-    as text.
+    as text. A record that can't be decoded -- broken JSON, a field of another
+    type, no payload -- stops the job (``bad="fail"``) or is kept with its text
+    in ``__bad`` (``bad="mark"``), never passed off as a tombstone.
     """
-    parsed = F.from_json(F.col(value_col), wire_schema(row))
-    return df.withColumn(value_col, parsed.getField("payload"))
+    wire = T.StructType([*wire_schema(row).fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    out = df.withColumn("__parsed", F.from_json(F.col(value_col), wire, options))
+    parsed = F.col("__parsed")
+    is_bad = F.col(value_col).isNotNull() & (parsed.isNull() | parsed.getField(_CORRUPT).isNotNull() | parsed.getField("payload").isNull())
+    if bad == "fail":
+        message = F.concat(F.lit("undecodable change record: "), F.substring(F.col(value_col), 1, 200))
+        value = F.when(is_bad, F.raise_error(message)).otherwise(parsed.getField("payload"))
+        return out.withColumn(value_col, value).drop("__parsed")
+    out = out.withColumn(BAD, F.when(is_bad, F.col(value_col)))
+    return out.withColumn(value_col, F.when(F.col(BAD).isNull(), parsed.getField("payload"))).drop("__parsed")
+
+
+# Type names of the envelope's own schema, as the capture tool declares them.
+_DECLARED = {"int16": "int", "int32": "int", "int64": "bigint", "float32": "float", "float": "float", "double": "double",
+             "boolean": "boolean", "string": "string"}
+
+
+def evolved_row(df: DataFrame, row: T.StructType, value_col: str = "value") -> T.StructType:
+    """``row`` plus the columns that the records' row images bring and it
+    lacks, with the types that a record's envelope declares (text if none
+    does). Collects column names only."""
+    after = F.get_json_object(value_col, "$.payload.after")
+    names = df.select(F.explode(F.json_object_keys(after)).alias("name")).distinct().collect()
+    new = sorted({r["name"] for r in names} - set(row.fieldNames()))
+    if not new:
+        return row
+    declared = {}
+    for name in new:  # one record that has the column
+        spec = df.filter(F.array_contains(F.json_object_keys(after), name)).select(F.get_json_object(value_col, "$.schema.fields")).first()
+        for side in json.loads(spec[0]) if spec and spec[0] else []:
+            if isinstance(side, dict) and side.get("field") == "after":
+                declared.update({f.get("field"): _DECLARED.get(f.get("type"), "string") for f in side.get("fields", [])})
+    more = T.StructType.fromDDL(", ".join(f"`{n}` {declared.get(n, 'string')}" for n in new))
+    return T.StructType([*row.fields, *more.fields])
 
 
 def unwrap(df: DataFrame, value_col: str = "value") -> DataFrame:

@@ -257,6 +257,16 @@ def change_wire(spark, sf_dir) -> DataFrame:
     return env.select("topic", "key", wire.alias("value"), "offset")
 
 
+def spoiled_wire(spark, sf_dir) -> DataFrame:
+    """``change_wire`` with some records cut off (offset % 7 = 1) and some
+    with text in place of the id (offset % 7 = 3)."""
+    wire = change_wire(spark, sf_dir)
+    cut = F.substring("value", 1, 40)
+    mistyped = F.regexp_replace("value", r'"id":-?\d+', '"id":"abc"')
+    value = F.when(F.col("offset") % 7 == 1, cut).when(F.col("offset") % 7 == 3, mistyped).otherwise(F.col("value"))
+    return wire.withColumn("value", value)
+
+
 def confirmation_requests(spark, sf_dir) -> DataFrame:
     """(order_id, customer_id) page requests: every order asked for by its
     owner and by the next customer id (which the owner check must refuse)."""

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.staging import latest_per_key, merge_latest
+from ..operators.staging import DEFAULT_ORDER, latest_per_key, merge_latest
 from ..plans.catalog import ensure_namespaces, publish, table_exists
 from ..plans.refresh import refresh
 from ..fixed import REFRESH_PERIOD
 from ..schemas import STAGING_TABLES, row_schema
 from ..session import checkpoint_dir
-from ..sources.cdc import decode, route, unwrap
+from ..sources.cdc import BAD, decode, evolved_row, route, unwrap
 
 
 def staging_buckets(spark: SparkSession) -> int:
@@ -38,10 +38,16 @@ def staging_buckets(spark: SparkSession) -> int:
 
 
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
-                 tables=STAGING_TABLES, schemas: dict | None = None) -> list[str]:
+                 tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
+                 batch_id: int = 0) -> list[str]:
     """Merge one batch of raw change records (topic, key, value, offset) into
     staging.<table>. Returns the tables touched.
 
+    Columns that the records bring and the table lacks are added. A record
+    that can't be decoded stops the batch; with ``dead_letters`` (a folder) it
+    is written there instead, as Parquet per table and batch (topic, key,
+    offset, record), a replayed batch over its own earlier files.
+
     Staging versions are bucketed by ``id``: the full outer join of the
     merge shuffles only the batch, never the (large) current table."""
     ensure_namespaces(spark)
@@ -50,8 +56,14 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
         # at most len(tables) names: the whitelist bounds this collect
         present = sorted(r["table"] for r in routed.select("table").distinct().collect())
         for t in present:
-            row = (schemas or {}).get(t) or row_schema(t)
-            changes = unwrap(decode(routed.filter(F.col("table") == t), row)).select(
+            records = routed.filter(F.col("table") == t)
+            row = evolved_row(records, (schemas or {}).get(t) or row_schema(t))
+            decoded = decode(records, row, bad="mark" if dead_letters else "fail")
+            if dead_letters:
+                (decoded.filter(F.col(BAD).isNotNull()).select("topic", "key", "offset", F.col(BAD).alias("record"))
+                 .write.mode("overwrite").parquet(os.path.join(dead_letters, f"table={t}", f"batch={batch_id}")))
+                decoded = decoded.filter(F.col(BAD).isNull())
+            changes = unwrap(decoded).select(
                 *row.fieldNames(), "__op", "__ts_ms", "__source_ts_ms", "__deleted", "offset")
             target = f"staging.{t}"
             merged = merge_latest(spark.table(target), changes) if table_exists(spark, target) \
@@ -65,14 +77,14 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
 def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None = None,
                      checkpoint: str | None = None, trigger: str | None = REFRESH_PERIOD,
                      available_now: bool = False, refresh_after: bool = False, as_of=None,
-                     tables=STAGING_TABLES, schemas: dict | None = None,
+                     tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
                      query_name: str = "cdc_to_staging") -> StreamingQuery:
     """Start the ingest stream. ``checkpoint`` defaults to a folder under the
     session's shared ``spark.checkpoint.dir``."""
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = ingest_batch(spark, batch, root, tables, schemas)
+        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id)
         if refresh_after and touched:
             refresh(spark, root=root, as_of=as_of)
 
@@ -81,19 +93,34 @@ def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None =
     return writer.start()
 
 
+def _has_offsets(spark: SparkSession, checkpoint: str) -> bool:
+    """Has a stream with this checkpoint planned a batch before?"""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "offsets"))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(path) and any(not s.getPath().getName().startswith(".") for s in fs.listStatus(path))
+
+
 def snapshot_then_stream(spark: SparkSession, snapshot: dict, source: DataFrame, root: str | None = None,
                          checkpoint: str | None = None, **stream_options) -> StreamingQuery:
     """Initial copy first, then increments: publish each snapshot table
     (row images) as op ``r`` staging rows ordered before every change, then
     start the change stream, which merges into them. Start the source at the
-    offsets recorded when the snapshot was taken (kafka ``startingOffsets``)."""
+    offsets recorded when the snapshot was taken (kafka ``startingOffsets``).
+
+    The copy is taken only when the stream has no offsets yet: a restart from
+    its checkpoint goes on with the increments. A target that already exists
+    is merged with the copy, not replaced."""
     ensure_namespaces(spark)
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), stream_options.get("query_name", "cdc_to_staging"))
     n = staging_buckets(spark)
-    for table, rows in snapshot.items():
+    for table, rows in ({} if _has_offsets(spark, checkpoint) else snapshot).items():
         snap = (rows.withColumn("__op", F.lit("r")).withColumn("__deleted", F.lit("false"))
                 .withColumn("offset", F.lit(-1).cast("long")))
         for c in ("__ts_ms", "__source_ts_ms"):
             if c not in snap.columns:
                 snap = snap.withColumn(c, F.lit(None).cast("long"))
-        publish(spark, snap, f"staging.{table}", root, bucket_by=("id", n))
+        order = DEFAULT_ORDER
+        target = f"staging.{table}"
+        copy = merge_latest(spark.table(target), snap, order=order) if table_exists(spark, target) else latest_per_key(snap, order=order)
+        publish(spark, copy, target, root, bucket_by=("id", n))
     return start_cdc_stream(spark, source, root=root, checkpoint=checkpoint, **stream_options)

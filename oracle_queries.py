@@ -238,6 +238,8 @@ SELECT id, value, CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE pro
        __op, __ts_ms, __source_ts_ms, __deleted, "offset" FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
   FROM stg_change_log) WHERE rn = 1""")
+oracle("cdc_bad_records", ("stg_change_log",), """
+SELECT "offset", CASE WHEN "offset" % 7 IN (1, 3) THEN 'rejected' ELSE 'decoded' END AS outcome FROM stg_change_log""")
 oracle("cdc_snapshot_then_stream", ("stg_customers", "stg_change_log"), """
 SELECT id, email, __ts_ms, __source_ts_ms, value, props, __op, __deleted, "offset" FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC NULLS LAST, "offset" DESC) AS rn
@@ -370,7 +372,7 @@ SELECT order_id, CAST(total_ttc AS DECIMAL(20,2)) AS amount, 'COMPLETED' AS stat
 FROM order_totals""")
 ISSUED = "TIMESTAMP '2024-06-30 10:00:00'"
 oracle("derive_invoices", ("order_totals",), f"""
-SELECT order_id, 'INV-' || strftime({ISSUED}, '%Y%m%d') || '-' || substr({HEX}, 1, 6) AS invoice_number,
+SELECT order_id, 'INV-' || strftime({ISSUED}, '%Y%m%d') || '-' || printf('%06X', order_id) AS invoice_number,
        {ISSUED} AS issued_at, {ISSUED} + INTERVAL 30 DAY AS due_date,
        CAST(total_ht AS DECIMAL(20,2)) AS total_ht, CAST(round(total_ttc - total_ht, 2) AS DECIMAL(20,2)) AS total_tva,
        CAST(total_ttc AS DECIMAL(20,2)) AS total_ttc
@@ -425,8 +427,10 @@ SELECT event_id AS arrival, lower('Customer#' || lpad(CAST(user_id * 13 AS VARCH
        ' ' AS phone, CAST(NULL AS VARCHAR) AS address
 FROM events WHERE event_type = 'signup'""")
 oracle("profile_normalise", ("candidates",), """
-SELECT arrival, trim(first_name, ' ') AS first_name, trim(last_name, ' ') AS last_name,
-       nullif(trim(phone, ' '), '') AS phone, nullif(trim(address, ' '), '') AS address FROM candidates""")
+WITH b AS (SELECT string_agg(chr(i::INTEGER), '') AS ws FROM (SELECT unnest(
+  [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]) AS i))
+SELECT arrival, trim(first_name, ws) AS first_name, trim(last_name, ws) AS last_name,
+       nullif(trim(phone, ws), '') AS phone, nullif(trim(address, ws), '') AS address FROM candidates, b""")
 oracle("register_new_customers", ("candidates", "dwh_customers"), """
 SELECT email, first_name, last_name, nullif(phone, '') AS phone, nullif(address, '') AS address, arrival FROM (
   SELECT c.*, row_number() OVER (PARTITION BY email ORDER BY arrival) AS rn FROM candidates c
@@ -486,7 +490,7 @@ _UNIQUE = (("customers.email", "dwh_customers", "email"), ("admins.email", "dwh_
            ("payments.order_id", "dwh_payments", "order_id"), ("invoices.order_id", "dwh_invoices", "order_id"),
            ("order_items.order_item_id", "dwh_order_items", "order_item_id"))
 oracle("dq_unique", _ALL_DWH, "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS \"check\", CAST({c} AS VARCHAR) AS \"key\", count(*) AS n FROM {t} GROUP BY {c} HAVING count(*) > 1"
+    f"SELECT '{n}' AS \"check\", CAST({c} AS VARCHAR) AS \"key\", count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1"
     for n, t, c in _UNIQUE))
 _FK = (("orders.customer_id", "dwh_orders", "order_id", "customer_id", "dwh_customers", "customer_id"),
        ("order_items.order_id", "dwh_order_items", "order_item_id", "order_id", "dwh_orders", "order_id"),
@@ -498,6 +502,7 @@ oracle("dq_foreign_keys", _ALL_DWH, "\nUNION ALL\n".join(
     f"WHERE NOT EXISTS (SELECT 1 FROM {pt} p WHERE p.{pk} = c.{fk})"
     for n, ct, cid, fk, pt, pk in _FK))
 _REQUIRED = {
+    "admins": ("admin_id", "email", "first_name", "last_name"),
     "items": ("item_id", "title", "price_ht", "tva_rate", "price_ttc"),
     "orders": ("order_id", "customer_id", "status", "total_ht", "total_ttc"),
     "order_items": ("order_item_id", "order_id", "item_id", "quantity", "unit_price_ht", "unit_price_ttc"),
@@ -518,6 +523,8 @@ UNION ALL SELECT 'payments.payment_method', payment_id, payment_method FROM dwh_
 UNION ALL SELECT 'items.tva_rate', item_id, CAST(tva_rate AS VARCHAR) FROM dwh_items
  WHERE tva_rate NOT IN (0, 5.5, 10, 20)
 UNION ALL SELECT 'customers.email', customer_id, email FROM dwh_customers
+ WHERE NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')
+UNION ALL SELECT 'admins.email', admin_id, email FROM dwh_admins
  WHERE NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')""")
 oracle("dq_reconcile", _ALL_DWH, """
 SELECT "check", order_id, CAST(expected AS DECIMAL(22,2)) AS expected, CAST(actual AS DECIMAL(22,2)) AS actual FROM (
@@ -529,9 +536,10 @@ SELECT "check", order_id, CAST(expected AS DECIMAL(22,2)) AS expected, CAST(actu
   FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id WHERE v.total_ttc IS DISTINCT FROM o.total_ttc
   UNION ALL SELECT 'invoice.total_tva', v.order_id, v.total_ttc - v.total_ht, v.total_tva
   FROM dwh_invoices v JOIN dwh_orders o ON o.order_id = v.order_id WHERE v.total_tva IS DISTINCT FROM v.total_ttc - v.total_ht
-  UNION ALL SELECT 'order.lines_ttc', o.order_id, l.s, o.total_ttc
-  FROM dwh_orders o JOIN (SELECT order_id, sum(line_total_ttc) AS s, count(*) AS n FROM dwh_order_items GROUP BY 1) l
-    ON l.order_id = o.order_id WHERE abs(l.s - o.total_ttc) > l.n * CAST(0.01 AS DECIMAL(3,2)))""")
+  UNION ALL SELECT 'order.lines_ttc', order_id, s, total_ttc FROM (
+    SELECT o.order_id, o.total_ttc, (SELECT coalesce(sum(line_total_ttc), 0) FROM dwh_order_items l WHERE l.order_id = o.order_id) AS s,
+           (SELECT count(*) FROM dwh_order_items l WHERE l.order_id = o.order_id) AS n FROM dwh_orders o)
+  WHERE abs(s - total_ttc) > n * CAST(0.01 AS DECIMAL(3,2)))""")
 
 # --- whole pipeline runs -----------------------------------------------------------
 _MART_BODIES = {k: v for k, v in ORACLES.items() if k.startswith("mart_")}

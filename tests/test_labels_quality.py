@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import datetime as dt
 
 from martforge.operators import customers as custops
@@ -33,7 +35,7 @@ def _tables(spark):
     dec = "decimal(10,2)"
     customers = spark.createDataFrame([(1, "a@x.io", "A", "B"), (2, "a@x.io", "C", None), (3, "bad mail", "D", "E")],
                                       "customer_id long, email string, first_name string, last_name string")
-    admins = spark.createDataFrame([(1, "adm@x.io")], "admin_id long, email string")
+    admins = spark.createDataFrame([(1, "adm@x.io", "A", None), (2, "no mail", "B", "C")], "admin_id long, email string, first_name string, last_name string")
     items = spark.createDataFrame([(1, "t", 10.0, 20.0, 12.0), (2, "u", 10.0, 7.0, 10.7)],
                                   "item_id long, title string, price_ht double, tva_rate double, price_ttc double")
     items = items.selectExpr("item_id", "title", f"cast(price_ht as {dec}) price_ht",
@@ -69,12 +71,13 @@ def test_quality_checks(spark):
     assert fk == {("orders.customer_id", 11), ("order_items.order_id", 100), ("order_items.item_id", 100),
                   ("invoices.order_id", 2)}
     nn = {(r["table"], r["column"]): r["n_null"] for r in quality.dq_not_null(t).collect()}
+    assert nn[("admins", "last_name")] == 1 and nn[("admins", "email")] == 0
     assert nn[("customers", "last_name")] == 1 and nn[("orders", "status")] == 0
     dom = {(r["check"], r["id"]) for r in quality.dq_domains(t).collect()}
     assert dom == {("orders.status", 11), ("payments.payment_status", 2), ("payments.payment_method", 2),
-                   ("items.tva_rate", 2), ("customers.email", 3)}
+                   ("items.tva_rate", 2), ("customers.email", 3), ("admins.email", 2)}
     rec = {(r["check"], r["order_id"]) for r in quality.dq_reconcile(t).collect()}
-    assert rec == {("payment.amount", 10)}
+    assert rec == {("payment.amount", 10), ("order.lines_ttc", 11)}  # 11 has no lines
 
 
 def test_registration_and_profile(spark):
@@ -88,3 +91,23 @@ def test_registration_and_profile(spark):
     prof = custops.profile_normalise(cands).collect()
     by = {r["arrival"]: r for r in prof}
     assert by[3]["first_name"] == "A" and by[3]["phone"] is None and by[1]["phone"] is None
+
+
+def test_strip_takes_unicode_white_space(spark):
+    from martforge.operators.customers import profile_normalise
+    rows = [("\tAnn\n", "\u00a0Bo\u2003 x ", "\n\t", "a\u00a0b"), (None, "", " \u3000", "\x1cZ\x85")]
+    df = spark.createDataFrame(rows, "first_name string, last_name string, phone string, address string")
+    want = [tuple(None if v is None or (c > 1 and not v.strip()) else v.strip() for c, v in enumerate(r)) for r in rows]
+    assert [tuple(r) for r in profile_normalise(df).collect()] == want
+
+
+def test_invoice_numbers_are_unique_and_checks_ignore_nulls(spark):
+    from martforge.operators.orders import derive_invoices
+    from martforge.operators import quality
+    orders = spark.range(0, 30_000_000, 997).select(F.col("id").alias("order_id"), F.lit(1).cast("decimal(20,2)").alias("total_ht"),
+                                                    F.lit(2).cast("decimal(20,2)").alias("total_ttc"))
+    made = derive_invoices(orders, "2024-01-01 00:00:00")
+    assert made.select("invoice_number").distinct().count() == orders.count()
+    empty = spark.createDataFrame([(None, None), (None, None)], "email string, order_id long")
+    tables = {t: empty.selectExpr("email", "email as invoice_number", "order_id", "order_id as order_item_id") for t in quality.UNIQUE}
+    assert quality.dq_unique(tables).count() == 0

@@ -7,6 +7,7 @@ import random
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from martforge.operators import marts, orders as orderops, shop, staging as stg
@@ -102,18 +103,55 @@ def test_hot_item_allocation_has_no_unkeyed_window(spark):
     assert got[0] == 500   # 1000 requests for the hot item, stock 500
 
 
-def test_join_dim_equals_plain_join_with_hot_keys(spark):
-    from martforge.operators.skew import join_dim
-    fact = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"),
-                                    F.col("id").alias("v"))
-    dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("d"))  # keys 40..49 missing
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        want = sorted(tuple(r) for r in fact.join(dim, "k", how).collect())
-        got = sorted(tuple(r) for r in join_dim(fact, dim, "k", how, min_rows=100).select(
-            *fact.join(dim, "k", how).columns).collect())
-        assert got == want, how
-    p = plan_of(join_dim(fact, dim, "k", "inner", min_rows=100))
-    assert "BroadcastHashJoin" in p   # the hot key's rows meet a broadcast copy of its dimension row
+HOT = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.fixture()
+def hot_order(spark, tmpdir_):
+    """Published tables whose lines belong to one order by a third, written as
+    several files (one file is one map task, which AQE can't split)."""
+    lines = spark.range(0, 6000, 1, 8).select(
+        F.col("id").alias("order_item_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).alias("order_id"),
+        (F.col("id") * 7919 % 900).alias("item_id"), F.lit(1).alias("quantity"), F.lit(2).cast("decimal(10,2)").alias("unit_price_ttc"),
+        F.lit(2).cast("decimal(20,2)").alias("line_total_ht"), F.lit(2).cast("decimal(20,2)").alias("line_total_ttc"))
+    orders = spark.range(0, 400, 1, 4).select(
+        F.col("id").alias("order_id"), (F.col("id") % 50).alias("customer_id"), F.lit("confirmed").alias("status"),
+        F.lit(1).cast("decimal(10,2)").alias("total_ttc"), F.current_timestamp().alias("source_updated_at"))
+    items = spark.range(900).select(F.col("id").alias("item_id"), F.lit("t").alias("title"), F.lit(1).cast("decimal(10,2)").alias("price_ht"),
+                                    F.lit(1).cast("decimal(10,2)").alias("price_ttc"), F.lit(20).cast("decimal(5,2)").alias("tva_rate"), F.lit(5).alias("quantity"))
+    from martforge.plans import catalog
+    catalog.ensure_namespaces(spark)
+    for name, df in (("order_items", lines), ("orders", orders), ("items", items)):
+        catalog.publish(spark, df, f"dwh.hot_{name}", tmpdir_)
+    old = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    yield tuple(spark.table(f"dwh.hot_{t}") for t in ("orders", "order_items", "items"))
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("read", ["order_history", "revenue_by_item", "customer_reorders"])
+def test_hot_order_over_published_tables_is_split(hot_order, read):
+    orders, lines, items = hot_order
+    build = {"order_history": lambda: shop.order_history(orders, lines, items), "revenue_by_item": lambda: marts.revenue_by_item(items, lines, orders),
+             "customer_reorders": lambda: marts.customer_reorders(lines, orders, items)}[read]
+    assert "skew=true" in final_plan(build())
+
+
+def test_bucketed_version_has_a_file_per_bucket_at_most(spark, tmpdir_):
+    import glob
+    from martforge.plans import catalog
+    catalog.ensure_namespaces(spark)
+    path = catalog.publish(spark, spark.range(0, 10_000, 1, 8), "staging.many_tasks", tmpdir_, bucket_by=("id", 6))
+    assert len(glob.glob(path + "/part-*")) <= 6
 
 
 def test_prefix_sum_window_is_keyed_by_chunk(spark):

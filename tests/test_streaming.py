@@ -201,3 +201,50 @@ def test_cart_stream_matches_sequential_cookie(spark, tmpdir_, evs, stock):
             final[(r["cart_id"], r["item_id"])] = r["quantity"]
     got = {k: v for k, v in final.items() if v is not None}
     assert got == simulate_carts(rows, stock_d, t)          # as of the last action (the watermark)
+
+
+def test_new_columns_bad_records_and_types(spark, tmpdir_):
+    src, root, dead = (os.path.join(tmpdir_, d) for d in ("in", "wh", "dead"))
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")
+    declared = {"fields": [{"field": "after", "type": "struct", "fields": [{"field": "id", "type": "int64"}, {"field": "weight", "type": "double"}]}]}
+    plain = _wire("items", "c", None, _item(1, "a", 10.0, 5, 1000), 1000, 0)
+    brand = _wire("items", "c", None, {**_item(2, "b", 20.0, 3, 2000), "brand": "X", "weight": 1.5}, 2000, 1)
+    record = json.loads(brand["value"])
+    brand["value"] = json.dumps({**record, "schema": declared})
+    broken = {**_wire("items", "c", None, _item(3, "c", 1.0, 1, 3000), 3000, 2), "value": "{\"schema\": "}
+    mistyped = _wire("items", "c", None, {**_item(4, "d", 1.0, 1, 3000), "id": "abc"}, 3000, 3)
+    price = _wire("items", "u", None, {**_item(1, "a", 1.0, 1, 3000), "price_ht": "12,5"}, 4000, 4)
+    gone = _wire("items", None, None, None, 5000, 5)
+    _write(src, "b0.json", [plain])
+    _write(src, "b1.json", [brand, broken, mistyped, price, gone])
+    stream = cdc.cdc_source(spark, fmt="json", path=src, options={"maxFilesPerTrigger": 1})
+    start_cdc_stream(spark, stream, root=root, checkpoint=os.path.join(tmpdir_, "ckpt"), available_now=True, dead_letters=dead).awaitTermination()
+    got = {r["id"]: r for r in spark.table("staging.items").collect()}
+    assert set(got) == {1, 2} and got[1]["price_ht"] == 10.0
+    assert (got[2]["brand"], got[2]["weight"], got[1]["brand"]) == ("X", 1.5, None)
+    assert sorted(r["offset"] for r in spark.read.parquet(dead).collect()) == [2, 3, 4]
+
+
+def test_bad_records_stop_the_stream_by_default(spark, tmpdir_):
+    import pytest
+    catalog.ensure_namespaces(spark)
+    bad = {**_wire("items", "c", None, _item(3, "c", 1.0, 1, 3000), 3000, 2), "value": "{"}
+    _write(os.path.join(tmpdir_, "in"), "b0.json", [bad])
+    stream = cdc.cdc_source(spark, fmt="json", path=os.path.join(tmpdir_, "in"))
+    with pytest.raises(Exception, match="undecodable|failed"):
+        start_cdc_stream(spark, stream, root=os.path.join(tmpdir_, "wh"), checkpoint=os.path.join(tmpdir_, "ckpt"), available_now=True).awaitTermination()
+
+
+def test_restart_does_not_take_the_copy_again(spark, tmpdir_):
+    from martforge.streaming.cdc_stream import snapshot_then_stream
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")
+    src = os.path.join(tmpdir_, "in")
+    snap = spark.createDataFrame([_item(1, "snap", 10.0, 5, 1000)], td.staging_items(spark, SF_SMALL).select(*_item(1, "", 0.0, 0, 0)).schema)
+    for name, wire in (("b0.json", _wire("items", "c", None, _item(2, "new", 1.0, 1, 2000), 2000, 0)),
+                       ("b1.json", _wire("items", "u", None, _item(1, "live", 1.0, 1, 3000), 3000, 1))):
+        _write(src, name, [wire])
+        snapshot_then_stream(spark, {"items": snap}, cdc.cdc_source(spark, fmt="json", path=src), root=os.path.join(tmpdir_, "wh"),
+                             checkpoint=os.path.join(tmpdir_, "ckpt"), available_now=True).awaitTermination()
+    assert {r["id"]: r["title"] for r in spark.table("staging.items").collect()} == {1: "live", 2: "new"}
