@@ -20,11 +20,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ INDEX_MAGIC = 0x184D2A5D
 #: Compressed bytes at which a shard is closed; one document may exceed it.
 SHARD_BYTES = 8 << 20
 #: Pieces between blanks whose ids one worker keeps (bounds memory only).
-MAX_PIECES = 250_000
+MAX_PIECES = 1_000_000
 LONGEST_PIECE = 64
+OTHER_LETTERS = re.compile("[^\x00-\u012f\u0131-\u024f]")
+SIGNS = frozenset(".,;:!?")
 SEPARATOR = struct.pack("<I", FOOTER_MAGIC).decode("latin-1")
 
 
@@ -111,7 +113,9 @@ class Shard:
 class Encoder:
     """Ids of whole texts by the library. White space separates tokens in this
     kind of vocabulary, so a text's ids are those of its pieces between
-    blanks; the library encodes each piece once while it is kept."""
+    blanks; so does the change from a letter to a sign, other than the quote
+    of a contraction. The library encodes each piece once while it is kept, as
+    the bytes that go into the file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,19 +123,39 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
+
+    def pack(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids, of one call for all: a token belongs to the piece
+        in which it starts."""
+        whole = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(p) + 1 for p in pieces])
+        ids = np.array(whole.ids, "<u4")
+        ends = np.searchsorted(np.array([o[0] for o in whole.offsets], dtype=np.int64), starts)
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, text: str | None, end_id: int) -> bytes:
-        pieces = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        kept = self.kept
+        text = text or ""
+        # the vocabulary is of lower case (its special strings aren't); Latin letters change one by one
+        if "<|" not in text and not OTHER_LETTERS.search(text):
+            text = text.lower()
+        for space in "\n\t\r":
+            text = text.replace(space, " ")
+        pieces, kept = text.split(" "), self.kept
         if len(kept) > MAX_PIECES:
             kept.clear()
-        new = [p for p in set(pieces) if p not in kept]
-        rare = {}
-        for piece, got in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            (kept if len(piece) <= LONGEST_PIECE else rare)[piece] = got.ids
-        ids = chain.from_iterable(rare[p] if p in rare else kept[p] for p in pieces) if rare else chain.from_iterable(map(kept.__getitem__, pieces))
-        return np.fromiter(chain(ids, (end_id,)), "<u4").tobytes()
+        new = {p for p in pieces if p not in kept}
+        if new:
+            # a word and the sign that ends it, e.g. a comma, are two pieces
+            ended = {p for p in new if len(p) > 1 and p[-1] in SIGNS and p[-2] < "\u0250" and p[-2].isalpha()}
+            ask = list((new - ended) | {p[:-1] for p in ended if p[:-1] not in kept} | {s for s in SIGNS if s not in kept})
+            kept.update(zip(ask, self.pack(ask)))
+            for p in ended:
+                kept[p] = kept[p[:-1]] + kept[p[-1]]
+        out = b"".join(map(kept.__getitem__, pieces)) + struct.pack("<I", end_id)
+        for p in [p for p in new if len(p) > LONGEST_PIECE]:
+            del kept[p]
+        return out
 
 
 @lru_cache(maxsize=2)
