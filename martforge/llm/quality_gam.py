@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Labelled rows the model is fitted on, at most.
 MAX_TRAIN = 8000
 BINS = 32
@@ -185,6 +187,7 @@ def feature_column(text: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` labelled documents that aren't held out;
     only their features reach the driver."""
+    ship_package(docs.sparkSession)
     known = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.avg("quality").alias("share"))
              .select("doc_id", (F.col("share") >= 0.5).cast("double").alias("y"))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Characters of a chunk. Only bounds the working set; counts don't depend on it.
 CHUNK_CHARS = 1 << 16
 #: States that one worker keeps; what is needed beyond them is compiled each
@@ -355,6 +357,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     over_limit (n_tokens > ``limit``). A null text is empty: 0 bytes, 0
     tokens. Nothing is shuffled; repeated rows stay; a null doc_id stays
     null; other columns are ignored."""
+    ship_package(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return (docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text, path).alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > limit))
