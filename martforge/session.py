@@ -11,6 +11,7 @@ Two kinds of settings:
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -146,11 +147,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, batch_rows: int | None = None):
     """Write ``df`` as Parquet into the shared scratch folder and read it
-    back: cuts lineage in a way that survives lost executors."""
+    back: cuts lineage in a way that survives lost executors.
+
+    ``batch_rows``: rows of an Arrow batch while this runs, where rows are
+    wide. Afterwards the driver collects its garbage, so that Spark removes
+    the shuffle files of the finished job now and not at some later time."""
     spark = df.sparkSession
     ship_package(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, key = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    schema = df.schema
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
