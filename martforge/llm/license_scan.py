@@ -1,11 +1,12 @@
 """License scans: MinHash bands over overlapping windows, then containment.
 
-Windows of ``WINDOW`` five-word shingles start every half window. Each of
-``BANDS`` hash functions gives a window's minimum; a band is one minimum. A
-template (a license line or text) is cut the same way, and a document window
-that shares a band with a template window is a candidate. ``miss_bound``
-gives the probability that all bands of all windows over a template's text
-miss it. Candidates are settled exactly: the share of the template's shingles
+A window is two consecutive five-word shingles; one starts at each shingle.
+Each of ``BANDS`` hash functions gives a window's minimum; a band is one
+minimum. A template (a license line or text) is cut the same way, and a
+document window that shares a band with a template window is a candidate. A
+text that holds two consecutive shingles of a template has its window, and so
+all its bands; ``miss_bound`` gives the probability that a template of one
+shingle is missed. Candidates are settled exactly: the share of the template's shingles
 that the document holds around the window must reach ``CONTAINED``.
 
 DataFrame functions only; one narrow pass over the texts. The templates are a
@@ -27,8 +28,8 @@ from . import words as W
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 SHINGLE = 5
-WINDOW = 4
-BANDS = 12
+WINDOW = 2
+BANDS = 7
 CONTAINED = 0.8
 MAX_TEMPLATES = 1000
 
@@ -54,31 +55,23 @@ def words(text: Column) -> Column:
     return W.split_words(F.lower(text), SEPARATORS)
 
 
-def miss_bound(n_shingles: int, contained: float = CONTAINED, bands: int = BANDS, window: int = WINDOW) -> float:
-    """Upper bound of the probability that no band retrieves a template of
-    which ``contained`` of the shingles are there. Each of those shingles lies
-    in two document windows and two template windows; a band of a pair of
-    windows that share one shingle agrees with probability 1/(2 * window - 1)
-    at least (1/window for a template of one shingle)."""
-    there = max(1, int(contained * n_shingles))
-    union = window if n_shingles == 1 else 2 * window - 1
-    return (1 - 1 / union) ** (2 * bands * there)
+def miss_bound(n_shingles: int, bands: int = BANDS) -> float:
+    """Probability that no band retrieves a template of which CONTAINED of
+    the shingles are there. With two or more, two consecutive ones are: their
+    window is the template's. A single one is in two windows; it is the
+    minimum of neither with probability 1/3 (the smaller of three values
+    decides: both neighbours must be below it)."""
+    return 0.0 if n_shingles > 1 else (1 / 3) ** bands
+
+
+def _nth_hash(b: int):
+    return lambda x: F.xxhash64(x, F.lit(b))
 
 
 def _minima(df: DataFrame, bands: int, keep: list[str]) -> DataFrame:
     """Adds ``m0``, ``m1``, ...: the window minima of each hash function."""
-    half = WINDOW // 2
-
-    def low(b: int) -> Column:
-        """Minimum over each half window."""
-        def one(j: Column) -> Column:
-            first = F.get("gram_hashes", j * half)
-            return F.least(*[F.xxhash64(F.coalesce(F.get("gram_hashes", j * half + i), first) if i else first, F.lit(b)) for i in range(half)])
-        n = F.size("gram_hashes")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / half).cast("int")), one)).otherwise(F.array().cast("array<bigint>"))
-
-    df = df.select(*keep, *[low(b).alias(f"low{b}") for b in range(bands)])
-    return df.select(*keep, *[F.zip_with(f"low{b}", F.slice(f"low{b}", F.lit(2), F.size(f"low{b}")), lambda x, y: F.least(x, y)).alias(f"m{b}")
+    df = df.select(*keep, *[F.transform("gram_hashes", _nth_hash(b)).alias(f"h{b}") for b in range(bands)])
+    return df.select(*keep, *[F.zip_with(f"h{b}", F.slice(f"h{b}", F.lit(2), F.size(f"h{b}")), lambda x, y: F.least(x, y)).alias(f"m{b}")
                               for b in range(bands)])
 
 
@@ -112,7 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     bandings = spark.createDataFrame([(b, m, r.license) for r in rows for b in range(bands) for m in set(r[f"m{b}"])], "band int, minimum long, license string")
 
     def found(b: int) -> Column:
-        marked = F.transform(f"m{b}", lambda x, j: F.when(x.isin(values[b]), F.struct(F.lit(b).alias("band"), x.alias("minimum"), (j * (WINDOW // 2)).alias("at"))))
+        marked = F.transform(f"m{b}", lambda x, j: F.when(x.isin(values[b]), F.struct(F.lit(b).alias("band"), x.alias("minimum"), j.alias("at"))))
         return F.filter(marked, lambda x: x.isNotNull())
 
     texts = docs.select("doc_id", words(F.col("text")).alias("words"))
