@@ -9,11 +9,14 @@ else is done.
 
 Index lists are skipped by position: a pair counts only where the smaller set
 has the element within its index prefix, sizes fit, and what both still have
-after it can reach the overlap. Answers are skipped by set relation: equal
-sets are one set; then each list's sets are checked against one leader of the
-list, and a set that is linked to the leader takes over the leader's
-component. Only pairs that cross components are left to check, so a group of
-near copies costs about one check per member, not one per pair.
+after it can reach the overlap. Answers are derived by set relation: equal
+sets are one set. Each other set is compared once, in full, with an anchor:
+the leader of most of its lists. From then on it is known as what it lacks of
+the anchor and what it has beside it, two short lists, and the overlap of any
+two sets of one anchor follows exactly from their lists' overlaps. So a family
+of near copies is settled in blocks of FAMILY sets, without a row per pair,
+and not at all if all its sets are linked to the anchor. Only pairs of lists
+that cross anchors and components are left to compare in full.
 
 Defined results: a null text, or one without words, is an empty set linked
 with nothing; fewer words than ``n`` make one element; a null doc_id takes no
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,12 @@ from .components import components
 SEPARATORS = r"[\x20\x09-\x0D]"
 #: Share of the hash space whose elements are counted and come first.
 ZONE = 0.2
+#: Sets of an anchor that one task settles among themselves (two such blocks).
+FAMILY = 1024
+#: Rows of 16 bytes up to which a list of ids is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of whole sets.
+BATCH_ROWS = 1000
 _ZONE_END = np.int64(-2 ** 63 + int(ZONE * 2 ** 64))
 
 
@@ -81,19 +91,24 @@ def _describe(share: int):
             more = [s[len(z):max(len(z), int(prefix_length(len(s), share)))] if len(s) else s for s, z in zip(sets, zone)]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], pa.int64()),
+                "node": pa.array([_node(s) for s in sets], pa.int64()),
                 "zone": pa.array(zone, pa.list_(pa.int64())), "more": pa.array(more, pa.list_(pa.int64()))})
     return describe
 
 
+def _node(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _set_rows(batches):
     for batch in batches:
-        yield pa.record_batch({"node": batch.column("node"),
-                               "elements": pa.array([np.unique(x).tobytes() for x in _lists(batch.column("elements"))], pa.binary())})
+        sets = [np.unique(x) for x in _lists(batch.column("elements"))]
+        yield pa.record_batch({"node": batch.column("node"), "elements": pa.array([s.tobytes() for s in sets], pa.binary()),
+                               "right": pa.array([_node(s) == node for s, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())})
 
 
 def _verify(share: int):
-    """Keeps the pairs whose sets really reach the share."""
+    """Which pairs of sets really reach the share."""
     def verify(batches):
         for batch in batches:
             a, b = ([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in ("set_a", "set_b"))
@@ -102,19 +117,74 @@ def _verify(share: int):
     return verify
 
 
+def _differences(share: int):
+    """Each set (b) by its anchor (a): linked or not, and the elements it
+    lacks and has beside the anchor's."""
+    def compare(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in ("set_a", "set_b"))
+            lacks = [np.setdiff1d(x, y, assume_unique=True) for x, y in zip(a, b)]
+            beside = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(a, b)]
+            ok = [bool(enough(len(x) - len(d), len(x), len(y), share)) for x, y, d in zip(a, b, lacks)]
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(ok, pa.bool_()),
+                                   "size_a": pa.array([len(x) for x in a], pa.int64()), "size_b": pa.array([len(x) for x in b], pa.int64()),
+                                   "lacks": pa.array([d.tobytes() for d in lacks], pa.binary()), "beside": pa.array([d.tobytes() for d in beside], pa.binary())})
+    return compare
+
+
+def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the lists have in common."""
+    out = np.zeros((len(lists), len(lists)), np.int32)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    element = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, element[1:] != element[:-1]]) if len(element) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(element)]
+    for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        out[np.ix_(owner[lo:hi], owner[lo:hi])] += 1
+    return out
+
+
+def _family(share: int):
+    """Links among the sets of one anchor (two blocks of them): a star for each
+    of their components."""
+    def settle(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        lacks, beside = ([np.frombuffer(x, np.int64) for x in rows[c]] for c in ("lacks", "beside"))
+        node, size = rows["node"].to_numpy(), rows["size"].to_numpy()
+        d = np.array([len(x) for x in lacks])
+        common = rows["anchor_size"].to_numpy()[:, None] - d[:, None] - d[None] + _overlaps(lacks) + _overlaps(beside)
+        linked = enough(common, size[:, None], size[None], share)
+        left, out = np.ones(len(node), bool), []
+        while left.any():
+            first = int(left.argmax())
+            reached, edge = np.zeros(len(node), bool), [first]
+            reached[first] = True
+            while edge:
+                new = linked[edge].any(axis=0) & ~reached
+                reached |= new
+                edge = np.flatnonzero(new).tolist()
+            left &= ~reached
+            out += [(node[first], node[i]) for i in np.flatnonzero(reached) if i != first]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return settle
+
+
 def _across(share: int):
-    """Pairs of a list that cross components, with what position and size
-    rule out skipped. Rows come sorted by element; a list may span batches."""
-    def pairs_of(node, comp, size, at):
+    """Pairs of a list that cross components and anchors, with what position
+    and size rule out skipped. Rows come sorted by element; a list may span batches."""
+    def pairs_of(node, comp, anchor, size, at):
         order = np.argsort(size, kind="stable")
-        node, comp, size, at = node[order], comp[order], size[order], at[order]
+        node, comp, anchor, size, at = node[order], comp[order], anchor[order], size[order], at[order]
         left = size - at  # elements from this one on
         for lo in range(len(node)):
             if at[lo] >= index_length(size[lo], share):
                 continue  # not in the smaller set's index prefix
             hi = np.searchsorted(size, 100 * size[lo] // share, side="right")
             x = np.arange(lo + 1, hi)
-            x = x[(comp[x] != comp[lo])]
+            # the same component, or settled by the anchor
+            x = x[(comp[x] != comp[lo]) & (anchor[x] != anchor[lo]) & (anchor[x] != node[lo]) & (node[x] != anchor[lo])]
             x = x[enough(np.minimum(left[x], left[lo]), size[x], size[lo], share)]
             if len(x):
                 yield np.minimum(node[x], node[lo]), np.maximum(node[x], node[lo])
@@ -122,7 +192,7 @@ def _across(share: int):
     def across(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("element", "node", "comp", "size", "at")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("element", "node", "comp", "anchor", "size", "at")]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -146,19 +216,19 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     """(described, where): doc_id, size and node of each row of ``docs``, and
     (node, comp) of each node that is linked with another."""
     described = shingle_rows(docs, n, ["doc_id"]).mapInArrow(_describe(share), "doc_id long, size long, node long, zone array<long>, more array<long>")
-    described = materialise(described, "sets")
+    described = materialise(described, "sets", BATCH_ROWS)
+    rows = described.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
     # equal sets are one
-    one = described.where((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    kept = materialise(described.join(one, ["node", "doc_id"]).groupBy("node").agg(
-        F.first("size").alias("size"), F.first("zone").alias("zone"), F.first("more").alias("more")), "distinct-sets")
-    # how many sets hold an element of the zone, and (after all of those) of the rest
-    held = kept.select("node", F.explode_outer("zone").alias("element"))
-    rest = kept.select("node", F.explode_outer("more").alias("element"))
-    held = held.unionByName(rest).where(F.col("element").isNotNull())
-    shared = materialise(held.groupBy("element").agg(F.count("*").alias("held"), F.min("node").alias("leader")).where(F.col("held") > 1), "shared")
-    held = held.join(shared.select("element", "held"), "element")
+    one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first(F.size("zone")).alias("zoned"))
+    one = materialise(one, "distinct-sets")
+    # elements that different sets hold, in the zone and (after all of those) in the rest
+    held = rows.select("node", F.explode_outer("zone").alias("element")).unionByName(rows.select("node", F.explode_outer("more").alias("element")))
+    held = held.where(F.col("element").isNotNull())
+    shared = held.groupBy("element").agg(F.count("*").alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = materialise(shared.where(F.col("lo") != F.col("hi")).select("element", "held"), "shared")
+    held = materialise(held.join(shared, "element").distinct(), "held")
     mine = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((F.col("element") >= int(_ZONE_END)).alias("late"), "held", "element"))).alias("e"))
-    sized = mine.join(kept.select("node", "size", F.size("zone").alias("zoned")), "node")
+    sized = mine.join(one.select("node", "size", "zoned"), "node")
     # elements that only this set holds come first: they shorten what is left of the prefix
     alone = F.col("zoned") - F.size(F.filter("e", lambda x: ~x["late"]))
     sized = sized.select("node", "size", alone.alias("alone"), "e")
@@ -167,49 +237,66 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     listed = listed.select(F.col("x.element").alias("element"), "node", "size", (F.col("alone") + F.col("pos")).alias("at"), "p").where(F.col("at") < F.col("p")).drop("p")
     listed = materialise(listed, "lists")
 
+    # the anchor: leader of most of a set's lists
+    fits = 100 * F.least("size", "leader_size") >= share * F.greatest("size", "leader_size")
+    lead = listed.groupBy("element").agg(F.min(F.struct("node", "size")).alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1)
+    lead = materialise(lead.select("element", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "leaders")
+    near = listed.join(lead, "element").where(F.col("node") != F.col("leader")).withColumn("fits", fits.cast("int"))
+    near = near.groupBy("node", "leader").agg(F.sum("fits").alias("n")).where(F.col("n") > 0)
+    chosen = near.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("x"))
+    chosen = materialise(chosen.select("node", F.col("x.leader").alias("anchor"), F.col("x.n").alias("n")), "anchors")
+    # an anchor that is itself close to another hands its family on, once
+    onward = chosen.select(F.col("node").alias("anchor"), F.col("anchor").alias("onward"), F.col("n").alias("onward_n"))
+    anchored = chosen.join(onward, "anchor", "left")
+    anchored = anchored.select("node", F.when((F.col("onward_n") * 2 >= F.col("n")) & (F.col("onward") != F.col("node")), F.col("onward"))
+                               .otherwise(F.col("anchor")).alias("anchor"))
+    anchored = materialise(anchored, "anchored")
+
     def sets_of(nodes: DataFrame) -> DataFrame:
-        which = one.join(nodes.distinct(), "node", "left_semi")
-        texts = docs.select("doc_id", "text").join(materialise(which, "wanted"), "doc_id")
-        rows = shingle_rows(texts, n, ["node"]).mapInArrow(_set_rows, "node long, elements binary")
-        return rows
-
-    def check(pairs: DataFrame) -> DataFrame:
-        sa = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
-        sb = sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
-        return materialise(pairs.join(sa, "a").join(sb, "b").mapInArrow(_verify(share), "a long, b long, linked boolean"), "checked")
-
-    fits = (100 * F.least("size", "leader_size") >= share * F.greatest("size", "leader_size"))
-    sets, done, where = None, None, None
-    for turn, pick in enumerate((F.min, F.max)):
-        rows = listed if where is None else _with_comp(listed, where)
-        lead = rows.groupBy("element").agg(pick(F.struct("node", "size", *(["comp"] if where is not None else []))).alias("leader"), F.count("*").alias("members"))
-        lead = materialise(lead.where(F.col("members") > 1).select("element", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"),
-                                                                 *([F.col("leader.comp").alias("leader_comp")] if where is not None else [])), "leaders")
-        near = rows.join(lead, "element").where((F.col("node") != F.col("leader")) & fits)
-        if where is not None:
-            near = near.where(F.col("comp") != F.col("leader_comp"))
-        near = near.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if done is not None:
-            near = near.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        near = materialise(near, "candidates")
-        if sets is None:
-            sets = materialise(sets_of(listed.select("node")), "candidate-sets")
-        got = check(near)
-        done = got if done is None else done.unionByName(got)
-        where = materialise(components(done.where("linked").select("a", "b")), "components")
-    mixed = _with_comp(listed, where)
-    several = materialise(mixed.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("element"), "mixed")
-    mixed = mixed.join(several, "element", "left_semi")
-    rest = (mixed.repartition("element").sortWithinPartitions("element").select("element", "node", "comp", "size", "at")
-            .mapInArrow(_across(share), "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
-    got = check(materialise(rest, "candidates"))
-    where = components(done.unionByName(got).where("linked").select("a", "b"))
-    return described.select("doc_id", "size", "node"), materialise(where, "components")
-
-
-def _with_comp(listed: DataFrame, where: DataFrame) -> DataFrame:
-    joined = listed.join(where, "node", "left")
-    return joined.select("element", "node", "size", "at", F.coalesce("comp", "node").alias("comp"))
+        """The full sets of some nodes, from the text of one document each."""
+        which = materialise(one.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted")
+        texts = docs.select("doc_id", "text").join(small(which), "doc_id")
+        rows = shingle_rows(texts, n, ["node"]).mapInArrow(_set_rows, "node long, elements binary, right boolean")
+        # a doc_id that repeats with other texts gives their sets too; only the right one counts
+        return materialise(rows.where("right").select("node", "elements"), "full-sets", BATCH_ROWS)
+
+    def small(df: DataFrame) -> DataFrame:
+        """Two ids a row: broadcast up to BROADCAST_ROWS, else as planned."""
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Each pair (a, b) with both sets: b's goes to the place of a's, once."""
+        sa = sets.join(small(pairs.select("a").distinct()), F.col("node") == F.col("a")).select("a", F.col("elements").alias("set_a"))
+        sb = sets.join(small(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("elements").alias("set_b"))
+        return sb.join(sa, "a")
+
+    sets = sets_of(anchored.select("node").union(anchored.select("anchor")))
+    pairs = materialise(anchored.select(F.col("anchor").alias("a"), F.col("node").alias("b")), "anchor-pairs")
+    told = with_sets(pairs, sets).mapInArrow(
+        _differences(share), "a long, b long, linked boolean, size_a long, size_b long, lacks binary, beside binary")
+    told = materialise(told, "differences", BATCH_ROWS)
+    direct = told.where("linked").select("a", "b")
+    # families in which not every set is linked to the anchor
+    families = told.groupBy("a").agg(F.count("*").alias("members"), F.min("linked").alias("whole")).where(~F.col("whole") & (F.col("members") > 1))
+    families = families.select("a", F.ceil(F.col("members") / F.lit(FAMILY)).cast("int").alias("blocks"))
+    rows = told.join(materialise(families, "families"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("b").alias("node"),
+                       F.col("size_b").alias("size"), F.col("size_a").alias("anchor_size"), "lacks", "beside")
+    inner = materialise(rows.groupBy("a", "i", "j").applyInPandas(_family(share), "a long, b long"), "family-links")
+    where = materialise(components(direct.unionByName(inner)), "components")
+    # what is left crosses anchors and components
+    left = listed.join(where, "node", "left").join(anchored, "node", "left")
+    left = left.select("element", "node", "size", "at", F.coalesce("comp", "node").alias("comp"), F.coalesce("anchor", "node").alias("anchor"))
+    several = left.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("anchor").alias("first"), F.max("anchor").alias("last"))
+    several = materialise(several.where((F.col("lo") != F.col("hi")) & (F.col("first") != F.col("last"))).select("element"), "mixed")
+    left = left.join(several, "element", "left_semi")
+    rest = (left.repartition("element").sortWithinPartitions("element").select("element", "node", "comp", "anchor", "size", "at")
+            .mapInArrow(_across(share), "a long, b long").distinct())
+    rest = materialise(rest, "candidates")
+    got = with_sets(rest, sets_of(rest.select(F.col("a").alias("node")).union(rest.select("b")))).mapInArrow(_verify(share), "a long, b long, linked boolean")
+    found = direct.unionByName(inner).unionByName(materialise(got, "checked", BATCH_ROWS).where("linked").select("a", "b"))
+    return described.select("doc_id", "size", "node"), materialise(components(found), "components")
 
 
 def join(docs: DataFrame, share: int = 90, n: int = 3) -> DataFrame:
