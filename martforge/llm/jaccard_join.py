@@ -227,7 +227,9 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     shared = held.groupBy("element").agg(F.count("*").alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = materialise(shared.where(F.col("lo") != F.col("hi")).select("element", "held"), "shared")
     held = materialise(held.join(shared, "element").distinct(), "held")
-    mine = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((F.col("element") >= int(_ZONE_END)).alias("late"), "held", "element"))).alias("e"))
+    # the late ones by hash alone, the order that cut them to the prefix
+    late = F.col("element") >= int(_ZONE_END)
+    mine = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("held")).alias("held"), "element"))).alias("e"))
     sized = mine.join(one.select("node", "size", "zoned"), "node")
     # elements that only this set holds come first: they shorten what is left of the prefix
     alone = F.col("zoned") - F.size(F.filter("e", lambda x: ~x["late"]))

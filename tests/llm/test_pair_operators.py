@@ -45,6 +45,19 @@ def test_jaccard_groups_of_near_copies(make_docs, prose):
     assert got == want
 
 
+@pytest.mark.parametrize("share,n", [(90, 3), (80, 5)])
+def test_jaccard_of_short_texts_with_common_phrases(make_docs, share, n):
+    """Prefixes that the zone doesn't fill: the rest of their order counts."""
+    r = random.Random(8)
+    phrases = [[f"p{k}x{i}" for i in range(r.randrange(3, 9))] for k in range(30)]
+    rows = []
+    for k in range(3000):
+        words = [w for _ in range(2) for w in r.choice(phrases)] + [f"u{k // 2}x{i}" for i in range(r.randrange(3))]
+        rows.append((k, " ".join(words + [f"z{r.randrange(9)}"] * r.randrange(2))))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.join(make_docs(rows), share, n).collect()}
+    assert got == jaccard_components(rows, share, n)
+
+
 def test_jaccard_odd_rows(make_docs, odd_rows):
     rows = jaccard_join.join(make_docs(odd_rows), 90, 3).collect()
     assert len(rows) == len(odd_rows)
