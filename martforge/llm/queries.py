@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, ship_package
-from . import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_gam, substring_dedup, token_count, token_files, topk_search
+from . import (centroids, chat_format, decontaminate, jaccard_join, license_scan, mixing, packing, quality_gam, substring_dedup, token_count,
+               token_files, topk_search, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -180,3 +181,45 @@ def op3(spark, sf_dir):
 def op5(spark, sf_dir):
     """Documents with passages that other documents hold too."""
     return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
+PACK_END_ID = 1
+
+
+@register("op11_packing")
+def op11(spark, sf_dir):
+    """All documents packed into sequences of 2,048 tokens."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, PACK_END_ID))
+
+
+@register("op12_whitening")
+def op12(spark, sf_dir):
+    """Whitened embeddings, 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@register("op13_centroids")
+def op13(spark, sf_dir):
+    """Embeddings clustered around 8 centroids, 10 rounds."""
+    return centroids.digest(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64, scale: int = 1024) -> str:
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c
+  FROM (SELECT sha256('{seed}:' || vec_id::VARCHAR) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT r, k,
+  list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+  SELECT k, list(q ORDER BY j) AS c FROM (SELECT k, j, floor(sum(x[j]) / count(*)) AS q
+    FROM a{i} JOIN v USING (r), range(1, {dims + 1}) AS t(j) GROUP BY k, j) GROUP BY k) m USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (k)"""
+
+
+ORACLES["op13_centroids"] = _centroid_sql()
