@@ -11,7 +11,6 @@ Two kinds of settings:
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +47,10 @@ RUNTIME_PERF_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Shuffle files go when the query that wrote them has ended; a DataFrame that
+# is evaluated again writes them anew. No result depends on it.
+CLEANUP_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -56,9 +59,9 @@ STATIC_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings that results depend on to a session; its own
-    performance settings stay as they are."""
-    for key, value in SEMANTIC_CONF.items():
+    """Apply the settings that results depend on to a session, and the early
+    removal of shuffle files; its own performance settings stay as they are."""
+    for key, value in {**SEMANTIC_CONF, **CLEANUP_CONF}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -152,8 +155,7 @@ def materialise(df, name: str, batch_rows: int | None = None):
     back: cuts lineage in a way that survives lost executors.
 
     ``batch_rows``: rows of an Arrow batch while this runs, where rows are
-    wide. Afterwards the driver collects its garbage, so that Spark removes
-    the shuffle files of the finished job now and not at some later time."""
+    wide."""
     spark = df.sparkSession
     ship_package(spark)
     path, key = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -163,8 +165,16 @@ def materialise(df, name: str, batch_rows: int | None = None):
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
-    schema = df.schema
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+        if batch_rows:
+            spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables) -> None:
+    """Remove tables of ``materialise`` that nothing reads any more. A table
+    is one folder, named by the files that a plan over it alone reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
