@@ -35,6 +35,8 @@ SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Letters and digits of one code point in lower case. U+0130 isn't among
 #: them: it becomes two, and the second, no letter, would join the signs.
 SINGLE = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and len(c.lower()) == 1 and (c.isalpha() or c.isascii()))
+#: Pieces of these letters alone are one word each, to the vocabulary's model.
+WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 #: Pieces of other characters aren't lower-cased before the library does it.
 PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 
@@ -55,6 +57,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        spell = self.library.pre_tokenizer.pre_tokenize_str  # the model's spelling of a letter's bytes
+        self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0xDF, 0x250)) if WORD.fullmatch(c)}
         self._clear()
 
     def _clear(self) -> None:
@@ -67,20 +72,34 @@ class Encoder:
         """The library's ids of one text."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of single words, one after another, and where each one's end."""
+        ids, ends = [], []
+        for word in words:
+            ids += [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelling))]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.array(ends, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any pieces, by one call: a token belongs to the piece in which it starts."""
+        answer = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        begins = np.fromiter((o[0] for o in answer.offsets), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        return np.array(answer.ids, np.uint32), np.searchsorted(begins, ends)
+
     def _learn(self, pieces: list[str]) -> None:
         """Enter pieces that aren't in the table yet."""
+        words = list(filter(WORD.fullmatch, pieces))
+        others = [p for p in pieces if not WORD.fullmatch(p)] if len(words) < len(pieces) else []
         pools, bounds, n = [self.pool], [self.bounds], len(self.pool)
-        for lo in range(0, len(pieces), ASK):
-            some = pieces[lo:lo + ASK]
-            answer = self.library.encode(" ".join(some), add_special_tokens=False)
-            # a token belongs to the piece in which it starts
-            begins = np.fromiter((o[0] for o in answer.offsets), np.int64)
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            pools.append(np.array(answer.ids, np.uint32))
-            bounds.append(n + np.searchsorted(begins, ends))
-            n += len(begins)
-            self.chars += int(ends[-1]) + 7 * len(some)
-        self.rows.update(zip(pieces, range(len(self.rows), len(self.rows) + len(pieces))))
+        for known, encode in ((words, self._words), (others, self._pieces)):
+            for lo in range(0, len(known), ASK):
+                ids, ends = encode(known[lo:lo + ASK])
+                pools.append(ids)
+                bounds.append(n + ends)
+                n += len(ids)
+            self.rows.update(zip(known, range(len(self.rows), len(self.rows) + len(known))))
+        self.chars += sum(map(len, pieces)) + 8 * len(pieces)
         self.pool, self.bounds = np.concatenate(pools), np.concatenate(bounds)
 
     def _rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -20,17 +20,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .encoding import encoder
+
 # Fixed values of the Zstandard Seekable Format.
 SEEK_TABLE_MAGIC = 0x184D2A5E
 FOOTER_MAGIC = 0x8F92EAB1
@@ -40,11 +41,6 @@ CHECKSUM_FLAG = 0x80
 INDEX_MAGIC = 0x184D2A5D
 #: Compressed bytes at which a shard is closed; one document may exceed it.
 SHARD_BYTES = 8 << 20
-#: Pieces between blanks whose ids one worker keeps (bounds memory only).
-MAX_PIECES = 1_000_000
-LONGEST_PIECE = 64
-OTHER_LETTERS = re.compile("[^\x00-\u012f\u0131-\u024f]")
-SIGNS = frozenset(".,;:!?")
 SEPARATOR = struct.pack("<I", FOOTER_MAGIC).decode("latin-1")
 
 
@@ -108,77 +104,22 @@ class Shard:
         return np.frombuffer(plain, "<u4")
 
 
-# -- encoding ---------------------------------------------------------------
-
-class Encoder:
-    """Ids of whole texts by the library. White space separates tokens in this
-    kind of vocabulary, so a text's ids are those of its pieces between
-    blanks; so does the change from a letter to a sign, other than the quote
-    of a contraction. The library encodes each piece once while it is kept, as
-    the bytes that go into the file."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.kept: dict[str, bytes] = {}
-
-    def pack(self, pieces: list[str]) -> list[bytes]:
-        """Each piece's ids, of one call for all: a token belongs to the piece
-        in which it starts."""
-        whole = self.library.encode(" ".join(pieces), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(p) + 1 for p in pieces])
-        ids = np.array(whole.ids, "<u4")
-        ends = np.searchsorted(np.array([o[0] for o in whole.offsets], dtype=np.int64), starts)
-        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-
-    def encode(self, text: str | None, end_id: int) -> bytes:
-        text = text or ""
-        # the vocabulary is of lower case (its special strings aren't); Latin letters change one by one
-        if "<|" not in text and not OTHER_LETTERS.search(text):
-            text = text.lower()
-        for space in "\n\t\r":
-            text = text.replace(space, " ")
-        pieces, kept = text.split(" "), self.kept
-        if len(kept) > MAX_PIECES:
-            kept.clear()
-        new = {p for p in pieces if p not in kept}
-        if new:
-            # a word and the sign that ends it, e.g. a comma, are two pieces
-            ended = {p for p in new if len(p) > 1 and p[-1] in SIGNS and p[-2] < "\u0250" and p[-2].isalpha()}
-            ask = list((new - ended) | {p[:-1] for p in ended if p[:-1] not in kept} | {s for s in SIGNS if s not in kept})
-            kept.update(zip(ask, self.pack(ask)))
-            for p in ended:
-                kept[p] = kept[p[:-1]] + kept[p[-1]]
-        out = b"".join(map(kept.__getitem__, pieces)) + struct.pack("<I", end_id)
-        for p in [p for p in new if len(p) > LONGEST_PIECE]:
-            del kept[p]
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
+# -- writing ----------------------------------------------------------------
 
 def _shards(path: str, end_id: int, shard_bytes: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from pyspark import TaskContext
 
-        task, part, size, docs, enc = TaskContext.get().partitionId(), 0, 0, [], encoder(path)
+        task, part, size, docs = TaskContext.get().partitionId(), 0, 0, []
+        end = struct.pack("<I", end_id)
 
         def file():
             whole = build_shard(docs, task, part)  # the sink writes the last four bytes as its separator
             return pa.record_batch({"value": pa.array([whole[:-len(SEPARATOR)]], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                plain = enc.encode(text, end_id)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text"))):
+                plain = ids.astype("<u4", copy=False).tobytes() + end
                 docs.append((doc_id, plain))
                 size += len(plain) // 3  # about what it takes compressed
                 if size >= shard_bytes:
@@ -208,6 +149,11 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
 
+def _first(shards: DataFrame) -> DataFrame:
+    """Adds the ids in all shards before each (one row per shard)."""
+    return shards.withColumn("first", F.expr("coalesce(sum(n_ids) OVER (ORDER BY task, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+
+
 def read_directory(spark: SparkSession, folder: str) -> DataFrame:
     """One row per shard, from the seek tables alone: task, part, n_docs,
     n_ids, and ``first``: ids in all shards before it."""
@@ -219,7 +165,7 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
                                            "n_docs": pa.array([len(s.ids)], pa.int64()), "n_ids": pa.array([int(s.sizes[:, 1].sum()) // 4], pa.int64())})
 
     shards = _files(spark, folder).mapInArrow(summarise, "task int, part int, n_docs long, n_ids long")
-    return shards.withColumn("first", F.expr("coalesce(sum(n_ids) OVER (ORDER BY task, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    return _first(shards)
 
 
 def read_documents(spark: SparkSession, folder: str, wanted: list[int] | None = None) -> DataFrame:
@@ -246,10 +192,11 @@ def read_documents(spark: SparkSession, folder: str, wanted: list[int] | None =
 
 
 def digest(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    docs = read_documents(spark, folder).select(
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files,
+    which are read once."""
+    docs = materialise(read_documents(spark, folder).select(
         "doc_id", "task", "part", "local_start",
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    first = read_directory(spark, folder).select("task", "part", "first")
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "read-back")
+    first = _first(docs.groupBy("task", "part").agg(F.sum("n_tokens").alias("n_ids"))).select("task", "part", "first")
     return docs.join(first, ["task", "part"]).select(
         "doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
