@@ -14,8 +14,8 @@ sets are one set. Each other set is compared once, in full, with an anchor:
 the leader of most of its lists. From then on it is known as what it lacks of
 the anchor and what it has beside it, two short lists, and the overlap of any
 two sets of one anchor follows exactly from their lists' overlaps. So a family
-of near copies is settled in blocks of FAMILY sets, without a row per pair,
-and not at all if all its sets are linked to the anchor. Only pairs of lists
+of near copies is settled in blocks of FAMILY sets, without a row per pair: the
+sets that aren't linked to the anchor with each other and with the rest. Only pairs of lists
 that cross anchors and components are left to compare in full.
 
 Defined results: a null text, or one without words, is an empty set linked
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from . import words as W
 from .components import components
 
@@ -44,6 +44,8 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 ZONE = 0.2
 #: Sets of an anchor that one task settles among themselves (two such blocks).
 FAMILY = 1024
+#: Entries of an element's list in a block; each two blocks of a longer list meet.
+LIST = 1024
 #: Rows of 16 bytes up to which a list of ids is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch of whole sets.
@@ -172,11 +174,13 @@ def _family(share: int):
 
 
 def _across(share: int):
-    """Pairs of a list that cross components and anchors, with what position
-    and size rule out skipped. Rows come sorted by element; a list may span batches."""
-    def pairs_of(node, comp, anchor, size, at):
+    """Pairs of a part of a list that cross components and anchors, with what
+    position and size rule out skipped. Rows come sorted by part; a part may span
+    batches. In a part of two blocks only pairs across them count."""
+    def pairs_of(node, comp, anchor, size, at, own):
         order = np.argsort(size, kind="stable")
-        node, comp, anchor, size, at = node[order], comp[order], anchor[order], size[order], at[order]
+        node, comp, anchor, size, at, own = node[order], comp[order], anchor[order], size[order], at[order], own[order]
+        two = own.min() != own.max()
         left = size - at  # elements from this one on
         for lo in range(len(node)):
             if at[lo] >= index_length(size[lo], share):
@@ -186,13 +190,14 @@ def _across(share: int):
             # the same component, or settled by the anchor
             x = x[(comp[x] != comp[lo]) & (anchor[x] != anchor[lo]) & (anchor[x] != node[lo]) & (node[x] != anchor[lo])]
             x = x[enough(np.minimum(left[x], left[lo]), size[x], size[lo], share)]
+            x = x[own[x] != own[lo]] if two else x
             if len(x):
                 yield np.minimum(node[x], node[lo]), np.maximum(node[x], node[lo])
 
     def across(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("element", "node", "comp", "anchor", "size", "at")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "node", "comp", "anchor", "size", "at", "own")]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -227,6 +232,9 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     shared = held.groupBy("element").agg(F.count("*").alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = materialise(shared.where(F.col("lo") != F.col("hi")).select("element", "held"), "shared")
     held = materialise(held.join(shared, "element").distinct(), "held")
+    release(shared)
+    described, sets_written = materialise(described.select("doc_id", "size", "node"), "sizes"), described
+    release(sets_written)
     # the late ones by hash alone, the order that cut them to the prefix
     late = F.col("element") >= int(_ZONE_END)
     mine = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("held")).alias("held"), "element"))).alias("e"))
@@ -238,6 +246,7 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     listed = sized.select("node", "size", "alone", p.alias("p"), F.posexplode_outer("e").alias("pos", "x"))
     listed = listed.select(F.col("x.element").alias("element"), "node", "size", (F.col("alone") + F.col("pos")).alias("at"), "p").where(F.col("at") < F.col("p")).drop("p")
     listed = materialise(listed, "lists")
+    release(held)
 
     # the anchor: leader of most of a set's lists
     fits = 100 * F.least("size", "leader_size") >= share * F.greatest("size", "leader_size")
@@ -247,12 +256,14 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     near = near.groupBy("node", "leader").agg(F.sum("fits").alias("n")).where(F.col("n") > 0)
     chosen = near.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("x"))
     chosen = materialise(chosen.select("node", F.col("x.leader").alias("anchor"), F.col("x.n").alias("n")), "anchors")
+    release(lead)
     # an anchor that is itself close to another hands its family on, once
     onward = chosen.select(F.col("node").alias("anchor"), F.col("anchor").alias("onward"), F.col("n").alias("onward_n"))
     anchored = chosen.join(onward, "anchor", "left")
     anchored = anchored.select("node", F.when((F.col("onward_n") * 2 >= F.col("n")) & (F.col("onward") != F.col("node")), F.col("onward"))
                                .otherwise(F.col("anchor")).alias("anchor"))
     anchored = materialise(anchored, "anchored")
+    release(chosen)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """The full sets of some nodes, from the text of one document each."""
@@ -260,7 +271,9 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
         texts = docs.select("doc_id", "text").join(small(which), "doc_id")
         rows = shingle_rows(texts, n, ["node"]).mapInArrow(_set_rows, "node long, elements binary, right boolean")
         # a doc_id that repeats with other texts gives their sets too; only the right one counts
-        return materialise(rows.where("right").select("node", "elements"), "full-sets", BATCH_ROWS)
+        written = materialise(rows.where("right").select("node", "elements"), "full-sets", BATCH_ROWS)
+        release(which)
+        return written
 
     def small(df: DataFrame) -> DataFrame:
         """Two ids a row: broadcast up to BROADCAST_ROWS, else as planned."""
@@ -277,28 +290,43 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     told = with_sets(pairs, sets).mapInArrow(
         _differences(share), "a long, b long, linked boolean, size_a long, size_b long, lacks binary, beside binary")
     told = materialise(told, "differences", BATCH_ROWS)
-    direct = told.where("linked").select("a", "b")
-    # families in which not every set is linked to the anchor
-    families = told.groupBy("a").agg(F.count("*").alias("members"), F.min("linked").alias("whole")).where(~F.col("whole") & (F.col("members") > 1))
-    families = families.select("a", F.ceil(F.col("members") / F.lit(FAMILY)).cast("int").alias("blocks"))
-    rows = told.join(materialise(families, "families"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    release(sets, pairs)
+    direct = materialise(told.where("linked").select("a", "b"), "direct")
+    # families in which not every set is linked to the anchor: those sets meet
+    # each other and the linked ones, which needn't meet among themselves
+    apart = F.count_if(~F.col("linked"))
+    families = told.groupBy("a").agg(F.count("*").alias("members"), apart.alias("apart")).where((F.col("apart") > 0) & (F.col("members") > 1))
+    families = families.select("a", F.ceil((F.col("members") - F.col("apart")) / F.lit(FAMILY)).cast("int").alias("near"),
+                               F.ceil(F.col("apart") / F.lit(FAMILY)).cast("int").alias("far"))
+    near, far = F.col("near"), F.col("far")
+    rows = told.join(materialise(families, "families"), "a")
+    rows = rows.withColumn("block", F.when(F.col("linked"), F.pmod(F.xxhash64("b"), F.greatest(near, F.lit(1)))).otherwise(near + F.pmod(F.xxhash64("b"), far)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("linked"), near).otherwise(F.lit(0)), near + far - 1)))
     rows = rows.select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("b").alias("node"),
                        F.col("size_b").alias("size"), F.col("size_a").alias("anchor_size"), "lacks", "beside")
     inner = materialise(rows.groupBy("a", "i", "j").applyInPandas(_family(share), "a long, b long"), "family-links")
-    where = materialise(components(direct.unionByName(inner)), "components")
+    release(told)
+    where = components(direct.unionByName(inner))
     # what is left crosses anchors and components
     left = listed.join(where, "node", "left").join(anchored, "node", "left")
     left = left.select("element", "node", "size", "at", F.coalesce("comp", "node").alias("comp"), F.coalesce("anchor", "node").alias("anchor"))
     several = left.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("anchor").alias("first"), F.max("anchor").alias("last"))
     several = materialise(several.where((F.col("lo") != F.col("hi")) & (F.col("first") != F.col("last"))).select("element"), "mixed")
     left = left.join(several, "element", "left_semi")
-    rest = (left.repartition("element").sortWithinPartitions("element").select("element", "node", "comp", "anchor", "size", "at")
+    # a long list is dealt out: each two of its blocks meet in a part of their own
+    long = left.groupBy("element").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("blocks")).where(F.col("blocks") > 1)
+    left = left.join(materialise(long, "long-lists"), "element", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.withColumn("part", F.xxhash64("element", F.least("own", "other"), F.greatest("own", "other")))
+    rest = (left.repartition("part").sortWithinPartitions("part").select("part", "node", "comp", "anchor", "size", "at", "own")
             .mapInArrow(_across(share), "a long, b long").distinct())
     rest = materialise(rest, "candidates")
-    got = with_sets(rest, sets_of(rest.select(F.col("a").alias("node")).union(rest.select("b")))).mapInArrow(_verify(share), "a long, b long, linked boolean")
-    found = direct.unionByName(inner).unionByName(materialise(got, "checked", BATCH_ROWS).where("linked").select("a", "b"))
-    return described.select("doc_id", "size", "node"), materialise(components(found), "components")
+    release(listed, several, where, anchored)
+    sets = sets_of(rest.select(F.col("a").alias("node")).union(rest.select("b")))
+    got = materialise(with_sets(rest, sets).mapInArrow(_verify(share), "a long, b long, linked boolean"), "checked", BATCH_ROWS)
+    release(sets, rest, one)
+    return described, components(direct.unionByName(inner).unionByName(got.where("linked").select("a", "b")))
 
 
 def join(docs: DataFrame, share: int = 90, n: int = 3) -> DataFrame:
@@ -310,6 +338,7 @@ def join(docs: DataFrame, share: int = 90, n: int = 3) -> DataFrame:
     named = materialise(named, "named")
     smallest = materialise(named.groupBy("comp").agg(F.min("first").alias("component_id")), "smallest")
     by_node = materialise(named.join(smallest, "comp").select("node", "component_id"), "by-node")
+    release(named, smallest)
     out = described.join(by_node, "node", "left")
     own = F.when((F.col("size") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))

@@ -210,3 +210,23 @@ def test_search_prunes(shipped, monkeypatch):
     from ..oracle_compare import compare, duck
     got = compare(shipped, "op9", SF_SMALL, queries.REGISTRY["op9_topk_search"], queries.ORACLES["op9_topk_search"], duck(SF_SMALL))
     assert got["values_match"], got
+
+
+@pytest.mark.parametrize("share, n", [(90, 3), (80, 5)])
+def test_jaccard_family_with_stragglers_and_long_lists(make_docs, monkeypatch, share, n):
+    """Many near copies of which few aren't linked to the anchor, and elements
+    in more lists than a block holds: equal to brute force."""
+    monkeypatch.setattr(jaccard_join, "FAMILY", 4)
+    monkeypatch.setattr(jaccard_join, "LIST", 3)
+    r, rows = random.Random(11), []
+    base = [f"b{k}" for k in range(60)]
+    for k in range(30):
+        text = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 5])):
+            text[r.randrange(len(text))] = f"x{r.randrange(9)}"
+        rows.append((k, " ".join(text)))
+    common = [f"c{k}" for k in range(8)]
+    rows += [(100 + k, " ".join(common[:r.randrange(5, 9)] + [f"t{r.randrange(3)}" for _ in range(r.randrange(0, 4))])) for k in range(60)]
+    want = jaccard_components(rows, share, n)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(make_docs(rows), share, n).collect()}
+    assert got == want
