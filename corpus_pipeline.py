@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martforge.llm import decontaminate, jaccard_join, mixing, quality_gam, token_files
 from martforge.llm.queries import END_ID, VOCABULARY
-from martforge.session import configure, materialise, scratch_path, ship_package
+from martforge.session import configure, materialise, release, scratch_path, ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +44,14 @@ STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark_free",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's output is written and read again."""
+    """All stages; each one's output is written and read again, and removed
+    when the next one's is written."""
     configure(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
