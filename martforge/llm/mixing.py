@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from . import words as W
 
 MARGINS = ("source", "lang", "topic")
@@ -93,8 +93,9 @@ def rake(described: DataFrame, mix: Mix) -> DataFrame:
         for m in MARGINS:
             has = cells.groupBy(m).agg(F.sum("raked").alias("has")).join(wanted[m], m)
             factor = has.select(m, (F.col("target") / F.col("has")).alias("factor"))
-            cells = cells.join(factor, m).select(*MARGINS, "tokens", (F.col("raked") * F.col("factor")).alias("raked"))
-        cells = materialise(cells, "raked")
+            before = cells  # written anew each time: a plan over several margins reads it twice for each
+            cells = materialise(cells.join(factor, m).select(*MARGINS, "tokens", (F.col("raked") * F.col("factor")).alias("raked")), "raked")
+            release(before)
     # scale the factors until the probabilities keep the wanted share
     ratio = F.col("raked") / F.col("tokens")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
