@@ -16,7 +16,20 @@ from pyspark.sql import functions as F
 
 DEFAULT_ORDER = ("__source_ts_ms", "offset")
 # Numeric types, each holding the ones before it.
-WIDTHS = ("tinyint", "smallint", "int", "bigint", "double")
+WIDTHS = ("tinyint", "smallint", "int", "bigint")
+
+
+def wider(x: str, y: str, column: str) -> str:
+    """The type that holds every value of both; whole numbers wider than 32
+    bits don't fit a double, so with one they are an error, as are other
+    types that differ."""
+    if x == y:
+        return x
+    if "double" in (x, y) and (y if x == "double" else x) in WIDTHS[:3]:
+        return "double"
+    if x in WIDTHS and y in WIDTHS:
+        return max(x, y, key=WIDTHS.index)
+    raise TypeError(f"column {column} is {x} in the table and {y} in the batch")
 
 
 def latest_per_key(changes: DataFrame, key: str = "id", order=DEFAULT_ORDER) -> DataFrame:
@@ -44,17 +57,15 @@ def _lex_ge(a: list[Column], b: list[Column]) -> Column:
 
 def align(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Schema evolution: give both sides the union of columns (missing ->
-    NULL). Numbers of different width take the wider type; other types that
-    differ are an error."""
+    NULL). Numbers of different width take the wider type (``wider``); other
+    types that differ are an error."""
     a_types = {f.name: f.dataType for f in a.schema}
     b_types = {f.name: f.dataType for f in b.schema}
     for name in a_types.keys() & b_types.keys():
         x, y = a_types[name].simpleString(), b_types[name].simpleString()
         if x == y:
             continue
-        if x not in WIDTHS or y not in WIDTHS:
-            raise TypeError(f"column {name} is {x} in the table and {y} in the batch")
-        wide = max(x, y, key=WIDTHS.index)
+        wide = wider(x, y, name)
         a, b = a.withColumn(name, F.col(name).cast(wide)), b.withColumn(name, F.col(name).cast(wide))
     cols = list(a.columns) + [c for c in b.columns if c not in a_types]
 

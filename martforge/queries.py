@@ -22,7 +22,9 @@ from .operators import orders as orderops
 from .operators import staging as stg
 from .plans import catalog as cat
 from .plans import refresh as refr
-from .session import RUNTIME_PERF_CONF, checkpoint_dir, configure, ship_package
+from .plans.changes import ChangeTable
+from .plans.incremental import KEPT, KeptMart
+from .session import RUNTIME_PERF_CONF, configure, scratch_path, ship_package
 from .sources import cdc
 from .sources import testdata as td
 from .streaming.cart_state import cart_state_stream
@@ -355,7 +357,8 @@ for _check in (quality.dq_unique, quality.dq_foreign_keys, quality.dq_not_null,
 # --- whole pipeline runs (write tables under the session's shared folder) --------
 
 def _run_folder(spark, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "runs", f"{name}-{uuid.uuid4().hex}")
+    """A folder of this run's own, removed when the application ends."""
+    return scratch_path(spark, f"run-{name}")
 
 
 @register("refresh_pipeline")
@@ -418,3 +421,53 @@ def q_cart_state_stream(spark, sf_dir):
     last = changes.groupBy("cart_id", "item_id").agg(
         F.max_by(F.col("quantity"), F.struct("batch_id", "ts")).alias("quantity"))
     return last.filter(F.col("quantity").isNotNull())
+
+
+# --- change tables and kept marts ----------------------------------------------
+
+def _change_tables(spark, names, public: bool = False) -> tuple[str, dict[str, ChangeTable]]:
+    cat.ensure_namespaces(spark)
+    root = _run_folder(spark, "changes")
+    return root, {t: ChangeTable(spark, f"staging.{t}", root, public=public) for t in names}
+
+
+def _take_batch(tables, batches, k: int) -> None:
+    """The k-th batch of each table; the last one is followed by a compaction."""
+    for t, table in tables.items():
+        if k == 0:
+            table.load(batches[t][0])
+        else:
+            table.append(batches[t][k], source="batches", batch=k)
+        if k == 2:
+            table.compact(force=True)
+
+
+@register("staging_merge_on_read")
+def q_staging_merge_on_read(spark, sf_dir):
+    """Orders loaded and changed in batches, each written as a segment of its
+    own, merged in between; the folded rows."""
+    batches = td.staging_batches(spark, sf_dir, "orders")
+    _, tables = _change_tables(spark, ["orders"])
+    for k in range(3):
+        _take_batch(tables, {"orders": batches}, k)
+    tables["orders"].append(batches[1], source="batches", batch=1)  # a replay: skipped
+    tables["orders"].append(batches[0])  # the same without a name: nothing newer in it
+    return tables["orders"].read().select("id", "customer_id", "status", "total_ht", "total_ttc", "__source_ts_ms", "__deleted")
+
+
+def _kept_query(name):
+    def q(spark, sf_dir):
+        sources = (*KEPT[name].sources, *KEPT[name].dimensions)
+        batches = {t: td.staging_batches(spark, sf_dir, t) for t in sources}
+        root, tables = _change_tables(spark, sources)
+        mart = KeptMart(spark, name, tables, root)
+        for k in range(3):
+            _take_batch(tables, batches, k)
+            mart.refresh()
+        return mart.read(as_of=AS_OF)
+    q.__doc__ = f"{name}, kept up to date over three batches of changes of its sources."
+    return q
+
+
+for _m in KEPT:
+    register(f"{_m}_kept")(_kept_query(_m))
