@@ -64,9 +64,10 @@ def reorder_suggestions(order_items: DataFrame, orders: DataFrame, items: DataFr
 
 
 def purchased_in_stock(items: DataFrame, order_items: DataFrame, orders: DataFrame) -> DataFrame:
-    """In-stock catalog items bought at least once in a confirmed order (semi join)."""
+    """In-stock catalog items bought at least once in a confirmed order (semi join).
+    Items are made distinct before that join, map side first: a hot item is one row there."""
     bought = (order_items.select("order_id", "item_id").distinct()
-              .join(_confirmed(orders).select("order_id"), "order_id").select("item_id"))
+              .join(_confirmed(orders).select("order_id"), "order_id").select("item_id").distinct())
     return items.filter(F.col("quantity") > 0).join(bought, "item_id", "left_semi")
 
 

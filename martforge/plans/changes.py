@@ -25,7 +25,6 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.staging import DEFAULT_ORDER, latest_per_key, wider
 from .catalog import warehouse_root
@@ -67,7 +66,7 @@ class ChangeTable:
     def _rows(self, s: Segment, columns: dict[str, str], where: str = "") -> str:
         shown = [f"CAST(`{c}` AS {t}) AS `{c}`" if s.columns.get(c, t) != t else f"`{c}`" if c in s.columns else f"CAST(NULL AS {t}) AS `{c}`"
                  for c, t in columns.items()]
-        seq = f"`{SEQ}`" if s.low_seq < s.seq or s.kind == "base" else f"CAST({s.seq} AS BIGINT) AS `{SEQ}`"
+        seq = f"`{SEQ}`" if s.stored_seq else f"CAST({s.seq} AS BIGINT) AS `{SEQ}`"
         return f"SELECT {', '.join(shown)}, {seq} FROM {s.table or f'parquet.`{s.path}`'} {where}"
 
     def sql(self, manifest: Manifest, base_where: str = "", delta_where: str = "", seq: bool = False) -> str:
@@ -148,22 +147,23 @@ class ChangeTable:
 
     def load(self, rows: DataFrame) -> Manifest:
         """A first, large load as the base (one row per key is kept)."""
-        if self.versions.current() is not None:
-            raise ValueError(f"{self.name} exists; append to it")
-        latest = latest_per_key(rows, self.keys[0], self.order) if self.kind == "latest" else rows
-        segment = self._segment(latest.withColumn(SEQ, F.lit(1).cast("long")), "base", seq=1, low_seq=1)
+        segment = self._segment(latest_per_key(rows, self.keys[0], self.order) if self.kind == "latest" else rows, "base")
 
         def first(m: Manifest):
             if m.segments:
                 return False
-            m.segments, m.next_seq = [segment], 2
+            segment.seq, m.segments, m.next_seq = m.next_seq, [segment], m.next_seq + 1
 
         done = self.versions.commit(first)
         if done is None:
-            raise ValueError(f"{self.name} was loaded by another writer")
+            raise ValueError(f"{self.name} holds rows already; append to it")
         self._publish(done)
         return done
 
+    def clear(self) -> None:
+        """A next version without rows."""
+        self.versions.commit(lambda m: m.segments.clear())
+
     def append(self, changes: DataFrame, source: str | None = None, batch: int = 0) -> Manifest:
         """Add one batch of changes (``latest``: change rows, reduced to one
         per key; ``sum``: signed sums). With a ``source``, a batch whose number
@@ -176,8 +176,9 @@ class ChangeTable:
         def add(m: Manifest):
             if source and m.applied.get(source, -1) >= batch:
                 return False
-            segment.seq = segment.low_seq = m.next_seq
+            segment.seq = m.next_seq
             m.segments.append(segment)
+            self.columns(m)  # types that don't go together stop here
             m.next_seq += 1
             if source:
                 m.applied[source] = batch
@@ -213,8 +214,7 @@ class ChangeTable:
         manifest, lease = self.versions.take(owner="compaction", version=current.version)
         try:
             some = Manifest(segments=chosen)
-            merged = self._segment(self.spark.sql(self.sql(some, seq=True)), kind, seq=max(s.seq for s in chosen),
-                                   low_seq=min(s.low_seq for s in chosen))
+            merged = self._segment(self.spark.sql(self.sql(some, seq=True)), kind, seq=max(s.seq for s in chosen), stored_seq=True)
             paths = {s.path for s in chosen}
 
             def replace(m: Manifest):

@@ -113,7 +113,7 @@ def _item_sums(image: Image, orders: DataFrame) -> DataFrame:
 
 def _purchases(image: Image, orders: DataFrame) -> DataFrame:
     return _pairs(image, orders).groupBy("customer_id", "item_id", F.col("source_updated_at").alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), _zero("q", "long").alias("q"))
+        F.count(F.lit(1)).alias("n"), _zero("q", "long").alias("q"), F.count("q").alias("q_known"))
 
 
 def _day_sums(image: Image, orders: DataFrame) -> DataFrame:
@@ -121,7 +121,13 @@ def _day_sums(image: Image, orders: DataFrame) -> DataFrame:
         F.sum("quantity").alias("q"), F.sum("line_total_ht").alias("ht"), F.sum("line_total_ttc").alias("ttc"))
     days = marts._confirmed(image.rows("orders", orders)).select("order_id", F.to_date("source_updated_at").alias("order_date"))
     return days.join(per_order, "order_id").groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("nb_orders"), _zero("q", "long").alias("units"), _zero("ht", MONEY_SUM).alias("ht"), _zero("ttc", MONEY_SUM).alias("ttc"))
+        F.count(F.lit(1)).alias("nb_orders"), _zero("q", "long").alias("units"), _zero("ht", MONEY_SUM).alias("ht"), _zero("ttc", MONEY_SUM).alias("ttc"),
+        F.count("q").alias("units_known"), F.count("ht").alias("ht_known"), F.count("ttc").alias("ttc_known"))
+
+
+def _known(value: str, count: str):
+    """A sum of which no value is left is NULL, as SQL's."""
+    return F.when(F.col(count) > 0, F.col(value))
 
 
 def _baskets(image: Image, orders: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def _revenue_by_item(sums: DataFrame, items: DataFrame) -> DataFrame:
 
 def _customer_reorders(sums: DataFrame, items: DataFrame) -> DataFrame:
     bought = sums.where(F.col("n") > 0).groupBy("customer_id", "item_id").agg(
-        F.sum("q").alias("total_qty_purchased"), F.sum("n").alias("nb_orders_with_item"), F.max("at").alias("last_purchased_at"))
+        F.sum(_known("q", "q_known")).alias("total_qty_purchased"), F.sum("n").alias("nb_orders_with_item"), F.max("at").alias("last_purchased_at"))
     return bought.join(items.select("item_id", "title", "price_ttc", "quantity"), "item_id").select(
         "customer_id", "item_id", "title", "price_ttc", "total_qty_purchased", "nb_orders_with_item", "last_purchased_at",
         F.col("quantity").alias("current_stock"))
@@ -160,19 +166,24 @@ def _customer_lifetime(sums: DataFrame, customers: DataFrame) -> DataFrame:
 
 def _sales_daily(sums: DataFrame) -> DataFrame:
     """Running totals by blocks: the day within its month, the months before
-    it in its year, the years before."""
-    days = sums.where(F.col("nb_orders") > 0).withColumn("y", F.year("order_date")).withColumn("m", F.month("order_date"))
-    months = days.groupBy("y", "m").agg(F.sum("ttc").alias("t"))
-    years = months.groupBy("y").agg(F.sum("t").alias("t"))
-    before = (years.alias("a").join(years.alias("b"), F.coalesce(F.col("b.y"), F.lit(1 << 20)) < F.coalesce(F.col("a.y"), F.lit(1 << 20)), "left")
-              .groupBy(F.col("a.y").alias("oyy")).agg(F.coalesce(F.sum("b.t"), F.lit(0)).alias("years_before")))
-    month_start = F.expr("coalesce(sum(t) OVER (PARTITION BY y ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    offsets = months.withColumn("months_before", month_start).join(before, F.col("y").eqNullSafe(F.col("oyy"))).select(
-        F.col("y").alias("oy"), F.col("m").alias("om"), (F.col("months_before") + F.col("years_before")).alias("offset"))
-    within = F.expr("sum(ttc) OVER (PARTITION BY y, m ORDER BY order_date)")
-    return days.withColumn("within", within).join(offsets, F.col("y").eqNullSafe(F.col("oy")) & F.col("m").eqNullSafe(F.col("om"))).select(
-        "order_date", "nb_orders", F.col("units").alias("units_sold"), F.col("ht").alias("revenue_ht"), F.col("ttc").alias("revenue_ttc"),
-        (F.col("within") + F.col("offset")).cast("decimal(30,2)").alias("cumulative_revenue_ttc"))
+    it in its year, the years before. ``d`` counts the days with a total."""
+    days = sums.where(F.col("nb_orders") > 0).withColumns({
+        "y": F.year("order_date"), "m": F.month("order_date"), "t": _known("ttc", "ttc_known"), "d": (F.col("ttc_known") > 0).cast("int")})
+    months = days.groupBy("y", "m").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    years = months.groupBy("y").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    last = F.lit(1 << 20)  # days without a date come after all years
+    earlier = years.select(F.col("y").alias("ey"), F.col("t").alias("et"), F.col("d").alias("ed"))
+    before = years.join(earlier, F.coalesce("ey", last) < F.coalesce("y", last), "left").groupBy(F.col("y").alias("by")).agg(
+        F.sum("et").alias("bt"), F.sum("ed").alias("bd"))
+    of_year = "OVER (PARTITION BY y ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    months = months.select(F.col("y").alias("my"), F.col("m").alias("mm"), *[F.expr(f"sum({c}) {of_year}").alias(f"m{c}") for c in "td"])
+    of_month = "OVER (PARTITION BY y, m ORDER BY order_date)"
+    placed = (days.withColumns({f"w{c}": F.expr(f"sum({c}) {of_month}") for c in "td"})
+              .join(months, F.col("y").eqNullSafe(F.col("my")) & F.col("m").eqNullSafe(F.col("mm"))).join(before, F.col("y").eqNullSafe(F.col("by"))))
+    total, counted = (sum((F.coalesce(f"{p}{c}", F.lit(0)) for p in "mb"), F.coalesce(f"w{c}", F.lit(0))) for c in "td")
+    return placed.select(
+        "order_date", "nb_orders", _known("units", "units_known").alias("units_sold"), _known("ht", "ht_known").alias("revenue_ht"),
+        F.col("t").alias("revenue_ttc"), F.when(counted > 0, total.cast("decimal(30,2)")).alias("cumulative_revenue_ttc"))
 
 
 # -- marts of one row per source row ------------------------------------------
@@ -268,7 +279,7 @@ class KeptMart:
         def add(m: Manifest):
             if m.applied != seen:
                 return False  # another refresh was first
-            segment.seq = segment.low_seq = m.next_seq
+            segment.seq = m.next_seq
             m.segments.append(segment)
             m.next_seq += 1
             m.applied = {s: now[s].version for s in self.kept.sources}

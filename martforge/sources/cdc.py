@@ -65,14 +65,16 @@ def decode(df: DataFrame, row: T.StructType, value_col: str = "value", bad: str
 
     A NULL value (tombstone) stays NULL; the key (JSON without schema) is kept
     as text. A record that can't be decoded -- broken JSON, a field of another
-    type, no payload -- stops the job (``bad="fail"``) or is kept with its text
+    type, no payload, no row image (of a delete: before, else: after) -- stops the job (``bad="fail"``) or is kept with its text
     in ``__bad`` (``bad="mark"``), never passed off as a tombstone.
     """
     wire = T.StructType([*wire_schema(row).fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     out = df.withColumn("__parsed", F.from_json(F.col(value_col), wire, options))
     parsed = F.col("__parsed")
-    is_bad = F.col(value_col).isNotNull() & (parsed.isNull() | parsed.getField(_CORRUPT).isNotNull() | parsed.getField("payload").isNull())
+    payload = parsed.getField("payload")
+    image = F.when(payload.getField("op") == "d", payload.getField("before")).otherwise(payload.getField("after"))
+    is_bad = F.col(value_col).isNotNull() & (parsed.isNull() | parsed.getField(_CORRUPT).isNotNull() | payload.isNull() | image.isNull())
     if bad == "fail":
         message = F.concat(F.lit("undecodable change record: "), F.substring(F.col(value_col), 1, 200))
         value = F.when(is_bad, F.raise_error(message)).otherwise(parsed.getField("payload"))

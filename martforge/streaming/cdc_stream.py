@@ -1,13 +1,12 @@
 """Continuous change capture into staging (and, optionally, the refresh).
 
 ``readStream`` (kafka or JSON files) -> route topics -> decode -> unwrap ->
-``foreachBatch``: per table, merge the batch into the current staging
-version (keyed upsert, soft deletes, schema evolution) and publish the next
-version. The stream's checkpoint records source offsets; a replayed batch
-merges the same changes again and yields the same table (incoming rows win
-only on greater-or-equal ordering, so nothing regresses), which makes the
-sink effectively exactly-once. Each batch reads the published files of the
-previous version, so lineage never grows across batches.
+``foreachBatch``: per table, append the batch as a change segment of the
+staging table (keyed upsert, soft deletes, schema evolution; merged when it
+is read, see ``plans.changes``): a batch writes bytes in proportion to itself.
+The stream's checkpoint records source offsets, and a staging table the last
+batch it took of a stream: a replayed batch is skipped, so the sink is
+exactly-once. Segments are compacted by size tiers after a batch.
 
 With ``refresh_after=True`` every micro-batch also rebuilds the cleaned
 layer and marts -- the source system's 2-minute cadence becomes the
@@ -16,40 +15,44 @@ trigger interval.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.staging import DEFAULT_ORDER, latest_per_key, merge_latest
-from ..plans.catalog import ensure_namespaces, publish, table_exists
+from ..plans.catalog import ensure_namespaces, table_exists
+from ..plans.changes import ChangeTable
 from ..plans.refresh import refresh
+from ..plans.versions import Files
 from ..fixed import REFRESH_PERIOD
 from ..schemas import STAGING_TABLES, row_schema
 from ..session import checkpoint_dir
 from ..sources.cdc import BAD, decode, evolved_row, route, unwrap
 
 
-def staging_buckets(spark: SparkSession) -> int:
-    """Bucket count of staging tables: the session's shuffle partition count,
-    so the merge join on ``id`` finds the current version already laid out."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def staging_table(spark: SparkSession, table: str, root: str | None = None) -> ChangeTable:
+    """staging.<table>; if the catalogue doesn't hold it, it starts empty."""
+    found = ChangeTable(spark, f"staging.{table}", root)
+    if found.current() is not None and not table_exists(spark, found.name):
+        found.clear()
+    return found
 
 
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                  tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
-                 batch_id: int = 0) -> list[str]:
-    """Merge one batch of raw change records (topic, key, value, offset) into
+                 batch_id: int = 0, stream: str | None = None) -> list[str]:
+    """Add one batch of raw change records (topic, key, value, offset) into
     staging.<table>. Returns the tables touched.
 
     Columns that the records bring and the table lacks are added. A record
     that can't be decoded stops the batch; with ``dead_letters`` (a folder) it
     is written there instead, as Parquet per table and batch (topic, key,
-    offset, record), a replayed batch over its own earlier files.
+    offset, record), a replayed batch over its own earlier files. With the id
+    of a ``stream``, a batch that a table has taken already is skipped.
 
-    Staging versions are bucketed by ``id``: the full outer join of the
-    merge shuffles only the batch, never the (large) current table."""
+    Only the batch is read, shuffled and written, never the current table."""
     ensure_namespaces(spark)
     routed = route(batch).filter(F.col("table").isin(*tables)).persist()
     try:
@@ -65,10 +68,10 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                 decoded = decoded.filter(F.col(BAD).isNull())
             changes = unwrap(decoded).select(
                 *row.fieldNames(), "__op", "__ts_ms", "__source_ts_ms", "__deleted", "offset")
-            target = f"staging.{t}"
-            merged = merge_latest(spark.table(target), changes) if table_exists(spark, target) \
-                else latest_per_key(changes)
-            publish(spark, merged, target, root, bucket_by=("id", staging_buckets(spark)))
+            table = staging_table(spark, t, root)
+            table.append(changes, source=stream, batch=batch_id)
+            table.compact()
+            table.versions.vacuum()
         return present
     finally:
         routed.unpersist()
@@ -84,7 +87,9 @@ def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None =
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id)
+        # the stream's own id: that of its checkpoint, whatever the folder is called
+        stream = json.loads(Files(spark, ckpt).read(f"{ckpt}/metadata"))["id"]
+        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id, stream)
         if refresh_after and touched:
             refresh(spark, root=root, as_of=as_of)
 
@@ -112,15 +117,15 @@ def snapshot_then_stream(spark: SparkSession, snapshot: dict, source: DataFrame,
     is merged with the copy, not replaced."""
     ensure_namespaces(spark)
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), stream_options.get("query_name", "cdc_to_staging"))
-    n = staging_buckets(spark)
     for table, rows in ({} if _has_offsets(spark, checkpoint) else snapshot).items():
         snap = (rows.withColumn("__op", F.lit("r")).withColumn("__deleted", F.lit("false"))
                 .withColumn("offset", F.lit(-1).cast("long")))
         for c in ("__ts_ms", "__source_ts_ms"):
             if c not in snap.columns:
                 snap = snap.withColumn(c, F.lit(None).cast("long"))
-        order = DEFAULT_ORDER
-        target = f"staging.{table}"
-        copy = merge_latest(spark.table(target), snap, order=order) if table_exists(spark, target) else latest_per_key(snap, order=order)
-        publish(spark, copy, target, root, bucket_by=("id", n))
+        target = staging_table(spark, table, root)
+        if target.current() is None:
+            target.load(snap)
+        else:
+            target.append(snap)
     return start_cdc_stream(spark, source, root=root, checkpoint=checkpoint, **stream_options)

@@ -20,12 +20,12 @@ def test_refresh_builds_all_tables(spark, tmpdir_):
     direct = marts.sales_daily(dwh.load_orders(td.staging_orders(spark, SF_SMALL)),
                                dwh.load_order_items(td.staging_order_items(spark, SF_SMALL)))
     assert sorted(spark.table("dmart.mart_sales_daily").collect()) == sorted(direct.collect())
-    # a second refresh swaps to the other slot and keeps the same content
+    # a second refresh swaps to the next version and keeps the same content
     before = spark.table("dmart.mart_customer_lifetime").count()
-    slot = catalog._current_slot(spark, "dmart.mart_customer_lifetime")
+    version = catalog.current_version(spark, "dmart.mart_customer_lifetime")
     refresh.refresh(spark, root=tmpdir_, as_of="1997-01-01")
     assert spark.table("dmart.mart_customer_lifetime").count() == before
-    assert catalog._current_slot(spark, "dmart.mart_customer_lifetime") == 1 - slot
+    assert catalog.current_version(spark, "dmart.mart_customer_lifetime") == version + 1
 
 
 def test_missing_source_leaves_target_absent(spark, tmpdir_):
@@ -58,12 +58,26 @@ def test_barrier_stops_marts_when_a_load_fails(spark, tmpdir_):
     assert not any(spark.catalog.tableExists(f"dmart.{m}") for m in marts.MARTS)
 
 
-def test_publish_rotates_slots_and_swaps_atomically(spark, tmpdir_):
+def test_publish_swaps_atomically_and_removes_old_versions(spark, tmpdir_):
     catalog.ensure_namespaces(spark)
     catalog.drop(spark, "dmart.rotation")
-    seen = []
+    store = catalog.versions(spark, "dmart.rotation", tmpdir_)
     for i in range(4):
-        catalog.publish(spark, spark.range(i + 1), "dmart.rotation", tmpdir_, slots=3)
-        seen.append(catalog._current_slot(spark, "dmart.rotation"))
+        path = catalog.publish(spark, spark.range(i + 1), "dmart.rotation", tmpdir_, keep=2)
+        assert catalog.current_version(spark, "dmart.rotation") == i + 1
         assert spark.table("dmart.rotation").count() == i + 1   # the view always shows a complete version
-    assert seen == [0, 1, 2, 0]
+    assert store.numbers() == [3, 4] and len(store.files.names(f"{store.folder}/data")) == 2 and path.startswith(store.folder)
+
+
+def test_a_reader_outlives_five_rebuilds(spark, tmpdir_):
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "dmart.held")
+    store = catalog.versions(spark, "dmart.held", tmpdir_)
+    catalog.publish(spark, spark.range(10), "dmart.held", tmpdir_, bucket_by=("id", 2))
+    with catalog.reading(spark, "dmart.held", tmpdir_) as held:
+        for i in range(5):
+            catalog.publish(spark, spark.range(100 + i), "dmart.held", tmpdir_, bucket_by=("id", 2))
+        assert held.count() == 10 and store.numbers() == [1, 5, 6]
+    catalog.publish(spark, spark.range(3), "dmart.held", tmpdir_, bucket_by=("id", 2))
+    assert store.numbers() == [6, 7] and len(store.files.names(f"{store.folder}/data")) == 2
+    assert sum(t.name.startswith("held__") for t in spark.catalog.listTables("dmart")) == 2

@@ -47,8 +47,9 @@ def test_bucketed_merge_shuffles_only_the_batch(spark, tmpdir_):
     try:
         p = plan_of(stg.merge_latest(spark.table("staging.guard"), batch))
     finally:
-        from martforge.session import configure
-        configure(spark)
+        from martforge.session import BROADCAST_LIMIT_BYTES
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(key, str(BROADCAST_LIMIT_BYTES))
     assert p.count("Exchange hashpartitioning") == 1   # the batch side only
     assert "Bucketed: true" in p
 
@@ -163,3 +164,12 @@ def test_prefix_sum_window_is_keyed_by_chunk(spark):
                                   F.lit(1).cast("decimal(10,2)").alias("price_ttc"))
     p = plan_of(orderops.allocate_orders(reqs, items, width=64))
     assert re.search(r"Exchange hashpartitioning\(item_id#\d+L?, __chunk#\d+L?", p)
+
+
+def test_purchased_items_are_distinct_before_the_semi_join(spark):
+    from martforge.operators import shop
+    lines = spark.range(100).select(F.col("id").alias("order_id"), (F.col("id") % 3).alias("item_id"))
+    orders = spark.range(100).select(F.col("id").alias("order_id"), F.lit("confirmed").alias("status"))
+    items = spark.range(3).select(F.col("id").alias("item_id"), F.lit(1).alias("quantity"))
+    p = plan_of(shop.purchased_in_stock(items, lines, orders))
+    assert re.search(r"HashAggregate\(keys=\[item_id#\d+L\], functions=\[\]", p)

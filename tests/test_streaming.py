@@ -248,3 +248,29 @@ def test_restart_does_not_take_the_copy_again(spark, tmpdir_):
         snapshot_then_stream(spark, {"items": snap}, cdc.cdc_source(spark, fmt="json", path=src), root=os.path.join(tmpdir_, "wh"),
                              checkpoint=os.path.join(tmpdir_, "ckpt"), available_now=True).awaitTermination()
     assert {r["id"]: r["title"] for r in spark.table("staging.items").collect()} == {1: "live", 2: "new"}
+
+
+def test_changes_without_a_row_image_are_reported(spark):
+    """A delete without ``before`` and an update without ``after`` have no key: bad, not lost."""
+    records = [_wire("items", "d", None, None, 1, 0), _wire("items", "u", _item(1, "a", 1.0, 1, 1), None, 2, 1),
+               _wire("items", "d", _item(2, "b", 1.0, 1, 1), None, 3, 2), _wire("items", None, None, None, 4, 3)]
+    rows = spark.createDataFrame([(r["topic"], r.get("key"), r["value"], r.get("partition"), r["offset"]) for r in records], cdc.WIRE_COLUMNS)
+    from martforge.schemas import row_schema
+    marked = cdc.decode(rows, row_schema("items"), bad="mark")
+    assert [r["offset"] for r in marked.where(F.col(cdc.BAD).isNotNull()).orderBy("offset").collect()] == [0, 1]
+    assert [r["id"] for r in cdc.unwrap(marked.where(F.col(cdc.BAD).isNull())).collect()] == [2]
+
+
+def test_a_batch_of_the_stream_writes_one_segment(spark, tmpdir_):
+    """Each batch adds a segment; the stream's checkpoint id marks what was taken."""
+    from martforge.streaming.cdc_stream import ingest_batch, staging_table
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")
+    for k in range(3):
+        batch = spark.createDataFrame([(r["topic"], r.get("key"), r["value"], r.get("partition"), r["offset"]) for r in
+                                       [_wire("items", "u", None, _item(k, "a", 1.0, 1, 1000 + k), 1000 + k, k)]], cdc.WIRE_COLUMNS)
+        for _ in range(2):  # the second time as a replay
+            ingest_batch(spark, batch, tmpdir_, tables=("items",), batch_id=k, stream="s")
+    table = staging_table(spark, "items", tmpdir_)
+    assert [s.kind for s in table.current().segments] == ["delta"] * 3 and table.current().applied == {"s": 2}
+    assert sorted(r["id"] for r in spark.table("staging.items").collect()) == [0, 1, 2]
