@@ -24,9 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters (and 8 for each) of the pieces a worker keeps; beyond, its table starts anew (bounds memory only).
-KEPT_CHARS = 16_000_000
+KEPT_CHARS = 12_000_000
 #: UTF-8 bytes of texts split at once; a longer text is split alone.
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES = 4 << 20
 #: Pieces the library encodes in one call.
 ASK = 20_000
 
@@ -152,6 +152,7 @@ class Encoder:
                 hi += 1
             yield from self._split_encoded(texts.slice(lo, hi - lo))
             lo = hi
+        pa.default_memory_pool().release_unused()  # the worker stays, other stages need the memory
 
 
 @lru_cache(maxsize=2)

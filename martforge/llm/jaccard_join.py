@@ -43,7 +43,7 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 #: Share of the hash space whose elements are counted and come first.
 ZONE = 0.2
 #: Sets of an anchor that one task settles among themselves (two such blocks).
-FAMILY = 1024
+FAMILY = 512
 #: Entries of an element's list in a block; each two blocks of a longer list meet.
 LIST = 1024
 #: Rows of 16 bytes up to which a list of ids is broadcast.
