@@ -37,6 +37,8 @@ FANOUT = 4
 TIER_BYTES = 1 << 20
 #: Share of the base's bytes at which the segments are merged into it.
 BASE_SHARE = 0.25
+#: A file that tells a table that was dropped from one not yet in the catalogue.
+PUBLISHED = "published"
 
 
 def _names(columns) -> str:
@@ -142,8 +144,16 @@ class ChangeTable:
         return Segment(path, columns, kind, bytes=self.versions.files.size(path), table=table, **more)
 
     def _publish(self, manifest: Manifest) -> None:
-        if self.public:
+        """The catalogue's view of ``manifest``, or of the version that another
+        writer has committed meanwhile: the last to publish looks again."""
+        while self.public:
             self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS {self.sql(manifest)}")
+            newest = self.current()
+            if newest is None or newest.version <= manifest.version:
+                if PUBLISHED not in self.versions.files.names(self.versions.folder):
+                    self.versions.files.create(f"{self.versions.folder}/{PUBLISHED}", "")
+                return
+            manifest = newest
 
     def load(self, rows: DataFrame) -> Manifest:
         """A first, large load as the base (one row per key is kept)."""
@@ -163,6 +173,11 @@ class ChangeTable:
     def clear(self) -> None:
         """A next version without rows."""
         self.versions.commit(lambda m: m.segments.clear())
+        self.versions.files.delete(f"{self.versions.folder}/{PUBLISHED}")
+
+    def published(self) -> bool:
+        """Has the catalogue held this table since it was last empty?"""
+        return PUBLISHED in self.versions.files.names(self.versions.folder)
 
     def append(self, changes: DataFrame, source: str | None = None, batch: int = 0) -> Manifest:
         """Add one batch of changes (``latest``: change rows, reduced to one
@@ -211,7 +226,10 @@ class ChangeTable:
         chosen, kind = (list(current.segments), "base") if force else self.plan_compaction(current)
         if not chosen or (force and len(chosen) == 1 and chosen[0].kind == "base"):
             return False
-        manifest, lease = self.versions.take(owner="compaction", version=current.version)
+        try:
+            manifest, lease = self.versions.take(owner="compaction", version=current.version)
+        except LookupError:  # other writers have left it behind
+            return False
         try:
             some = Manifest(segments=chosen)
             merged = self._segment(self.spark.sql(self.sql(some, seq=True)), kind, seq=max(s.seq for s in chosen), stored_seq=True)

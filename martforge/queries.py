@@ -24,11 +24,13 @@ from .plans import catalog as cat
 from .plans import refresh as refr
 from .plans.changes import ChangeTable
 from .plans.incremental import KEPT, KeptMart
-from .session import RUNTIME_PERF_CONF, configure, scratch_path, ship_package
+from .schemas import row_schema
+from .session import RUNTIME_PERF_CONF, configure, materialise, scratch_path, ship_package
 from .sources import cdc
 from .sources import testdata as td
 from .streaming.cart_state import cart_state_stream
-from .streaming.cdc_stream import start_cdc_stream
+from .streaming.cdc_stream import ingest_batch, staging_table, start_cdc_stream
+from .streaming.chunk_copy import POSITION, ChangeLog, ChunkCopy
 
 # Arrivals per chunk of running values: many chunks per key on every input.
 RUN_WIDTH = 4096
@@ -455,6 +457,54 @@ def q_staging_merge_on_read(spark, sf_dir):
     return tables["orders"].read().select("id", "customer_id", "status", "total_ht", "total_ttc", "__source_ts_ms", "__deleted")
 
 
+@register("staging_copy_by_chunks")
+def q_staging_copy_by_chunks(spark, sf_dir):
+    """Orders copied in four chunks while the source changes and the stream
+    runs: before, during (on either side of the read) and after a chunk's
+    read; a copy that is started again in between; then a repair copy after
+    changes that never reached the log. The folded rows."""
+    cat.ensure_namespaces(spark)
+    root = _run_folder(spark, "copy")
+    states, records = td.copied_orders(spark, sf_dir)
+    now, folder, name = {"state": 0}, os.path.join(root, "log"), td.COPIED
+    log = ChangeLog(spark, name, "json", folder)
+    records[0].limit(0).write.json(f"{folder}/phase=0")  # an empty log
+
+    def advance():
+        """The source's next state, and its records in the log."""
+        now["state"] += 1
+        records[now["state"] - 1].write.json(f"{folder}/phase={now['state']}")
+
+    def ingest(batch):
+        """What the log holds, as a stream's batch (with all before it once more)."""
+        ingest_batch(spark, log.between(-1), root, tables=(name,), schemas={name: row_schema("orders")}, batch_id=batch, stream="log", order=POSITION)
+
+    def copy(label, before=None, after=None, repair=False):
+        """A copy whose reads may meet a change, before or after the read itself."""
+        def read(within):
+            if before:
+                before.pop()()
+            rows = states[now["state"]].where(within)
+            if after:
+                rows = materialise(rows, "read")
+                after.pop()()
+            return rows
+        return ChunkCopy(staging_table(spark, name, root, POSITION), read, log, label, repair)
+
+    first = copy("initial")
+    first.plan(4)
+    first.step(4)  # nothing happens
+    copy("initial", before=[advance]).step(4)  # changes between the low mark and the read
+    ingest(0)
+    copy("initial", after=[advance]).step(4)  # changes between the read and the high mark
+    copy("initial").run(4)
+    ingest(1)
+    now["state"] = 3  # changes are lost
+    copy("again", repair=True).run(4)
+    ingest(1)  # a replay
+    return staging_table(spark, name, root, POSITION).read().select("id", "customer_id", "status", "total_ttc", "__deleted")
+
+
 def _kept_query(name):
     def q(spark, sf_dir):
         sources = (*KEPT[name].sources, *KEPT[name].dimensions)

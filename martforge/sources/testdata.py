@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import row_schema
+
 # Fixed test-data conventions.
 BASE_SOURCE_MS = 1704067200000  # 2024-01-01T00:00:00Z, source time of dimension rows
 ORDER_STATUS_BY_CODE = {"F": "CONFIRMED", "O": "PENDING", "P": "SHIPPED"}
@@ -332,3 +334,37 @@ def staging_batches(spark, sf_dir, table: str) -> list[DataFrame]:
     return [rows.where(F.col("id") % 4 != 3),
             rows.where(F.col("id") % 4 == 3).unionByName(later(_edited(of(5), table), DAY_MS)),
             gone.unionByName(later(_edited(of(11), table), -1000)).unionByName(of(13))]
+
+
+# --- a source table that changes while it is copied --------------------------------
+
+COPIED = "orders_copied"
+_POSITIONS = 1 << 40  # of the log, for each phase
+
+
+def _log_records(rows, phase: int, op: str, step: int) -> DataFrame:
+    """Change records as they travel: JSON key and value, positions by id."""
+    image = F.struct(*[F.col(f.name) for f in row_schema("orders")])
+    void = F.lit(None).cast(row_schema("orders"))
+    envelope = F.struct((image if op == "d" else void).alias("before"), (void if op == "d" else image).alias("after"), F.lit(op).alias("op"),
+                        F.col("updated_at").alias("ts_ms"), F.struct(F.col("updated_at").alias("ts_ms"), F.lit("ecommerce").alias("db"), F.lit(COPIED).alias("table")).alias("source"))
+    return rows.select(
+        F.lit(f"ecommerce.ecommerce.{COPIED}").alias("topic"), F.to_json(F.struct("id")).alias("key"),
+        F.to_json(F.struct(F.lit("envelope").alias("schema"), envelope.alias("payload"))).alias("value"), F.lit(0).alias("partition"),
+        (F.lit(phase * _POSITIONS) + F.col("id") * 2 + step).alias("offset"))
+
+
+def copied_orders(spark, sf_dir) -> tuple[list[DataFrame], list[DataFrame]]:
+    """A source table of orders at four times, and the change records between
+    the first three. First: ids that leave 0, 1 or 2 by 4. Second: the others
+    as well, and ids divisible by 5 edited. Third: without ids divisible by 7.
+    Fourth: ids divisible by 11 edited (total + 2) and ids divisible by 13
+    gone, but no record of it reaches the log."""
+    rows = staging_orders(spark, sf_dir).select(*row_schema("orders").fieldNames())
+    edited = _edited(rows.where(F.col("id") % 5 == 0), "orders").drop("__op")
+    second = rows.where(F.col("id") % 5 != 0).unionByName(edited)
+    third = second.where(F.col("id") % 7 != 0)
+    fourth = third.where(F.col("id") % 13 != 0).withColumn("total_ttc", F.col("total_ttc") + F.when(F.col("id") % 11 == 0, 2.0).otherwise(0.0))
+    logs = [_log_records(rows.where(F.col("id") % 4 == 3), 1, "c", 0).unionByName(_log_records(edited, 1, "u", 1)),
+            _log_records(second.where(F.col("id") % 7 == 0), 2, "d", 0)]
+    return [rows.where(F.col("id") % 4 != 3), second, third, fourth], logs

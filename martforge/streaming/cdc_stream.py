@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.staging import DEFAULT_ORDER
 from ..plans.catalog import ensure_namespaces, table_exists
 from ..plans.changes import ChangeTable
 from ..plans.refresh import refresh
@@ -32,17 +33,17 @@ from ..session import checkpoint_dir
 from ..sources.cdc import BAD, decode, evolved_row, route, unwrap
 
 
-def staging_table(spark: SparkSession, table: str, root: str | None = None) -> ChangeTable:
-    """staging.<table>; if the catalogue doesn't hold it, it starts empty."""
-    found = ChangeTable(spark, f"staging.{table}", root)
-    if found.current() is not None and not table_exists(spark, found.name):
+def staging_table(spark: SparkSession, table: str, root: str | None = None, order=DEFAULT_ORDER) -> ChangeTable:
+    """staging.<table>; if it was dropped from the catalogue, it starts empty."""
+    found = ChangeTable(spark, f"staging.{table}", root, order=order)
+    if found.published() and not table_exists(spark, found.name):
         found.clear()
     return found
 
 
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                  tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
-                 batch_id: int = 0, stream: str | None = None) -> list[str]:
+                 batch_id: int = 0, stream: str | None = None, order=DEFAULT_ORDER) -> list[str]:
     """Add one batch of raw change records (topic, key, value, offset) into
     staging.<table>. Returns the tables touched.
 
@@ -68,7 +69,7 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                 decoded = decoded.filter(F.col(BAD).isNull())
             changes = unwrap(decoded).select(
                 *row.fieldNames(), "__op", "__ts_ms", "__source_ts_ms", "__deleted", "offset")
-            table = staging_table(spark, t, root)
+            table = staging_table(spark, t, root, order)
             table.append(changes, source=stream, batch=batch_id)
             table.compact()
             table.versions.vacuum()
@@ -81,15 +82,16 @@ def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None =
                      checkpoint: str | None = None, trigger: str | None = REFRESH_PERIOD,
                      available_now: bool = False, refresh_after: bool = False, as_of=None,
                      tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
-                     query_name: str = "cdc_to_staging") -> StreamingQuery:
+                     query_name: str = "cdc_to_staging", order=DEFAULT_ORDER) -> StreamingQuery:
     """Start the ingest stream. ``checkpoint`` defaults to a folder under the
-    session's shared ``spark.checkpoint.dir``."""
+    session's shared ``spark.checkpoint.dir``. ``order``: the columns by which
+    a key's latest row is told (``chunk_copy.POSITION`` beside a copy by chunks)."""
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the stream's own id: that of its checkpoint, whatever the folder is called
         stream = json.loads(Files(spark, ckpt).read(f"{ckpt}/metadata"))["id"]
-        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id, stream)
+        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id, stream, order)
         if refresh_after and touched:
             refresh(spark, root=root, as_of=as_of)
 

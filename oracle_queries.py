@@ -589,3 +589,9 @@ for _name, _sql in _MART_BODIES.items():
     ORACLES[f"{_name}_kept"] = _with_batches(_sql)
 ORACLES["staging_merge_on_read"] = _with_batches(with_ctes(("stg_orders",), """
 SELECT id, customer_id, status, total_ht, total_ttc, __source_ts_ms, __deleted FROM stg_orders"""))
+ORACLES["staging_copy_by_chunks"] = with_ctes(("stg_orders",), """
+SELECT id, customer_id,
+       CASE WHEN id % 5 <> 0 THEN status WHEN status = 'CONFIRMED' THEN 'PENDING' ELSE 'CONFIRMED' END AS status,
+       total_ttc + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 AND id % 7 <> 0 AND id % 13 <> 0 THEN 2 ELSE 0 END AS total_ttc,
+       CASE WHEN id % 7 = 0 OR id % 13 = 0 THEN 'true' ELSE 'false' END AS __deleted
+FROM stg_orders""")
