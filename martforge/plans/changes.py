@@ -114,14 +114,15 @@ class ChangeTable:
         before anything is shuffled."""
         manifest, column = manifest or self.current(), column or self.keys[0]
         among = f"`{column}` IN (SELECT * FROM {{wanted}})"
+        session = keys.sparkSession  # a stream's batch has one of its own
         if column in self.keys:
             text = self.sql(manifest, f"WHERE {among}", f"WHERE {among}")
-            return self.spark.sql(text, wanted=keys)
+            return session.sql(text, wanted=keys)
         # a change may move a row from one value to another: keys with changes are folded too
         deltas = [s for s in manifest.segments if s.kind != "base"]
         touched = " UNION ALL ".join(f"SELECT `{self.keys[0]}` FROM parquet.`{s.path}`" for s in deltas)
         base_where = f"WHERE {among}" + (f" OR `{self.keys[0]}` IN ({touched})" if deltas else "")
-        return self.spark.sql(f"SELECT * FROM ({self.sql(manifest, base_where)}) WHERE {among}", wanted=keys)
+        return session.sql(f"SELECT * FROM ({self.sql(manifest, base_where)}) WHERE {among}", wanted=keys)
 
     def changed(self, after: int, manifest: Manifest | None = None) -> DataFrame:
         """Distinct first keys of rows that commits after ``after`` brought."""

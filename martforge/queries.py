@@ -28,7 +28,9 @@ from .schemas import row_schema
 from .session import RUNTIME_PERF_CONF, configure, materialise, scratch_path, ship_package
 from .sources import cdc
 from .sources import testdata as td
+from .streaming.allocation import StockLedger, start_allocation
 from .streaming.cart_state import cart_state_stream
+from .streaming.cart_table import CartTable, start_cart_table
 from .streaming.cdc_stream import ingest_batch, staging_table, start_cdc_stream
 from .streaming.chunk_copy import POSITION, ChangeLog, ChunkCopy
 
@@ -425,6 +427,43 @@ def q_cart_state_stream(spark, sf_dir):
     return last.filter(F.col("quantity").isNotNull())
 
 
+def _in_arrival_batches(rows, folder: str, start) -> None:
+    """Run a stream to completion on each third of ``rows`` by arrival, one
+    after the other under one checkpoint. ``start(stream)`` starts it."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    third = F.least(F.lit(2), F.floor((F.col("arrival") - low) * 3 / (high - low + 1)))
+    for k in range(3):
+        rows.filter(third == k).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
+@register("cart_state_table")
+def q_cart_state_table(spark, sf_dir):
+    """Cart actions in three batches by arrival, each one reduced to maps that
+    are applied to the state table by a stream; the final cart contents."""
+    base = _run_folder(spark, "cart-table")
+    carts = CartTable(spark, "staging.cart_state", base, width=RUN_WIDTH)
+    items = dwh_table(spark, sf_dir, "items")
+    _in_arrival_batches(td.cart_events(spark, sf_dir), os.path.join(base, "in"),
+                        lambda stream: start_cart_table(spark, stream, items, carts, os.path.join(base, "ckpt"), available_now=True))
+    return carts.read(as_of=CART_AS_OF)
+
+
+@register("allocate_orders_stream")
+def q_allocate_orders_stream(spark, sf_dir):
+    """Order requests in three batches by arrival, allotted by a stream from a
+    ledger of one share; the order lines."""
+    base = _run_folder(spark, "allocation")
+    items = dwh_table(spark, sf_dir, "items")
+    ledger = StockLedger(spark, "staging.stock", base, width=RUN_WIDTH)
+    ledger.restock(items.select("item_id", F.col("quantity").alias("units")), "opening")
+    _in_arrival_batches(td.order_requests(spark, sf_dir), os.path.join(base, "in"),
+                        lambda stream: start_allocation(spark, stream, items, ledger, checkpoint=os.path.join(base, "ckpt"), available_now=True))
+    return ledger.lines()
+
+
 # --- change tables and kept marts ----------------------------------------------
 
 def _change_tables(spark, names, public: bool = False) -> tuple[str, dict[str, ChangeTable]]:

@@ -41,6 +41,11 @@ def staging_table(spark: SparkSession, table: str, root: str | None = None, orde
     return found
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own id: that of its checkpoint, whatever the folder is called."""
+    return json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"]
+
+
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
                  tables=STAGING_TABLES, schemas: dict | None = None, dead_letters: str | None = None,
                  batch_id: int = 0, stream: str | None = None, order=DEFAULT_ORDER) -> list[str]:
@@ -89,9 +94,7 @@ def start_cdc_stream(spark: SparkSession, source: DataFrame, root: str | None =
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # the stream's own id: that of its checkpoint, whatever the folder is called
-        stream = json.loads(Files(spark, ckpt).read(f"{ckpt}/metadata"))["id"]
-        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id, stream, order)
+        touched = ingest_batch(spark, batch, root, tables, schemas, dead_letters, batch_id, stream_id(spark, ckpt), order)
         if refresh_after and touched:
             refresh(spark, root=root, as_of=as_of)
 

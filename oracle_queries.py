@@ -595,3 +595,5 @@ SELECT id, customer_id,
        total_ttc + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 AND id % 7 <> 0 AND id % 13 <> 0 THEN 2 ELSE 0 END AS total_ttc,
        CASE WHEN id % 7 = 0 OR id % 13 = 0 THEN 'true' ELSE 'false' END AS __deleted
 FROM stg_orders""")
+ORACLES["cart_state_table"] = ORACLES["cart_state_batch"]
+ORACLES["allocate_orders_stream"] = ORACLES["allocate_orders"]
