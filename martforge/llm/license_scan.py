@@ -5,9 +5,10 @@ Each of ``BANDS`` hash functions gives a window's minimum; a band is one
 minimum. A template (a license line or text) is cut the same way, and a
 document window that shares a band with a template window is a candidate. A
 text that holds two consecutive shingles of a template has its window, and so
-all its bands; ``miss_bound`` gives the probability that a template of one
-shingle is missed. Candidates are settled exactly: the share of the template's shingles
-that the document holds around the window must reach ``CONTAINED``.
+all its bands. A template of one shingle has no window of its own: its
+shingle's hash is looked up besides, as one band more. So none is missed. Candidates
+are settled exactly: the share of the template's shingles that the document
+holds around the window must reach ``CONTAINED``.
 
 DataFrame functions only; one narrow pass over the texts. The templates are a
 parameter (some hundred lines; their band values are literals of the plan),
@@ -15,8 +16,9 @@ so nothing is shuffled but the few windows found.
 
 Defined results: a null text, or one of fewer than five words, has no
 license; templates of fewer than five words are refused; rows that repeat
-doc_id and text are reported once; a null doc_id stays null; other columns are
-ignored; an empty table gives no rows.
+doc_id and text are reported once, rows of one doc_id (or none) and several
+texts once for each text; a null doc_id stays null; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,12 +58,10 @@ def words(text: Column) -> Column:
 
 
 def miss_bound(n_shingles: int, bands: int = BANDS) -> float:
-    """Probability that no band retrieves a template of which CONTAINED of
-    the shingles are there. With two or more, two consecutive ones are: their
-    window is the template's. A single one is in two windows; it is the
-    minimum of neither with probability 1/3 (the smaller of three values
-    decides: both neighbours must be below it)."""
-    return 0.0 if n_shingles > 1 else (1 / 3) ** bands
+    """Probability that a template is not retrieved though CONTAINED of its
+    shingles are there. Of two or more, two consecutive ones are: their window
+    is the template's, in every band. A single one is looked up itself."""
+    return 0.0 if n_shingles > 1 else float(n_shingles < 1)
 
 
 def _nth_hash(b: int):
@@ -69,9 +69,9 @@ def _nth_hash(b: int):
 
 
 def _minima(df: DataFrame, bands: int, keep: list[str]) -> DataFrame:
-    """Adds ``m0``, ``m1``, ...: the window minima of each hash function."""
-    df = df.select(*keep, *[F.transform("gram_hashes", _nth_hash(b)).alias(f"h{b}") for b in range(bands)])
-    return df.select(*keep, *[F.zip_with(f"h{b}", F.slice(f"h{b}", F.lit(2), F.size(f"h{b}")), lambda x, y: F.least(x, y)).alias(f"m{b}")
+    """Adds ``m0``, ``m1``, ...: the window minima of each hash function; keeps the shingles' hashes."""
+    df = df.select(*keep, "gram_hashes", *[F.transform("gram_hashes", _nth_hash(b)).alias(f"h{b}") for b in range(bands)])
+    return df.select(*keep, "gram_hashes", *[F.zip_with(f"h{b}", F.slice(f"h{b}", F.lit(2), F.size(f"h{b}")), lambda x, y: F.least(x, y)).alias(f"m{b}")
                               for b in range(bands)])
 
 
@@ -98,25 +98,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     rows = _minima(_shingled(known, ["license"]), bands, ["license", "words"]).collect()
     if any(len(r.words) < SHINGLE for r in rows):
         raise ValueError(f"a template needs {SHINGLE} words")
-    values = [sorted({m for r in rows for m in r[f"m{b}"]}) for b in range(bands)]
+    # beside the bands, as the last: the shingle itself of templates of one
+    marks = [{r.license: set(r[f"m{b}"]) for r in rows} for b in range(bands)] + [{r.license: set(r.gram_hashes) for r in rows if len(r.gram_hashes) == 1}]
+    values = [sorted(set().union(*m.values())) for m in marks]
     reach = max((len(r.words) for r in rows), default=0)
     if not rows:
         return spark.createDataFrame([], "doc_id long, license string, containment double, at long")
-    bandings = spark.createDataFrame([(b, m, r.license) for r in rows for b in range(bands) for m in set(r[f"m{b}"])], "band int, minimum long, license string")
+    bandings = spark.createDataFrame([(b, m, name) for b, mark in enumerate(marks) for name, found in mark.items() for m in found],
+                                     "band int, minimum long, license string")
 
     def found(b: int) -> Column:
-        marked = F.transform(f"m{b}", lambda x, j: F.when(x.isin(values[b]), F.struct(F.lit(b).alias("band"), x.alias("minimum"), j.alias("at"))))
+        marked = F.transform(f"m{b}" if b < bands else "gram_hashes", lambda x, j: F.when(x.isin(values[b]), F.struct(F.lit(b).alias("band"), x.alias("minimum"), j.alias("at"))))
         return F.filter(marked, lambda x: x.isNotNull())
 
-    texts = docs.select("doc_id", words(F.col("text")).alias("words"))
-    minima = _minima(_shingled(texts, ["doc_id"]), bands, ["doc_id", "words"])
-    hits = minima.select("doc_id", "words", F.explode_outer(F.flatten(F.array(*[found(b) for b in range(bands)]))).alias("hit"))
+    own = ["doc_id", "text_hash"]
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
+    minima = _minima(_shingled(texts, own), bands, [*own, "words"])
+    hits = minima.select(*own, "words", F.explode_outer(F.flatten(F.array(*[found(b) for b in range(len(marks)) if values[b]]))).alias("hit"))
     # what of the text a template that shows in this window can cover
     low = F.greatest(F.col("hit.at") - reach, F.lit(0))
     around = F.slice("words", low + 1, F.lit(2 * reach + WINDOW + SHINGLE))
-    hits = hits.select("doc_id", F.col("hit.band").alias("band"), F.col("hit.minimum").alias("minimum"), F.col("hit.at").alias("at"), around.alias("around"))
-    pairs = hits.join(bandings, ["band", "minimum"]).groupBy("doc_id", "license", "at").agg(F.first("around").alias("around"))
+    hits = hits.select(*own, F.col("hit.band").alias("band"), F.col("hit.minimum").alias("minimum"), F.col("hit.at").alias("at"), around.alias("around"))
+    pairs = hits.join(bandings, ["band", "minimum"]).groupBy(*own, "license", "at").agg(F.first("around").alias("around"))
     pairs = pairs.join(known.select("license", "shingles"), "license")
     share = F.size(F.array_intersect("shingles", _shingle_texts(F.col("around")))) / F.size("shingles")
-    exact = pairs.select("doc_id", "license", share.alias("containment"), F.col("at").cast("long").alias("at")).where(F.col("containment") >= CONTAINED)
-    return exact.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("at"))
+    exact = pairs.select(*own, "license", share.alias("containment"), F.col("at").cast("long").alias("at")).where(F.col("containment") >= CONTAINED)
+    return exact.groupBy(*own, "license").agg(F.max("containment").alias("containment"), F.min("at").alias("at")).drop("text_hash")

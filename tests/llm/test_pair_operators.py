@@ -158,6 +158,23 @@ def test_licenses_against_plain_containment(spark, make_docs, odd_rows, prose):
         license_scan.scan(make_docs(rows), {"short": "too short"})
 
 
+def test_a_license_of_one_shingle_is_found_everywhere(make_docs, prose):
+    rows = [(k, prose(3, 5000 + k) + " released under the MIT license " + prose(3, 6000 + k)) for k in range(4000)]
+    rows += [(9000 + k, prose(20, 7000 + k)) for k in range(50)]
+    found = license_scan.scan(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.license, r.containment) for r in found) == [(k, "MIT", 1.0) for k in range(4000)]
+    assert {r["at"] for r in found} <= {2, 3}  # a window is two shingles: the one before may show the line
+
+
+def test_licenses_of_rows_that_share_an_id(make_docs, prose):
+    texts = ["x " + license_scan.TEMPLATES["CC-BY-4.0"], prose(30, 1) + " " + license_scan.TEMPLATES["CC-BY-4.0"], prose(9, 2), None]
+    seen = []
+    for order in (texts, texts[::-1]):
+        rows = [(i, t) for t in order for i in (None, 5, 5)]
+        seen.append(sorted((str(r.doc_id), r.license, r.containment, r["at"]) for r in license_scan.scan(make_docs(rows)).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 4 and {s[0] for s in seen[0]} == {"5", "None"}
+
+
 def test_mix_reaches_its_margins(make_docs, prose, shipped):
     rows = [(i, prose(20 + i % 7, i) + (" Licensed x" if i % 4 == 0 else "")) for i in range(300)]
     mix = mixing.Mix(power={"source": 0.0, "lang": 1.0, "topic": 1.0}, shares={"lang": {"en": 0.5}}, keep=0.5)
