@@ -14,8 +14,8 @@ text enters a score.
 Defined results: a null or empty text has zero features and gets the score
 the tables give them; labels that are null or neither 0 nor 1 are ignored, of
 repeated labels of a document the mean decides; documents without label are
-scored, not learned from; without any usable label the score is 0.5 for all;
-repeated rows stay; other columns are ignored.
+scored, not learned from; without any usable label the score is 0.5 for all,
+and ``keep_good`` rejects nothing; repeated rows stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,6 +87,10 @@ class Model:
     pair_edges: list[np.ndarray]
     pair_tables: list[np.ndarray]
 
+    def learned(self) -> bool:
+        """False if there was nothing to learn from."""
+        return self.tables.shape[1] > 1
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1 for each row of features: bins looked up and added."""
         out = np.full(len(x), self.base)
@@ -219,6 +223,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
+    """The rows of ``docs`` that the classifier doesn't reject; all, if there
+    is no label to learn from."""
     model = train(docs, labels)
+    if not model.learned():
+        return docs
     return docs.where(score_column(F.col("text"), model) >= threshold)

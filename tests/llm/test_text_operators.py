@@ -177,6 +177,111 @@ def test_quality_odd_rows(shipped, make_docs, odd_rows):
     assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_nothing_is_rejected_without_labels(shipped, make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    none = shipped.createDataFrame([(None, 1), (7, 5)], "doc_id long, quality int")
+    for labels in (none, none.limit(0)):
+        kept = quality_gam.keep_good(docs, labels)
+        assert kept.columns == docs.columns and kept.count() == len(odd_rows)
+
+
+def plain_tree(grad, hess, leaves):
+    """Values per bin of the tree that cuts where the gain is greatest, the leftmost of equals."""
+    value = lambda lo, hi: sum(grad[lo:hi]) / (sum(hess[lo:hi]) + quality_gam.RIDGE)
+    gain = lambda lo, hi: value(lo, hi) * sum(grad[lo:hi])
+    parts = [(0, len(grad))]
+    while len(parts) < leaves:
+        cuts = [(gain(lo, c) + gain(c, hi) - gain(lo, hi), -lo, -c) for lo, hi in parts for c in range(lo + 1, hi)]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            break
+        _, lo, c = max(cuts)
+        hi = dict(parts)[-lo]
+        parts = sorted([p for p in parts if p[0] != -lo] + [(-lo, -c), (-c, hi)])
+    return [value(lo, hi) for lo, hi in parts for _ in range(lo, hi)]
+
+
+def plain_bin(edges, v):
+    return sum(v >= e for e in edges)
+
+
+def plain_model(x, y, rounds, pair_rounds):
+    """The additive model by loops over rows: (base, edges, tables, pairs, coarse edges, pair tables)."""
+    n, d, q = len(y), len(x[0]), quality_gam
+    cut = lambda bins: [sorted(set(np.quantile([row[j] for row in x], [k / bins for k in range(1, bins)]).tolist())) for j in range(d)]
+    edges, coarse = cut(q.BINS), cut(q.PAIR_BINS)
+    base = float(np.log((sum(y) + 1) / (n - sum(y) + 1)))
+    margin, tables, size = [base] * n, [[0.0] * (q.BINS + 1) for _ in range(d)], q.PAIR_BINS + 1
+    residuals = lambda: [(yi - p, p * (1 - p)) for yi, m in zip(y, margin) for p in [1 / (1 + np.exp(-m))]]
+    for _ in range(rounds):
+        for j in range(d):
+            g, h = [0.0] * (q.BINS + 1), [0.0] * (q.BINS + 1)
+            for row, (gi, hi) in zip(x, residuals()):
+                g[plain_bin(edges[j], row[j])] += gi
+                h[plain_bin(edges[j], row[j])] += hi
+            tree = plain_tree(g, h, q.LEAVES)
+            tables[j] = [t + q.RATE * v for t, v in zip(tables[j], tree)]
+            margin = [m + q.RATE * tree[plain_bin(edges[j], row[j])] for m, row in zip(margin, x)]
+
+    def grid(a, b):
+        g, h = np.zeros((size, size)), np.zeros((size, size))
+        for row, (gi, hi) in zip(x, residuals()):
+            cell = plain_bin(coarse[a], row[a]), plain_bin(coarse[b], row[b])
+            g[cell] += gi
+            h[cell] += hi
+        return g, h
+
+    strength = sorted((-sum(gv * gv / (hv + q.RIDGE) for gv, hv in zip(g.ravel(), h.ravel())), a, b)
+                      for a in range(d) for b in range(a + 1, d) for g, h in [grid(a, b)])
+    pairs = [(a, b) for _, a, b in strength[:q.PAIRS]]
+    pair_tables = [np.zeros((size, size)) for _ in pairs]
+    for _ in range(pair_rounds):
+        for (a, b), table in zip(pairs, pair_tables):
+            g, h = grid(a, b)
+            halves = plain_tree(list(g.sum(1)), list(h.sum(1)), 2)
+            step = np.zeros((size, size))
+            for half in set(halves):
+                rows = [i for i in range(size) if halves[i] == half]
+                step[rows] = plain_tree(list(g[rows].sum(0)), list(h[rows].sum(0)), 2)
+            table += q.RATE * step
+            margin = [m + q.RATE * step[plain_bin(coarse[a], row[a]), plain_bin(coarse[b], row[b])] for m, row in zip(margin, x)]
+    return base, edges, tables, pairs, coarse, pair_tables
+
+
+def plain_score(model, row):
+    base, edges, tables, pairs, coarse, pair_tables = model
+    total = base + sum(t[plain_bin(e, v)] for e, t, v in zip(edges, tables, row))
+    total += sum(t[plain_bin(coarse[a], row[a]), plain_bin(coarse[b], row[b])] for (a, b), t in zip(pairs, pair_tables))
+    return 1 / (1 + np.exp(-total))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_fit_and_score_against_plain_loops(monkeypatch, seed):
+    monkeypatch.setattr(quality_gam, "ROUNDS", 3)
+    monkeypatch.setattr(quality_gam, "PAIR_ROUNDS", 3)
+    monkeypatch.setattr(quality_gam, "PAIRS", 2)
+    r = np.random.RandomState(seed)
+    x = np.round(r.rand(120, 4), 2)  # values that repeat and meet the edges
+    x[:, 3] = r.randint(0, 3, 120)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4) ^ (r.rand(120) < 0.1)).astype(float)
+    model, plain = quality_gam.fit(x, y), plain_model(x.tolist(), y.tolist(), 3, 3)
+    assert model.pairs == plain[3] and all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.tables, plain[2]))
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.pair_tables, plain[5]))
+    fresh = np.vstack([r.rand(50, 4) * 1.4 - 0.2, x[:20]])
+    assert np.allclose(model.score(fresh), [plain_score(plain, row) for row in fresh.tolist()], atol=1e-9)
+
+
+def test_query_scores_against_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_gam.train(docs, labels)
+    plain = m.base, [e.tolist() for e in m.edges], m.tables.tolist(), m.pairs, [e.tolist() for e in m.pair_edges], m.pair_tables
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = queries.REGISTRY["op1_quality_gam"](spark, SF_SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        want = plain_score(plain, quality_gam.features(texts[r.doc_id]).tolist())
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
 def test_model_learns_pairs():
     r = np.random.RandomState(0)
     x = r.rand(3000, 4)
