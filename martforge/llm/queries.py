@@ -139,6 +139,20 @@ def op10(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op10_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[p:p + 2], ' ') AS shingle
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS MATERIALIZED (SELECT a.r AS x, b.r AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r
+  HAVING 100 * count(*) >= 90 * ((SELECT n FROM n WHERE r = a.r) + (SELECT n FROM n WHERE r = b.r) - count(*))),
+both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT r, r AS y FROM w UNION SELECT reached.r, b.y FROM reached JOIN both_ways b ON reached.y = b.x)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(v.doc_id)::BIGINT AS component_id
+FROM reached JOIN w USING (r) JOIN w v ON v.r = reached.y LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id"""
+
+
 @register("op6_mixing")
 def op6(spark, sf_dir):
     """Every document's probability under the raked mix, and its draw."""
