@@ -243,8 +243,8 @@ KEPT = {
 class KeptMart:
     """One mart, refreshed from the change tables of its sources."""
 
-    def __init__(self, spark: SparkSession, name: str, staging: dict[str, ChangeTable], root: str | None = None):
-        self.spark, self.name, self.kept, self.staging = spark, name, KEPT[name], staging
+    def __init__(self, spark: SparkSession, name: str, staging: dict[str, ChangeTable], root: str | None = None, kept: Kept | None = None):
+        self.spark, self.name, self.kept, self.staging = spark, name, kept or KEPT[name], staging
         self.store = ChangeTable(spark, f"dmart.{name}__kept", root, keys=self.kept.keys, kind=self.kept.kind, order=(), public=False)
 
     def seen(self) -> dict[str, int]:

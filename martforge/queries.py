@@ -24,6 +24,7 @@ from .plans import catalog as cat
 from .plans import refresh as refr
 from .plans.changes import ChangeTable
 from .plans.incremental import KEPT, KeptMart
+from .plans.suggestions import KeptSuggestions
 from .schemas import row_schema
 from .session import RUNTIME_PERF_CONF, configure, materialise, scratch_path, ship_package
 from .sources import cdc
@@ -560,3 +561,17 @@ def _kept_query(name):
 
 for _m in KEPT:
     register(f"{_m}_kept")(_kept_query(_m))
+
+
+@register("reorder_suggestions_kept")
+def q_reorder_suggestions_kept(spark, sf_dir):
+    """Re-order suggestions, kept up to date over three batches of changes of
+    orders, lines and items (sold out, back, deleted)."""
+    sources = ("orders", "order_items", "items")
+    batches = {t: td.staging_batches(spark, sf_dir, t) for t in sources}
+    root, tables = _change_tables(spark, sources)
+    kept = KeptSuggestions(spark, tables, root)
+    for k in range(3):
+        _take_batch(tables, batches, k)
+        kept.refresh()
+    return kept.read()

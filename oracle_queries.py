@@ -597,3 +597,4 @@ SELECT id, customer_id,
 FROM stg_orders""")
 ORACLES["cart_state_table"] = ORACLES["cart_state_batch"]
 ORACLES["allocate_orders_stream"] = ORACLES["allocate_orders"]
+ORACLES["reorder_suggestions_kept"] = _with_batches(ORACLES["reorder_suggestions"])

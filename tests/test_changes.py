@@ -8,10 +8,11 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from martforge.operators import dwh, marts
+from martforge.operators import dwh, marts, shop
 from martforge.plans import catalog, changes
 from martforge.plans.changes import ChangeTable
 from martforge.plans.incremental import KEPT, KeptMart
+from martforge.plans.suggestions import KeptSuggestions
 from martforge.plans.versions import Segment, Versions
 from martforge.session import configure
 
@@ -300,3 +301,52 @@ def test_a_refresh_writes_what_changed(spark, tmpdir_):
     lines = tables["order_items"].only(spark.range(7, 8).toDF("key"), "order_id")
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+# -- kept suggestions ---------------------------------------------------------------
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_suggestions_equal_the_full_ones(spark, tmpdir_, seed):
+    catalog.ensure_namespaces(spark)
+    r, offset = random.Random(seed), 0
+    tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in ("items", "order_items", "orders")}
+    kept = KeptSuggestions(spark, tables, tmpdir_, k=2, spare=seed - 1)
+    for k in range(4):
+        for t in tables:
+            if k and r.random() < 0.3:
+                continue
+            for _ in range(3 if k == 0 else 1):
+                rows, offset = random_changes(r, t, offset)
+                tables[t].append(spark.createDataFrame(rows, TYPES[t] + META).coalesce(1))
+            tables[t].versions.vacuum(keep=1)
+        kept.refresh()
+        loads = {t: dwh.LOADS[t](tables[t].read()) for t in tables}
+        assert rows_of(kept.read()) == rows_of(shop.reorder_suggestions(loads["order_items"], loads["orders"], loads["items"], k=2)), k
+    assert not kept.refresh()
+
+
+def test_an_item_that_sells_out_or_comes_back_moves_the_right_customers(spark, tmpdir_):
+    catalog.ensure_namespaces(spark)
+    tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in ("items", "order_items", "orders")}
+    item = lambda ids, q, t: spark.createDataFrame([(i, "t", None, None, 1.0, 20.0, 1.2, q, t, "false", t) for i in ids], TYPES["items"] + META)
+    tables["items"].load(item(range(1, 8), 5, 0))
+    tables["orders"].load(spark.createDataFrame([(c, c, "CONFIRMED", 1.0, 2.0, 0, "false", 0) for c in (1, 2, 3)], TYPES["orders"] + META))
+    bought = [(1, i) for i in range(1, 8)] + [(2, 7), (2, 1), (3, 2)]  # customer 1 has all, 2 has 7 and 1, 3 has 2
+    tables["order_items"].load(spark.createDataFrame([(n, c, i, 1, 1.0, 1.2, 0, "false", 0) for n, (c, i) in enumerate(bought)], TYPES["order_items"] + META))
+    kept = KeptSuggestions(spark, tables, tmpdir_, k=2, spare=1)
+    shown = lambda: {c: [r["item_id"] for r in sorted((r for r in rows if r["customer_id"] == c), key=lambda r: r["rank"])]
+                     for rows in [kept.read().collect()] for c in {r["customer_id"] for r in rows}}
+    last = lambda: {r["customer_id"]: (r["floor"], r["items"]) for r in spark.read.parquet(kept.heaps.current().segments[-1].path).collect()}
+    kept.heaps.compact = lambda: False
+    assert kept.refresh() and shown() == {1: [7, 6], 2: [7, 1], 3: [2]} and last()[1] == (5, [7, 6, 5])
+    tables["items"].append(item([7], 0, 1))
+    assert kept.refresh() and last() == {1: (5, [6, 5]), 2: (None, [1])}  # a spare place is used, nothing filled anew
+    tables["items"].append(item([3], 0, 2))  # nobody holds it in a heap
+    assert not kept.refresh()
+    tables["items"].append(item([6], 0, 3))
+    assert kept.refresh() and last() == {1: (2, [5, 4, 2])}  # below k: filled from the purchases
+    tables["items"].append(item([5], 9, 4))  # another quantity, still in stock
+    assert not kept.refresh()
+    tables["items"].append(item([7], 1, 5))
+    assert kept.refresh() and last() == {1: (4, [7, 5, 4]), 2: (None, [7, 1])}
+    assert shown() == {1: [7, 5], 2: [7, 1], 3: [2]}
