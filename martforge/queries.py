@@ -23,6 +23,7 @@ from .operators import staging as stg
 from .plans import catalog as cat
 from .plans import refresh as refr
 from .plans.changes import ChangeTable
+from .plans.history import FOREIGN, UNIQUE, kept_checks
 from .plans.incremental import KEPT, KeptMart
 from .plans.suggestions import KeptSuggestions
 from .schemas import row_schema
@@ -575,3 +576,23 @@ def q_reorder_suggestions_kept(spark, sf_dir):
         _take_batch(tables, batches, k)
         kept.refresh()
     return kept.read()
+
+
+def _kept_checks_query(name, unique, foreign):
+    def q(spark, sf_dir):
+        sources = {t for t, _ in unique.values()} | {x for child, _, parent in foreign.values() for x in (child, parent)}
+        more = td.COLLIDING if unique else {}
+        batches = {t: td.staging_batches(spark, sf_dir, t, more.get(t)) for t in sorted(sources)}
+        root, tables = _change_tables(spark, sorted(sources))
+        checks = kept_checks(spark, tables, root, unique, foreign)
+        for k in range(3):
+            _take_batch(tables, batches, k)
+            for check in checks:
+                check.refresh()
+        return reduce(lambda a, b: a.unionByName(b), [check.read() for check in checks])
+    q.__doc__ = f"{name}, kept up to date over three batches of changes; history is asked through Bloom filters."
+    return q
+
+
+register("dq_unique_kept")(_kept_checks_query("dq_unique", UNIQUE, {}))
+register("dq_foreign_keys_kept")(_kept_checks_query("dq_foreign_keys", {}, FOREIGN))

@@ -312,28 +312,34 @@ def _offset(table: str) -> Column:
     return F.floor(F.col("unit_price_ht") * 100 + F.lit(0.5)).cast("long") if table == "order_items" else F.lit(0).cast("long")
 
 
-def _edited(df: DataFrame, table: str) -> DataFrame:
+#: Edits after which rows share what should be unique: two of five customers' e-mails, invoices' orders.
+COLLIDING = {"customers": {"email": "concat('shared', id div 10, '@shop.test')"}, "invoices": {"order_id": "id div 10"}}
+
+
+def _edited(df: DataFrame, table: str, more: dict | None = None) -> DataFrame:
     """An edit of each row."""
     edits = {"orders": {"status": F.when(F.col("status") == "CONFIRMED", "PENDING").otherwise("CONFIRMED"), "total_ttc": F.col("total_ttc") + 1},
              "order_items": {"quantity": F.col("quantity") + 1}, "items": {"quantity": F.col("quantity") + 1},
              "customers": {"last_name": F.concat("last_name", F.lit("-b"))}, "admins": {"last_name": F.concat("last_name", F.lit("-b"))},
              "payments": {"status": F.lit("FAILED")}, "invoices": {"total_ht": F.col("total_ht") + 1}}
-    return df.withColumns({**edits[table], "__op": F.lit("u")})
+    more = {c: F.expr(e) for c, e in (more or {}).items()}
+    return df.withColumns({**edits[table], **more, "__op": F.lit("u")})
 
 
-def staging_batches(spark, sf_dir, table: str) -> list[DataFrame]:
+def staging_batches(spark, sf_dir, table: str, more: dict | None = None) -> list[DataFrame]:
     """The rows of a staging table as three batches of changes. First: ids
     that leave 0, 1 or 2 by 4. Second: the other ids, and edits (a day later)
     of ids divisible by 5. Third: deletes (two days later) of ids divisible by
     7, edits that come late (a second before the row they edit) of ids
-    divisible by 11, and the rows of ids divisible by 13 once more."""
+    divisible by 11, and the rows of ids divisible by 13 once more. ``more``:
+    further columns that an edit sets, as SQL."""
     rows = STAGING_BUILDERS[table](spark, sf_dir).withColumn("offset", _offset(table))
     later = lambda df, ms: df.withColumn("__source_ts_ms", F.col("__source_ts_ms") + F.lit(ms))
     of = lambda k: rows.where(F.col("id") % k == 0)
     gone = later(of(7), 2 * DAY_MS).withColumns({"__op": F.lit("d"), "__deleted": F.lit("true")})
     return [rows.where(F.col("id") % 4 != 3),
-            rows.where(F.col("id") % 4 == 3).unionByName(later(_edited(of(5), table), DAY_MS)),
-            gone.unionByName(later(_edited(of(11), table), -1000)).unionByName(of(13))]
+            rows.where(F.col("id") % 4 == 3).unionByName(later(_edited(of(5), table, more), DAY_MS)),
+            gone.unionByName(later(_edited(of(11), table, more), -1000)).unionByName(of(13))]
 
 
 # --- a source table that changes while it is copied --------------------------------

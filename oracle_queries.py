@@ -558,10 +558,10 @@ SELECT cart_id, CAST(SUM(q) AS DOUBLE) AS cart_count FROM cart_items GROUP BY ca
 _DAY = 86400000
 _EDITS = {"orders": "CASE WHEN status = 'CONFIRMED' THEN 'PENDING' ELSE 'CONFIRMED' END AS status, total_ttc + 1 AS total_ttc",
           "order_items": "CAST(quantity + 1 AS INTEGER) AS quantity", "items": "CAST(quantity + 1 AS INTEGER) AS quantity",
-          "customers": "last_name || '-b' AS last_name", "payments": "'FAILED' AS status", "invoices": "total_ht + 1 AS total_ht"}
+          "customers": "last_name || '-b' AS last_name", "admins": "last_name || '-b' AS last_name", "payments": "'FAILED' AS status", "invoices": "total_ht + 1 AS total_ht"}
 
 
-def _after_batches(table: str) -> str:
+def _after_batches(table: str, edits: dict) -> str:
     """Latest row per id of the table's rows, edits, late edits and deletes."""
     offset = "CAST(floor(unit_price_ht * 100 + 0.5) AS BIGINT)" if table == "order_items" else "0"
     raw = f"FROM raw_{table} WHERE id %"
@@ -569,19 +569,19 @@ def _after_batches(table: str) -> str:
 SELECT * EXCLUDE (o, rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY __source_ts_ms DESC, o DESC) AS rn FROM (
     SELECT *, {offset} AS o FROM raw_{table}
-    UNION ALL SELECT * REPLACE ({_EDITS[table]}, __source_ts_ms + {_DAY} AS __source_ts_ms), {offset} {raw} 5 = 0
-    UNION ALL SELECT * REPLACE ({_EDITS[table]}, __source_ts_ms - 1000 AS __source_ts_ms), {offset} {raw} 11 = 0
+    UNION ALL SELECT * REPLACE ({edits[table]}, __source_ts_ms + {_DAY} AS __source_ts_ms), {offset} {raw} 5 = 0
+    UNION ALL SELECT * REPLACE ({edits[table]}, __source_ts_ms - 1000 AS __source_ts_ms), {offset} {raw} 11 = 0
     UNION ALL SELECT * REPLACE ('true' AS __deleted, __source_ts_ms + {2 * _DAY} AS __source_ts_ms), {offset} {raw} 7 = 0))
 WHERE rn = 1"""
 
 
-def _with_batches(sql: str) -> str:
+def _with_batches(sql: str, edits: dict = _EDITS) -> str:
     """An oracle over the staging tables as they are after the batches."""
     for t in _EDITS:
         if f"stg_{t} AS (" in sql:
             head, tail = sql.split(f"stg_{t} AS (", 1)
             own = CTES[f"stg_{t}"][1].strip()
-            sql = f"{head}raw_{t} AS ({own}),\nstg_{t} AS ({_after_batches(t).strip()}){tail[len(own) + 1:]}"
+            sql = f"{head}raw_{t} AS ({own}),\nstg_{t} AS ({_after_batches(t, edits).strip()}){tail[len(own) + 1:]}"
     return sql
 
 
@@ -598,3 +598,7 @@ FROM stg_orders""")
 ORACLES["cart_state_table"] = ORACLES["cart_state_batch"]
 ORACLES["allocate_orders_stream"] = ORACLES["allocate_orders"]
 ORACLES["reorder_suggestions_kept"] = _with_batches(ORACLES["reorder_suggestions"])
+ORACLES["dq_unique_kept"] = _with_batches(ORACLES["dq_unique"], {
+    **_EDITS, "customers": _EDITS["customers"] + ", 'shared' || CAST(id // 10 AS VARCHAR) || '@shop.test' AS email",
+    "invoices": _EDITS["invoices"] + ", CAST(id // 10 AS BIGINT) AS order_id"})
+ORACLES["dq_foreign_keys_kept"] = _with_batches(ORACLES["dq_foreign_keys"])
