@@ -42,16 +42,16 @@ def load_items(staging: DataFrame) -> DataFrame:
         epoch_ms_to_ts("__source_ts_ms").alias("source_updated_at"))
 
 
-def load_orders(staging: DataFrame) -> DataFrame:
+def load_orders(staging: DataFrame, *also: str) -> DataFrame:
     return _live(staging).select(
         F.col("id").alias("order_id"), "customer_id",
         F.lower("status").alias("status"),
         F.col("total_ht").cast(MONEY).alias("total_ht"),
         F.col("total_ttc").cast(MONEY).alias("total_ttc"),
-        epoch_ms_to_ts("__source_ts_ms").alias("source_updated_at"))
+        epoch_ms_to_ts("__source_ts_ms").alias("source_updated_at"), *also)
 
 
-def load_order_items(staging: DataFrame) -> DataFrame:
+def load_order_items(staging: DataFrame, *also: str) -> DataFrame:
     """Line totals multiply the raw columns first, then cast (no source time kept)."""
     return _live(staging).select(
         F.col("id").alias("order_item_id"), "order_id", "item_id",
@@ -59,7 +59,7 @@ def load_order_items(staging: DataFrame) -> DataFrame:
         F.col("unit_price_ht").cast(MONEY).alias("unit_price_ht"),
         F.col("unit_price_ttc").cast(MONEY).alias("unit_price_ttc"),
         (F.col("quantity") * F.col("unit_price_ht")).cast(MONEY).alias("line_total_ht"),
-        (F.col("quantity") * F.col("unit_price_ttc")).cast(MONEY).alias("line_total_ttc"))
+        (F.col("quantity") * F.col("unit_price_ttc")).cast(MONEY).alias("line_total_ttc"), *also)
 
 
 def load_payments(staging: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ FANOUT = 4
 TIER_BYTES = 1 << 20
 #: Share of the base's bytes at which the segments are merged into it.
 BASE_SHARE = 0.25
+#: Estimated bytes a bucket from which a batch is laid out like the base: then no fold shuffles it.
+BUCKET_BYTES = 1 << 20
 #: A file that tells a table that was dropped from one not yet in the catalogue.
 PUBLISHED = "published"
 
@@ -90,13 +92,17 @@ class ChangeTable:
         if not deltas:
             return f"SELECT `{key}`, {_names(shown)} FROM {whole}"
         rows = " UNION ALL ".join(self._rows(s, columns, delta_where) for s in deltas)
-        folded = (f"(SELECT `{key}`, max_by(struct({_names([*rest, SEQ])}), struct({_names(rank)})) AS r FROM ({rows}) "
-                  f"WHERE `{key}` IS NOT NULL GROUP BY `{key}`)")
+        if len(deltas) == 1:  # a segment holds one row per key: as it is, only the columns asked for are moved
+            folded, of = f"(SELECT * FROM ({rows}) WHERE `{key}` IS NOT NULL)", ""
+        else:
+            folded = (f"(SELECT `{key}`, max_by(struct({_names([*rest, SEQ])}), struct({_names(rank)})) AS r FROM ({rows}) "
+                      f"WHERE `{key}` IS NOT NULL GROUP BY `{key}`)")
+            of = "r."
         if not base:
-            return f"SELECT `{key}`, " + ", ".join(f"r.`{c}` AS `{c}`" for c in shown) + f" FROM {folded}"
-        later = "struct({}) >= struct({})".format(", ".join(f"d.r.`{c}`" for c in rank), ", ".join(f"b.`{c}`" for c in rank))
+            return f"SELECT `{key}`, " + ", ".join(f"{of}`{c}` AS `{c}`" for c in shown) + f" FROM {folded}"
+        later = "struct({}) >= struct({})".format(", ".join(f"d.{of}`{c}`" for c in rank), ", ".join(f"b.`{c}`" for c in rank))
         wins = f"d.`{key}` IS NOT NULL AND (b.`{key}` IS NULL OR {later})"
-        return (f"SELECT coalesce(b.`{key}`, d.`{key}`) AS `{key}`, " + ", ".join(f"CASE WHEN {wins} THEN d.r.`{c}` ELSE b.`{c}` END AS `{c}`" for c in shown)
+        return (f"SELECT coalesce(b.`{key}`, d.`{key}`) AS `{key}`, " + ", ".join(f"CASE WHEN {wins} THEN d.{of}`{c}` ELSE b.`{c}` END AS `{c}`" for c in shown)
                 + f" FROM {whole} b FULL OUTER JOIN {folded} d ON b.`{key}` = d.`{key}`")
 
     # -- reading ------------------------------------------------------------
@@ -105,8 +111,8 @@ class ChangeTable:
         found = self.versions.current()
         return found if found and found.segments else None
 
-    def read(self, manifest: Manifest | None = None) -> DataFrame:
-        return self.spark.sql(self.sql(manifest or self.current()))
+    def read(self, manifest: Manifest | None = None, seq: bool = False) -> DataFrame:
+        return self.spark.sql(self.sql(manifest or self.current(), seq=seq))
 
     def only(self, keys: DataFrame, column: str | None = None, manifest: Manifest | None = None) -> DataFrame:
         """The folded rows whose ``column`` (a key by default) is among
@@ -133,14 +139,18 @@ class ChangeTable:
 
     # -- writing ------------------------------------------------------------
 
-    def _segment(self, rows: DataFrame, kind: str = "delta", **more) -> Segment:
+    def _segment(self, rows: DataFrame, kind: str = "delta", laid_out: bool = False, bucketed: bool = False, **more) -> Segment:
+        """``rows`` as a new segment. ``laid_out``: they come from a join with
+        a base of as many buckets, so each task holds whole buckets already.
+        ``bucketed``: laid out by the key, as a base always is."""
         path, table = self.versions.new_folder(), None
-        if kind == "base" and self.kind == "latest":
+        if (kind == "base" or bucketed) and self.kind == "latest":
             table = f"{self.name}__{uuid.uuid4().hex[:12]}"
-            (rows.repartition(self.buckets, self.keys[0]).write.format("parquet").bucketBy(self.buckets, self.keys[0]).sortBy(self.keys[0])
+            rows = rows if laid_out else rows.repartition(self.buckets, self.keys[0])
+            (rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, self.keys[0]).sortBy(self.keys[0])
              .option("path", path).saveAsTable(table))
         else:
-            rows.write.parquet(path)
+            rows.write.option("compression", "zstd").parquet(path)
         columns = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != SEQ}
         return Segment(path, columns, kind, bytes=self.versions.files.size(path), table=table, **more)
 
@@ -187,7 +197,8 @@ class ChangeTable:
         before = self.versions.current()
         if before and source and before.applied.get(source, -1) >= batch:
             return before
-        segment = self._segment(latest_per_key(changes, self.keys[0], self.order) if self.kind == "latest" else changes)
+        latest = self.kind == "latest"
+        segment = self._segment(latest_per_key(changes, self.keys[0], self.order) if latest else changes, bucketed=latest and self._large(changes))
 
         def add(m: Manifest):
             if source and m.applied.get(source, -1) >= batch:
@@ -201,11 +212,19 @@ class ChangeTable:
 
         done = self.versions.commit(add)
         if done is None:
+            if segment.table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {segment.table}")
             self.versions.files.delete(segment.path)
             return self.versions.current()
         self._publish(done)
         return done
 
+    def _large(self, changes: DataFrame) -> bool:
+        """Does the planner expect a batch large enough for a file a bucket?
+        Only the layout depends on it."""
+        expected = changes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(expected)) >= BUCKET_BYTES * self.buckets
+
     def _tier(self, s: Segment) -> int:
         return max(0, math.ceil(math.log(max(s.bytes, 1) / TIER_BYTES, FANOUT)))
 
@@ -220,6 +239,14 @@ class ChangeTable:
                 return same, "delta"
         return [], ""
 
+    def _laid_out(self, chosen: list[Segment]) -> bool:
+        """Does folding ``chosen`` leave rows in the buckets of a new base?"""
+        base = [s for s in chosen if s.kind == "base" and s.table]
+        if not base or len(chosen) == 1:
+            return False
+        count = self.spark.sql(f"DESCRIBE FORMATTED {base[0].table}").where("col_name = 'Num Buckets'").first()
+        return count is not None and int(count["data_type"]) == self.buckets
+
     def compact(self, force: bool = False) -> bool:
         """Merge what is due (all, if forced). True if something was merged."""
         if (current := self.current()) is None:
@@ -233,7 +260,7 @@ class ChangeTable:
             return False
         try:
             some = Manifest(segments=chosen)
-            merged = self._segment(self.spark.sql(self.sql(some, seq=True)), kind, seq=max(s.seq for s in chosen), stored_seq=True)
+            merged = self._segment(self.spark.sql(self.sql(some, seq=True)), kind, self._laid_out(chosen), seq=max(s.seq for s in chosen), stored_seq=True)
             paths = {s.path for s in chosen}
 
             def replace(m: Manifest):

@@ -35,13 +35,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import live_row
 from ..operators import dwh, marts
 from ..session import materialise, release
-from .changes import ChangeTable
+from .changes import SEQ, ChangeTable
 from .versions import Manifest
 
 #: How long a consumer's hold on the version it has seen lasts without a refresh.
@@ -72,57 +72,107 @@ def _keys(*parts: DataFrame) -> DataFrame:
     return materialise(_union([p.toDF("key").where(F.col("key").isNotNull()) for p in parts]).distinct(), "touched")
 
 
-def _net(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new - old per key, without what cancels."""
-    sums = [c for c in new.columns if c not in keys]
-    signed = old.select(*keys, *[(-F.col(c)).cast(new.schema[c].dataType).alias(c) for c in sums]).unionByName(new)
-    added = signed.groupBy(*keys).agg(*[F.sum(c).cast(new.schema[c].dataType).alias(c) for c in sums])
-    return added.where(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in sums]))
-
-
 # -- contributions -----------------------------------------------------------
 
-def _touched_orders(changed: dict[str, DataFrame], images: tuple[Image, Image]) -> DataFrame:
-    parts = [changed["orders"]] if "orders" in changed else []
-    if "order_items" in changed:
-        lines = _keys(changed["order_items"])
-        parts += [image.rows("order_items", lines).select("order_id") for image in images]
-    return _keys(*parts)
+class Change:
+    """The cleaned rows of the sources over a refresh, each read once: ``was``
+    and ``now`` tell in which of the two images a row is. A row whose commit
+    the earlier image has seen is in both; of the others the earlier image's
+    rows are looked up by key."""
+
+    def __init__(self, tables: dict[str, ChangeTable], old: dict[str, Manifest | None], now: dict[str, Manifest]):
+        self.tables, self.old, self.now = tables, old, now
+        self.moved: dict[str, DataFrame] = {}  # keys of rows that commits after the earlier image have replaced
+        for t, was in old.items():
+            if was is not None and now[t].next_seq > was.next_seq:
+                fresh = tables[t].read(now[t], seq=True).where(F.col(SEQ) >= was.next_seq)
+                self.moved[t] = materialise(fresh.select(tables[t].keys[0]), "moved")
+
+    def _earlier(self, table: str) -> DataFrame:
+        return dwh.LOADS[table](self.tables[table].only(self.moved[table], None, self.old[table]))
+
+    def rows(self, table: str) -> DataFrame:
+        was = self.old[table]
+        rows = dwh.LOADS[table](self.tables[table].read(self.now[table], seq=True), SEQ)
+        seen = F.lit(False) if was is None else F.col(SEQ) < was.next_seq
+        rows = rows.withColumn("was", seen).withColumn("now", F.lit(True)).drop(SEQ)
+        if table not in self.moved:
+            return rows
+        return rows.unionByName(self._earlier(table).withColumns({"was": F.lit(True), "now": F.lit(False)}))
+
+    def orders(self) -> DataFrame | None:
+        """The orders of rows that differ; None: all, nothing was seen before."""
+        if all(was is None for was in self.old.values()):
+            return None
+        parts = []
+        for t in self.old:
+            if t in self.moved or self.old[t] is None:
+                differ = self.rows(t).where(F.col("was") != F.col("now")).select("order_id")
+                # an order's key is its id
+                parts.append(self.moved[t] if t == "orders" and t in self.moved else differ)
+        return _keys(*parts)
 
+    def release(self) -> None:
+        release(*self.moved.values())
 
-def _pairs(image: Image, orders: DataFrame) -> DataFrame:
-    """One row per (order, item) of the touched confirmed orders."""
-    lines = image.rows("order_items", orders, "order_id").groupBy("order_id", "item_id").agg(
-        F.sum("quantity").alias("q"), F.sum("line_total_ht").alias("ht"), F.sum("line_total_ttc").alias("ttc"))
-    kept = marts._confirmed(image.rows("orders", orders)).select("order_id", "customer_id", "source_updated_at")
-    return lines.join(kept, "order_id")
+
+def _signed(rows: DataFrame, keys: dict[str, Column], sums: dict[str, Callable]) -> DataFrame:
+    """The contributions per ``keys`` of both images: what is now less what
+    was. ``rows`` has one row per group that counts once, with ``was`` and
+    ``now``; a sum maps one of these to its column."""
+    rows = rows.select(*[c.alias(k) for k, c in keys.items()], *[(of("now") - of("was")).alias(c) for c, (of, _) in sums.items()])
+    some = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in sums])
+    rows = rows.where(some)  # what hasn't changed isn't moved
+    return rows.groupBy(*keys).agg(*[F.sum(c).cast(kind).alias(c) for c, (_, kind) in sums.items()]).where(some)
 
 
 MONEY_SUM = "decimal(20,2)"
+_COUNT = "long"
+
+
+def _confirmed_lines(change: Change, orders: DataFrame | None, group: list[str]) -> DataFrame:
+    """The lines of the touched confirmed orders, added up per order and
+    ``group``: how many there were and are, and their sums. Order and lines
+    meet in one shuffle by the order, which is that of the grouping too."""
+    kept = marts._confirmed(change.rows("orders")).select("order_id", "customer_id", F.col("source_updated_at").alias("at"), F.col("was").alias("had"), F.col("now").alias("has"))
+    if orders is not None:
+        kept = kept.join(orders.toDF("order_id"), "order_id", "left_semi")
+    lines = change.rows("order_items").select("order_id", "item_id", "quantity", "line_total_ht", "line_total_ttc", "was", "now")
+    lines = lines.join(kept, "order_id").withColumns({"was": F.col("was") & F.col("had"), "now": F.col("now") & F.col("has")}).where(F.col("was") | F.col("now"))
+    values = {"q": "quantity", "ht": "line_total_ht", "ttc": "line_total_ttc"}
+    return lines.groupBy("order_id", *group).agg(
+        *[F.max(side).cast(_COUNT).alias(f"n_{side}") for side in ("was", "now")],
+        *[F.sum(F.when(F.col(side), F.col(c))).alias(f"{v}_{side}") for side in ("was", "now") for v, c in values.items()])
+
+
+def _n(side: str) -> Column:
+    return F.col(f"n_{side}")
+
+
+def _value(v: str, kind: str):
+    """A sum, NULL (no value at all) as zero."""
+    return (lambda side: F.coalesce(F.col(f"{v}_{side}"), F.lit(0)).cast(kind)), kind
 
 
-def _zero(column: str, kind: str):
-    """A sum's NULL (no value at all) as zero."""
-    return F.coalesce(F.sum(column), F.lit(0)).cast(kind)
+def _count_of(v: str):
+    """Groups that have a value."""
+    return (lambda side: F.col(f"{v}_{side}").isNotNull().cast(_COUNT)), _COUNT
 
 
-def _item_sums(image: Image, orders: DataFrame) -> DataFrame:
-    return _pairs(image, orders).groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("nb_orders"), _zero("q", "long").alias("units"), _zero("ht", MONEY_SUM).alias("ht"), _zero("ttc", MONEY_SUM).alias("ttc"))
+def _item_sums(change: Change, orders: DataFrame | None) -> DataFrame:
+    return _signed(_confirmed_lines(change, orders, ["item_id"]), {"item_id": F.col("item_id")},
+                   {"nb_orders": (_n, _COUNT), "units": _value("q", "long"), "ht": _value("ht", MONEY_SUM), "ttc": _value("ttc", MONEY_SUM)})
 
 
-def _purchases(image: Image, orders: DataFrame) -> DataFrame:
-    return _pairs(image, orders).groupBy("customer_id", "item_id", F.col("source_updated_at").alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), _zero("q", "long").alias("q"), F.count("q").alias("q_known"))
+def _purchases(change: Change, orders: DataFrame | None) -> DataFrame:
+    return _signed(_confirmed_lines(change, orders, ["item_id", "customer_id", "at"]), {c: F.col(c) for c in ("customer_id", "item_id", "at")},
+                   {"n": (_n, _COUNT), "q": _value("q", "long"), "q_known": _count_of("q")})
 
 
-def _day_sums(image: Image, orders: DataFrame) -> DataFrame:
-    per_order = image.rows("order_items", orders, "order_id").groupBy("order_id").agg(
-        F.sum("quantity").alias("q"), F.sum("line_total_ht").alias("ht"), F.sum("line_total_ttc").alias("ttc"))
-    days = marts._confirmed(image.rows("orders", orders)).select("order_id", F.to_date("source_updated_at").alias("order_date"))
-    return days.join(per_order, "order_id").groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("nb_orders"), _zero("q", "long").alias("units"), _zero("ht", MONEY_SUM).alias("ht"), _zero("ttc", MONEY_SUM).alias("ttc"),
-        F.count("q").alias("units_known"), F.count("ht").alias("ht_known"), F.count("ttc").alias("ttc_known"))
+def _day_sums(change: Change, orders: DataFrame | None) -> DataFrame:
+    return _signed(_confirmed_lines(change, orders, ["at"]), {"order_date": F.to_date("at")},
+                   {"nb_orders": (_n, _COUNT), "units": _value("q", "long"), "ht": _value("ht", MONEY_SUM), "ttc": _value("ttc", MONEY_SUM),
+                    "units_known": _count_of("q"), "ht_known": _count_of("ht"), "ttc_known": _count_of("ttc")})
 
 
 def _known(value: str, count: str):
@@ -130,9 +180,11 @@ def _known(value: str, count: str):
     return F.when(F.col(count) > 0, F.col(value))
 
 
-def _baskets(image: Image, orders: DataFrame) -> DataFrame:
-    return marts._confirmed(image.rows("orders", orders)).groupBy("customer_id", F.col("source_updated_at").alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("total_ttc").alias("priced"), _zero("total_ttc", MONEY_SUM).alias("total"))
+def _baskets(change: Change, orders: DataFrame | None) -> DataFrame:
+    rows = marts._confirmed(change.rows("orders")).where(F.col("was") != F.col("now"))
+    of = lambda c, kind: ((lambda side: F.when(F.col(side), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(kind)), kind)
+    return _signed(rows, {"customer_id": F.col("customer_id"), "at": F.col("source_updated_at")},
+                   {"n": of(F.lit(1), _COUNT), "priced": of(F.col("total_ttc").isNotNull().cast("int"), _COUNT), "total": of(F.col("total_ttc"), MONEY_SUM)})
 
 
 # -- marts over the sums -------------------------------------------------------
@@ -222,21 +274,21 @@ class Kept:
     sources: tuple[str, ...]
     keys: tuple[str, ...]
     kind: str  # of the stored rows: "sum" or "latest"
-    touched: Callable
-    rows: Callable  # (image, touched keys) -> contributions, or rows
+    touched: Callable  # (change), or (changed keys, images)
+    rows: Callable  # (change, touched keys) -> contributions, or (image, touched keys) -> rows
     view: Callable  # (stored rows, *dimensions) -> mart
     dimensions: tuple[str, ...] = ()
 
 
 KEPT = {
-    "mart_revenue_by_item": Kept(("orders", "order_items"), ("item_id",), "sum", _touched_orders, _item_sums, _revenue_by_item, ("items",)),
-    "mart_customer_reorders": Kept(("orders", "order_items"), ("customer_id", "item_id", "at"), "sum", _touched_orders, _purchases, _customer_reorders, ("items",)),
+    "mart_revenue_by_item": Kept(("orders", "order_items"), ("item_id",), "sum", Change.orders, _item_sums, _revenue_by_item, ("items",)),
+    "mart_customer_reorders": Kept(("orders", "order_items"), ("customer_id", "item_id", "at"), "sum", Change.orders, _purchases, _customer_reorders, ("items",)),
     "mart_payments": Kept(("payments", "orders", "customers"), ("payment_id",), "latest", _owned_keys("payments"),
                           _owned_rows("payments", marts.payments), lambda rows: rows),
     "mart_invoices": Kept(("invoices", "orders", "customers"), ("invoice_id",), "latest", _owned_keys("invoices"),
                           _owned_rows("invoices", _invoice_rows), lambda rows: rows),
-    "mart_customer_lifetime": Kept(("orders",), ("customer_id", "at"), "sum", _touched_orders, _baskets, _customer_lifetime, ("customers",)),
-    "mart_sales_daily": Kept(("orders", "order_items"), ("order_date",), "sum", _touched_orders, _day_sums, _sales_daily),
+    "mart_customer_lifetime": Kept(("orders",), ("customer_id", "at"), "sum", Change.orders, _baskets, _customer_lifetime, ("customers",)),
+    "mart_sales_daily": Kept(("orders", "order_items"), ("order_date",), "sum", Change.orders, _day_sums, _sales_daily),
 }
 
 
@@ -264,16 +316,19 @@ class KeptMart:
             for s, hold in holds:
                 self.staging[s].versions.give_back(hold)
             return False
-        changed = {s: materialise(self.staging[s].changed(old[s].next_seq - 1 if old[s] else 0, now[s]), "changed") for s in fresh}
-        images = Image(self.staging, old), Image(self.staging, now)
-        touched = self.kept.touched(changed, images)
-        before, after = (self.kept.rows(image, touched) for image in images)
-        keys = list(self.kept.keys)
         if self.kept.kind == "sum":
-            delta = _net(before, after, keys)
+            change = Change(self.staging, old, now)
+            touched = self.kept.touched(change)
+            delta, used = self.kept.rows(change, touched), [] if touched is None else [touched]
         else:  # rows of touched keys anew; those that are gone are marked
+            keys = list(self.kept.keys)
+            changed = {s: materialise(self.staging[s].changed(old[s].next_seq - 1 if old[s] else 0, now[s]), "changed") for s in fresh}
+            images = Image(self.staging, old), Image(self.staging, now)
+            touched = self.kept.touched(changed, images)
+            before, after = (self.kept.rows(image, touched) for image in images)
             gone = before.join(after.select(*keys), keys, "left_anti").select(*after.columns).withColumn("__deleted", F.lit("true"))
             delta = after.exceptAll(before.select(*after.columns)).withColumn("__deleted", F.lit("false")).unionByName(gone)
+            change, used = None, [touched, *changed.values()]
         segment = self.store._segment(delta)
 
         def add(m: Manifest):
@@ -290,7 +345,9 @@ class KeptMart:
             for version, _, name in self.staging[s].versions._leases():
                 if f".{self.name}-{s}." in name and version != kept_versions.get(s):
                     self.staging[s].versions.give_back(f"{self.staging[s].versions.folder}/leases/{name}")
-        release(touched, *changed.values())
+        release(*used)
+        if change is not None:
+            change.release()
         if done is None:
             self.store.versions.files.delete(segment.path)
             return False

@@ -31,15 +31,16 @@ from ..fixed import REORDER_TOP_K
 from ..operators import dwh
 from ..session import materialise, release
 from .changes import SEQ, ChangeTable
-from .incremental import HOLD_SECONDS, Image, Kept, KeptMart, _keys, _pairs, _touched_orders
+from .incremental import HOLD_SECONDS, Change, Kept, KeptMart, _COUNT, _confirmed_lines, _keys, _n, _signed
 from .versions import Manifest
 
 
-def _bought(image: Image, orders: DataFrame) -> DataFrame:
-    return _pairs(image, orders).where(F.col("customer_id").isNotNull()).groupBy("customer_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+def _bought(change: Change, orders: DataFrame | None) -> DataFrame:
+    pairs = _confirmed_lines(change, orders, ["item_id", "customer_id"]).where(F.col("customer_id").isNotNull())
+    return _signed(pairs, {c: F.col(c) for c in ("customer_id", "item_id")}, {"n": (_n, _COUNT)})
 
 
-PURCHASES = Kept(("orders", "order_items"), ("customer_id", "item_id"), "sum", _touched_orders, _bought, lambda rows: rows)
+PURCHASES = Kept(("orders", "order_items"), ("customer_id", "item_id"), "sum", Change.orders, _bought, lambda rows: rows)
 _OWNER = "reorder-items"
 
 
