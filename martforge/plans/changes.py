@@ -114,7 +114,7 @@ class ChangeTable:
     def read(self, manifest: Manifest | None = None, seq: bool = False) -> DataFrame:
         return self.spark.sql(self.sql(manifest or self.current(), seq=seq))
 
-    def only(self, keys: DataFrame, column: str | None = None, manifest: Manifest | None = None) -> DataFrame:
+    def only(self, keys: DataFrame, column: str | None = None, manifest: Manifest | None = None, seq: bool = False) -> DataFrame:
         """The folded rows whose ``column`` (a key by default) is among
         ``keys`` (one column). The base is filtered in place by a semi join,
         before anything is shuffled."""
@@ -122,13 +122,13 @@ class ChangeTable:
         among = f"`{column}` IN (SELECT * FROM {{wanted}})"
         session = keys.sparkSession  # a stream's batch has one of its own
         if column in self.keys:
-            text = self.sql(manifest, f"WHERE {among}", f"WHERE {among}")
+            text = self.sql(manifest, f"WHERE {among}", f"WHERE {among}", seq)
             return session.sql(text, wanted=keys)
         # a change may move a row from one value to another: keys with changes are folded too
         deltas = [s for s in manifest.segments if s.kind != "base"]
         touched = " UNION ALL ".join(f"SELECT `{self.keys[0]}` FROM parquet.`{s.path}`" for s in deltas)
         base_where = f"WHERE {among}" + (f" OR `{self.keys[0]}` IN ({touched})" if deltas else "")
-        return session.sql(f"SELECT * FROM ({self.sql(manifest, base_where)}) WHERE {among}", wanted=keys)
+        return session.sql(f"SELECT * FROM ({self.sql(manifest, base_where, seq=seq)}) WHERE {among}", wanted=keys)
 
     def changed(self, after: int, manifest: Manifest | None = None) -> DataFrame:
         """Distinct first keys of rows that commits after ``after`` brought."""

@@ -22,8 +22,9 @@ Names and prices of items and customers, and due states, are looked up when a
 mart is read, where a change of them would touch many rows (items), and are
 part of the upserted rows where the source has them (customers).
 
-The touched keys of a refresh are semi-joined: their side is small, so the
-source tables are filtered where they lie and not shuffled.
+Few touched keys are semi-joined: the source tables are filtered where they lie
+and not shuffled. Of many, the rows of both images are read once and meet their
+orders in one shuffle (``Change``).
 
 Source versions are taken with the contributions in one commit: a refresh
 that is run again after a failure either finds its batch applied or redoes it.
@@ -44,6 +45,8 @@ from ..session import materialise, release
 from .changes import SEQ, ChangeTable
 from .versions import Manifest
 
+#: Keys up to which an image is filtered by them before it is folded.
+SMALL = 100_000
 #: How long a consumer's hold on the version it has seen lasts without a refresh.
 HOLD_SECONDS = 30 * 86400
 
@@ -85,15 +88,24 @@ class Change:
         self.moved: dict[str, DataFrame] = {}  # keys of rows that commits after the earlier image have replaced
         for t, was in old.items():
             if was is not None and now[t].next_seq > was.next_seq:
-                fresh = tables[t].read(now[t], seq=True).where(F.col(SEQ) >= was.next_seq)
+                changed = materialise(tables[t].changed(was.next_seq - 1, now[t]), "changed")
+                fresh = self._present(t, changed, tables[t].keys[0]).where(F.col(SEQ) >= was.next_seq)
                 self.moved[t] = materialise(fresh.select(tables[t].keys[0]), "moved")
+                release(changed)
+
+    def _present(self, table: str, among: DataFrame | None, column: str) -> DataFrame:
+        """The present image; of few keys their rows alone, filtered where they lie."""
+        if among is not None and among.count() <= SMALL:
+            return self.tables[table].only(among, column, self.now[table], seq=True)
+        return self.tables[table].read(self.now[table], seq=True)
 
     def _earlier(self, table: str) -> DataFrame:
         return dwh.LOADS[table](self.tables[table].only(self.moved[table], None, self.old[table]))
 
-    def rows(self, table: str) -> DataFrame:
+    def rows(self, table: str, among: DataFrame | None = None, column: str = "id") -> DataFrame:
+        """All rows, or at least those whose staging ``column`` is in ``among``."""
         was = self.old[table]
-        rows = dwh.LOADS[table](self.tables[table].read(self.now[table], seq=True), SEQ)
+        rows = dwh.LOADS[table](self._present(table, among, column), SEQ)
         seen = F.lit(False) if was is None else F.col(SEQ) < was.next_seq
         rows = rows.withColumn("was", seen).withColumn("now", F.lit(True)).drop(SEQ)
         if table not in self.moved:
@@ -107,7 +119,7 @@ class Change:
         parts = []
         for t in self.old:
             if t in self.moved or self.old[t] is None:
-                differ = self.rows(t).where(F.col("was") != F.col("now")).select("order_id")
+                differ = self.rows(t, self.moved.get(t)).where(F.col("was") != F.col("now")).select("order_id")
                 # an order's key is its id
                 parts.append(self.moved[t] if t == "orders" and t in self.moved else differ)
         return _keys(*parts)
@@ -134,10 +146,10 @@ def _confirmed_lines(change: Change, orders: DataFrame | None, group: list[str])
     """The lines of the touched confirmed orders, added up per order and
     ``group``: how many there were and are, and their sums. Order and lines
     meet in one shuffle by the order, which is that of the grouping too."""
-    kept = marts._confirmed(change.rows("orders")).select("order_id", "customer_id", F.col("source_updated_at").alias("at"), F.col("was").alias("had"), F.col("now").alias("has"))
+    kept = marts._confirmed(change.rows("orders", orders)).select("order_id", "customer_id", F.col("source_updated_at").alias("at"), F.col("was").alias("had"), F.col("now").alias("has"))
     if orders is not None:
         kept = kept.join(orders.toDF("order_id"), "order_id", "left_semi")
-    lines = change.rows("order_items").select("order_id", "item_id", "quantity", "line_total_ht", "line_total_ttc", "was", "now")
+    lines = change.rows("order_items", orders, "order_id").select("order_id", "item_id", "quantity", "line_total_ht", "line_total_ttc", "was", "now")
     lines = lines.join(kept, "order_id").withColumns({"was": F.col("was") & F.col("had"), "now": F.col("now") & F.col("has")}).where(F.col("was") | F.col("now"))
     values = {"q": "quantity", "ht": "line_total_ht", "ttc": "line_total_ttc"}
     return lines.groupBy("order_id", *group).agg(
@@ -181,7 +193,7 @@ def _known(value: str, count: str):
 
 
 def _baskets(change: Change, orders: DataFrame | None) -> DataFrame:
-    rows = marts._confirmed(change.rows("orders")).where(F.col("was") != F.col("now"))
+    rows = marts._confirmed(change.rows("orders", orders)).where(F.col("was") != F.col("now"))
     of = lambda c, kind: ((lambda side: F.when(F.col(side), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(kind)), kind)
     return _signed(rows, {"customer_id": F.col("customer_id"), "at": F.col("source_updated_at")},
                    {"n": of(F.lit(1), _COUNT), "priced": of(F.col("total_ttc").isNotNull().cast("int"), _COUNT), "total": of(F.col("total_ttc"), MONEY_SUM)})

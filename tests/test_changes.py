@@ -350,3 +350,37 @@ def test_an_item_that_sells_out_or_comes_back_moves_the_right_customers(spark, t
     tables["items"].append(item([7], 1, 5))
     assert kept.refresh() and last() == {1: (4, [7, 5, 4]), 2: (None, [7, 1])}
     assert shown() == {1: [7, 5], 2: [7, 1], 3: [2]}
+
+
+# -- what a refresh moves -----------------------------------------------------------
+
+def test_one_segment_is_folded_without_aggregation_and_a_merge_is_not_shuffled_again(spark, tmpdir_, monkeypatch):
+    catalog.ensure_namespaces(spark)
+    table = ChangeTable(spark, "staging.orders", tmpdir_, public=False, buckets=4)
+    rows = spark.range(400).selectExpr("id", "id % 7 AS n", "id % 3 AS unused", "0L AS __source_ts_ms", "0L AS offset", "'false' AS __deleted")
+    table.load(rows)
+    monkeypatch.setattr(changes, "BUCKET_BYTES", 1)  # as if the batch were large
+    table.append(rows.where("id % 2 = 0").selectExpr("id", "n + 1 AS n", "unused", "1L AS __source_ts_ms", "0L AS offset", "__deleted"))
+    assert table.current().segments[-1].table
+    read = table.read().select("id", "n")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "max_by" not in plan and "unused" not in plan
+    want = sorted((i, i % 7 + (i % 2 == 0)) for i in range(400))
+    assert sorted(map(tuple, read.collect())) == want
+    assert table._laid_out(table.current().segments) and table.compact(force=True)
+    (base,) = table.current().segments
+    files = spark.read.parquet(base.path).inputFiles()
+    assert len(files) <= 4 and sorted(map(tuple, table.read().select("id", "n").collect())) == want
+
+
+def test_a_first_refresh_reads_each_source_once(spark, tmpdir_, monkeypatch):
+    catalog.ensure_namespaces(spark)
+    tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in ("orders", "order_items", "items")}
+    r = random.Random(5)
+    for t, table in tables.items():
+        table.load(spark.createDataFrame(random_changes(r, t, 0)[0], TYPES[t] + META))
+    only = []
+    monkeypatch.setattr(ChangeTable, "only", lambda self, *a, **k: only.append(self.name))
+    mart = KeptMart(spark, "mart_revenue_by_item", tables, tmpdir_)
+    assert mart.refresh(compact=False) and not only
+    assert rows_of(mart.read()) == rows_of(full("mart_revenue_by_item", tables))
