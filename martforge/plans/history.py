@@ -14,6 +14,10 @@ pass are read, and the exact join over them decides. A filter passes every
 value it has taken (never a wrong no) and, at 16 bits a value, fewer than one
 in a hundred others.
 
+If the filters let most files through for the changed keys, asking saves
+nothing: the check then takes one pass over all rows and only what differs
+from the violations kept is written.
+
 ``UniqueCheck`` and ``ForeignKeyCheck`` keep a check's violations up to date: a
 refresh takes the keys changed since the versions it has seen and looks anew
 at the values, or rows, that these changes touch. Results equal a check of all
@@ -44,6 +48,8 @@ from .versions import Manifest, Segment
 #: Bits of a filter for each value, and bits that a value sets.
 BITS = 16
 SET = 5
+#: Share of a table's files that the filters let through above which a check looks at all rows anew.
+MOST = 0.5
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -144,6 +150,13 @@ class Filters:
             found.setdefault(manifest.segments[k].path, []).append(name)
         return found
 
+    def passes_most(self, values: DataFrame, column: str, manifest: Manifest) -> bool:
+        """Do the filters let through more than ``MOST`` of the files for
+        ``values``? Then a whole pass reads hardly more than they would."""
+        found = self.files_with(values, column, manifest)
+        files = sum(1 for s in manifest.segments for n in self.files.names(s.path) if not n.startswith(("_", ".")))
+        return sum(len(names) for names in found.values()) > MOST * files
+
     def rows_with(self, values: DataFrame, column: str, shown: list[str], manifest: Manifest) -> DataFrame:
         """``shown`` and the commit of all stored rows (also such as later ones
         have replaced) whose ``column`` is among ``values``: exact; only files
@@ -199,7 +212,12 @@ class _KeptCheck:
             self.filters[t].index(now[t])
         first = not seen
         changed = {} if first else {t: materialise(tables[t].changed(old[t].next_seq - 1, now[t]), "changed") for t in fresh}
-        rows, used = (self._all(now), []) if first else self._again(changed, old, now)
+        if first:
+            rows, used = self._all(now), []
+        elif any(self.filters[t].passes_most(changed[t], self.filters[t].key, now[t]) for t in changed):
+            rows, used = self._differences(now)
+        else:
+            rows, used = self._again(changed, old, now)
         segment = self.store._segment(rows)
 
         def add(m: Manifest):
@@ -243,6 +261,12 @@ class UniqueCheck(_KeptCheck):
         counts = self._counted(self._live(self.of, [self.column], now[self.of]))
         return counts.where(F.col("n") > 1).select(F.col(self.column).cast("string").alias("key"), "n")
 
+    def _differences(self, now):
+        found = materialise(self._all(now), "found")
+        kept = self.store.read().where(F.col("n") > 1).select("key", "n")
+        gone = kept.join(found, "key", "left_anti").select("key", F.lit(0).cast("long").alias("n"))
+        return found.join(kept, ["key", "n"], "left_anti").select("key", "n").unionByName(gone), [found]
+
     def _again(self, changed, old, now):
         f, t, c = self.filters[self.of], self.of, self.column
         touched = [f.rows_with(changed[t], f.key, [c], m).select(F.col(c).cast(f.table.columns(now[t])[c]).alias(c)) for m in (old[t], now[t])]
@@ -274,6 +298,13 @@ class ForeignKeyCheck(_KeptCheck):
         children, parents = self._live(self.child, [self.column], now[self.child]), self._live(self.parent, [], now[self.parent])
         return self._orphans(children, parents).select("key", "parent_id", F.lit(True).alias("missing"))
 
+    def _differences(self, now):
+        found = materialise(self._all(now), "found")
+        kept = self.store.read().where("missing").select("key", F.col("parent_id").alias("was"))
+        gone = kept.join(found, "key", "left_anti").select("key", F.col("was").alias("parent_id"), F.lit(False).alias("missing"))
+        same = (found["key"] == kept["key"]) & found["parent_id"].eqNullSafe(kept["was"])
+        return found.join(kept, same, "left_anti").unionByName(gone), [found]
+
     def _again(self, changed, old, now):
         child, parent, c = self.filters[self.child], self.filters[self.parent], self.column
         parts = [changed[self.child].toDF("key")] if self.child in changed else []
