@@ -27,7 +27,7 @@ from .plans.history import FOREIGN, UNIQUE, kept_checks
 from .plans.incremental import KEPT, KeptMart
 from .plans.suggestions import KeptSuggestions
 from .schemas import row_schema
-from .session import RUNTIME_PERF_CONF, configure, materialise, scratch_path, ship_package
+from .session import RUNTIME_PERF_CONF, configure, materialise, scratch_path, ship_package, spread
 from .sources import cdc
 from .sources import testdata as td
 from .streaming.allocation import StockLedger, start_allocation
@@ -350,6 +350,7 @@ def q_stock_level(spark, sf_dir):
 
 def _check_query(check):
     def q(spark, sf_dir):
+        spread(spark, [f"{sf_dir}/{t}.parquet" for t in ("customer", "supplier", "part", "orders", "lineitem")])
         return check(_all_dwh(spark, sf_dir))
     q.__doc__ = check.__doc__
     return q

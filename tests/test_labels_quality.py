@@ -111,3 +111,18 @@ def test_invoice_numbers_are_unique_and_checks_ignore_nulls(spark):
     empty = spark.createDataFrame([(None, None), (None, None)], "email string, order_id long")
     tables = {t: empty.selectExpr("email", "email as invoice_number", "order_id", "order_id as order_item_id") for t in quality.UNIQUE}
     assert quality.dq_unique(tables).count() == 0
+
+
+def test_shuffles_of_larger_tables_start_with_more_partitions(spark, tmpdir_, monkeypatch):
+    from martforge import session
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(1000).write.parquet(f"{tmpdir_}/t.parquet")
+    before = spark.conf.get(key, None)
+    try:
+        session.spread(spark, [f"{tmpdir_}/t.parquet"])
+        assert spark.conf.get(key, None) == before  # small: the session's
+        monkeypatch.setattr(session, "PARTITION_INPUT_BYTES", 100)
+        session.spread(spark, [f"{tmpdir_}/t.parquet"])
+        assert int(spark.conf.get(key)) >= 40
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
