@@ -72,9 +72,9 @@ def publish(spark: SparkSession, df: DataFrame, name: str, root: str | None = No
         key, n = bucket_by
         # one task per bucket, by the hash the buckets use: at most n files
         physical = f"{name}__{uuid.uuid4().hex[:12]}"
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(physical)
+        df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(physical)
     else:
-        writer.save(path)
+        writer.option("compression", "zstd").save(path)
     columns = {f.name: f.dataType.simpleString() for f in df.schema}
     segment = Segment(path, columns, "base", bytes=store.files.size(path), table=physical)
 
