@@ -137,6 +137,15 @@ class ChangeTable:
         parts = [f"SELECT `{self.keys[0]}` FROM ({self._rows(s, key)}) WHERE `{SEQ}` > {after}" for s in manifest.segments if s.seq > after]
         return self.spark.sql("SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + f") WHERE `{self.keys[0]}` IS NOT NULL")
 
+    def brought(self, after: int, manifest: Manifest | None = None) -> tuple[int, int]:
+        """How many stored rows commits after ``after`` brought, and how many there are."""
+        manifest = manifest or self.current()
+        if all(s.seq <= after for s in manifest.segments):
+            return 0, 0
+        key = {self.keys[0]: self.columns(manifest)[self.keys[0]]}
+        rows = " UNION ALL ".join(self._rows(s, key) for s in manifest.segments)
+        return tuple(self.spark.sql(f"SELECT count_if(`{SEQ}` > {after}), count(*) FROM ({rows})").first())
+
     # -- writing ------------------------------------------------------------
 
     def _segment(self, rows: DataFrame, kind: str = "delta", laid_out: bool = False, bucketed: bool = False, **more) -> Segment:

@@ -24,7 +24,9 @@ part of the upserted rows where the source has them (customers).
 
 Few touched keys are semi-joined: the source tables are filtered where they lie
 and not shuffled. Of many, the rows of both images are read once and meet their
-orders in one shuffle (``Change``).
+orders in one shuffle (``Change``). After a batch that brought a LARGE share of a
+source's rows nearly every key is touched: then only the present image is read,
+whole, and compared with the stored rows, which are the earlier image's.
 
 Source versions are taken with the contributions in one commit: a refresh
 that is run again after a failure either finds its batch applied or redoes it.
@@ -47,6 +49,8 @@ from .versions import Manifest
 
 #: Keys up to which an image is filtered by them before it is folded.
 SMALL = 100_000
+#: Share of a source's rows (more than SMALL) from which a batch is taken by comparing the whole present image with the stored rows.
+LARGE = 0.125
 #: How long a consumer's hold on the version it has seen lasts without a refresh.
 HOLD_SECONDS = 30 * 86400
 
@@ -57,14 +61,22 @@ class Image:
     def __init__(self, tables: dict[str, ChangeTable], manifests: dict[str, Manifest | None]):
         self.tables, self.manifests = tables, manifests
 
-    def rows(self, table: str, keys: DataFrame, column: str = "id") -> DataFrame:
-        """Cleaned rows of ``table`` whose staging ``column`` is among ``keys``."""
+    def rows(self, table: str, keys: DataFrame | None, column: str = "id") -> DataFrame:
+        """Cleaned rows of ``table`` whose staging ``column`` is among ``keys`` (None: all)."""
         manifest = self.manifests[table]
+        if keys is None and manifest is not None:
+            return dwh.LOADS[table](self.tables[table].read(manifest))
         if manifest is None:  # before the first version: no rows, the columns of the present one
             return dwh.LOADS[table](self.tables[table].read().limit(0))
         return dwh.LOADS[table](self.tables[table].only(keys, column, manifest))
 
 
+def large(table: ChangeTable, after: int, manifest: Manifest) -> bool:
+    """Did commits after ``after`` bring a large share of the table's rows?"""
+    brought, stored = table.brought(after, manifest)
+    return brought > SMALL and brought >= LARGE * stored
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -268,10 +280,10 @@ def _owned_keys(table: str) -> Callable:
 
 
 def _owned_rows(table: str, mart: Callable) -> Callable:
-    def rows(image: Image, keys: DataFrame) -> DataFrame:
+    def rows(image: Image, keys: DataFrame | None) -> DataFrame:
         own = image.rows(table, keys)
-        orders = image.rows("orders", _keys(own.select("order_id")))
-        return mart(own, orders, image.rows("customers", _keys(orders.select("customer_id"))))
+        orders = image.rows("orders", None if keys is None else _keys(own.select("order_id")))
+        return mart(own, orders, image.rows("customers", None if keys is None else _keys(orders.select("customer_id"))))
     return rows
 
 
@@ -287,7 +299,7 @@ class Kept:
     keys: tuple[str, ...]
     kind: str  # of the stored rows: "sum" or "latest"
     touched: Callable  # (change), or (changed keys, images)
-    rows: Callable  # (change, touched keys) -> contributions, or (image, touched keys) -> rows
+    rows: Callable  # (change, touched keys) -> contributions, or (image, touched keys) -> rows; None: all keys
     view: Callable  # (stored rows, *dimensions) -> mart
     dimensions: tuple[str, ...] = ()
 
@@ -316,6 +328,32 @@ class KeptMart:
         manifest = self.store.versions.current()
         return dict(manifest.applied) if manifest else {}
 
+    def _whole(self, old: dict[str, Manifest | None], now: dict[str, Manifest]) -> bool:
+        """Is nothing seen before, or is what changed a large share of a source?"""
+        if all(was is None for was in old.values()):
+            return True
+        return any(was is not None and large(self.staging[s], was.next_seq - 1, now[s]) for s, was in old.items())
+
+    def _less_stored(self, sums: DataFrame) -> DataFrame:
+        """What the sums of the whole present image are more than the stored ones."""
+        kinds, keys = dict(sums.dtypes), list(self.kept.keys)
+        counted = [c for c in sums.columns if c not in keys]
+        stored = self.store.read().select(*keys, *[(-F.col(c)).cast(kinds[c]).alias(c) for c in counted])
+        some = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in counted])
+        return sums.unionByName(stored).groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in counted]).where(some)
+
+    def _differing(self, rows: DataFrame, touched: DataFrame | None) -> DataFrame:
+        """The rows that aren't stored so, and those stored that are gone, marked."""
+        if self.store.current() is None:
+            return rows.withColumn("__deleted", F.lit("false"))
+        key, rest = self.kept.keys[0], [c for c in rows.columns if c not in self.kept.keys]
+        stored = (self.store.read() if touched is None else self.store.only(touched)).where(live_row())
+        both = rows.select(key, F.struct(*rest).alias("new")).join(stored.select(key, F.struct(*rest).alias("old")), key, "full_outer")
+        gone = F.col("new").isNull()
+        return both.where(~F.col("new").eqNullSafe(F.col("old"))).select(
+            key, *[F.when(gone, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in rest],
+            F.when(gone, F.lit("true")).otherwise(F.lit("false")).alias("__deleted"))
+
     def refresh(self, compact: bool = True) -> bool:
         """Take what changed since the last refresh. True if anything did."""
         seen, now, holds = self.seen(), {}, []
@@ -328,19 +366,20 @@ class KeptMart:
             for s, hold in holds:
                 self.staging[s].versions.give_back(hold)
             return False
+        whole, used = self._whole(old, now), []
         if self.kept.kind == "sum":
-            change = Change(self.staging, old, now)
+            change = Change(self.staging, dict.fromkeys(old) if whole else old, now)
             touched = self.kept.touched(change)
             delta, used = self.kept.rows(change, touched), [] if touched is None else [touched]
+            if whole and self.store.current() is not None:
+                delta = self._less_stored(delta)
         else:  # rows of touched keys anew; those that are gone are marked
-            keys = list(self.kept.keys)
-            changed = {s: materialise(self.staging[s].changed(old[s].next_seq - 1 if old[s] else 0, now[s]), "changed") for s in fresh}
-            images = Image(self.staging, old), Image(self.staging, now)
-            touched = self.kept.touched(changed, images)
-            before, after = (self.kept.rows(image, touched) for image in images)
-            gone = before.join(after.select(*keys), keys, "left_anti").select(*after.columns).withColumn("__deleted", F.lit("true"))
-            delta = after.exceptAll(before.select(*after.columns)).withColumn("__deleted", F.lit("false")).unionByName(gone)
-            change, used = None, [touched, *changed.values()]
+            change, touched = None, None
+            if not whole:
+                changed = {s: materialise(self.staging[s].changed(old[s].next_seq - 1 if old[s] else 0, now[s]), "changed") for s in fresh}
+                touched = self.kept.touched(changed, (Image(self.staging, old), Image(self.staging, now)))
+                used = [touched, *changed.values()]
+            delta = self._differing(self.kept.rows(Image(self.staging, now), touched), touched)
         segment = self.store._segment(delta)
 
         def add(m: Manifest):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martforge.operators import dwh, marts, shop
-from martforge.plans import catalog, changes
+from martforge.plans import catalog, changes, incremental
 from martforge.plans.changes import ChangeTable
 from martforge.plans.incremental import KEPT, KeptMart
 from martforge.plans.suggestions import KeptSuggestions
@@ -384,3 +384,28 @@ def test_a_first_refresh_reads_each_source_once(spark, tmpdir_, monkeypatch):
     mart = KeptMart(spark, "mart_revenue_by_item", tables, tmpdir_)
     assert mart.refresh(compact=False) and not only
     assert rows_of(mart.read()) == rows_of(full("mart_revenue_by_item", tables))
+
+
+@pytest.mark.parametrize("name", ["mart_payments", "mart_invoices", "mart_customer_reorders"])
+def test_a_large_batch_is_taken_from_the_present_image_alone(spark, tmpdir_, monkeypatch, name):
+    catalog.ensure_namespaces(spark)
+    monkeypatch.setattr(incremental, "SMALL", 0)  # as if there were many rows
+    r, offset = random.Random(name), 0
+    sources = sorted({*KEPT[name].sources, *KEPT[name].dimensions})
+    tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in sources}
+    mart, before = KeptMart(spark, name, tables, tmpdir_), {}
+    monkeypatch.setattr(ChangeTable, "only", lambda self, *a, **k: pytest.fail(f"{self.name} is read by key"))
+    for k in range(4):
+        for t in sources:
+            for _ in range(4 if k == 0 else 1):
+                rows, offset = random_changes(r, t, offset)
+                tables[t].append(spark.createDataFrame(rows, TYPES[t] + META).coalesce(1))
+        parts = len(mart.store.current().segments) if k else 0
+        mart.refresh(compact=False)
+        assert rows_of(mart.read(as_of="1970-01-03")) == rows_of(full(name, tables)), k
+        if KEPT[name].kind == "latest":  # only rows that differ are written, those that are gone marked
+            now = {x[mart.kept.keys[0]]: x for x in mart.store.read().where("__deleted = 'false'").collect()}
+            wrote = {x[mart.kept.keys[0]]: x for s in mart.store.current().segments[parts:] for x in spark.read.parquet(s.path).collect()}
+            assert {i for i, x in wrote.items() if x["__deleted"] == "true"} == set(before) - set(now)
+            assert {i for i, x in wrote.items() if x["__deleted"] == "false"} == {i for i in now if before.get(i) != now[i]}
+            before = now
