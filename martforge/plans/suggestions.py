@@ -14,7 +14,8 @@ a floor the heap holds everything. So
 
 A heap is at most ``k + spare`` ids; the best of a customer's candidates are
 cut to that by a ranked window before they are gathered. Only rows that differ
-are written. The versions of purchases and items that a heap holds are in the
+are written. After a batch that brought a LARGE share of the purchases or items
+nearly every heap is touched: all are made anew and compared with those stored. The versions of purchases and items that a heap holds are in the
 commit that writes it: a refresh that failed is simply run again. Purchases
 are compacted after that, since a compaction forgets pairs that are gone.
 
@@ -31,7 +32,7 @@ from ..fixed import REORDER_TOP_K
 from ..operators import dwh
 from ..session import materialise, release
 from .changes import SEQ, ChangeTable
-from .incremental import HOLD_SECONDS, Change, Kept, KeptMart, _COUNT, _confirmed_lines, _keys, _n, _signed
+from .incremental import HOLD_SECONDS, Change, Kept, KeptMart, _COUNT, _confirmed_lines, _keys, _n, _signed, large
 from .versions import Manifest
 
 
@@ -96,8 +97,9 @@ class KeptSuggestions:
             return False
         now, hold = self.staging["items"].versions.take(HOLD_SECONDS, owner=_OWNER)
         first = "items" not in seen
-        if first:
-            rows = materialise(self._heaps(self._pairs_of(bought, None).join(self._in_stock(now), "item_id", "left_semi")), "heaps")
+        if first or large(self.purchases.store, seen["pairs"], bought) or large(self.staging["items"], seen["item_changes"], now):
+            rows = self._heaps(self._pairs_of(bought, None).join(self._in_stock(now), "item_id", "left_semi"))
+            rows = materialise(rows if first else self._differing(rows), "heaps")
         else:
             rows = self._changed_heaps(bought, now, seen)
         changed = first or not rows.isEmpty()
@@ -167,6 +169,12 @@ class KeptSuggestions:
         release(*written, back, gone, still, entering, touched, fresh, low)
         return out
 
+    def _differing(self, heaps: DataFrame) -> DataFrame:
+        """Of all heaps those that aren't stored so; empty ones of customers who have none."""
+        stored = self.heaps.read().select("customer_id", F.col("floor").alias("f"), F.col("items").alias("i"))
+        both = heaps.join(stored, "customer_id", "full_outer").withColumn("items", F.coalesce("items", F.array().cast("array<bigint>")))
+        return both.where(~(F.col("floor").eqNullSafe(F.col("f")) & F.col("items").eqNullSafe(F.col("i")))).select("customer_id", "floor", "items")
+
     def read(self) -> DataFrame:
         """The suggestions at the versions seen."""
         items = self.staging["items"]

@@ -409,3 +409,21 @@ def test_a_large_batch_is_taken_from_the_present_image_alone(spark, tmpdir_, mon
             assert {i for i, x in wrote.items() if x["__deleted"] == "true"} == set(before) - set(now)
             assert {i for i, x in wrote.items() if x["__deleted"] == "false"} == {i for i in now if before.get(i) != now[i]}
             before = now
+
+
+def test_heaps_after_a_large_batch_are_made_anew(spark, tmpdir_, monkeypatch):
+    catalog.ensure_namespaces(spark)
+    monkeypatch.setattr(incremental, "SMALL", -1)
+    monkeypatch.setattr(incremental, "LARGE", 0)
+    monkeypatch.setattr(KeptSuggestions, "_changed_heaps", lambda self, *a: pytest.fail("one heap after the other"))
+    r, offset = random.Random(3), 0
+    tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in ("items", "order_items", "orders")}
+    kept = KeptSuggestions(spark, tables, tmpdir_, k=2, spare=1)
+    for k in range(4):
+        for t in tables:
+            for _ in range(4 if k == 0 else 1):
+                rows, offset = random_changes(r, t, offset)
+                tables[t].append(spark.createDataFrame(rows, TYPES[t] + META).coalesce(1))
+        kept.refresh()
+        loads = {t: dwh.LOADS[t](tables[t].read()) for t in tables}
+        assert rows_of(kept.read()) == rows_of(shop.reorder_suggestions(loads["order_items"], loads["orders"], loads["items"], k=2)), k
