@@ -56,13 +56,22 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
     that can't be decoded stops the batch; with ``dead_letters`` (a folder) it
     is written there instead, as Parquet per table and batch (topic, key,
     offset, record), a replayed batch over its own earlier files. With the id
-    of a ``stream``, a batch that a table has taken already is skipped.
+    of a ``stream``, a batch that a table has taken already is skipped: its
+    records for that table aren't decoded again.
 
     Only the batch is read, shuffled and written, never the current table."""
     ensure_namespaces(spark)
-    routed = route(batch).filter(F.col("table").isin(*tables)).persist()
+    taken = [t for t in tables if stream is not None and (found := ChangeTable(spark, f"staging.{t}", root, order=order).versions.current())
+             and found.applied.get(stream, -1) >= batch_id]
+    for t in taken:  # what a writer that failed may have left undone
+        table = staging_table(spark, t, root, order)
+        table.compact()
+        table.versions.vacuum()
+    if not (left := [t for t in tables if t not in taken]):
+        return sorted(taken)
+    routed = route(batch).filter(F.col("table").isin(*left)).persist()
     try:
-        # at most len(tables) names: the whitelist bounds this collect
+        # at most len(left) names: the whitelist bounds this collect
         present = sorted(r["table"] for r in routed.select("table").distinct().collect())
         for t in present:
             records = routed.filter(F.col("table") == t)
@@ -78,7 +87,7 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str | None = None,
             table.append(changes, source=stream, batch=batch_id)
             table.compact()
             table.versions.vacuum()
-        return present
+        return sorted([*taken, *present])
     finally:
         routed.unpersist()
 

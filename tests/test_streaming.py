@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -274,3 +275,18 @@ def test_a_batch_of_the_stream_writes_one_segment(spark, tmpdir_):
     table = staging_table(spark, "items", tmpdir_)
     assert [s.kind for s in table.current().segments] == ["delta"] * 3 and table.current().applied == {"s": 2}
     assert sorted(r["id"] for r in spark.table("staging.items").collect()) == [0, 1, 2]
+
+
+def test_a_replay_is_not_read_again(spark, tmpdir_):
+    """A batch that the table has taken: its records aren't looked at."""
+    from martforge.streaming.cdc_stream import ingest_batch, staging_table
+    catalog.ensure_namespaces(spark)
+    catalog.drop(spark, "staging.items")
+    rows = [_wire("items", "u", None, _item(1, "a", 1.0, 1, 1000), 1000, 0)]
+    batch = spark.createDataFrame([(r["topic"], r.get("key"), r["value"], r.get("partition"), r["offset"]) for r in rows], cdc.WIRE_COLUMNS)
+    assert ingest_batch(spark, batch, tmpdir_, tables=("items",), batch_id=0, stream="s") == ["items"]
+    unread = batch.withColumn("value", F.raise_error(F.lit("read")).cast("string"))
+    assert ingest_batch(spark, unread, tmpdir_, tables=("items",), batch_id=0, stream="s") == ["items"]
+    with pytest.raises(Exception, match="read"):
+        ingest_batch(spark, unread, tmpdir_, tables=("items",), batch_id=1, stream="s")
+    assert len(staging_table(spark, "items", tmpdir_).current().segments) == 1
