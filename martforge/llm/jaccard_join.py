@@ -266,31 +266,30 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
     release(chosen)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        """The full sets of some nodes, from the text of one document each."""
+        """The full sets of some nodes, from the text of one document each.
+        Not written: what reads them shuffles them once, so they'd lie on disk twice."""
         which = materialise(one.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted")
         texts = docs.select("doc_id", "text").join(small(which), "doc_id")
         rows = shingle_rows(texts, n, ["node"]).mapInArrow(_set_rows, "node long, elements binary, right boolean")
         # a doc_id that repeats with other texts gives their sets too; only the right one counts
-        written = materialise(rows.where("right").select("node", "elements"), "full-sets", BATCH_ROWS)
-        release(which)
-        return written
+        return rows.where("right").select("node", "elements")
 
     def small(df: DataFrame) -> DataFrame:
         """Two ids a row: broadcast up to BROADCAST_ROWS, else as planned."""
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         """Each pair (a, b) with both sets: b's goes to the place of a's, once."""
-        sa = sets.join(small(pairs.select("a").distinct()), F.col("node") == F.col("a")).select("a", F.col("elements").alias("set_a"))
-        sb = sets.join(small(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("elements").alias("set_b"))
+        sa = sets_of(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
+        sb = sets_of(pairs.select(F.col("b").alias("node")))
+        sb = sb.join(small(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("elements").alias("set_b"))
         return sb.join(sa, "a")
 
-    sets = sets_of(anchored.select("node").union(anchored.select("anchor")))
     pairs = materialise(anchored.select(F.col("anchor").alias("a"), F.col("node").alias("b")), "anchor-pairs")
-    told = with_sets(pairs, sets).mapInArrow(
+    told = with_sets(pairs).mapInArrow(
         _differences(share), "a long, b long, linked boolean, size_a long, size_b long, lacks binary, beside binary")
     told = materialise(told, "differences", BATCH_ROWS)
-    release(sets, pairs)
+    release(pairs)
     direct = materialise(told.where("linked").select("a", "b"), "direct")
     # families in which not every set is linked to the anchor: those sets meet
     # each other and the linked ones, which needn't meet among themselves
@@ -323,9 +322,8 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
             .mapInArrow(_across(share), "a long, b long").distinct())
     rest = materialise(rest, "candidates")
     release(listed, several, where, anchored)
-    sets = sets_of(rest.select(F.col("a").alias("node")).union(rest.select("b")))
-    got = materialise(with_sets(rest, sets).mapInArrow(_verify(share), "a long, b long, linked boolean"), "checked", BATCH_ROWS)
-    release(sets, rest, one)
+    got = materialise(with_sets(rest).mapInArrow(_verify(share), "a long, b long, linked boolean"), "checked", BATCH_ROWS)
+    release(rest, one)
     return described, components(direct.unionByName(inner).unionByName(got.where("linked").select("a", "b")))
 
 
