@@ -1,5 +1,6 @@
 """The training-data pipeline over ``documents``: each stage calls one
-operator of ``martforge.llm`` on all that the stage before it kept."""
+operator of ``martforge.llm`` on all that the stage before it kept. A stage
+may be called alone: each applies the library's settings to its session."""
 
 from __future__ import annotations
 
@@ -12,29 +13,31 @@ from martforge.session import configure, materialise, release, scratch_path, shi
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    ship_package(spark)
+    ship_package(configure(spark))
     return quality_gam.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of nearly equal five-word shingle sets."""
-    ship_package(spark)
+    ship_package(configure(spark))
     return jaccard_join.keep_first(docs, share=80, n=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    configure(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the target mix."""
+    configure(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, as read back."""
-    ship_package(spark)
+    ship_package(configure(spark))
     folder = scratch_path(spark, "pipeline-tokens")
     token_files.write_tokens(docs, folder, VOCABULARY, END_ID)
     return token_files.digest(spark, folder)

@@ -9,9 +9,10 @@ compared, as text, with those of the items, and adjoining hits join up.
 
 DataFrame functions only. The fingerprint join shuffles 64-bit hashes (about
 2/(w+1) of the words), not texts; a fingerprint that many documents hold is
-split by adaptive execution, and each document only once per fingerprint. No
-side is hinted as broadcast: the planner does so where it measures a small
-one.
+split by adaptive execution, and each document only once per fingerprint. Whole
+texts are not shuffled to be picked out: the list of those concerned, two ids a
+row, is broadcast up to BROADCAST_ROWS rows. Else no side is hinted as
+broadcast: the planner does so where it measures a small one.
 
 Defined results: a null text has no words and is clean; an item without words
 never occurs; an item of fewer than ``t`` words counts as one run; items that
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, small
 from . import words as W
 
 #: Everything in ASCII but digits and a-z (texts are lower-cased before).
@@ -35,6 +36,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Words of a shared run, and of a hashed k-gram in it.
 RUN = 10
 GRAM = 5
+#: Rows of two ids up to which a list of texts is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def item_words(text: Column) -> Column:
@@ -75,7 +78,7 @@ def find(docs: DataFrame, benchmark: DataFrame, t: int = RUN) -> tuple[DataFrame
         of_docs = fingerprints(texts.select("doc_id", "h", item_words(F.col("text")).alias("words")), length, ["doc_id", "h"])
         holders = of_docs.join(of_items, "fp", "left_semi").select("doc_id", "h").distinct()
         holders = materialise(holders, "holders")
-        held = texts.alias("d").join(holders.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.h") == F.col("x.h")), "left_semi")
+        held = texts.alias("d").join(small(holders, BROADCAST_ROWS).alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.h") == F.col("x.h")), "left_semi")
         held = held.select("doc_id", "h", item_words(F.col("text")).alias("words"))
         of_items = runs(some, length, ["item_id"]).select("item_id", "run").distinct()
         matched = runs(held, length, ["doc_id", "h"]).join(of_items.select("run").distinct(), "run")
@@ -118,6 +121,6 @@ def report(docs: DataFrame, benchmark: DataFrame, t: int = RUN) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, t: int = RUN) -> DataFrame:
     """The rows of ``docs`` that hold no run of a benchmark item."""
     hits, _ = find(docs, benchmark, t)
-    dirty = hits.select("doc_id", "h").distinct()
+    dirty = small(materialise(hits.select("doc_id", "h").distinct(), "dirty"), BROADCAST_ROWS)
     return docs.alias("d").join(dirty.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
                                 & (F.xxhash64("d.text") == F.col("x.h")), "left_anti")

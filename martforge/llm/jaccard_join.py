@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, release
+from ..session import materialise, release, small
 from . import words as W
 from .components import components
 
@@ -269,20 +269,16 @@ def links(docs: DataFrame, share: int = 90, n: int = 3) -> tuple[DataFrame, Data
         """The full sets of some nodes, from the text of one document each.
         Not written: what reads them shuffles them once, so they'd lie on disk twice."""
         which = materialise(one.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted")
-        texts = docs.select("doc_id", "text").join(small(which), "doc_id")
+        texts = docs.select("doc_id", "text").join(small(which, BROADCAST_ROWS), "doc_id")
         rows = shingle_rows(texts, n, ["node"]).mapInArrow(_set_rows, "node long, elements binary, right boolean")
         # a doc_id that repeats with other texts gives their sets too; only the right one counts
         return rows.where("right").select("node", "elements")
 
-    def small(df: DataFrame) -> DataFrame:
-        """Two ids a row: broadcast up to BROADCAST_ROWS, else as planned."""
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
     def with_sets(pairs: DataFrame) -> DataFrame:
         """Each pair (a, b) with both sets: b's goes to the place of a's, once."""
         sa = sets_of(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
         sb = sets_of(pairs.select(F.col("b").alias("node")))
-        sb = sb.join(small(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("elements").alias("set_b"))
+        sb = sb.join(small(pairs, BROADCAST_ROWS), F.col("node") == F.col("b")).select("a", "b", F.col("elements").alias("set_b"))
         return sb.join(sa, "a")
 
     pairs = materialise(anchored.select(F.col("anchor").alias("a"), F.col("node").alias("b")), "anchor-pairs")
@@ -347,4 +343,4 @@ def keep_first(docs: DataFrame, share: int = 90, n: int = 3) -> DataFrame:
     the smallest of its component; null doc_ids stay."""
     groups = join(docs, share, n)
     drop = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(materialise(drop, "dropped"), "doc_id", "left_anti")
+    return docs.join(small(materialise(drop, "dropped"), BROADCAST_ROWS), "doc_id", "left_anti")
