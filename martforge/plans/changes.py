@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.staging import DEFAULT_ORDER, latest_per_key, wider
-from .catalog import warehouse_root
+from .catalog import ensure_namespaces, warehouse_root
 from .versions import Manifest, Segment, Versions
 
 SEQ = "__seq"
@@ -154,6 +154,7 @@ class ChangeTable:
         ``bucketed``: laid out by the key, as a base always is."""
         path, table = self.versions.new_folder(), None
         if (kind == "base" or bucketed) and self.kind == "latest":
+            ensure_namespaces(self.spark, [self.name.split(".")[0]])  # the catalogue may not have it yet
             table = f"{self.name}__{uuid.uuid4().hex[:12]}"
             rows = rows if laid_out else rows.repartition(self.buckets, self.keys[0])
             (rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, self.keys[0]).sortBy(self.keys[0])
@@ -167,6 +168,7 @@ class ChangeTable:
         """The catalogue's view of ``manifest``, or of the version that another
         writer has committed meanwhile: the last to publish looks again."""
         while self.public:
+            ensure_namespaces(self.spark, [self.name.split(".")[0]])
             self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS {self.sql(manifest)}")
             newest = self.current()
             if newest is None or newest.version <= manifest.version:

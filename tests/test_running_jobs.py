@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from martforge.operators.carts import cart_state
 from martforge.operators.orders import allocate_orders, stock_after_orders
-from martforge.plans import catalog
+from martforge.plans import catalog, changes
 from martforge.streaming.allocation import StockLedger
 from martforge.streaming.cart_table import CartTable
 
@@ -60,6 +60,17 @@ def test_carts_in_any_batches_equal_the_batch_fold(spark, tmpdir_, seed):
     assert sorted(map(tuple, carts.read(as_of=now).collect()), key=str) == sorted(map(tuple, cart_state(before, items, as_of=now, width=4).collect()), key=str)
 
 
+def test_a_large_batch_needs_no_namespace_made_before(spark, tmpdir_, monkeypatch):
+    monkeypatch.setattr(changes, "BUCKET_BYTES", 1)  # as if the batch were large: laid out as a catalogue table
+    actions = spark.createDataFrame([(1, 4, "add", 1, dt.datetime(2020, 1, 1), 0)], ACTIONS)
+    carts = CartTable(spark, "carts_unheard_of.state", tmpdir_)
+    carts.take(actions, spark.createDataFrame(ITEMS, ITEM_COLUMNS), "s", 0)
+    assert carts.read(as_of="2020-01-02").collect() == [(1, 4, 1)]
+    public = changes.ChangeTable(spark, "unheard_of.t", tmpdir_, order=("offset",))  # a view, too
+    public.append(spark.createDataFrame([(1, 1, 1)], "id long, offset long, v long"))
+    assert spark.table("unheard_of.t").count() == 1
+
+
 def test_a_batch_writes_what_it_touches_and_is_combined_map_side(spark, tmpdir_):
     catalog.ensure_namespaces(spark)
     items = spark.createDataFrame([(i, 1000) for i in range(50)], "item_id long, quantity int")
