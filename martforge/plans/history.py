@@ -5,8 +5,9 @@ columns: one of the whole segment and one of each of its files. A filter is
 itself a small table of 64-bit words: a value's hash names a word and five bits
 in it, so building it is one ``bit_or`` per word (combined map side, whatever
 value a third of all rows share), and asking it is a join on the word number.
-Segments never change, so a filter is built once; a batch costs the filters of
-its own segment, a compaction those of what it has rewritten.
+Segments never change, so a filter is built once, before it is first asked; a
+batch costs the filters of its own segment, a compaction those of what it has
+rewritten.
 
 A question ("which rows hold one of these values?") goes to the segments'
 filters first; only values that pass meet the files' filters; only files that
@@ -16,7 +17,8 @@ in a hundred others.
 
 If the filters let most files through for the changed keys, asking saves
 nothing: the check then takes one pass over all rows and only what differs
-from the violations kept is written.
+from the violations kept is written. For that only keys are asked, so the other
+columns' filters wait for a question, as do all of them at a first refresh.
 
 ``UniqueCheck`` and ``ForeignKeyCheck`` keep a check's violations up to date: a
 refresh takes the keys changed since the versions it has seen and looks anew
@@ -88,27 +90,34 @@ class Filters:
     def _home(self, s: Segment) -> str:
         return f"{self.folder}/{s.path.rsplit('/', 1)[1]}"
 
-    def index(self, manifest: Manifest) -> int:
-        """Build what the segments of ``manifest`` lack; how many lacked something."""
+    def index(self, manifest: Manifest, columns=None) -> int:
+        """Build what the segments of ``manifest`` lack, of all columns or
+        some; how many lacked something."""
         built = 0
         for s in manifest.segments:
             there = self.files.names(self._home(s))
-            if missing := [c for c in self.columns if c in s.columns and f"{c}.json" not in there]:
+            if missing := [c for c in columns or self.columns if c in s.columns and f"{c}.json" not in there]:
                 self._build(s, missing)
                 built += 1
         return built
 
     def _build(self, s: Segment, columns: list[str]) -> None:
-        entry = lambda c: F.struct(F.lit(c).alias("column"), hash_of(F.col(c), s.columns[c]).alias("h"))
         fields = ", ".join(f"`{c}` {s.columns[c]}" for c in columns)  # an empty segment has no file to tell them
-        rows = self.spark.read.schema(fields).parquet(s.path).select(F.col("_metadata.file_name").alias("file"), F.explode(F.array(*map(entry, columns))).alias("e"))
-        rows = rows.where(F.col("e.h").isNotNull()).select("file", "e.column", "e.h")
-        sizes = {c: (n, most) for c, n, most in rows.groupBy("column", "file").agg(F.count("*").alias("n")).groupBy("column").agg(F.sum("n"), F.max("n")).collect()}
-        sizes = {c: [words_for(n) for n in sizes.get(c, (0, 0))] for c in columns}
+        # files and columns as numbers: keys of a fixed width. Files whose names had one hash would share their words, which only lets more through
+        rows = self.spark.read.schema(fields).parquet(s.path).withColumn("file", F.xxhash64("_metadata.file_name"))
+        counts = rows.groupBy("file").agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(columns)])
+        most = counts.select(*[F.struct(F.sum(f"n{k}"), F.max(f"n{k}")) for k in range(len(columns))]).first()
+        sizes = {c: [words_for(n or 0) for n in both] for c, both in zip(columns, most, strict=True)}
+        names = [(n,) for n in self.files.names(s.path) if not n.startswith(("_", "."))]
+        names = self.spark.createDataFrame(names, "file string").select("file", F.xxhash64("file").alias("h"))
         path = f"{self._home(s)}/{uuid.uuid4().hex}"
         for level, (name, of) in enumerate((("whole", []), ("files", ["file"]))):
-            words = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, sizes[c][level])]), F.col("column"))
-            bits = rows.groupBy("column", *of, F.pmod("h", words).cast("long").alias("word")).agg(F.bit_or(mask_of(F.col("h"))).alias("bits"))
+            entry = lambda k, c: F.struct(F.lit(k).alias("k"), hash_of(F.col(c), s.columns[c]).alias("h"), F.lit(sizes[c][level]).cast("long").alias("words"))  # noqa: B023, E731
+            values = rows.select(*of, F.inline(F.array(*[entry(k, c) for k, c in enumerate(columns)]))).where(F.col("h").isNotNull())
+            bits = values.groupBy("k", *of, F.pmod("h", F.col("words")).alias("word")).agg(F.bit_or(mask_of(F.col("h"))).alias("bits"))
+            bits = bits.withColumn("column", F.element_at(F.array(*map(F.lit, columns)), F.col("k") + 1)).drop("k")
+            if of:
+                bits = bits.withColumnRenamed("file", "h").join(F.broadcast(names), "h").drop("h")
             bits.write.partitionBy("column").parquet(f"{path}/{name}")
         for c in columns:  # a filter counts from here on; of two builders one is first
             self.files.create(f"{self._home(s)}/{c}.json", json.dumps({"path": path, "words": sizes[c][0], "file_words": sizes[c][1]}))
@@ -208,15 +217,20 @@ class _KeptCheck:
             for t, hold in holds.items():
                 tables[t].versions.give_back(hold)
             return False
-        for t in tables:
-            self.filters[t].index(now[t])
         first = not seen
-        changed = {} if first else {t: materialise(tables[t].changed(old[t].next_seq - 1, now[t]), "changed") for t in fresh}
+        changed, most = {}, False
+        for t in fresh if not first else ():
+            self.filters[t].index(now[t], [self.filters[t].key])
+            changed[t] = materialise(tables[t].changed(old[t].next_seq - 1, now[t]), "changed")
+            if most := self.filters[t].passes_most(changed[t], self.filters[t].key, now[t]):
+                break  # all rows are looked at
         if first:
             rows, used = self._all(now), []
-        elif any(self.filters[t].passes_most(changed[t], self.filters[t].key, now[t]) for t in changed):
+        elif most:
             rows, used = self._differences(now)
         else:
+            for t, m in [(t, m) for t in tables for m in (old[t], now[t]) if m]:
+                self.filters[t].index(m)
             rows, used = self._again(changed, old, now)
         segment = self.store._segment(rows)
 

@@ -114,6 +114,21 @@ def test_a_repair_clears_a_violation_and_filters_follow_compaction(spark, tmpdir
     assert set(check.filters["customers"].files.names(check.filters["customers"].folder)) <= set(table.versions.files.names(f"{table.versions.folder}/data"))
 
 
+def test_a_filter_is_built_when_it_is_asked(spark, tmpdir_):
+    catalog.ensure_namespaces(spark)
+    table = ChangeTable(spark, "staging.customers", tmpdir_, public=False, buckets=8)
+    (check,) = kept_checks(spark, {"customers": table}, tmpdir_, {"customers.email": ("customers", "email")}, {})
+    filters = check.filters["customers"]
+    built = lambda: [sorted(n for n in filters.files.names(filters._home(s)) if n.endswith(".json")) for s in table.current().segments]
+    table.load(_emails(spark, spark.range(1000)))
+    assert check.refresh() and built() == [[]]  # all rows are looked at
+    table.append(_emails(spark, spark.range(1000), 1))
+    assert check.refresh() and built() == [["id.json"]] * 2  # the keys, which most files hold
+    table.append(_emails(spark, spark.range(5, 6), 2, "m7"))
+    assert check.refresh() and built() == [["email.json", "id.json"]] * 3
+    assert [tuple(x) for x in check.read().collect()] == [("customers.email", "m7", 2)]
+
+
 def test_columns_of_nulls_missing_columns_and_empty_tables(spark, tmpdir_):
     catalog.ensure_namespaces(spark)
     tables = {t: ChangeTable(spark, f"staging.{t}", tmpdir_, public=False, buckets=2) for t in ("customers", "orders")}
