@@ -55,6 +55,14 @@ def test_vacuum_keeps_leased_versions_and_fresh_orphans(spark, tmpdir_):
         store.take(version=2)
 
 
+def test_vacuum_passes_over_a_folder_that_another_has_removed(spark, tmpdir_, monkeypatch):
+    store = Versions(spark, f"{tmpdir_}/t")
+    store.commit(lambda m: m.segments.clear())
+    names = store.files.names
+    monkeypatch.setattr(store.files, "names", lambda folder: [*names(folder), *(["removed"] if folder.endswith("/data") else [])])
+    assert store.vacuum() == []
+
+
 def test_a_lease_that_has_run_out_holds_nothing(spark, tmpdir_):
     store = Versions(spark, f"{tmpdir_}/t")
     store.commit(lambda m: m.segments.clear())
